@@ -1,29 +1,75 @@
 """A corpus from raw documents to token ids, in five stages over the operators of tidemark.llm.
 
 Each stage works on all rows that its predecessor kept, and is written as Parquet before the next one reads it.
+All stages but the last return the columns of documents. Empty tables give empty results; columns beyond those
+of documents go through.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import simhash
+from tidemark.llm import langid, mixing, pieces, simhash, units
 from tidemark.llm.common import written
 from tidemark.sources import read_table, ship
 
+#: Documents whose language takes less than this share of their n-grams are rejected.
+LEAST_SCORE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is in a known language; the model learns from the labelled ones among them.
+
+    Null and letterless texts go. Columns of docs stay as they are.
+    """
+    found = langid.identify(docs, langid.train(docs))
+    return found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SCORE)).select(docs.columns)
+
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, a similarity of 0.8 or more."""
+    """One document of each group of near-duplicates: five-word shingles, a similarity of 0.8 or more.
+
+    The smallest doc_id of a group stays; documents without an id stay.
+    """
     return simhash.keep_one(docs, width=5, similarity=0.8)
 
 
-STAGES = [("simhash_near_dedup", near_dedup)]
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that an earlier document, or an earlier place, has already.
+
+    n_chars follows the text. Documents of which nothing is left go; others stay, also those that had no
+    text before.
+    """
+    found = units.remove_repeats(docs)
+    text = F.col("text")
+    return found.where((F.col("n_removed") == 0) | (F.trim(F.translate(text, "\n", " ")) != "")).withColumn("n_chars", F.length(text).cast("long")).select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; sources without words give nothing."""
+    return mixing.mix(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The piece ids of each row's whole text, with its n best segmentations."""
+    return pieces.encode(docs, n=4)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("simhash_near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("mix_sources", mix_sources),
+    ("sentencepiece", tokenize),
+]
 
 #: SQL can't express the language model, SimHash or the piece lattice.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result of all stages over the table documents."""
     docs = read_table(ship(spark), sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)

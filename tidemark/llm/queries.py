@@ -5,9 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources import read_table
-from . import simhash
+from . import imatch, langid, licenses, mixing, pieces, pivots, revisits, simhash, units
+
+
+def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprint_edits(read_table(spark, sf_dir, "documents"))
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,9 +20,61 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fp_hex(found.fp).alias("fingerprint"), "component_id")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = units.remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.transform("removed", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string")))
+    return found.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "n_units", "n_removed", F.array_join(spans, ",").alias("removed"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.count_tokens(read_table(spark, sf_dir, "documents"))
+
+
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisits.resolve(revisits.captures(read_table(spark, sf_dir, "pages")))
+    return found.withColumn("headers", revisits.header_lines(F.col("headers")))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").withColumn("held_out", langid.crc_thirds("doc_id") == 1)
+    model = langid.train(docs.where("NOT held_out"))
+    found = langid.identify(docs.select("doc_id", "text", "held_out"), model)
+    return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op7_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), n=4, digest=True)
+    return found.select(
+        "doc_id", "n_pieces", "ids_sha256", "score", F.transform("n_best", lambda b: b["score"]).alias("scores"),
+        F.transform("n_best", lambda b: b["pieces"]).alias("n_best_pieces"), F.to_json("n_best.changes").alias("changes"), "round_trip",
+    )
+
+
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = mixing.plan(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents")).drop("detections")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_near_dedup,)}
+    every = (
+        op1_imatch, op2_simhash_near_dedup, op3_substring_dedup, op4_token_counts, op5_warc_revisits,
+        op6_language_id, op7_pivot_top_k, op8_sentencepiece, op9_mix_sources, op10_license_scan,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_substring_dedup": units.ORACLE,
+        "op5_warc_revisits": revisits.ORACLE,
+        "op7_pivot_top_k": pivots.ORACLE,
+        "op9_mix_sources": mixing.ORACLE,
+    }
