@@ -96,9 +96,11 @@ class Signer:
             inside = found[self.lexicon[at] == found]
             found = inside if len(inside) else found
         found = np.sort(found)
-        x = (found[:, None] ^ self.salt) * np.uint64(0x9FB21C651E98DF25)
-        x = (x ^ (x >> np.uint64(35))) * np.uint64(0x9FB21C651E98DF25)
-        kept = (x ^ (x >> np.uint64(28))) <= self.least
+        kept = np.zeros((len(found), self.n), bool)
+        for at in range(0, len(found), 4096):
+            x = (found[at : at + 4096, None] ^ self.salt) * np.uint64(0x9FB21C651E98DF25)
+            x = (x ^ (x >> np.uint64(35))) * np.uint64(0x9FB21C651E98DF25)
+            kept[at : at + 4096] = (x ^ (x >> np.uint64(28))) <= self.least
         some = kept.any(axis=0)
         out = bytearray(4 * self.n)
         for s in np.flatnonzero(some):
