@@ -1,15 +1,5 @@
 """Every registered query of the memory engine, by name."""
 
-from __future__ import annotations
+from .memory import oracle_sql, queries
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
+__all__ = ["oracle_sql", "queries"]
