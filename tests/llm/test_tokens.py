@@ -26,6 +26,8 @@ def tokenizer():
     with open(pieces.default_path(), "rb") as f:
         model.ParseFromString(f.read())
     model.trainer_spec.model_type = pb.TrainerSpec.UNIGRAM
+    for piece, score in zip(model.pieces, pieces.load().scores, strict=True):
+        piece.score = score
     return sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
 
 
@@ -35,7 +37,7 @@ def words(seed, n):
 
 
 def test_counts_and_ids_equal_the_tokenizer(lattice, tokenizer):
-    for text in [*words(1, 400), "Hello world", "the end of it", "the café"]:
+    for text in [*words(1, 400), "Hello world", "the end of it", "the café", " \n x"]:
         ids, score, _ = lattice.encode(text)
         assert ids.tolist() == tokenizer.encode(text, num_threads=1), text
         assert lattice.count(text) == (len(ids), score)

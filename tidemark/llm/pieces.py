@@ -5,9 +5,8 @@ another character, or a line feed beside another one, so a text falls into units
 line feed) that no piece crosses: the best segmentation of a text is that of its units, side by side. Units
 repeat, so each worker keeps the results of those it has met, in a table of bounded size.
 
-Scores add up as 32-bit floats inside a unit, as in the tokenizer. Between units they don't: over a long text
-its own running sum loses whole units of score, which is why results are equal to the tokenizer's for each
-unit (and for texts whose total stays below 2 ** 24), not for whole long texts.
+Scores add up as 32-bit floats inside a unit, as in the tokenizer. Between units they add up exactly; the
+tokenizer's own running sum over a text loses precision beyond 2 ** 24.
 
 Ties, as in the tokenizer: of equal scores at a position, the longest last piece wins. A character without a
 piece of its own costs ten below the worst piece, and becomes its UTF-8 bytes.
@@ -34,6 +33,8 @@ from .common import per_batch
 SPACE = "▁"
 #: Units that a worker remembers before it starts afresh.
 REMEMBERED = 300_000
+#: Scores up to this stand for pieces that are the last choice; they count as one less than the worst other score.
+NEVER = -1e6
 _EXACT = float(1 << 24)
 
 
@@ -64,7 +65,8 @@ def load(path: str | None = None) -> Vocabulary:
     kind = pb.ModelProto.SentencePiece
     plain = tuple(k for k, p in enumerate(model.pieces) if p.type in (kind.NORMAL, kind.USER_DEFINED))
     byte_of = {int(p.piece[3:5], 16): k for k, p in enumerate(model.pieces) if p.type == kind.BYTE}
-    scores = tuple(p.score for p in model.pieces)
+    real = [model.pieces[k].score for k in plain if model.pieces[k].score > NEVER]
+    scores = tuple(p.score if p.score > NEVER else min(real) - 1 for p in model.pieces)
     worst = min(scores[k] for k in plain)
     return Vocabulary(tuple(p.piece for p in model.pieces), scores, plain, tuple(byte_of[b] for b in range(256)), float(np.float32(worst - 10)))
 
