@@ -185,7 +185,7 @@ def fingerprint_edits(docs: DataFrame, band: Band | None = None, id_col: str = "
     # the first key of each stretch: at most STRETCHES rows
     firsts = dict(map(tuple, keyed.select("key").mapInArrow(lows, "stretch int, key long").groupBy("stretch").agg(F.max("key")).collect()))
     order = sorted(firsts, reverse=True)
-    before = dict(zip(order, [order[-1], *order[:-1]], strict=True))
+    before = dict(zip(order, order[-1:] + order[:-1], strict=True))
     heads = keyed.where(F.col("key").isin([int(k) for k in firsts.values()]))
     heads = heads.mapInArrow(read(True, before), schema)
     turn = Window.partitionBy("key").orderBy("tie")

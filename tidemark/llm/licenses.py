@@ -21,7 +21,8 @@ BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public l
 
 #: Label, keyword, names as regular expressions, and versions (none: the license has no versions).
 FAMILIES = (
-    ("apache", "apache", r"apache(?: software)?(?: license)?|asl", ("1.0", "1.1", "2.0")),
+    ("apache", "apache", r"apache(?: software)? license|asl", ("1.0", "1.1", "2.0")),
+    ("apache", "apache", r"apache(?: software)?", ("1.0", "1.1", "2.0")),
     ("gpl", "general public", r"(?:gnu )?general public license|gnu gpl", ("1", "2", "3")),
     ("gpl", "gpl", r"(?:gnu )?gpl", ("1", "2", "3")),
     ("lgpl", "lesser", r"(?:gnu )?(?:lesser|library) general public license", ("2", "2.1", "3")),
@@ -116,11 +117,12 @@ def rules() -> list[Rule]:
         name = f"(?:{names})"
         for v in versions:
             full = f"{label}-{v}"
+            add(full, keyword, rf"spdx-license-identifier: ?{name}[- ]{_version(v)}(?:-only|-or-later)?", 6, 1.0)
             add(full, keyword, rf"{_A}(?:licensed|released|distributed|available)(?: \w+)? under (?:the )?(?:terms of (?:the )?)?{name},? (?:version |v\.? ?)?{_version(v)}", 5, 1.0)
             add(full, keyword, rf"{_A}{name},? ?-?(?:version |v\.? ?)?{_version(v)}", 4, 0.9)
         add(label, keyword, rf"spdx-license-identifier: ?{name}(?:-[0-9.]+)?(?:-only|-or-later)?{_Z}", 5, 1.0)
         add(label, keyword, rf"{_A}(?:licensed|released|distributed|available)(?: \w+)? under (?:the )?(?:terms of (?:the )?)?{name}{_Z}", 2, 0.8)
-        if " " in names or "license" in names:
+        if "license" in names or "creative commons" in names:
             add(label, keyword, rf"{_A}{name}{_Z}", 1, 0.6)
     for label, keyword, pattern in PASSAGES:
         add(label, keyword, rf"{_A}{pattern}", 3, 0.95 if label != "proprietary" else 0.4)
