@@ -632,7 +632,7 @@ def skill_registry(spark: SparkSession, folder: str) -> DataFrame:
 WITH RECURSIVE u AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY seq) AS n FROM ({A.for_duckdb(A.USES)})),
 fold AS (
   SELECT name, 0::BIGINT AS n, 1e0 AS rate, NULL::BIGINT AS ts FROM u WHERE n = 1
-  UNION ALL SELECT f.name, u.n, round((f.rate * f.n + u.success::INT) / (f.n + 1), 4), u.ts FROM fold f JOIN u ON u.name = f.name AND u.n = f.n + 1
+  UNION ALL SELECT f.name, u.n, floor((f.rate * f.n + u.success::INT) / (f.n + 1) * 10000e0 + 0.5e0) / 10000e0, u.ts FROM fold f JOIN u ON u.name = f.name AND u.n = f.n + 1
 )
 SELECT name, arg_max(rate, n) AS success_rate, max(n) AS uses, max(ts) AS last_used_at FROM fold GROUP BY name
 """)
