@@ -10,6 +10,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from .text import time_bucket, tokenize
@@ -52,7 +53,7 @@ def sparse_code(text: Column, ms: Column) -> Column:
     return F.array(*held, _hex_long(F.substring(F.md5(time_bucket(ms).cast("binary")), 1, 8)))
 
 
-@pandas_udf("array<bigint>")
+@pandas_udf(T.ArrayType(T.LongType()))
 def _blake_code(tokens: pd.Series, seeds: pd.Series) -> pd.Series:
     def code(words, seed: str) -> list[int]:
         bits = 0
