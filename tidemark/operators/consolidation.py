@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
@@ -42,14 +42,13 @@ def run_once(episodes: DataFrame, log: DataFrame, now_ms: int, settings: Setting
     subjects = F.create_map(*(F.lit(x) for p in settings.canonical_subjects.items() for x in p)) if settings.canonical_subjects else F.create_map().cast("map<string,string>")
     raw = chosen.select("id", "tenant", "salience", "created_at", extracted_text(F.col("content"), F.coalesce(subjects[F.col("tenant")], F.col("tenant")), provider).alias("raw"))
     found = X.map_predicates(X.raw_facts(raw), settings)
-    # within a run, asserted in order; after everything in the log
-    order = F.struct(-F.col("salience"), "created_at", "id", "position")
-    start = log.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("start"))
-    ranked = found.withColumn("_order", order).groupBy().agg(F.array_sort(F.collect_list(F.struct("_order", "tenant", "subject", "predicate", "object", "confidence", "id"))).alias("all"))
-    placed = ranked.join(F.broadcast(start)).select("start", F.posexplode("all").alias("n", "f"))  # batch_size episodes' facts
+    # within a run (the facts of batch_size episodes), asserted in order; after everything in the log
+    turn = F.row_number().over(Window.partitionBy("_one").orderBy(F.desc("salience"), "created_at", "id", "position"))
+    start = log.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("start")).withColumn("_one", F.lit(1))
+    placed = found.withColumn("_one", F.lit(1)).withColumn("turn", turn).join(start, "_one")
     assertions = placed.select(
-        "f.tenant", (F.col("start") + F.col("n") + 1).alias("seq"), F.lit(now_ms).cast("long").alias("ts"), F.lit("assert").alias("op"),
-        "f.subject", "f.predicate", "f.object", "f.confidence", F.col("f.id").alias("source"),
+        "tenant", (F.col("start") + F.col("turn")).alias("seq"), F.lit(now_ms).cast("long").alias("ts"), F.lit("assert").alias("op"),
+        "subject", "predicate", "object", "confidence", F.col("id").alias("source"),
     )
     said = X.raw_entities(raw)
     mentions = said.select("tenant", "name", "entity_type", "aliases", F.lit(now_ms).cast("long").alias("ts"), F.xxhash64("id", "position").alias("seq"))

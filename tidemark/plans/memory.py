@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..config import DAY_MS, ENTITY_LABELS, ENTITY_TYPES, FUNCTIONAL, LINK_FAMILIES, MONTHS, MULTI, PREDICATE_KIN, PREDICATE_LABELS, QUESTION_PATTERNS, Settings
 from ..functions import text as X
 from ..functions import vectors as V
-from ..operators import consolidation, evaluation, extraction, graph, router, salience, skills
+from ..operators import consolidation, evaluation, extraction, graph, reports, router, salience, skills
 from ..operators import episodes as E
 from ..operators import facts as K
 from ..sources import adapters as A
@@ -815,6 +815,44 @@ def salience_plausibility(spark: SparkSession, folder: str) -> DataFrame:
     return evaluation.plausibility(episodes(spark, folder).withColumn("expected", F.when(F.col("role") == "user", "high").otherwise("low")))
 
 
+_DAY = "strftime(DATE '1970-01-01' + ({0} // 86400000)::INTEGER, '%Y-%m-%d')"
+
+
+@query(f"""
+WITH {_EPISODES}, {_VERSIONS}
+SELECT id, '  • [' || {_DAY.format("created_at")} || '] ' || content AS line FROM episodes WHERE tenant = 't1'
+UNION ALL
+SELECT id, '  • ' || subject || ' — ' || predicate || ' — ' || object || CASE WHEN valid_until IS NULL THEN '' ELSE ' [invalidé]' END || ' (' || {_DAY.format("valid_from")} || ')' FROM facts WHERE tenant = 't1'
+""")
+def answer_lines(spark: SparkSession, folder: str) -> DataFrame:
+    own = reports.episode_lines(E.matching(episodes(spark, folder), "t1", include_archived=True))
+    return own.union(reports.history_lines(facts(spark, folder).where("tenant = 't1'")))
+
+
+@query(f"""
+WITH {_EPISODES}, {_VERSIONS}, d AS (SELECT *, surprise IS NOT NULL AND NOT archived AND consolidated_at IS NULL AND salience > 0.6 AS due FROM episodes),
+x AS (SELECT 1 FROM facts WHERE valid_until IS NULL GROUP BY tenant, skey, predicate, lower(object) HAVING count(*) > 1)
+SELECT count(*) FILTER (WHERE surprise IS NULL AND NOT archived) AS unscored, count(*) FILTER (WHERE due AND created_at <= {NOW} - 3600000) AS ready,
+  count(*) FILTER (WHERE due AND created_at > {NOW} - 3600000) AS waiting, (SELECT count(*) FROM x) AS duplicates, (SELECT count(*) FROM x) = 0 AS ok FROM d
+""")
+def health(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.health(episodes(spark, folder), facts(spark, folder), NOW, SETTINGS)
+
+
+@query(f"""
+WITH {_EPISODES}, {_VERSIONS}, e AS (SELECT *, CASE WHEN role = 'user' THEN 'fact' ELSE 'noise' END AS kind FROM episodes)
+SELECT 'one current value' AS "check", NOT EXISTS (SELECT 1 FROM facts WHERE valid_until IS NULL AND slot = '' GROUP BY tenant, skey, predicate HAVING count(*) > 1) AS ok
+UNION ALL SELECT 'closed when superseded', NOT EXISTS (SELECT 1 FROM facts WHERE superseded_by IS NOT NULL AND valid_until IS NULL)
+UNION ALL SELECT 'no duplicates', NOT EXISTS (SELECT 1 FROM facts WHERE valid_until IS NULL GROUP BY tenant, skey, predicate, lower(object) HAVING count(*) > 1)
+UNION ALL SELECT 'noise stays out', count(*) FILTER (WHERE kind = 'noise' AND consolidated_at IS NOT NULL AND NOT extraction_failed) <= 0.2 * count(*) FILTER (WHERE kind = 'noise') FROM e
+UNION ALL SELECT 'salience sets apart', count(*) FILTER (WHERE kind = 'fact' AND salience >= 0.6) >= 0.7 * count(*) FILTER (WHERE kind = 'fact')
+  AND count(*) FILTER (WHERE kind = 'noise' AND salience < 0.6) >= 0.7 * count(*) FILTER (WHERE kind = 'noise') FROM e
+""")
+def acceptance_checks(spark: SparkSession, folder: str) -> DataFrame:
+    kinds = episodes(spark, folder).withColumn("kind", F.when(F.col("role") == "user", "fact").otherwise("noise"))
+    return reports.acceptance(kinds, facts(spark, folder), SETTINGS)
+
+
 @query()
 def run_once_report(spark: SparkSession, folder: str) -> DataFrame:
     said = F.concat(F.lit("I works_at item "), F.col("turn_").cast("string"), F.lit("."))
