@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import count as counter
@@ -25,8 +26,8 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import per_batch
 
@@ -35,6 +36,8 @@ SPACE = "▁"
 REMEMBERED = 300_000
 #: Scores up to this stand for pieces that are the last choice; they count as one less than the worst other score.
 NEVER = -1e6
+#: Characters of a unit whose sums 32-bit floats surely hold exactly.
+SHORT = 500
 _EXACT = float(1 << 24)
 
 
@@ -111,31 +114,31 @@ class Lattice:
     def split(self, text: str | None) -> list[str]:
         return self.units(SPACE + text.replace(" ", SPACE)) if text else []
 
-    # -- counting -----------------------------------------------------------------------------------
+    # -- the best segmentation ------------------------------------------------------------------------
+
+    def _plain(self, unit: str) -> bool:
+        """Whether every character has its own piece and no sum leaves what 32 bits hold exactly."""
+        return len(unit) <= SHORT and self.single.issuperset(unit)
 
     def _count(self, unit: str) -> tuple[int, float]:
         """Pieces and score of the best segmentation; only these two are carried along."""
-        best, pieces, single, unknown = [0.0], [0], self.single, self.vocabulary.unknown
-        found = self.matches.iter(unit)
-        end, value = next(found, (-1, None))
-        for at, char in enumerate(unit):
-            top, n = None, 0
-            while end == at:  # longest first
-                length, score, _ = value
-                start = at + 1 - length
-                total = best[start] + score
-                if not -_EXACT < total:
-                    total = _round(total)
-                if top is None or total > top:
-                    top, n = total, pieces[start] + 1
-                end, value = next(found, (-1, None))
-            if char not in single:
-                total = _round(best[at] + unknown)
-                if top is None or total > top:
-                    top, n = total, pieces[at] + len(char.encode())
-            best.append(top)
-            pieces.append(n)
-        return pieces[-1], best[-1]
+        if not self._plain(unit):
+            best, back, _ = self._forward(self._edges(unit))
+            at, n = len(unit), 0
+            while at:
+                at, _, ids = back[at]
+                n += len(ids)
+            return n, best[-1]
+        best, pieces, at, top, n = [], [], -1, 0.0, 0
+        for end, (length, score, _) in self.matches.iter(unit):  # by end, the longest first
+            if end != at:
+                best.append(top)
+                pieces.append(n)
+                at, top = end, -np.inf
+            total = best[end + 1 - length] + score
+            if total > top:
+                top, n = total, pieces[end + 1 - length] + 1
+        return n, top
 
     def count(self, text: str | None) -> tuple[int, float]:
         found = list(map(self.counts.__getitem__, self.split(text)))
@@ -154,44 +157,59 @@ class Lattice:
         return ends
 
     @staticmethod
-    def _forward(ends: list) -> tuple[list[float], list[tuple]]:
-        best, back = [0.0], [()]
+    def _forward(ends: list) -> tuple[list[float], list[tuple], list[float]]:
+        """For each position the best score to it, the last piece there, and how much less the next best last
+        piece gives."""
+        best, back, loss = [0.0], [()], [np.inf]
         for edges in ends[1:]:
-            top, via = None, None
+            top, second, via = -np.inf, -np.inf, ()
             for edge in edges:
-                total = best[edge[0]] + edge[1]
-                if not -_EXACT < total:
-                    total = _round(total)
-                if top is None or total > top:
-                    top, via = total, edge
+                total = _round(best[edge[0]] + edge[1])
+                if total > top:
+                    top, second, via = total, top, edge
+                elif total > second:
+                    second = total
             best.append(top)
             back.append(via)
-        return best, back
+            loss.append(top - second)
+        return best, back, loss
 
     def _best(self, unit: str) -> tuple[bytes, float, float, int]:
         """Ids (32 bits each), score and number of pieces of the best segmentation, and how much less the
-        second best scores (infinite if there is none)."""
-        ends = self._edges(unit)
-        best, back = self._forward(ends)
-        at, parts, inner = len(unit), [], set()
-        while at:
-            start, _, ids = back[at]
-            parts.append(ids)
-            inner.add((start, at))
-            at = start
-        ids = [k for part in reversed(parts) for k in part]
-        # the second best uses a piece that the best doesn't: the best path through each such piece
-        after: list[float] = [-np.inf] * (len(unit) + 1)
-        after[-1], second = 0.0, -np.inf
-        for end in range(len(unit), 0, -1):
-            rest = after[end]
-            for start, score, _ in ends[end]:
-                total = score + rest
-                if total > after[start]:
-                    after[start] = total
-                if (start, end) not in inner and best[start] + total > second:
-                    second = best[start] + total
-        return np.array(ids, np.int32).tobytes(), best[-1], max(0.0, best[-1] - second), len(ids)
+        second best scores (infinite if there is none).
+
+        The second best leaves the best once: it comes to some position of the best by another last piece.
+        """
+        if not self._plain(unit):
+            best, back, loss = self._forward(self._edges(unit))
+            at, parts, gap = len(unit), [], np.inf
+            while at:
+                gap = min(gap, loss[at])
+                at, _, ids = back[at]
+                parts.append(ids)
+            flat = [k for part in reversed(parts) for k in part]
+            return array("i", flat).tobytes(), best[-1], gap, len(flat)
+        best, starts, last, loss = [], [], [], []
+        at, top, second, start, piece = -1, 0.0, -np.inf, 0, 0
+        for end, (length, score, k) in self.matches.iter(unit):  # by end, the longest first
+            if end != at:
+                best.append(top)
+                starts.append(start)
+                last.append(piece)
+                loss.append(top - second)
+                at, top, second = end, -np.inf, -np.inf
+            total = best[end + 1 - length] + score
+            if total > top:
+                top, second, start, piece = total, top, end + 1 - length, k
+            elif total > second:
+                second = total
+        score, gap, ids = top, top - second, [piece]
+        while start:
+            ids.append(last[start])
+            gap = min(gap, loss[start])
+            start = starts[start]
+        ids.reverse()
+        return array("i", ids).tobytes(), score, gap, len(ids)
 
     def n_best(self, unit: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations of a unit: (score, ids), best first.
@@ -202,7 +220,7 @@ class Lattice:
         if not unit:
             return [(0.0, ())]
         ends = self._edges(unit)
-        best, _ = self._forward(ends)
+        best, _, _ = self._forward(ends)
         turn, out = counter(), []
         queue = [(-best[-1], (), next(turn), 0.0, len(unit), ())]
         while queue and len(out) < n:

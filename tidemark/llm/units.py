@@ -21,6 +21,8 @@ from .common import per_batch, written
 _CUTS = {"line": re.compile("\n"), "paragraph": re.compile(r"\n[ \t\r]*\n\s*")}
 #: Units emitted at a time.
 CHUNK = 200_000
+#: A digest with a HOT-th of all units or more is looked up in a broadcast table, which spares it the shuffle.
+HOT = 1_000
 
 
 def cut(text: str, unit: str) -> list[tuple[int, int]]:
@@ -69,8 +71,12 @@ def repeats(docs: DataFrame, unit: str = "line", min_words: int = 5, id_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     marks = written(rows.mapInArrow(_marks(unit, min_words), "doc_id long, place int, digest binary"), "units")
     rank = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "place")
-    firsts = marks.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    found = marks.join(firsts, "digest").where(~rank.eqNullSafe(F.col("first")))
+    counted = marks.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts, total = written(counted, "firsts"), marks.count()
+    hot = F.broadcast(firsts.where(F.col("n") * HOT >= total).drop("n"))  # at most HOT digests have so many rows
+    cold = firsts.where(F.col("n") * HOT < total).drop("n")
+    found = marks.join(hot, "digest").unionByName(marks.join(hot.select("digest"), "digest", "left_anti").join(cold, "digest"))
+    found = found.where(~rank.eqNullSafe(F.col("first")))
     return found.select("doc_id", "place", "digest", F.col("first.doc_id").alias("kept_id"), F.col("first.place").alias("kept_place"))
 
 
