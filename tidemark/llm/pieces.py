@@ -16,11 +16,11 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
 from array import array
 from collections.abc import Callable
 from dataclasses import dataclass
-from itertools import count as counter
 
 import ahocorasick
 import numpy as np
@@ -33,7 +33,7 @@ from .common import per_batch
 
 SPACE = "▁"
 #: Units that a worker remembers before it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 #: Scores up to this stand for pieces that are the last choice; they count as one less than the worst other score.
 NEVER = -1e6
 #: Characters of a unit whose sums 32-bit floats surely hold exactly.
@@ -92,6 +92,28 @@ class Remembered(dict):
         return out
 
 
+class Numbered(dict):
+    """A number for each unit, and by number what is known of its best segmentation."""
+
+    def __init__(self, f: Callable[[str], tuple[bytes, float, float, int]], most: int = REMEMBERED) -> None:
+        super().__init__()
+        self.f, self.most = f, most
+        self.make_room(0)
+
+    def make_room(self, most: int | None = None) -> None:
+        """Starts afresh if there are too many units; between texts, as numbers hold within one."""
+        if len(self) >= (self.most if most is None else most):
+            self.clear()
+            self.ids: list[bytes] = []
+            self.scores, self.losses, self.sizes = array("d"), array("d"), array("q")
+
+    def __missing__(self, unit: str) -> int:
+        ids, score, loss, size = self.f(unit)
+        number = self[unit] = len(self.ids)
+        self.ids.append(ids), self.scores.append(score), self.losses.append(loss), self.sizes.append(size)
+        return number
+
+
 class Lattice:
     """Segmentations of units."""
 
@@ -108,7 +130,7 @@ class Lattice:
         else:
             self.units = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+").findall
         self.counts = Remembered(self._count)
-        self.bests = Remembered(self._best)
+        self.bests = Numbered(self._best)
         self.lists = Remembered(lambda key: self.n_best(*key), 50_000)
 
     def split(self, text: str | None) -> list[str]:
@@ -215,21 +237,31 @@ class Lattice:
         """The n best segmentations of a unit: (score, ids), best first.
 
         A backward A-star search: the forward Viterbi scores are what the rest of a path can still give,
-        exactly, so complete paths leave the queue in order. Equal scores: longer pieces from the end first.
+        exactly, so complete paths come up in order, and no more open paths than results are still wanted
+        matter. Equal scores: longer pieces from the end first.
         """
         if not unit:
             return [(0.0, ())]
         ends = self._edges(unit)
         best, _, _ = self._forward(ends)
-        turn, out = counter(), []
-        queue = [(-best[-1], (), next(turn), 0.0, len(unit), ())]
-        while queue and len(out) < n:
-            _, starts, _, done, at, ids = heapq.heappop(queue)
+        out: list[tuple[float, tuple[int, ...]]] = []
+        # open paths, in the order that settles ties: what they can give, where they are, their score, their pieces
+        paths: list[tuple] = [(best[-1], len(unit), 0.0, None)]
+        while paths and len(out) < n:
+            first = max(range(len(paths)), key=lambda k: (paths[k][0], -k))
+            _, at, done, tail = paths[first]
             if at == 0:
-                out.append((done, ids))
+                ids: list[int] = []
+                while tail:
+                    ids += tail[0]
+                    tail = tail[1]
+                out.append((done, tuple(ids)))
+                del paths[first]
                 continue
-            for start, score, part in ends[at]:
-                heapq.heappush(queue, (-(best[start] + score + done), (*starts, start), next(turn), score + done, start, part + ids))
+            paths[first : first + 1] = [(best[start] + score + done, start, score + done, (part, tail)) for start, score, part in ends[at]]
+            if len(paths) > n - len(out):
+                kept = sorted(range(len(paths)), key=lambda k: (-paths[k][0], k))[: n - len(out)]
+                paths = [paths[k] for k in sorted(kept)]
         return out
 
     def encode(self, text: str | None, n: int = 1) -> tuple[np.ndarray, float, list[dict]]:
@@ -240,13 +272,16 @@ class Lattice:
         losses, the earlier unit counts as less.
         """
         units = self.split(text)
-        found = list(map(self.bests.__getitem__, units))
-        ids = np.frombuffer(b"".join([f[0] for f in found]), np.int32)
-        score = float(sum([f[1] for f in found]))
+        known = self.bests
+        known.make_room()
+        found = list(map(known.__getitem__, units))
+        at = np.array(found, np.int64)
+        ids = np.frombuffer(b"".join(map(known.ids.__getitem__, found)), np.int32)
+        score = math.fsum(np.frombuffer(known.scores)[at].tolist()) if units else 0.0
         if n < 2:
             return ids, score, []
         ranked = [{"score": score, "pieces": len(ids), "changes": []}]
-        loss = np.fromiter((f[2] for f in found), np.float64, len(found))
+        loss = np.frombuffer(known.losses)[at] if units else np.zeros(0)
         likely = np.argsort(loss, kind="stable")[: n - 1] if len(loss) < 4 * n else _least(loss, n - 1)
         likely = sorted(k for k in likely.tolist() if loss[k] < np.inf)
         combined: list[tuple[float, tuple]] = [(0.0, ())]
@@ -255,9 +290,10 @@ class Lattice:
             top = choices[0][0]
             combined = heapq.nsmallest(n, ((l + top - s, (*c, (k, r)) if r else c) for l, c in combined for r, (s, _) in enumerate(choices)))
         if len(combined) > 1:
-            starts = np.concatenate([[0], np.cumsum([f[3] for f in found])])
+            sizes = np.frombuffer(known.sizes, np.int64)[at]
+            starts = np.cumsum(sizes) - sizes
             for l, choice in combined[1:n]:
-                changes = [{"at": int(starts[k]), "replaced": found[k][3], "ids": list(self.lists[units[k], n][r][1])} for k, r in choice]
+                changes = [{"at": int(starts[k]), "replaced": int(sizes[k]), "ids": list(self.lists[units[k], n][r][1])} for k, r in choice]
                 pieces = len(ids) + sum(len(c["ids"]) - c["replaced"] for c in changes)
                 ranked.append({"score": score - l, "pieces": pieces, "changes": changes})
         return ids, score, ranked
