@@ -33,7 +33,7 @@ from .common import per_batch
 
 SPACE = "▁"
 #: Units that a worker remembers before it starts afresh.
-REMEMBERED = 500_000
+REMEMBERED = 350_000
 #: Scores up to this stand for pieces that are the last choice; they count as one less than the worst other score.
 NEVER = -1e6
 #: Characters of a unit whose sums 32-bit floats surely hold exactly.
