@@ -92,6 +92,31 @@ def test_blocks_and_bands(spark, monkeypatch):
     assert {x: found.get(x, x) for x in rows} == expected
 
 
+def test_links_hold_no_pairs():
+    """3,000 near copies, all linked: 4.5 million pairs, of which a block holds a tile's."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = random.Random(6)
+    base = r.getrandbits(256)
+    fps = [(base ^ (1 << r.randrange(256)) ^ (1 << r.randrange(256)) ^ (1 << r.randrange(256))).to_bytes(32, "big") for _ in range(4_000)]
+    fps = sorted(set(fps))
+    far = [bytes(255 - b for b in fps[0])]
+
+    def batch(x, visiting):
+        return pa.record_batch([pa.array([7] * len(x)), pa.array([visiting] * len(x)), pa.array(x, pa.binary())], ["cell", "visiting", "fp"])
+
+    batches = [batch(fps[:3_000] + far, False), batch(fps[3_000:3_500], True), batch(fps[3_500:], True)]
+    tracemalloc.start()
+    out = list(simhash._links(47, 4)(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    edges = [e for b in out for e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    assert len(edges) == len(fps) - 1 and {x for e in edges for x in e} == set(fps)
+    assert peak < 40e6
+
+
 def test_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(900, 901), (5, 5)], "u long, v long")
     found = {r.node: r.root for r in simhash.components(edges).collect()}

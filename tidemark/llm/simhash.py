@@ -150,6 +150,30 @@ def stars(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[apart], nodes[label[apart]]
 
 
+class Forest:
+    """A running union-find: label holds the least index of each one's component. Linear in the number of indices."""
+
+    def __init__(self, n: int) -> None:
+        self.label = np.arange(n)
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        a, b = self.label[i], self.label[j]
+        apart = a != b
+        if apart.any():
+            u, v = stars(a[apart], b[apart])
+            to = np.arange(len(self.label))
+            to[u] = v
+            self.label = to[self.label]
+
+    def grow(self, n: int) -> None:
+        self.label = np.concatenate([self.label, np.arange(len(self.label), len(self.label) + n)])
+
+    def since(self, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Links of the roots of before, earlier labels of this forest, that are none any more to their new roots."""
+        gone = np.flatnonzero((before == np.arange(len(before))) & (self.label != before))
+        return gone, self.label[gone]
+
+
 def near_pairs(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of a and b, (n, words) each, within the radius, tile by tile; same: a is b, each pair once.
 
@@ -221,19 +245,27 @@ def _links(radius: int, words: int):
     Only the fingerprints at home in a block (BLOCK or a few more) are held; visitors stream past.
     """
 
-    def found(homes: np.ndarray, other: np.ndarray | None) -> list[tuple[list[bytes], list[bytes]]]:
-        same = other is None
-        pairs = list(near_pairs(homes, homes if same else other, radius, same))
-        if not pairs:
-            return []
-        left, right = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    def found(homes: np.ndarray, forest: Forest, other: np.ndarray | None) -> list[tuple[list[bytes], list[bytes]]]:
+        same, n = other is None, len(homes)
+        if not same:
+            forest.grow(len(other))
+        before = forest.label
+        for i, j in near_pairs(homes, homes if same else other, radius, same):  # never all pairs at once
+            forest.join(i, j if same else j + n)
+        u, v = forest.since(before)
         every = homes if same else np.concatenate([homes, other])
-        u, v = stars(left, right if same else right + len(homes))
-        return [(_packed(every[u]), _packed(every[v]))]
+        forest.label = forest.label[:n]  # visitors link to homes only, so homes are the roots
+        return [(_packed(every[u]), _packed(every[v]))] if len(u) else []
 
     def edges(out: list[tuple[list[bytes], list[bytes]]]) -> pa.RecordBatch:
         return pa.record_batch([pa.array([x for pair in out for x in pair[k]], pa.binary()) for k in (0, 1)], ["u", "v"])
 
+    def settle(homes: list[np.ndarray], out: list) -> tuple[np.ndarray, Forest]:
+        settled = np.concatenate(homes)
+        forest = Forest(len(settled))
+        out += found(settled, forest, None)
+        return settled, forest
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, homes, settled = None, [], None
         for batch in batches:
@@ -244,19 +276,21 @@ def _links(radius: int, words: int):
             for lo, hi in zip([0, *turns], [*turns, len(at)], strict=True):
                 if at[lo] != cell:
                     if homes:
-                        out += found(np.concatenate(homes), None)
+                        settle(homes, out)
                     cell, homes, settled = at[lo], [], None
                 if not visiting[lo]:
                     homes.append(fps[lo:hi])
                     continue
                 if homes:
-                    settled, homes = np.concatenate(homes), []
-                    out += found(settled, None)
+                    settled, homes = settle(homes, out), []
                 if settled is not None:
-                    out += found(settled, fps[lo:hi])
+                    out += found(*settled, fps[lo:hi])
             if out:
                 yield edges(out)
-        if homes and (out := found(np.concatenate(homes), None)):
+        out = []
+        if homes:
+            settle(homes, out)
+        if out:
             yield edges(out)
 
     return run
