@@ -117,6 +117,37 @@ def test_links_hold_no_pairs():
     assert peak < 40e6
 
 
+def jaccard(a, b):
+    a, b = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)} if w else set() for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def grouped(got):
+    """The sets of ids that share a component."""
+    out = {}
+    for x in got.collect():
+        out.setdefault(x.component_id, set()).add(x.doc_id)
+    return sorted(map(sorted, out.values()))
+
+
+@pytest.mark.parametrize("shingles", [simhash.SHINGLES, 300])
+def test_near_duplicates_by_jaccard(spark, monkeypatch, shingles):
+    monkeypatch.setattr(simhash, "SHINGLES", shingles)
+    r = random.Random(8)
+    texts = {}
+    for _ in range(12):
+        words = [str(r.random()) for _ in range(r.choice([1, 7, 9, 60, 90, 150]))]
+        for _ in range(9):  # about both sides of 0.8, in chains
+            texts[len(texts)] = " ".join(words)
+            for _ in range(max(1, round(len(words) / 5 * r.uniform(0.01, 0.15)))):
+                words[r.randrange(len(words))] = str(r.random())
+    every = [jaccard(texts[a], texts[b]) for a in texts for b in texts if a < b]
+    assert sum(0.6 < x < 0.8 for x in every) > 10 and sum(0.8 <= x < 0.95 for x in every) > 10
+    expected = components(sorted(texts), lambda a, b: jaccard(texts[a], texts[b]) >= 0.8)
+    got = simhash.near_duplicates(docs(spark, list(texts.items())))
+    assert {x.doc_id: x.component_id for x in got.collect()} == expected
+
+
 def test_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(900, 901), (5, 5)], "u long, v long")
     found = {r.node: r.root for r in simhash.components(edges).collect()}

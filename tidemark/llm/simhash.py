@@ -6,6 +6,8 @@ fingerprints within a radius are found exactly:
 * Fingerprints are dealt into cells that bound the distance: by the population counts of four 16-bit parts
   (two fingerprints within r bits have counts within r in all) or, if a least similarity is asked for, by
   bands of the number of shingles. A cell meets only the cells near it.
+* If a least similarity is asked for, fingerprints within the radius are candidates only: a pair links if the
+  exact Jaccard similarity of its two sets of shingles reaches it. Sets meet inside the candidates' components.
 * Inside a cell, tiles of fingerprints are compared by exclusive-or and bit counts. Tile pairs whose
   population counts differ beyond the radius are skipped.
 * A task sends on a spanning forest of the links it finds, not all pairs, so a group of thousands of copies
@@ -17,7 +19,7 @@ The number of cells is at most 17 ** 4; a large cell is cut into blocks, so no t
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import product
 
@@ -26,12 +28,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .common import per_batch, written
 
 SEED = 42
 #: Fingerprints in a block of a cell; rows of a tile on either side; shingles hashed at a time.
 BLOCK, TILE, WIDE, CHUNK = 65_536, 128, 2_048, 1 << 16
+#: Shingles of the sets in a block; of those compared at a time or sent on in one batch.
+SHINGLES, BULK = 1 << 22, 1 << 20
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
@@ -61,13 +66,23 @@ def _more_bits(h: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles in ascending order."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, width)]))
+
+
 def simhash(text: str | None, width: int = 3, words: int = 1) -> tuple[bytes, int]:
     """The fingerprint of a text (8 bytes a word, big-endian) and its number of shingles.
 
     A bit is 1 if it is 1 in more than half of the hashes; a text without words has only zeros.
     """
+    return vote(shingle_hashes(text, width), words)
+
+
+def vote(hashes: Iterable[np.ndarray], words: int) -> tuple[bytes, int]:
+    """The fingerprint by chunks of shingle hashes, and their number."""
     ones, n = np.zeros(64 * words, np.int64), 0
-    for h in shingle_hashes(text, width):
+    for h in hashes:
         n += len(h)
         for k in range(words):
             raw = _more_bits(h, k).astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -239,10 +254,10 @@ def _visits(cells: Cells, blocks: np.ndarray, words: int):
     return per_batch(make)
 
 
-def _links(radius: int, words: int):
+def _links(radius: int, words: int, extra: int = 0):
     """Over rows sorted by (cell, visiting): a spanning forest of the links of each block.
 
-    Only the fingerprints at home in a block (BLOCK or a few more) are held; visitors stream past.
+    extra: 64-bit words of a node that follow its fingerprint and don't count for the distance. Only the fingerprints at home in a block (BLOCK or a few more) are held; visitors stream past.
     """
 
     def found(homes: np.ndarray, forest: Forest, other: np.ndarray | None) -> list[tuple[list[bytes], list[bytes]]]:
@@ -250,7 +265,7 @@ def _links(radius: int, words: int):
         if not same:
             forest.grow(len(other))
         before = forest.label
-        for i, j in near_pairs(homes, homes if same else other, radius, same):  # never all pairs at once
+        for i, j in near_pairs(homes[:, :words], (homes if same else other)[:, :words], radius, same):  # never all pairs at once
             forest.join(i, j if same else j + n)
         u, v = forest.since(before)
         every = homes if same else np.concatenate([homes, other])
@@ -270,7 +285,7 @@ def _links(radius: int, words: int):
         cell, homes, settled = None, [], None
         for batch in batches:
             at, visiting = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-            fps = _unpacked(batch.column(2), words)
+            fps = _unpacked(batch.column(2), words + extra)
             turns = np.flatnonzero((at[1:] != at[:-1]) | (visiting[1:] != visiting[:-1])) + 1
             out = []
             for lo, hi in zip([0, *turns], [*turns, len(at)], strict=True):
@@ -296,11 +311,11 @@ def _links(radius: int, words: int):
     return run
 
 
-def links(distinct: DataFrame, radius: int, words: int = 1, similarity: float | None = None) -> DataFrame:
+def links(distinct: DataFrame, radius: int, words: int = 1, similarity: float | None = None, extra: int = 0) -> DataFrame:
     """(u, v): links between distinct fingerprints (columns fp, size) that connect all those within reach.
 
     Without similarity, any two fingerprints within the radius end up in one component of these links. With
-    it, that holds for those whose numbers of shingles also allow that similarity.
+    it, that holds for those whose numbers of shingles also allow that similarity. extra: as in _links.
     """
     spark = distinct.sparkSession
     cells = Cells(17, 4, radius) if similarity is None else Cells(4096, 1, 1, similarity)
@@ -310,7 +325,7 @@ def links(distinct: DataFrame, radius: int, words: int = 1, similarity: float |
         total = np.zeros(cells.side**cells.parts, np.int64)
         for batch in batches:
             if batch.num_rows:
-                total += np.bincount(cells.at(_unpacked(batch.column(0), words), batch.column(1).to_numpy()) @ place, minlength=len(total))
+                total += np.bincount(cells.at(_unpacked(batch.column(0), words + extra), batch.column(1).to_numpy()) @ place, minlength=len(total))
         some = np.flatnonzero(total)
         yield pa.record_batch([pa.array(some), pa.array(total[some])], ["cell", "n"])
 
@@ -318,9 +333,146 @@ def links(distinct: DataFrame, radius: int, words: int = 1, similarity: float |
     for row in distinct.select("fp", "size").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         blocks[row["cell"]] = -(-row["n"] // BLOCK)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = distinct.select("fp", "size").mapInArrow(_visits(cells, blocks, words), "cell long, visiting boolean, fp binary")
+    dealt = distinct.select("fp", "size").mapInArrow(_visits(cells, blocks, words + extra), "cell long, visiting boolean, fp binary")
+    dealt = dealt.repartition(parts, "cell").sortWithinPartitions("cell", "visiting")
+    return dealt.mapInArrow(_links(radius, words, extra), "u binary, v binary")
+
+
+# -- exact similarity -------------------------------------------------------------------------------
+
+
+def _sets(width: int):
+    """(cell, node, blocks, set): the shingle set of each text, in batches of bounded size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, n, sets = 0, 0, []
+
+            def some(end: int) -> pa.RecordBatch:
+                part = batch.slice(first, end - first)
+                return pa.record_batch([*part.columns[:3], pa.array(sets, pa.binary())], ["cell", "node", "blocks", "set"])
+
+            for k, text in enumerate(batch.column(3)):
+                sets.append((own := shingle_set(text.as_py(), width)).tobytes())
+                n += len(own)
+                if n >= BULK:
+                    yield some(k + 1)
+                    first, n, sets = k + 1, 0, []
+            if sets:
+                yield some(batch.num_rows)
+
+    return run
+
+
+def shared(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many members of one each of the others has; all are ascending, distinct and not empty."""
+    out, at = [], 0
+    while at < len(others):
+        end, n = at, 0
+        while end < len(others) and (end == at or n + len(others[end]) <= BULK):
+            n += len(others[end])
+            end += 1
+        flat = np.concatenate(others[at:end])
+        hit = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+        out.append(np.add.reduceat(hit.astype(np.int64), np.cumsum([0, *map(len, others[at : end - 1])])))
+        at = end
+    return np.concatenate(out)
+
+
+def _alike(radius: int, words: int, extra: int, similarity: float):
+    """Over rows (cell, visiting, node, set) sorted by the first two: a spanning forest of the pairs in each
+    block whose fingerprints are within the radius and whose sets have the similarity.
+
+    Pairs that are connected already aren't compared. Only the sets at home in a block are held.
+    """
+
+    def found(nodes: np.ndarray, sets: list, forest: Forest, other: np.ndarray | None, others: list) -> list[tuple[list[bytes], list[bytes]]]:
+        same, n = other is None, len(nodes)
+        if same:
+            other, others, n = nodes, sets, 0
+        else:
+            forest.grow(len(other))
+        before = forest.label
+        size, sizes = np.array([*map(len, sets)]), np.array([*map(len, others)])
+        for i, j in near_pairs(nodes[:, :words], other[:, :words], radius, same):
+            small, large = np.minimum(size[i], sizes[j]), np.maximum(size[i], sizes[j])
+            open_ = (forest.label[i] != forest.label[j + n]) & (small >= similarity * large - 1e-9)
+            i, j = i[open_], j[open_]
+            turns = np.flatnonzero(i[1:] != i[:-1]) + 1
+            for part in np.split(j, turns) if len(j) else []:
+                k, i = i[0], i[len(part) :]
+                part = part[forest.label[part + n] != forest.label[k]]
+                if len(part):
+                    both = shared(sets[k], [others[x] for x in part])
+                    part = part[both >= similarity * (size[k] + sizes[part] - both) - 1e-9]
+                    forest.join(np.full(len(part), k), part + n)
+        u, v = forest.since(before)
+        every = nodes if same else np.concatenate([nodes, other])
+        forest.label = forest.label[: len(nodes)]
+        return [(_packed(every[u]), _packed(every[v]))] if len(u) else []
+
+    def settle(homes: list[tuple[np.ndarray, list]], out: list) -> tuple[np.ndarray, list, Forest]:
+        nodes, sets = np.concatenate([x for x, _ in homes]), [x for _, part in homes for x in part]
+        forest = Forest(len(nodes))
+        out += found(nodes, sets, forest, None, [])
+        return nodes, sets, forest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def edges() -> pa.RecordBatch:
+            return pa.record_batch([pa.array([x for pair in out for x in pair[k]], pa.binary()) for k in (0, 1)], ["u", "v"])
+
+        cell, homes, settled, out = None, [], None, []
+        for batch in batches:
+            at, visiting = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            nodes = _unpacked(batch.column(2), words + extra)
+            sets = [np.frombuffer(x, np.uint64) for x in batch.column(3).to_pylist()]
+            turns = np.flatnonzero((at[1:] != at[:-1]) | (visiting[1:] != visiting[:-1])) + 1
+            for lo, hi in zip([0, *turns], [*turns, len(at)], strict=True):
+                if at[lo] != cell:
+                    if homes:
+                        settle(homes, out)
+                    cell, homes, settled = at[lo], [], None
+                if not visiting[lo]:
+                    homes.append((nodes[lo:hi], sets[lo:hi]))
+                    continue
+                if homes:
+                    settled, homes = settle(homes, out), []
+                if settled is not None:
+                    out += found(*settled, nodes[lo:hi], sets[lo:hi])
+            if out:
+                yield edges()
+                out = []
+        if homes:
+            settle(homes, out)
+        if out:
+            yield edges()
+
+    return run
+
+
+def alike(marked: DataFrame, nodes: DataFrame, width: int, radius: int, words: int, similarity: float) -> DataFrame:
+    """(u, v): links between nodes that connect all those whose shingle sets have the similarity and whose
+    fingerprints are within the radius, and no others.
+
+    The radius is a filter: its components are the cells in which sets are compared. A large cell is cut into
+    blocks of SHINGLES shingles or BLOCK nodes, and each block meets the others.
+    """
+    # sets that differ have at most n / (n + 1) in common, n being the size of the smaller
+    able = nodes.where(F.col("size") * (1 - similarity) >= similarity - 1e-9)
+    near = components(links(able.select(F.col("node").alias("fp"), "size"), radius, words, similarity, EXTRA), "near")
+    members = near.union(near.select("root", "root").distinct()).toDF("node", "cell")
+    members = written(able.join(members, "node").select("row_id", "node", "cell", "size"), "members")
+    blocks = F.ceil(F.greatest(F.sum("size") / SHINGLES, F.count("*") / BLOCK)).cast("long")
+    big = members.groupBy("cell").agg(blocks.alias("blocks")).where("blocks > 1")  # one a SHINGLES shingles at most
+    members = members.join(F.broadcast(big), "cell", "left").select("row_id", "cell", "node", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    texts = marked.select("row_id", "text").join(members, "row_id").select("cell", "node", "blocks", "text")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    dealt = texts.mapInArrow(_sets(width), "cell binary, node binary, blocks long, set binary").withColumn("block", block)
+    dealt = dealt.select("cell", "node", "set", "block", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("to"))
+    dealt = dealt.select(F.xxhash64("cell", "to").alias("cell"), (F.col("to") != F.col("block")).alias("visiting"), "node", "set")
+    parts = int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(parts, "cell").sortWithinPartitions("cell", "visiting")
-    return dealt.mapInArrow(_links(radius, words), "u binary, v binary")
+    return dealt.mapInArrow(_alike(radius, words, EXTRA, similarity), "u binary, v binary")
 
 
 # -- components -------------------------------------------------------------------------------------
@@ -347,42 +499,83 @@ def components(edges: DataFrame, label: str = "stars") -> DataFrame:
         now = written(small.union(low.select("u", F.col("m").alias("v"))).distinct(), label)
 
 
-def radius_for(similarity: float, bits: int, slack: float = 1.5) -> int:
+def radius_for(similarity: float, bits: int, slack: float = 6) -> int:
     """Differing bits that texts of this Jaccard similarity have, and slack standard deviations more."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     return round(bits * p + slack * math.sqrt(bits * p * (1 - p)))
 
 
+#: 64-bit words of the digest of a shingle set in a node, after the fingerprint.
+EXTRA = 2
+
+
+def _marked(docs: DataFrame, columns: list[str], width: int, words: int, similarity: float | None, id_col: str, text_col: str) -> DataFrame:
+    """(row_id, doc_id, text, row, node, fp, size): a written row for each row of docs; row has the columns.
+
+    With a similarity, a node stands for a set of shingles (fingerprint and digest), else for a fingerprint.
+    """
+    kept = docs.select(
+        F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"),
+        F.col(text_col).cast("string").alias("text"), F.struct(F.lit(True).alias("_"), *columns).alias("row"),
+    )
+
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for text in batch.column(2):
+            fp, n = simhash(text.as_py(), width, words)
+            own = b"" if similarity is None else xxhash.xxh3_128_digest(shingle_set(text.as_py(), width).tobytes())
+            out.append((fp + own, fp, n))
+        made = [pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.binary(), pa.binary(), pa.int64()), strict=True)]
+        return pa.record_batch([*batch.columns, *made], [*batch.schema.names, "node", "fp", "size"])
+
+    schema = StructType([*kept.schema.fields, StructField("node", BinaryType()), StructField("fp", BinaryType()), StructField("size", LongType())])
+    return written(kept.mapInArrow(per_batch(make), schema), "marked")
+
+
+def _rooted(marked: DataFrame, width: int, words: int, similarity: float | None, radius: int | None) -> DataFrame:
+    """(node, first_id, root, component_id) for every node of marked."""
+    if radius is None:
+        radius = radius_for(similarity, 64 * words)
+    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.max("size").alias("size"), *([F.min("row_id").alias("row_id")] if similarity is not None else []))
+    if similarity is None:
+        linked = links(nodes.select(F.col("node").alias("fp"), "size"), radius, words)
+    else:
+        nodes = written(nodes, "nodes")
+        linked = alike(marked, nodes, width, radius, words, similarity)
+    joined = components(linked, "links")
+    rooted = nodes.join(joined, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return rooted.join(least, "root").select("node", "first_id", "root", "component_id")
+
+
 def near_duplicates(
     docs: DataFrame, width: int = 5, similarity: float | None = 0.8, words: int = 4, radius: int | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs.
 
-    Fingerprints of `words` 64-bit words link at `radius` or fewer differing bits (by default, what
-    `similarity` leads one to expect); with a similarity, their numbers of shingles must allow it too.
-    component_id is the smallest id reachable over links, the row's own included; null if no row of the
-    component has an id. Texts that are null, empty or without words share the zero fingerprint and are linked
-    like others. Repeated rows each get their row. An empty table gives an empty result.
+    With a similarity, texts link whose sets of shingles have that Jaccard similarity or more; fingerprints of
+    `words` 64-bit words only choose the pairs to compare, those that differ in `radius` bits or fewer (by
+    default, six standard deviations beyond what the similarity leads one to expect). Without it, fingerprints
+    within the radius link. component_id is the smallest id reachable over links, the row's own included; null
+    if no row of the component has an id. Texts that are null, empty or without words are alike. Repeated rows
+    each get their row. An empty table gives an empty result.
     """
-    if radius is None:
-        radius = radius_for(similarity, 64 * words)
-    fps = written(fingerprints(docs, width, words, id_col, text_col), "fps")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.max("size").alias("size"))
-    joined = components(links(distinct, radius, words, similarity), "links")
-    rooted = distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    if similarity is None:
+        marked = written(fingerprints(docs, width, words, id_col, text_col), "fps").withColumn("node", F.col("fp"))
+    else:
+        marked = _marked(docs, [], width, words, similarity, id_col, text_col)
+    named = _rooted(marked, width, words, similarity, radius).select("node", "component_id")
+    return marked.join(named, "node").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, similarity: float | None = 0.8, words: int = 4, radius: int | None = None) -> DataFrame:
     """The rows of docs, one of each near-duplicate group: that with the smallest doc_id.
 
     Rows without an id belong to no group and stay. Of rows that repeat a kept id, the one with the first
     text (null first) stays.
     """
     columns = docs.columns
-    found = near_duplicates(docs, **options)
+    found = near_duplicates(docs, width, similarity, words, radius)
     keepers = found.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.where("doc_id is not null").join(keepers, "doc_id", "left_semi")
     turn = F.row_number().over(_first_by("doc_id", *(c for c in columns if c != "doc_id")))
