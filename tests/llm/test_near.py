@@ -148,6 +148,14 @@ def test_near_duplicates_by_jaccard(spark, monkeypatch, shingles):
     assert {x.doc_id: x.component_id for x in got.collect()} == expected
 
 
+def test_repeated_lines_count_once(spark):
+    r = random.Random(9)
+    body, line = " ".join(str(r.random()) for _ in range(280)), " one line that is repeated often"
+    other = body.replace(" ", " changed ", 1)
+    rows = [(1, body + 5 * line), (2, body + 40 * line), (3, body + 400 * line), (7, other + 5 * line), (8, other + 90 * line), (9, line)]
+    assert grouped(simhash.near_duplicates(docs(spark, rows))) == [[1, 2, 3, 7, 8], [9]]
+
+
 def test_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(900, 901), (5, 5)], "u long, v long")
     found = {r.node: r.root for r in simhash.components(edges).collect()}

@@ -512,7 +512,8 @@ EXTRA = 2
 def _marked(docs: DataFrame, columns: list[str], width: int, words: int, similarity: float | None, id_col: str, text_col: str) -> DataFrame:
     """(row_id, doc_id, text, row, node, fp, size): a written row for each row of docs; row has the columns.
 
-    With a similarity, a node stands for a set of shingles (fingerprint and digest), else for a fingerprint.
+    With a similarity, repeated shingles count once, and a node stands for a set of shingles (fingerprint and
+    digest); else it stands for a fingerprint.
     """
     kept = docs.select(
         F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"),
@@ -522,9 +523,13 @@ def _marked(docs: DataFrame, columns: list[str], width: int, words: int, similar
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for text in batch.column(2):
-            fp, n = simhash(text.as_py(), width, words)
-            own = b"" if similarity is None else xxhash.xxh3_128_digest(shingle_set(text.as_py(), width).tobytes())
-            out.append((fp + own, fp, n))
+            if similarity is None:
+                fp, n = simhash(text.as_py(), width, words)
+                out.append((fp, fp, n))
+            else:
+                own = shingle_set(text.as_py(), width)
+                fp, n = vote((own[k : k + CHUNK] for k in range(0, len(own), CHUNK)), words)
+                out.append((fp + xxhash.xxh3_128_digest(own.tobytes()), fp, n))
         made = [pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.binary(), pa.binary(), pa.int64()), strict=True)]
         return pa.record_batch([*batch.columns, *made], [*batch.schema.names, "node", "fp", "size"])
 
