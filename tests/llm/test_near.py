@@ -181,6 +181,14 @@ def test_keep_one(spark):
     assert sorted((x.doc_id for x in got.collect()), key=repr) == [1, 2, None]
 
 
+def test_keep_one_of_each_group_with_repeated_ids(spark):
+    r = random.Random(2)
+    a, b, c = (" ".join(str(r.random()) for _ in range(60)) for _ in range(3))
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, b), (4, c), (4, c.upper()), (2, "z " + b), (5, None), (5, "alone")]
+    got = simhash.keep_one(docs(spark, rows)).collect()
+    assert sorted(((x.doc_id, x.text) for x in got), key=repr) == sorted([(1, a), (2, b), (4, min(c, c.upper())), (5, None), (5, "alone")], key=repr)
+
+
 def edited(rows):
     """(doc_id, sha256 of the edited text) in the order of the contract."""
     order = sorted(rows, key=lambda x: -x[0])

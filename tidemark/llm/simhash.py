@@ -574,21 +574,17 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float | None = 0.8, words: int = 4, radius: int | None = None) -> DataFrame:
-    """The rows of docs, one of each near-duplicate group: that with the smallest doc_id.
+    """The rows of docs, one of each near-duplicate group: the first by doc_id, text (null first), other columns.
 
-    Rows without an id belong to no group and stay. Of rows that repeat a kept id, the one with the first
-    text (null first) stays.
+    Rows without an id belong to no group and stay. Rows that share an id are rows of their own.
     """
-    columns = docs.columns
-    found = near_duplicates(docs, width, similarity, words, radius)
-    keepers = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(keepers, "doc_id", "left_semi")
-    turn = F.row_number().over(_first_by("doc_id", *(c for c in columns if c != "doc_id")))
-    kept = kept.withColumn("_turn", turn).where("_turn = 1").drop("_turn")
-    return kept.unionByName(docs.where("doc_id is null")).select(columns)
-
-
-def _first_by(key: str, *order: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key).orderBy(*order)
+    marked = _marked(docs, docs.columns, width, words, similarity, "doc_id", "text")
+    heads = _rooted(marked, width, words, similarity, radius).where("first_id = component_id").select("node", "root", F.col("first_id").alias("doc_id"))
+    first = written(marked.select("row_id", "node", "doc_id").join(heads, ["node", "doc_id"]).select("row_id", "root"), "first")
+    count = first.groupBy("root").agg(F.count("*").alias("n"), F.min("row_id").alias("row_id"))
+    # only where a group's least id is repeated do texts decide
+    tied = written(first.join(count.where("n > 1").select("root"), "root", "left_semi"), "tied")
+    order = F.struct("text", *(F.col("row")[c] for c in docs.columns if c not in ("doc_id", "text")), "row_id")
+    best = marked.join(tied, "row_id").groupBy("root").agg(F.min_by("row_id", order).alias("row_id"))
+    kept = count.where("n = 1").select("row_id").union(best.select("row_id")).union(marked.where("doc_id is null").select("row_id"))
+    return marked.join(kept, "row_id", "left_semi").select(*(F.col("row")[c].alias(c) for c in docs.columns))
