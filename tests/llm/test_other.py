@@ -230,6 +230,27 @@ def test_license_rules(spark, text, labels):
     assert row.labels == labels and (row.score > 0) == bool(labels)
 
 
+SPDX_LINES = (
+    "Apache-2.0 apache-2.0", "GPL-2.0-only gpl-2", "GPL-3.0-or-later gpl-3", "LGPL-2.1-only lgpl-2.1", "AGPL-3.0-only agpl-3", "GFDL-1.3 gfdl-1.3", "MPL-1.1 mpl-1.1", "EPL-2.0 epl-2.0",
+    "CDDL-1.0 cddl-1.0", "CPL-1.0 cpl-1.0", "EUPL-1.2 eupl-1.2", "Artistic-2.0 artistic-2.0", "OSL-3.0 osl-3.0", "AFL-3.0 afl-3.0", "OFL-1.1 ofl-1.1", "LPPL-1.3c lppl-1.3",
+    "PSF-2.0 psf-2", "Python-2.0 psf-2", "PHP-3.01 php-3.01", "ZPL-2.1 zpl-2.1", "CECILL-2.1 cecill-2.1", "MS-PL mspl", "MS-RL msrl", "BSL-1.0 bsl-1.0", "UPL-1.0 upl-1.0", "ISC isc",
+    "Zlib zlib", "Unlicense unlicense", "WTFPL wtfpl", "BSD-4-Clause bsd-4-clause", "BSD-3-Clause bsd-3-clause", "BSD-2-Clause bsd-2-clause", "0BSD bsd", "MIT mit", "Expat expat", "CC0-1.0 cc0-1.0",
+    "CC-BY-4.0 cc-by-4.0", "CC-BY-SA-4.0 cc-by-sa-4.0", "CC-BY-NC-3.0 cc-by-nc-3.0", "CC-BY-ND-4.0 cc-by-nd-4.0", "CC-BY-NC-SA-4.0 cc-by-nc-sa-4.0", "CC-BY-NC-ND-4.0 cc-by-nc-nd-4.0",
+)
+
+
+def test_license_spdx_of_each_family():
+    every = licenses.rules()
+    missed = {}
+    for line in SPDX_LINES:
+        name, label = line.split()
+        found = {(r.label, r.trust) for _, _, r in licenses.detect(f"// spdx-license-identifier: {name.lower()}\n", every)}
+        if found != {(label, 1.0)}:
+            missed[name] = found
+    assert not missed
+    assert {f[0] for f in licenses.FAMILIES} <= {r for x in SPDX_LINES for r in (x.split()[1], x.split()[1].rpartition("-")[0])}
+
+
 def test_license_suppression():
     every = licenses.rules()
     assert len(every) > 200

@@ -77,6 +77,11 @@ FAMILIES = (
     ),
 )
 
+#: What stands in an SPDX identifier for a family, before the version, where that isn't the label.
+SPDX = {
+    "psf": "psf|python", "cecill": "cecill(?:-[bc])?", "mspl": "ms-pl", "msrl": "ms-rl", "bsd": "0bsd|bsd(?:-1-clause)?", "unlicense": "(?:the )?unlicense",
+}
+
 #: Passages that stand for a license without naming it.
 PASSAGES = (
     ("mit", "permission is hereby granted", r"permission is hereby granted,? free of charge,? to any person obtaining a copy"),
@@ -115,12 +120,13 @@ def rules() -> list[Rule]:
 
     for label, keyword, names, versions in FAMILIES:
         name = f"(?:{names})"
+        ids = f"(?:{SPDX.get(label, label)}|{names})"
         for v in versions:
             full = f"{label}-{v}"
-            add(full, keyword, rf"spdx-license-identifier: ?{name}[- ]{_version(v)}(?:-only|-or-later)?", 6, 1.0)
+            add(full, "spdx-license-identifier", rf"spdx-license-identifier: ?{ids}[- ]{_version(v)}(?:-only|-or-later)?", 6, 1.0)
             add(full, keyword, rf"{_A}(?:licensed|released|distributed|available)(?: \w+)? under (?:the )?(?:terms of (?:the )?)?{name},? (?:version |v\.? ?)?{_version(v)}", 5, 1.0)
             add(full, keyword, rf"{_A}{name},? ?-?(?:version |v\.? ?)?{_version(v)}", 4, 0.9)
-        add(label, keyword, rf"spdx-license-identifier: ?{name}(?:-[0-9.]+)?(?:-only|-or-later)?{_Z}", 5, 1.0)
+        add(label, "spdx-license-identifier", rf"spdx-license-identifier: ?{ids}(?:-[0-9.]+)?(?:-only|-or-later)?{_Z}", 5, 1.0)
         add(label, keyword, rf"{_A}(?:licensed|released|distributed|available)(?: \w+)? under (?:the )?(?:terms of (?:the )?)?{name}{_Z}", 2, 0.8)
         if "license" in names or "creative commons" in names:
             add(label, keyword, rf"{_A}{name}{_Z}", 1, 0.6)
