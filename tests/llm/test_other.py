@@ -251,6 +251,24 @@ def test_license_spdx_of_each_family():
     assert {f[0] for f in licenses.FAMILIES} <= {r for x in SPDX_LINES for r in (x.split()[1], x.split()[1].rpartition("-")[0])}
 
 
+@pytest.mark.parametrize("gap", ["\n", "  ", "\r\n", "\n * ", "\n# ", "\n//", " \n\t// ", "\n-- ", " */\n/* ", "\t"])
+@pytest.mark.parametrize(
+    ("phrase", "label"),
+    [
+        ("redistribution and use in source and binary forms, with or without modification", "bsd"), ("mozilla public license version 2.0", "mpl-2.0"), ("gnu lesser general public license version 2.1", "lgpl-2.1"),
+        ("permission to use, copy, modify, and/or distribute this software for any purpose", "isc"), ("licensed under the mit/x11 license", "mit"), ("spdx-license-identifier: mit", "mit"),
+    ],
+)
+def test_license_wrapped(gap, phrase, label):
+    every = licenses.rules()
+    for k, c in enumerate(phrase):
+        if c == " ":
+            text = f"é  x\n\n {phrase[:k]}{gap}{phrase[k + 1 :]}.\n\n  end"
+            (found,) = licenses.detect(text, every)
+            assert (text[found[0] : found[1]], found[2].label) == (f"{phrase[:k]}{gap}{phrase[k + 1 :]}", label)
+    assert len(licenses.detect("gpl\n\n2. terms", every)) == 0
+
+
 def test_license_suppression():
     every = licenses.rules()
     assert len(every) > 200

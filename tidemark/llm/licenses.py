@@ -8,6 +8,7 @@ containment: one that lies inside another of the same or a higher priority goes.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -135,15 +136,37 @@ def rules() -> list[Rule]:
     return sorted(found, key=lambda r: -r.priority)
 
 
+#: White space other than a single space, with the comment marks at the start of a line or between spaces.
+_GAP = re.compile(r"(?:[^\S ]| (?=[\s*#/;%>!|]|--))(?:\s++|(?<=\s)(?:[*#/;%>!|]++|--++))*+")
+
+
+def unwrapped(text: str) -> tuple[str, list[int], list[int]]:
+    """The text with each gap as one space (a blank line as a line feed), so that wrapped phrases match; places
+    in it after which the offset changes, and how far the original is ahead from there on."""
+    out, places, ahead, last, n = [], [0], [0], 0, 0
+    for m in _GAP.finditer(text):
+        out += text[last : m.start()], "\n" if m[0].count("\n") > 1 else " "
+        n += m.start() - last + 1
+        last = m.end()
+        places.append(n)
+        ahead.append(last - n)
+    return "".join([*out, text[last:]]), places, ahead
+
+
 def detect(text: str, every: list[Rule]) -> list[tuple[int, int, Rule]]:
     """(start, end, rule) in lower-case text, after suppression: in order of place."""
+    text, places, ahead = unwrapped(text)
+
+    def original(at: int) -> int:
+        return at + ahead[bisect_right(places, at) - 1]
+
     held: dict[str, bool] = {}
     found = []
     for rule in every:
         if rule.keyword not in held:
             held[rule.keyword] = rule.keyword in text
         if held[rule.keyword]:
-            found += [(m.start(), m.end(), rule) for m in rule.pattern.finditer(text)]
+            found += [(original(m.start()), original(m.end() - 1) + 1, rule) for m in rule.pattern.finditer(text)]
     # what contains another comes before it: an earlier start, a later end; then the higher priority
     kept: list[tuple[int, int, Rule]] = []
     open_: list[tuple[int, int, Rule]] = []
