@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -231,37 +232,68 @@ def test_imatch_frequencies(spark):
     assert sorted(got.values()) == [1, 1, 2]
 
 
-def lines_kept(rows, least=5):
+def passages_kept(rows, ends, least):
+    """Unit by unit, from the definition; rows in order of id."""
     seen, out = set(), {}
-    for i, text in sorted(rows):
-        kept, gone, at = [], [], 0
-        for line in text.split("\n"):
-            words = line.encode().lower().split()
-            if len(words) >= least and tuple(words) in seen:
-                gone.append((at, at + len(line)))
+    for i, text in rows:
+        spans, at = [], 0
+        for m in re.finditer(ends, text):
+            spans.append((at, at := m.end()))
+        spans += [(at, len(text))] * (at < len(text))
+        words = [tuple(text[a:b].lower().split()) for a, b in spans]
+        runs, run = [], []
+        for span, unit in zip(spans, words, strict=True):
+            if not unit or unit in seen:
+                run.append((span, len(unit)))
             else:
-                kept.append(line)
-            if len(words) >= least:
-                seen.add(tuple(words))
-            at += len(line) + 1
-        out[i] = ("\n".join(kept), gone)
+                runs.append(run)
+                run = []
+            seen.add(unit)
+        gone = [(r[0][0][0], r[-1][0][1]) for r in [*runs, run] if sum(n for _, n in r) >= least]
+        out[i] = ("".join(c for k, c in enumerate(text) if not any(a <= k < b for a, b in gone)), gone)
     return out
 
 
-def test_lines(spark):
+@pytest.mark.parametrize(("unit", "ends"), [("sentence", r"\n|[.!?][ \t\r]+"), ("line", r"\n"), ("paragraph", r"\n[ \t\r]*\n\s*")])
+def test_passages(spark, monkeypatch, unit, ends):
+    monkeypatch.setattr(units, "HOT", 3)
     r = random.Random(4)
-    pool = [" ".join(r.choices("abcdé", k=r.randint(1, 8))) for _ in range(30)] + ["  A b\tc d e ", "a B c d e", ""]
-    rows = [(k, "\n".join(r.choices(pool, k=r.randint(0, 9)))) for k in range(60)]
-    got = units.remove_repeats(docs(spark, rows)).collect()
-    assert {x.doc_id: (x.text, [(s.start, s.end) for s in x.removed]) for x in got} == lines_kept(rows)
+    pool = [" ".join(r.choices("abcdé", k=r.randint(1, 8))) for _ in range(25)] + ["  A b\tc d e ", "a B c d e", "", " "]
+    rows = [(k, "".join(r.choice(pool) + r.choice([". ", "\n", "! \t", "\n \n", ".x", ""]) for _ in range(r.randint(0, 12)))) for k in range(80)]
+    got = units.remove_repeats(docs(spark, rows), unit, 9).collect()
+    expected = passages_kept(rows, ends, 9)
+    assert {x.doc_id: (x.text, [(s.start, s.end) for s in x.removed]) for x in got} == expected
+    assert sum(len(gone) for _, gone in expected.values()) > 2
 
 
-def test_lines_edge_cases(spark):
+def test_passages_inside_lines(spark):
+    passage = " ".join(f"This is sentence number {k} of a passage." for k in range(8))
+    rows = [(1, f"own start {passage} own end"), (2, f"Other words {passage} Other words.\nMore."), (3, "One short line.\nOther words."), (4, "One short line.")]
+    got = {x.doc_id: x for x in units.remove_repeats(docs(spark, rows)).collect()}
+    assert [got[k].n_removed for k in (1, 2, 3, 4)] == [0, 7, 0, 0]
+    assert got[2].text == "Other words This is sentence number 0 of a passage. Other words.\nMore."
+    (span,) = got[2].removed
+    assert rows[1][1][span.start : span.end] == passage[passage.index("This is sentence number 1") :] + " "
+
+
+def test_passages_edge_cases(spark):
     same = "one two three four five"
-    rows = [(1, None), (2, ""), (3, same), (3, same), (None, same), (4, f"{same}\n{same}"), (5, "short\nshort")]
-    got = units.remove_repeats(docs(spark, rows))
+    rows = [(1, None), (2, ""), (3, same), (3, same), (None, same), (None, same), (4, f"{same}\n{same}"), (5, "short\nshort"), (6, " \n\n ")]
+    got = units.remove_repeats(docs(spark, rows), "line", 5)
     assert got.columns[:6] == docs(spark, rows).columns
-    assert sorted(((x.doc_id, x.text, x.n_removed) for x in got.collect()), key=repr) == sorted([(1, None, 0), (2, "", 0), (3, same, 0), (3, same, 0), (None, "", 1), (4, "", 2), (5, "short\nshort", 0)], key=repr)
+    expected = [(1, None, 0), (2, "", 0), (3, same, 0), (3, "", 1), (None, "", 1), (None, "", 1), (4, "", 2), (5, "short\nshort", 0), (6, " \n\n ", 0)]
+    assert sorted(((x.doc_id, x.text, x.n_removed) for x in got.collect()), key=repr) == sorted(expected, key=repr)
     assert units.remove_repeats(docs(spark, [])).count() == 0
-    paragraphs = [(1, f"{same}\nmore\n\nx"), (2, f"y\n \n{same}\nmore")]
-    assert [x.text for x in units.remove_repeats(docs(spark, paragraphs), "paragraph").orderBy("doc_id").collect()] == [f"{same}\nmore\n\nx", "y"]
+
+
+def test_passages_keep_other_columns(spark):
+    rows = docs(spark, [(1, "a b c"), (2, "a b c"), (None, "a b c")]).selectExpr("*", "doc_id AS row_id", "'h' AS held", "map('k', doc_id) AS row", "3 AS high", "doc_id AS _id", "5 AS n_removed")
+    got = units.remove_repeats(rows, "line", 2)
+    assert got.columns == [*(c for c in rows.columns if c != "n_removed"), "n_units", "n_removed", "removed"]
+    assert all((x.row_id, x.held, x.row, x.high, x._id) == (x.doc_id, "h", {"k": x.doc_id}, 3, x.doc_id) for x in got.collect())
+
+
+def test_many_null_ids(spark):
+    rows = spark.range(100_000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "concat('text of ', id % 1000, ' and more words') AS text")
+    got = units.remove_repeats(rows, "line", 3).groupBy("n_removed").count().collect()
+    assert {x.n_removed: x["count"] for x in got} == {0: 1000, 1: 99_000}

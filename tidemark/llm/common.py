@@ -7,9 +7,13 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of text that a task turns into rows at a time.
+BYTES = 2 << 20
 #: The folder of scratch tables inside spark.checkpoint.dir.
 SCRATCH = "tidemark-scratch"
 _cleaned: set[str] = set()
@@ -18,11 +22,13 @@ _cleaned: set[str] = set()
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Only a session that names none (a test on one machine) gets a temporary folder.
+    Only a session on one machine that names none (a test) gets a temporary folder.
     """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tidemark-")
         sc.setCheckpointDir(folder)
         folder = sc.getCheckpointDir()
@@ -53,12 +59,25 @@ def _remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def per_batch(make: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function for mapInArrow that turns each batch into one batch."""
+def sliced(batch: pa.RecordBatch, texts: int | None, most: int = BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose column number `texts` holds about `most` bytes; one row at least."""
+    if texts is None or batch.num_rows < 2:
+        yield batch
+        return
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(texts)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def per_batch(make: Callable[[pa.RecordBatch], pa.RecordBatch], texts: int | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that turns each batch into one, or into several of about BYTES of text each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield make(batch)
+                yield from map(make, sliced(batch, texts))
 
     return run
