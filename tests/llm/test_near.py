@@ -254,14 +254,14 @@ def passages_kept(rows, ends, least):
     return out
 
 
-@pytest.mark.parametrize(("unit", "ends"), [("sentence", r"\n|[.!?][ \t\r]+"), ("line", r"\n"), ("paragraph", r"\n[ \t\r]*\n\s*")])
-def test_passages(spark, monkeypatch, unit, ends):
+@pytest.mark.parametrize(("unit", "ends", "least"), [("sentence", r"\n|[.!?][ \t\r]+", 9), ("line", r"\n", 9), ("paragraph", r"\n[ \t\r]*\n\s*", 4)])
+def test_passages(spark, monkeypatch, unit, ends, least):
     monkeypatch.setattr(units, "HOT", 3)
     r = random.Random(4)
     pool = [" ".join(r.choices("abcdé", k=r.randint(1, 8))) for _ in range(25)] + ["  A b\tc d e ", "a B c d e", "", " "]
     rows = [(k, "".join(r.choice(pool) + r.choice([". ", "\n", "! \t", "\n \n", ".x", ""]) for _ in range(r.randint(0, 12)))) for k in range(80)]
-    got = units.remove_repeats(docs(spark, rows), unit, 9).collect()
-    expected = passages_kept(rows, ends, 9)
+    got = units.remove_repeats(docs(spark, rows), unit, least).collect()
+    expected = passages_kept(rows, ends, least)
     assert {x.doc_id: (x.text, [(s.start, s.end) for s in x.removed]) for x in got} == expected
     assert sum(len(gone) for _, gone in expected.values()) > 2
 

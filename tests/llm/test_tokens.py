@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import pathlib
 import random
+import subprocess
+import sys
 
 import pytest
 
@@ -52,7 +55,7 @@ def test_round_trip(lattice, text):
 
 def every(lattice, unit):
     """All segmentations of a unit: (score, starts from the end, ids)."""
-    ends = lattice._edges(unit)
+    ends = [[], *lattice._edges(unit)]
 
     def go(at):
         if at == 0:
@@ -69,7 +72,7 @@ def test_n_best_of_units(lattice):
     for unit in ["▁there", "▁andof", "▁a", "▁thing.", "ing", "▁éq", "\n", ""]:
         expected = [(s, ids) for s, _, ids in every(lattice, unit)]
         for n in (1, 3, 10, 500):
-            assert lattice.n_best(unit, n) == expected[:n]
+            assert [(score, tuple(ids)) for score, ids in lattice.n_best(unit, n)] == expected[:n]
 
 
 def test_n_best_of_texts(lattice):
@@ -95,9 +98,39 @@ def test_n_best_scores_equal_the_tokenizer(lattice, tokenizer):
         assert [r["score"] for r in lattice.encode(text, 5)[2]] == scores
 
 
-def test_remembers_a_bounded_number(lattice):
-    table = pieces.Remembered(len, 3)
+def test_n_best_of_long_units(lattice, monkeypatch):
+    for unit in ["▁there", "▁andof", "▁éq漢字", "漢", "▁thing☃."]:
+        expected = [(score, tuple(ids)) for score, ids in lattice.n_best(unit, 12)]
+        best, count = lattice._best(unit), lattice._count(unit)
+        with monkeypatch.context() as m:
+            m.setattr(pieces, "SHORT", 0)
+            assert [(score, tuple(ids)) for score, ids in lattice.n_best(unit, 12)] == expected
+            assert lattice._best(unit) == best and lattice._count(unit) == count
+
+
+def test_remembers_a_bounded_number():
+    table = pieces.Remembered(len, 3 * pieces.ENTRY)
     assert [table[x] for x in ("a", "bb", "ccc", "dddd", "a")] == [1, 2, 3, 4, 1] and len(table) <= 3
+    assert table["x" * 1000] == 1000 and "x" * 1000 not in table
+
+
+def test_fractional_scores(tokenizer):
+    """Sums are 32-bit floats, piece by piece, as in the tokenizer."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto.FromString(tokenizer.serialized_model_proto())
+    r = random.Random(3)
+    for p in model.pieces:
+        if p.type == pb.ModelProto.SentencePiece.NORMAL:
+            p.score = -r.random() * 12 - 1 / 3
+    theirs = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+    v = pieces.load()
+    scores = tuple(p.score for p in model.pieces)
+    ours = pieces.Lattice(pieces.Vocabulary(v.pieces, scores, v.plain, v.byte_ids, float(pieces.np.float32(min(scores[k] for k in v.plain) - 10))))
+    for text in [*words(5, 200), "naïve 漢字", "x" * 700]:
+        ids, score, _ = ours.encode(text)
+        assert ids.tolist() == theirs.encode(text, num_threads=1), text
+        assert ours.count(text) == (len(ids), score)
 
 
 def test_tables(spark, lattice):
@@ -116,3 +149,22 @@ def test_very_long_text(lattice):
     text = "abc" * 50_000 + " " + "x\n" * 20_000
     ids, _, ranked = lattice.encode(text, 2)
     assert lattice.decode(ids) == text and lattice.count(text)[0] == len(ids) and len(ranked) == 2
+
+
+def test_two_million_characters_without_a_space():
+    """In a process of its own, which may not grow by more than 150 MB."""
+    code = """
+import random, resource
+from tidemark.llm import pieces
+lattice = pieces.Lattice(pieces.load())
+text = "".join(random.Random(1).choices("thereandofinglyaé漢", k=2_000_000))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+ids, score, ranked = lattice.encode(text, 4)
+assert lattice.count(text) == (len(ids), score) and lattice.decode(ids) == text and len(ranked) == 4
+lattice.forget()
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
+"""
+    root = pathlib.Path(pieces.__file__).parents[2]
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr
+    assert float(done.stdout) < 150

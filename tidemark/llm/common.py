@@ -60,11 +60,14 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def sliced(batch: pa.RecordBatch, texts: int | None, most: int = BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows whose column number `texts` holds about `most` bytes; one row at least."""
+    """The batch in runs of rows whose column number `texts` (texts or lists of 32-bit numbers) holds about `most`
+    bytes; one row at least."""
     if texts is None or batch.num_rows < 2:
         yield batch
         return
-    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(texts)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    column = batch.column(texts)
+    size = pc.multiply(pc.list_value_length(column), 4) if pa.types.is_list(column.type) else pc.binary_length(column)
+    size = np.cumsum(pc.fill_null(size, 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     at = 0
     while at < batch.num_rows:
         end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right")))

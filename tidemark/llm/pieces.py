@@ -3,10 +3,14 @@
 Texts are escaped as the tokenizer does (a leading U+2581, spaces as U+2581). No piece holds U+2581 after
 another character, or a line feed beside another one, so a text falls into units (white space and a word; a
 line feed) that no piece crosses: the best segmentation of a text is that of its units, side by side. Units
-repeat, so each worker keeps the results of those it has met, in a table of bounded size.
+repeat, so a task keeps the results of those it has met, in tables of a bounded number of bytes.
 
-Scores add up as 32-bit floats inside a unit, as in the tokenizer. Between units they add up exactly; the
-tokenizer's own running sum over a text loses precision beyond 2 ** 24.
+Scores add up as 32-bit floats inside a unit, as in the tokenizer: each sum is rounded, which changes nothing
+for whole numbers within 2 ** 24. Between units they add up exactly; the tokenizer's own running sum over a text
+loses precision beyond 2 ** 24.
+
+A very long text without a space is one unit. It is walked by end positions; counts keep a ring as long as the
+longest piece, segmentations a few numbers a character in flat arrays.
 
 Ties, as in the tokenizer: of equal scores at a position, the longest last piece wins. A character without a
 piece of its own costs ten below the worst piece, and becomes its UTF-8 bytes.
@@ -19,8 +23,9 @@ import heapq
 import math
 import re
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import ahocorasick
 import numpy as np
@@ -32,8 +37,9 @@ from pyspark.sql import types as T
 from .common import per_batch
 
 SPACE = "▁"
-#: Units that a worker remembers before it starts afresh.
-REMEMBERED = 350_000
+#: Bytes of each table of units that a task remembers before it starts afresh; about what an entry takes besides
+#: its unit and result; characters of the longest unit that is worth it.
+REMEMBERED, ENTRY, WORTH = 24 << 20, 240, 64
 #: Scores up to this stand for pieces that are the last choice; they count as one less than the worst other score.
 NEVER = -1e6
 #: Characters of a unit whose sums 32-bit floats surely hold exactly.
@@ -74,23 +80,34 @@ def load(path: str | None = None) -> Vocabulary:
     return Vocabulary(tuple(p.piece for p in model.pieces), scores, plain, tuple(byte_of[b] for b in range(256)), float(np.float32(worst - 10)))
 
 
-def _round(x: float) -> float:
+def _whole(x: float) -> float:
     return x if -_EXACT < x < _EXACT else float(np.float32(x))
 
 
+def _rounded(x: float) -> float:
+    return float(np.float32(x))
+
+
 class Remembered(dict):
-    """What a function gave for each unit, as far as memory allows."""
+    """What a function gave for each unit, as far as memory allows. size: bytes of a result."""
 
-    def __init__(self, f: Callable, most: int = REMEMBERED) -> None:
+    def __init__(self, f: Callable, most: int = REMEMBERED, size: Callable = lambda out: 0) -> None:
         super().__init__()
-        self.f, self.most = f, most
-
-    def __missing__(self, unit: str):
-        if len(self) >= self.most:
-            self.clear()
-        out = self[unit] = self.f(unit)
+        self.f, self.most, self.size, self.used = f, most, size, 0
+
+    def __missing__(self, unit):
+        out, long = self.f(unit), len(unit if isinstance(unit, str) else unit[0])
+        if long <= WORTH:
+            if self.used >= self.most:
+                self.clear()
+            self.used += ENTRY + long + self.size(out)
+            self[unit] = out
         return out
 
+    def clear(self) -> None:
+        super().clear()
+        self.used = 0
+
 
 class Numbered(dict):
     """A number for each unit, and by number what is known of its best segmentation."""
@@ -98,18 +115,22 @@ class Numbered(dict):
     def __init__(self, f: Callable[[str], tuple[bytes, float, float, int]], most: int = REMEMBERED) -> None:
         super().__init__()
         self.f, self.most = f, most
-        self.make_room(0)
+        self.clear()
+
+    def clear(self) -> None:
+        super().clear()
+        self.used, self.ids = 0, []
+        self.scores, self.losses, self.sizes = array("d"), array("d"), array("q")
 
-    def make_room(self, most: int | None = None) -> None:
-        """Starts afresh if there are too many units; between texts, as numbers hold within one."""
-        if len(self) >= (self.most if most is None else most):
+    def make_room(self) -> None:
+        """Starts afresh if there is too much; between texts, as numbers hold within one."""
+        if self.used >= self.most:
             self.clear()
-            self.ids: list[bytes] = []
-            self.scores, self.losses, self.sizes = array("d"), array("d"), array("q")
 
     def __missing__(self, unit: str) -> int:
         ids, score, loss, size = self.f(unit)
         number = self[unit] = len(self.ids)
+        self.used += ENTRY + len(unit) + len(ids)
         self.ids.append(ids), self.scores.append(score), self.losses.append(loss), self.sizes.append(size)
         return number
 
@@ -125,13 +146,20 @@ class Lattice:
         self.matches.make_automaton()
         many = [v.pieces[k] for k in v.plain if len(v.pieces[k]) > 1]
         self.single = {v.pieces[k] for k in v.plain if len(v.pieces[k]) == 1}
+        self.longest = max([1, *map(len, many)])
+        self.whole = all(v.scores[k] == int(v.scores[k]) for k in v.plain)
+        self.round = _whole if self.whole else _rounded
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in many):
             self.units = lambda text: [text]
         else:
             self.units = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+").findall
         self.counts = Remembered(self._count)
         self.bests = Numbered(self._best)
-        self.lists = Remembered(lambda key: self.n_best(*key), 50_000)
+        self.lists = Remembered(lambda key: self.n_best(*key), REMEMBERED // 2, lambda out: sum(160 + 4 * len(ids) for _, ids in out))
+
+    def forget(self) -> None:
+        """Gives back what was remembered."""
+        self.counts.clear(), self.bests.clear(), self.lists.clear()
 
     def split(self, text: str | None) -> list[str]:
         return self.units(SPACE + text.replace(" ", SPACE)) if text else []
@@ -140,17 +168,51 @@ class Lattice:
 
     def _plain(self, unit: str) -> bool:
         """Whether every character has its own piece and no sum leaves what 32 bits hold exactly."""
-        return len(unit) <= SHORT and self.single.issuperset(unit)
+        return self.whole and len(unit) <= SHORT and self.single.issuperset(unit)
+
+    def _bytes(self, char: str) -> tuple[int, ...]:
+        return tuple(self.vocabulary.byte_ids[b] for b in char.encode())
+
+    def _edges(self, unit: str) -> Iterator[list[tuple[int, float, tuple[int, ...]]]]:
+        """For each end from 1 on: (start, score, ids) of the pieces that end there, longest first."""
+        at, edges = 0, []
+
+        def closed() -> list:
+            if unit[at] not in self.single:
+                edges.append((at, self.vocabulary.unknown, self._bytes(unit[at])))
+            return edges
+
+        for end, (length, score, k) in self.matches.iter(unit):
+            while at < end:
+                yield closed()
+                at, edges = at + 1, []
+            edges.append((end + 1 - length, score, (k,)))
+        while at < len(unit):
+            yield closed()
+            at, edges = at + 1, []
+
+    def _edges_at(self, unit: str, at: int) -> list[tuple[int, float, tuple[int, ...]]]:
+        """The same for one end."""
+        before = unit[max(0, at - self.longest) : at]
+        found = [(at - length, score, (k,)) for end, (length, score, k) in self.matches.iter(before) if end + 1 == len(before)]
+        if unit[at - 1] not in self.single:
+            found.append((at - 1, self.vocabulary.unknown, self._bytes(unit[at - 1])))
+        return found
 
     def _count(self, unit: str) -> tuple[int, float]:
-        """Pieces and score of the best segmentation; only these two are carried along."""
+        """Pieces and score of the best segmentation; only these two are carried along, in a ring as long as the
+        longest piece."""
         if not self._plain(unit):
-            best, back, _ = self._forward(self._edges(unit))
-            at, n = len(unit), 0
-            while at:
-                at, _, ids = back[at]
-                n += len(ids)
-            return n, best[-1]
+            ring = self.longest + 1
+            best, pieces, at, round_ = [0.0] * ring, [0] * ring, 0, self.round
+            for at, edges in enumerate(self._edges(unit), 1):
+                top, n = -np.inf, 0
+                for start, score, ids in edges:
+                    total = round_(best[start % ring] + score)
+                    if total > top:
+                        top, n = total, pieces[start % ring] + len(ids)
+                best[at % ring], pieces[at % ring] = top, n
+            return pieces[at % ring], best[at % ring]
         best, pieces, at, top, n = [], [], -1, 0.0, 0
         for end, (length, score, _) in self.matches.iter(unit):  # by end, the longest first
             if end != at:
@@ -168,33 +230,23 @@ class Lattice:
 
     # -- segmentations ------------------------------------------------------------------------------
 
-    def _edges(self, unit: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each end: (start, score, ids) of the pieces that end there, longest first."""
-        ends: list[list] = [[] for _ in range(len(unit) + 1)]
-        for at, (length, score, k) in self.matches.iter(unit):
-            ends[at + 1].append((at + 1 - length, score, (k,)))
-        for at, char in enumerate(unit):
-            if char not in self.single:
-                ends[at + 1].append((at, self.vocabulary.unknown, tuple(self.vocabulary.byte_ids[b] for b in char.encode())))
-        return ends
-
-    @staticmethod
-    def _forward(ends: list) -> tuple[list[float], list[tuple], list[float]]:
-        """For each position the best score to it, the last piece there, and how much less the next best last
-        piece gives."""
-        best, back, loss = [0.0], [()], [np.inf]
-        for edges in ends[1:]:
-            top, second, via = -np.inf, -np.inf, ()
+    def _forward(self, ends: Iterable[list]) -> tuple[array, array, array, array]:
+        """For each position the best score to it, the start and id of the last piece there (-1: the bytes of a
+        character), and how much less the next best last piece gives."""
+        best, starts, last, loss, round_ = array("d", [0.0]), array("i", [0]), array("i", [0]), array("d", [np.inf]), self.round
+        for edges in ends:
+            top, second, via = -np.inf, -np.inf, (0, 0.0, (0,))
             for edge in edges:
-                total = _round(best[edge[0]] + edge[1])
+                total = round_(best[edge[0]] + edge[1])
                 if total > top:
                     top, second, via = total, top, edge
                 elif total > second:
                     second = total
             best.append(top)
-            back.append(via)
+            starts.append(via[0])
+            last.append(via[2][0] if len(via[2]) == 1 else -1)
             loss.append(top - second)
-        return best, back, loss
+        return best, starts, last, loss
 
     def _best(self, unit: str) -> tuple[bytes, float, float, int]:
         """Ids (32 bits each), score and number of pieces of the best segmentation, and how much less the
@@ -203,14 +255,17 @@ class Lattice:
         The second best leaves the best once: it comes to some position of the best by another last piece.
         """
         if not self._plain(unit):
-            best, back, loss = self._forward(self._edges(unit))
-            at, parts, gap = len(unit), [], np.inf
+            best, starts, last, loss = self._forward(self._edges(unit))
+            at, ids, gap = len(unit), array("i"), np.inf
             while at:
                 gap = min(gap, loss[at])
-                at, _, ids = back[at]
-                parts.append(ids)
-            flat = [k for part in reversed(parts) for k in part]
-            return array("i", flat).tobytes(), best[-1], gap, len(flat)
+                if last[at] < 0:
+                    ids.extend(reversed(self._bytes(unit[at - 1])))
+                else:
+                    ids.append(last[at])
+                at = starts[at]
+            ids.reverse()
+            return ids.tobytes(), best[-1], gap, len(ids)
         best, starts, last, loss = [], [], [], []
         at, top, second, start, piece = -1, 0.0, -np.inf, 0, 0
         for end, (length, score, k) in self.matches.iter(unit):  # by end, the longest first
@@ -233,7 +288,7 @@ class Lattice:
         ids.reverse()
         return array("i", ids).tobytes(), score, gap, len(ids)
 
-    def n_best(self, unit: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+    def n_best(self, unit: str, n: int) -> list[tuple[float, array]]:
         """The n best segmentations of a unit: (score, ids), best first.
 
         A backward A-star search: the forward Viterbi scores are what the rest of a path can still give,
@@ -241,24 +296,33 @@ class Lattice:
         matter. Equal scores: longer pieces from the end first.
         """
         if not unit:
-            return [(0.0, ())]
-        ends = self._edges(unit)
-        best, _, _ = self._forward(ends)
-        out: list[tuple[float, tuple[int, ...]]] = []
-        # open paths, in the order that settles ties: what they can give, where they are, their score, their pieces
-        paths: list[tuple] = [(best[-1], len(unit), 0.0, None)]
+            return [(0.0, array("i"))]
+        if len(unit) <= SHORT:
+            every = [[], *self._edges(unit)]
+            best, edges = self._forward(every[1:])[0], every.__getitem__
+        else:
+            best, edges = self._forward(self._edges(unit))[0], partial(self._edges_at, unit)
+        out: list[tuple[float, array]] = []
+        # the steps taken so far: the one before (towards the end of the unit), and a piece (-1 - start: a character's bytes)
+        before, taken = array("i"), array("i")
+        # open paths, in the order that settles ties: what they can give, where they are, their score, their last
+        # step and the one before it
+        paths: list[tuple] = [(best[-1], len(unit), 0.0, 0, -1)]
         while paths and len(out) < n:
             first = max(range(len(paths)), key=lambda k: (paths[k][0], -k))
-            _, at, done, tail = paths[first]
+            _, at, done, piece, step = paths[first]
+            if at < len(unit):
+                before.append(step), taken.append(piece)
+                step = len(taken) - 1
             if at == 0:
-                ids: list[int] = []
-                while tail:
-                    ids += tail[0]
-                    tail = tail[1]
-                out.append((done, tuple(ids)))
+                ids = array("i")
+                while step >= 0:
+                    ids.append(taken[step]) if taken[step] >= 0 else ids.extend(self._bytes(unit[-1 - taken[step]]))
+                    step = before[step]
+                out.append((done, ids))
                 del paths[first]
                 continue
-            paths[first : first + 1] = [(best[start] + score + done, start, score + done, (part, tail)) for start, score, part in ends[at]]
+            paths[first : first + 1] = [(best[start] + score + done, start, score + done, part[0] if len(part) == 1 else -1 - start, step) for start, score, part in edges(at)]
             if len(paths) > n - len(out):
                 kept = sorted(range(len(paths)), key=lambda k: (-paths[k][0], k))[: n - len(out)]
                 paths = [paths[k] for k in sorted(kept)]
@@ -285,15 +349,15 @@ class Lattice:
         likely = np.argsort(loss, kind="stable")[: n - 1] if len(loss) < 4 * n else _least(loss, n - 1)
         likely = sorted(k for k in likely.tolist() if loss[k] < np.inf)
         combined: list[tuple[float, tuple]] = [(0.0, ())]
-        for k in likely:
-            choices = self.lists[units[k], n]
+        lists = {k: self.lists[units[k], n] for k in likely}
+        for k, choices in lists.items():
             top = choices[0][0]
             combined = heapq.nsmallest(n, ((l + top - s, (*c, (k, r)) if r else c) for l, c in combined for r, (s, _) in enumerate(choices)))
         if len(combined) > 1:
             sizes = np.frombuffer(known.sizes, np.int64)[at]
             starts = np.cumsum(sizes) - sizes
             for l, choice in combined[1:n]:
-                changes = [{"at": int(starts[k]), "replaced": int(sizes[k]), "ids": list(self.lists[units[k], n][r][1])} for k, r in choice]
+                changes = [_change(int(starts[k]), lists[k][0][1], lists[k][r][1]) for k, r in choice]
                 pieces = len(ids) + sum(len(c["ids"]) - c["replaced"] for c in changes)
                 ranked.append({"score": score - l, "pieces": pieces, "changes": changes})
         return ids, score, ranked
@@ -305,10 +369,22 @@ class Lattice:
             self._raw = [p.encode() for p in v.pieces]
             for b, k in enumerate(v.byte_ids):
                 self._raw[k] = bytes([b])
-        text = b"".join([self._raw[k] for k in ids]).decode(errors="replace").replace(SPACE, " ")
+        ids = np.asarray(ids, np.int32)
+        raw = b"".join([b"".join([self._raw[k] for k in ids[at : at + 65_536].tolist()]) for at in range(0, len(ids), 65_536)])
+        text = raw.decode(errors="replace").replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
 
+def _change(at: int, old: array, new: array) -> dict:
+    """What turns the ids from `at` on from old into new, without what they have in common at either end."""
+    most, head, tail = min(len(old), len(new)), 0, 0
+    while head < most and old[head] == new[head]:
+        head += 1
+    while tail < most - head and old[-1 - tail] == new[-1 - tail]:
+        tail += 1
+    return {"at": at + head, "replaced": len(old) - head - tail, "ids": new[head : len(new) - tail].tolist()}
+
+
 def _least(loss: np.ndarray, n: int) -> np.ndarray:
     """Places of the n least values, the earlier first among equals."""
     limit = np.partition(loss, n - 1)[n - 1]
@@ -319,12 +395,20 @@ def _least(loss: np.ndarray, n: int) -> np.ndarray:
 _lattices: dict[int, Lattice] = {}
 
 
-def _lattice(shared) -> Lattice:
-    """This worker's lattice for a broadcast vocabulary."""
-    v = shared.value
-    if hash(v) not in _lattices:
-        _lattices[hash(v)] = Lattice(v)
-    return _lattices[hash(v)]
+def _each(shared, make: Callable[[Lattice, pa.RecordBatch], pa.RecordBatch], texts: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow with this worker's lattice of a broadcast vocabulary; what it remembers goes at
+    the end of the partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
+        if hash(v) not in _lattices:
+            _lattices.clear()
+            _lattices[hash(v)] = Lattice(v)
+        lattice = _lattices[hash(v)]
+        yield from per_batch(partial(make, lattice), texts)(batches)
+        lattice.forget()
+
+    return run
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -339,12 +423,11 @@ def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     """
     shared = docs.sparkSession.sparkContext.broadcast(load(path))
 
-    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lattice = _lattice(shared)
+    def make(lattice: Lattice, batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [lattice.count(t) for t in batch.column(1).to_pylist()]
         return pa.record_batch([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([float(s) for _, s in found], pa.float64())], ["doc_id", "n_tokens", "score"])
 
-    return _rows(docs, id_col, text_col).mapInArrow(per_batch(make), "doc_id long, n_tokens long, score double")
+    return _rows(docs, id_col, text_col).mapInArrow(_each(shared, make, 1), "doc_id long, n_tokens long, score double")
 
 
 _CHANGE = pa.struct([("at", pa.int32()), ("replaced", pa.int32()), ("ids", pa.list_(pa.int32()))])
@@ -365,13 +448,12 @@ def encode(docs: DataFrame, n: int = 4, path: str | None = None, text_col: str =
     base = docs.drop(*(c for c in ours if c != text_col))
     shared, at = docs.sparkSession.sparkContext.broadcast(load(path)), base.columns.index(text_col)
 
-    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lattice = _lattice(shared)
+    def make(lattice: Lattice, batch: pa.RecordBatch) -> pa.RecordBatch:
         every, scores, ranked, trips = [], [], [], []
         for text in batch.column(at).to_pylist():
             ids, score, best = lattice.encode(text, n)
             every.append(ids), scores.append(score), ranked.append(best)
-            trips.append(None if text is None else lattice.decode(ids.tolist()) == text)
+            trips.append(None if text is None else lattice.decode(ids) == text)
         if digest:
             first = pa.array([hashlib.sha256(ids.tobytes()).hexdigest() for ids in every], pa.string())
         else:
@@ -381,7 +463,7 @@ def encode(docs: DataFrame, n: int = 4, path: str | None = None, text_col: str =
         return pa.record_batch([*batch.columns, *more], [*batch.schema.names, "ids_sha256" if digest else "ids", *ours[2:]])
 
     added = f"{'ids_sha256 string' if digest else 'ids array<int>'}, n_pieces int, score double, n_best {_RANKED_DDL}, round_trip boolean"
-    return base.mapInArrow(per_batch(make), _schema(base, added))
+    return base.mapInArrow(_each(shared, make, at), _schema(base, added))
 
 
 def _schema(base: DataFrame, added: str):
@@ -393,10 +475,9 @@ def decode(rows: DataFrame, path: str | None = None, ids_col: str = "ids") -> Da
     base = rows.drop("decoded")
     shared, at = rows.sparkSession.sparkContext.broadcast(load(path)), base.columns.index(ids_col)
 
-    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lattice = _lattice(shared)
+    def make(lattice: Lattice, batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [None if ids is None else lattice.decode(ids) for ids in batch.column(at).to_pylist()]
         return pa.record_batch([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
-    return base.mapInArrow(per_batch(make), _schema(base, "decoded string"))
+    return base.mapInArrow(_each(shared, make, at), _schema(base, "decoded string"))
 
