@@ -204,6 +204,25 @@ def test_mix(spark):
     assert [x.copies for x in mixing.plan(docs.where("text IS NULL")).collect()] == [0]
 
 
+def test_mix_of_equal_rows(spark):
+    """Rows that share an id, and rows that are wholly alike, draw each for itself, however they are dealt."""
+    rows = spark.range(300).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "CASE WHEN id < 150 THEN 'one two three' ELSE concat('w ', id, ' x') END AS text", "'a' AS source")
+    few, many = (mixing.plan(rows.repartition(n), total=1.4).groupBy("text").sum("copies").collect() for n in (1, 7))
+    assert sorted(map(tuple, few)) == sorted(map(tuple, many))
+    same, other = (sum(x[1] for x in few if (x[0] == "one two three") is k) for k in (True, False))
+    assert same == pytest.approx(210, rel=0.1) and other == pytest.approx(210, rel=0.1)
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    docs = spark.range(50).selectExpr(
+        "id AS doc_id", "concat('w ', id) AS text", "'a' AS source", "id AS _copy", "id AS size", "id AS rate", "id AS target", "id AS copies", "id AS _source", "map('k', id) AS row", "id AS key", "id AS number"
+    )
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    got = mixed.collect()
+    assert got and all({x.doc_id} == {x._copy, x["size"], x.rate, x.target, x.copies, x._source, x.row["k"], x.key, x.number} for x in got)
+
+
 def test_license_words_and_places(spark):
     text = "The MIT License, mit-LICENSE\nApache License apache license! GNU General (Public) License mit  license"
     rows = [(1, text), (2, None), (3, ""), (None, "no"), (1, text)]

@@ -55,7 +55,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = mixing.plan(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    planned = mixing.plan(read_table(spark, sf_dir, "documents"), carried=["doc_id"])
     return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
