@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tidemark.llm import imatch, simhash, units
+from tidemark.llm import common, imatch, simhash, units
 
 DOCS = "doc_id long, text string, extra string, fp string, component_id long, size long"
 
@@ -202,6 +202,16 @@ def edited(rows):
     return out
 
 
+def test_keep_one_keeps_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f"), (3, "other words here"), (None, "a b c d e f"), (4, None), (5, "")], "doc_id long, text string")
+    rows = rows.selectExpr("*", "doc_id AS row_id", "map('k', doc_id) AS m", "doc_id AS _turn", "doc_id AS node", "doc_id AS root", "doc_id AS n", "doc_id AS _", "doc_id AS row", "doc_id AS head")
+    got = simhash.keep_one(rows)
+    assert got.columns == rows.columns
+    found = got.collect()
+    assert sorted((x.doc_id for x in found), key=str) == [1, 3, 4, None]
+    assert all({x.doc_id} == {x.row_id, x.m["k"], x._turn, x.node, x.root, x.n, x["_"], x.row, x.head} for x in found)
+
+
 @pytest.mark.parametrize("stretch", [1_000, 3])
 def test_imatch(spark, monkeypatch, stretch):
     monkeypatch.setattr(imatch, "STRETCH", stretch)
@@ -256,7 +266,7 @@ def passages_kept(rows, ends, least):
 
 @pytest.mark.parametrize(("unit", "ends", "least"), [("sentence", r"\n|[.!?][ \t\r]+", 9), ("line", r"\n", 9), ("paragraph", r"\n[ \t\r]*\n\s*", 4)])
 def test_passages(spark, monkeypatch, unit, ends, least):
-    monkeypatch.setattr(units, "HOT", 3)
+    monkeypatch.setattr(common, "OFTEN", 3)
     r = random.Random(4)
     pool = [" ".join(r.choices("abcdé", k=r.randint(1, 8))) for _ in range(25)] + ["  A b\tc d e ", "a B c d e", "", " "]
     rows = [(k, "".join(r.choice(pool) + r.choice([". ", "\n", "! \t", "\n \n", ".x", ""]) for _ in range(r.randint(0, 12)))) for k in range(80)]

@@ -11,9 +11,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into rows at a time.
 BYTES = 2 << 20
+#: Keys of a join that are looked up in a broadcast table, at most.
+OFTEN = 1_000
 #: The folder of scratch tables inside spark.checkpoint.dir.
 SCRATCH = "tidemark-scratch"
 _cleaned: set[str] = set()
@@ -59,6 +62,19 @@ def _remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def joined(large: DataFrame, small: DataFrame, on: list[str], count: str = "n") -> DataFrame:
+    """large joined to small, where some keys may hold a large part of large's rows.
+
+    small has one row a key, with the number of large's rows of that key in `count` (which doesn't come out).
+    The OFTEN keys with the most rows are broadcast; any other key has less than an OFTEN-th of the rows.
+    """
+    rest = [c for c in small.columns if c not in (*on, count)]
+    often = small.orderBy(F.desc(count), *on).limit(OFTEN).select(*on, *rest)
+    keys = F.broadcast(often.select(*on))
+    hot = large.join(F.broadcast(often), on)
+    return hot.unionByName(large.join(keys, on, "left_anti").join(small.select(*on, *rest).join(keys, on, "left_anti"), on))
+
+
 def sliced(batch: pa.RecordBatch, texts: int | None, most: int = BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose column number `texts` (texts or lists of 32-bit numbers) holds about `most`
     bytes; one row at least."""

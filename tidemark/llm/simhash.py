@@ -11,7 +11,9 @@ fingerprints within a radius are found exactly:
 * Inside a cell, tiles of fingerprints are compared by exclusive-or and bit counts. Tile pairs whose
   population counts differ beyond the radius are skipped.
 * A task sends on a spanning forest of the links it finds, not all pairs, so a group of thousands of copies
-  costs as many rows as it has members. Components come from alternating star contractions.
+  costs as many rows as it has members. Components come from alternating star contractions. Joins in which a
+  node, a fingerprint or a component may have a large part of all rows look up the largest ones in a broadcast
+  table of bounded size.
 
 The number of cells is at most 17 ** 4; a large cell is cut into blocks, so no task holds an unbounded group.
 """
@@ -30,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .common import per_batch, written
+from .common import joined, per_batch, written
 
 SEED = 42
 #: Fingerprints in a block of a cell; rows of a tile on either side; shingles hashed at a time.
@@ -104,7 +106,7 @@ def fingerprints(docs: DataFrame, width: int = 3, words: int = 1, id_col: str =
         return pa.record_batch([batch.column(0), pa.array([f for f, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())], ["doc_id", "fp", "size"])
 
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return kept.mapInArrow(per_batch(make), "doc_id long, fp binary, size long")
+    return kept.mapInArrow(per_batch(make, 1), "doc_id long, fp binary, size long")
 
 
 def fp_hex(fp: Column) -> Column:
@@ -492,10 +494,11 @@ def components(edges: DataFrame, label: str = "stars") -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = seen
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("low"), F.count_if(F.col("v") > F.col("u")).alias("n")).where("n > 0")
+        large = joined(both.where("v > u"), least.select("u", F.least("u", "low").alias("m"), "n"), ["u"])
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = joined(large, low.where("n > 1"), ["u"]).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = written(small.union(low.select("u", F.col("m").alias("v"))).distinct(), label)
 
 
@@ -510,14 +513,15 @@ EXTRA = 2
 
 
 def _marked(docs: DataFrame, columns: list[str], width: int, words: int, similarity: float | None, id_col: str, text_col: str) -> DataFrame:
-    """(row_id, doc_id, text, row, node, fp, size): a written row for each row of docs; row has the columns.
+    """(row_id, doc_id, text, row, node, fp, size): a written row for each row of docs; row has the
+    columns as c0, c1 ...
 
     With a similarity, repeated shingles count once, and a node stands for a set of shingles (fingerprint and
     digest); else it stands for a fingerprint.
     """
     kept = docs.select(
         F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"),
-        F.col(text_col).cast("string").alias("text"), F.struct(F.lit(True).alias("_"), *columns).alias("row"),
+        F.col(text_col).cast("string").alias("text"), F.struct(F.lit(True).alias("_"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(columns))).alias("row"),
     )
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -534,23 +538,23 @@ def _marked(docs: DataFrame, columns: list[str], width: int, words: int, similar
         return pa.record_batch([*batch.columns, *made], [*batch.schema.names, "node", "fp", "size"])
 
     schema = StructType([*kept.schema.fields, StructField("node", BinaryType()), StructField("fp", BinaryType()), StructField("size", LongType())])
-    return written(kept.mapInArrow(per_batch(make), schema), "marked")
+    return written(kept.mapInArrow(per_batch(make, 2), schema), "marked")
 
 
 def _rooted(marked: DataFrame, width: int, words: int, similarity: float | None, radius: int | None) -> DataFrame:
-    """(node, first_id, root, component_id) for every node of marked."""
+    """(node, n, first_id, root, component_id) for every node of marked, n being its rows; written."""
     if radius is None:
         radius = radius_for(similarity, 64 * words)
-    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.max("size").alias("size"), *([F.min("row_id").alias("row_id")] if similarity is not None else []))
+    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.max("size").alias("size"), F.count("*").alias("n"), *([F.min("row_id").alias("row_id")] if similarity is not None else []))
+    nodes = written(nodes, "nodes")
     if similarity is None:
         linked = links(nodes.select(F.col("node").alias("fp"), "size"), radius, words)
     else:
-        nodes = written(nodes, "nodes")
         linked = alike(marked, nodes, width, radius, words, similarity)
-    joined = components(linked, "links")
-    rooted = nodes.join(joined, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rooted.join(least, "root").select("node", "first_id", "root", "component_id")
+    found = components(linked, "links")
+    rooted = written(nodes.join(found, "node", "left").select("node", "n", "first_id", F.coalesce("root", "node").alias("root")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members"))
+    return written(joined(rooted, least, ["root"], "members").select("node", "n", "first_id", "root", "component_id"), "named")
 
 
 def near_duplicates(
@@ -569,22 +573,23 @@ def near_duplicates(
         marked = written(fingerprints(docs, width, words, id_col, text_col), "fps").withColumn("node", F.col("fp"))
     else:
         marked = _marked(docs, [], width, words, similarity, id_col, text_col)
-    named = _rooted(marked, width, words, similarity, radius).select("node", "component_id")
-    return marked.join(named, "node").select("doc_id", "fp", "component_id")
+    named = _rooted(marked, width, words, similarity, radius).select("node", "component_id", "n")
+    return joined(marked.select("doc_id", "fp", "node"), named, ["node"]).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float | None = 0.8, words: int = 4, radius: int | None = None) -> DataFrame:
     """The rows of docs, one of each near-duplicate group: the first by doc_id, text (null first), other columns.
 
-    Rows without an id belong to no group and stay. Rows that share an id are rows of their own.
+    Rows without an id belong to no group and stay. Rows that share an id are rows of their own. Columns go
+    through, whatever their names and types.
     """
     marked = _marked(docs, docs.columns, width, words, similarity, "doc_id", "text")
-    heads = _rooted(marked, width, words, similarity, radius).where("first_id = component_id").select("node", "root", F.col("first_id").alias("doc_id"))
-    first = written(marked.select("row_id", "node", "doc_id").join(heads, ["node", "doc_id"]).select("row_id", "root"), "first")
+    heads = _rooted(marked, width, words, similarity, radius).where("first_id = component_id").select("node", "root", F.col("first_id").alias("head"), "n")
+    first = written(joined(marked.select("row_id", "node", "doc_id"), heads, ["node"]).where("doc_id = head").select("row_id", "root"), "first")
     count = first.groupBy("root").agg(F.count("*").alias("n"), F.min("row_id").alias("row_id"))
     # only where a group's least id is repeated do texts decide
-    tied = written(first.join(count.where("n > 1").select("root"), "root", "left_semi"), "tied")
-    order = F.struct("text", *(F.col("row")[c] for c in docs.columns if c not in ("doc_id", "text")), "row_id")
+    tied = written(joined(first, count.where("n > 1").select("root", "n"), ["root"]), "tied")
+    order = F.struct("text", F.to_json("row").alias("other"), "row_id")
     best = marked.join(tied, "row_id").groupBy("root").agg(F.min_by("row_id", order).alias("row_id"))
     kept = count.where("n = 1").select("row_id").union(best.select("row_id")).union(marked.where("doc_id is null").select("row_id"))
-    return marked.join(kept, "row_id", "left_semi").select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    return marked.join(kept, "row_id", "left_semi").select(*(F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(docs.columns)))

@@ -6,7 +6,7 @@ row, position) stays and later ones count as repeated. What goes are runs of con
 reach a number of words: short lines and sentences repeat by chance, passages don't.
 
 A row sends one mark for each distinct digest that it has; marks are pre-aggregated in each task, and the most
-frequent digests are looked up in a broadcast table of at most HOT rows, so a line that a third of the documents
+frequent digests are looked up in a broadcast table of bounded size, so a line that a third of the documents
 share is no hot key.
 """
 
@@ -22,12 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import per_batch, sliced, written
+from .common import joined, per_batch, sliced, written
 
 #: What ends a unit of each kind. A sentence ends with its line, too.
 _ENDS = {"line": "\n", "paragraph": r"\n[ \t\r]*\n\s*", "sentence": r"\n|[.!?][ \t\r]+"}
-#: So many digests, those in the most rows, are looked up in a broadcast table.
-HOT = 1_000
 
 
 def cut(text: str, unit: str) -> list[tuple[int, int]]:
@@ -123,13 +121,9 @@ def remove_repeats(docs: DataFrame, unit: str = "sentence", min_words: int = 30,
     marks = rows.select("row_id", "id", "text").mapInArrow(_marks(unit), "row_id long, id long, place int, high long, low int")
     rank = F.struct(F.isnull("id").alias("none"), "id", "row_id")
     firsts = written(marks.groupBy("high", "low").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1"), "unit-firsts")
-    often = F.broadcast(firsts.orderBy(F.desc("n"), "high", "low").limit(HOT))
-    hot = marks.join(often.select("high", "low", "first"), ["high", "low"])
-    rare = firsts.join(often.select("high", "low"), ["high", "low"], "left_anti").select("high", "low", "first")
-    cold = marks.join(often.select("high", "low"), ["high", "low"], "left_anti").join(rare, ["high", "low"])
-    later = hot.unionByName(cold).where(rank != F.col("first"))
+    later = joined(marks, firsts, ["high", "low"]).where(rank != F.col("first"))
     held = later.groupBy("row_id").agg(F.collect_list("place").alias("held"))
-    joined = rows.join(held, "row_id", "left").select("text", "held", "row")
+    every = rows.join(held, "row_id", "left").select("text", "held", "row")
 
     def clean(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, n_units, n_removed, removed = [], [], [], []
@@ -147,7 +141,7 @@ def remove_repeats(docs: DataFrame, unit: str = "sentence", min_words: int = 30,
         return pa.record_batch([*made, batch.column(2)], ["text", *dict(_ADDED), "row"])
 
     schema = T.StructType([T.StructField("text", T.StringType()), *(T.StructField(*x) for x in _ADDED), rows.schema["row"]])
-    made = joined.mapInArrow(per_batch(clean, 0), schema)
+    made = every.mapInArrow(per_batch(clean, 0), schema)
     kept = [F.col("text").alias(c) if c == text_col else F.col("row")[f"c{others.index(c)}"].alias(c) for c in docs.columns if c not in dict(_ADDED)]
     return made.select(*kept, *dict(_ADDED))
 
