@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 import random
+import re
+import time
 from collections import defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, licenses, mixing, pivots, revisits
+from tidemark.llm import langid, licenses, mixing, pivots, queries, revisits
 
 RECORDS = "record_id long, kind string, url string, captured_at long, headers map<string,string>, status string, block int"
 
@@ -57,6 +59,16 @@ def test_revisits(spark, blocks):
     assert revisits.resolve(records(spark, [])).count() == 0
 
 
+def test_revisits_with_a_stray_time(spark):
+    """One record far from the others leaves the rest in blocks of like size."""
+    rows = [(k, "revisit" if k % 2 else "response", f"http://h{k % 9}/p", k, {"etag": "a"}) for k in range(900)] + [(5000, "revisit", "http://h1/p", 10**15, {"etag": "a"})]
+    made = records(spark, rows)
+    sizes = [x["count"] for x in revisits._blocks(made.select("captured_at"), None).groupBy("block").count().collect()]
+    assert len(sizes) > 20 and max(sizes) < 90
+    got = {x.record_id: (x.response_id, x.status, x.headers) for x in revisits.resolve(made).collect()}
+    assert got == resolved(rows)
+
+
 @pytest.mark.parametrize(
     ("url", "key"),
     [
@@ -288,6 +300,59 @@ def test_license_wrapped(gap, phrase, label):
     assert len(licenses.detect("gpl\n\n2. terms", every)) == 0
 
 
+NOTICES = (
+    ("you may not use this file except in compliance with the license.", "apache"), ("permission is hereby granted, free of charge, to any person obtaining a copy of this software", "mit"),
+    ("this program is free software; you can redistribute it and/or modify it under the terms of the gnu general public license", "gpl"),
+    ("gnu general public license as published by the free software foundation, either version 3 of the license", "gpl-3"),
+    ("this library is free software; you can redistribute it and/or modify it under the terms of the gnu lesser general public license", "lgpl"),
+    ("this source code form is subject to the terms of the mozilla public license, v. 2.0", "mpl-2.0"), ("redistributions of source code must retain the above copyright notice", "bsd"),
+    ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", "bsd-3-clause"),
+    ('the software is provided "as is", without warranty of any kind', "mit"), ('the software is provided "as is" and the author disclaims all warranties', "isc"),
+    ("the origin of this software must not be misrepresented", "zlib"), ("to the extent possible under law, the author has waived all copyright", "cc0-1.0"),
+    ("it is released into the public domain", "public-domain"), ("this file is proprietary and confidential", "proprietary"),
+)
+
+
+@pytest.mark.parametrize(("text", "label"), NOTICES)
+def test_license_notices(text, label):
+    assert {r.label for _, _, r in licenses.detect(text, licenses.rules())} == {label}
+
+
+def test_many_license_lines_take_linear_time():
+    text = "licensed under the mit license. " * 20_000
+    began = time.process_time()
+    assert len(licenses.detect(text, licenses.rules())) == 20_000
+    assert time.process_time() - began < 10
+
+
+def pairwise(text, every):
+    """Suppression by its definition, pair by pair, over all detections of the rules without their keywords."""
+    view, places, ahead = licenses.unwrapped(text)
+    original = lambda at: at + ahead[np.searchsorted(places, at, side="right") - 1]
+    found = {(original(m.start()), original(m.end() - 1) + 1, r.label, r.priority, r.trust) for r in every for m in r.pattern.finditer(view)}
+    order = lambda x: (x[0], -x[1], -x[3], x[2])
+    over = lambda y, x: y[0] <= x[0] and y[1] >= x[1] and y[3] >= x[3] and order(y) < order(x)
+    return sorted((x for x in found if not any(over(y, x) for y in found)), key=order)
+
+
+def test_license_query_by_brute_force(spark, sf_dir):
+    """Words, places, labels and score of every row, from their definitions."""
+    every, seen = licenses.rules(), 0
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    texts = {x.doc_id: x.text or "" for x in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    for x in queries.op10_license_scan(spark, sf_dir).collect():
+        text = texts[x.doc_id].translate(lower)
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)
+        base = sorted((k, label) for phrase, label in licenses.BASE for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split())
+        found = pairwise(text, every)
+        labels = {label for _, label in base} | {f[2] for f in found}
+        score = max([0.5 * bool(base), *(f[4] for f in found)])
+        assert (x.n_words, x.n_base, x.first_word, x.last_word) == (len(words), len(base), base[0][0] if base else None, base[-1][0] if base else None)
+        assert (x.base_labels, x.labels, x.score) == (",".join(sorted({b for _, b in base})), ",".join(sorted(labels)), score)
+        seen += bool(labels)
+    assert seen > 5
+
+
 def test_license_suppression():
     every = licenses.rules()
     assert len(every) > 200

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import per_batch
+from .common import per_batch, sliced
 
 #: Characters of a text looked at together.
 SLICE = 1 << 20
@@ -95,29 +95,31 @@ def crc_thirds(id_col: str):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3
 
 
-def train(rows: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def train(rows: DataFrame, settings: Settings | None = None, text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model of the languages in rows (null languages and texts don't count).
 
-    Each row is in the sample with the same hash-decided chance, so that about per_language rows of each
-    language are. A language's n-grams are its most frequent ones; equal counts: the smaller hash.
+    Each text is in the sample with the same chance, decided by its hash, so that about per_language rows of
+    each language are; ids play no part. A language's n-grams are its most frequent ones; equal counts: the
+    smaller hash.
     """
     settings = settings or Settings()
     rows = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = rows.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     share = {r["lang"]: settings.per_language / r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = tuple(sorted(share))
     if not languages:
         return Model((), np.zeros((1, 1 << settings.bits), np.uint8), np.zeros(0), settings.probes)
     chance = F.create_map(*(F.lit(x) for pair in share.items() for x in pair))[F.col("lang")]
-    sample = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < chance * float(1 << 30))
+    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < chance * float(1 << 30))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, langs = batch.column(1).to_pylist(), np.array(batch.column(2).to_pylist())
-            for lang in np.unique(langs).tolist():
-                found = [h for k in np.flatnonzero(langs == lang) for h in grams(texts[k])]
-                h, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.record_batch([pa.array([lang] * len(h)), pa.array(h.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+            for part in sliced(batch, 0):
+                langs = np.array(part.column(1).to_pylist())
+                for lang in np.unique(langs).tolist():
+                    own = part.column(0).take(pa.array(np.flatnonzero(langs == lang))).to_pylist()
+                    h, n = np.unique(np.concatenate([h for text in own for h in grams(text)]), return_counts=True)
+                    yield pa.record_batch([pa.array([lang] * len(h)), pa.array(h.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
     counts = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
@@ -175,4 +177,4 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         return pa.record_batch([*batch.columns, *more], [*batch.schema.names, "lang_pred", "lang_score"])
 
     wider = base.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("lang_score")).schema
-    return base.mapInArrow(per_batch(make), wider)
+    return base.mapInArrow(per_batch(make, at), wider)

@@ -1,7 +1,8 @@
 """License scans by ordered signature rules.
 
-Hundreds of regular expressions, made from tables of license families and forms of words, each gated by a
-keyword: a rule runs only on texts that hold its keyword. Overlapping detections are resolved by priority and
+Hundreds of regular expressions: hand-written ones for the wording of notices and license texts, and ones made
+from tables of license families and forms of words for names, versions and identifiers. Each is gated by a keyword:
+a rule runs only on texts that hold it. Overlapping detections are resolved by priority and
 containment: one that lies inside another of the same or a higher priority goes.
 """
 
@@ -91,7 +92,66 @@ PASSAGES = (
     ("zlib", "as-is", r"this software is provided 'as-is',? without any express or implied warranty"),
     ("unlicense", "public domain", r"this is free and unencumbered software released into the public domain"),
     ("wtfpl", "do what the", r"do what the \w+ you want to public license"),
+    ("apache", "except in compliance", r"you may not use this file except in compliance with the license"),
+    ("apache", "unless required by applicable", r"unless required by applicable law or agreed to in writing,? software distributed under the license is distributed on an"),
+    ("apache", "each contributor hereby", r"each contributor hereby grants to you a perpetual,? worldwide,? non-exclusive,? no-charge"),
+    ("gpl", "this program is free software", r"this program is free software[;:,]? you can redistribute it and/?(?: ?or)? modify it under the terms of the gnu general public license"),
+    ("gpl-2", "either version 2", r"gnu general public license as published by the free software foundation[;:,]? either version 2(?:\.0)?(?: of the license)?"),
+    ("gpl-3", "either version 3", r"gnu general public license as published by the free software foundation[;:,]? either version 3(?:\.0)?(?: of the license)?"),
+    ("gpl", "should have received", r"you should have received a copy of the gnu general public license"),
+    ("gpl", "take away your freedom", r"the licenses for most software are designed to take away your freedom"),
+    ("gpl-3", "copyleft license for", r"the gnu general public license is a free, copyleft license for software"),
+    ("gpl", "verbatim copies", r"everyone is permitted to copy and distribute verbatim copies of this license document,? but changing it is not allowed"),
+    ("lgpl", "this library is free", r"this library is free software[;:,]? you can redistribute it and/?(?: ?or)? modify it under the terms of the gnu (?:lesser|library) general public license"),
+    ("lgpl-2.1", "either version 2.1", r"gnu lesser general public license as published by the free software foundation[;:,]? either version 2\.1(?: of the license)?"),
+    ("lgpl", "should have received", r"you should have received a copy of the gnu (?:lesser|library) general public license"),
+    ("agpl", "affero", r"modify it under the terms of the gnu affero general public license"),
+    ("agpl-3", "affero", r"the gnu affero general public license is a free, copyleft license for software"),
+    ("gfdl", "free documentation", r"permission is granted to copy,? distribute and/or modify this document under the terms of the gnu free documentation license"),
+    ("mpl-2.0", "source code form", r"this source code form is subject to the terms of the mozilla public license,? v\. ?2\.0"),
+    ("mpl-1.1", "contents of this file", r"the contents of this file are subject to the mozilla public license version 1\.1"),
+    ("epl", "accompanying materials", r"this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("cpl", "accompanying materials", r"this program and the accompanying materials are made available under the terms of the common public license"),
+    ("cddl", "contents of this file", r"the contents of this file are subject to the terms of the common development and distribution license"),
+    ("bsd", "retain the above copyright", r"redistributions of source code must retain the above copyright notice"),
+    ("bsd", "reproduce the above copyright", r"redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-3-clause", "endorse or promote", r"neither the names? of [^.]{1,120} may be used to endorse or promote products"),
+    ("bsd-4-clause", "advertising materials", r"all advertising materials mentioning features or use of this software must display"),
+    ("bsd", "express or implied warranties", r"""this software is provided by [^.]{1,80} ["'`]*as is["']* and any express or implied warranties"""),
+    ("mit", "this permission notice", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions"),
+    ("mit", "without warranty of any kind", r"""the software is provided ["'`]*as is["']*,? without warranty of any kind"""),
+    ("mit", "shall not be used in advertising", r"except as contained in this notice,? the names? of [^.]{1,120} shall not be used in advertising"),
+    ("ncsa", "deal with the software", r"to deal with the software without restriction"),
+    ("json", "not evil", r"the software shall be used for good,? not evil"),
+    ("isc", "disclaims all warranties", r"""the software is provided ["'`]*as is["']* and the author disclaims all warranties"""),
+    ("hpnd", "its documentation", r"permission to use,? copy,? modify,? (?:and )?distribute(?:,? and sell)? this software and its documentation for any purpose"),
+    ("postgresql", "written agreement", r"for any purpose,? without fee,? and without a written agreement is hereby granted"),
+    ("zlib", "misrepresented", r"the origin of this software must not be misrepresented"),
+    ("zlib", "plainly marked", r"altered source versions must be plainly marked as such"),
+    ("bsl-1.0", "person or organization", r"permission is hereby granted,? free of charge,? to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("upl-1.0", "larger works", r"subject to the condition set forth below,? permission is hereby granted to any person obtaining a copy"),
+    ("unlicense", "anyone is free", r"anyone is free to copy,? modify,? publish,? use,? compile,? sell,? or distribute this software"),
+    ("wtfpl", "changing it is allowed", r"changing it is allowed as long as the name is changed"),
+    ("beerware", "whatever you want", r"as long as you retain this notice,? you can do whatever you want with this stuff"),
+    ("public-domain", "public domain", r"(?:has been |is )?(?:hereby )?(?:placed|released|dedicated|put) (?:in|into|to) the public domain"),
+    ("cc0-1.0", "waived all copyright", r"to the extent possible under law,? [^.]{1,120} waived all copyright"),
+    ("cc0-1.0", "this deed", r"the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("artistic-1.0", "a package may be copied", r"the intent of this document is to state the conditions under which a package may be copied"),
+    ("artistic-2.0", "given free software package", r"this license establishes the terms under which a given free software package may be copied"),
+    ("ofl", "font software", r"this font software is licensed under the sil open font license"),
+    ("ofl-1.1", "worldwide development", r"the goals of the open font license \(ofl\) are to stimulate worldwide development"),
+    ("psf", "python software foundation", r"this license agreement is between the python software foundation"),
+    ("php-3.01", "php license", r"this source file is subject to version 3\.01 of the php license"),
+    ("php-3.0", "php license", r"this source file is subject to version 3\.0 of the php license"),
+    ("zpl", "zope", r"this software is subject to the provisions of the zope public license"),
+    ("mspl", "accompanying software", r"this license governs use of the accompanying software\. if you use the software,? you accept this license"),
+    ("openssl", "openssl", r"this product includes (?:cryptographic )?software (?:developed|written) by (?:the openssl project|eric young)"),
+    ("vim", "vim", r"there are no restrictions on distributing unmodified copies of vim"),
+    ("lppl", "maintenance status", r"this work has the lppl maintenance status"),
     ("proprietary", "all rights reserved", r"all rights reserved"),
+    ("proprietary", "proprietary", r"(?:confidential and proprietary|proprietary and confidential)"),
+    ("proprietary", "unauthorized", r"unauthori[sz]ed (?:copying|reproduction|distribution|use) of this (?:file|software|document|material)"),
+    ("proprietary", "prior written", r"without the (?:express )?prior written (?:permission|consent) of"),
 )
 
 #: Keeps a name or number whole: no letter, digit or sign of a longer token beside it.
@@ -167,16 +227,15 @@ def detect(text: str, every: list[Rule]) -> list[tuple[int, int, Rule]]:
             held[rule.keyword] = rule.keyword in text
         if held[rule.keyword]:
             found += [(original(m.start()), original(m.end() - 1) + 1, rule) for m in rule.pattern.finditer(text)]
-    # what contains another comes before it: an earlier start, a later end; then the higher priority
+    # what contains another comes before it: an earlier start, a later end; then the higher priority. Of each
+    # priority the kept detection that reaches furthest is all that can contain a later one.
     kept: list[tuple[int, int, Rule]] = []
-    open_: list[tuple[int, int, Rule]] = []
+    reach: dict[int, int] = {}
     for start, end, rule in sorted(found, key=lambda x: (x[0], -x[1], -x[2].priority, x[2].label)):
-        open_ = [x for x in open_ if x[1] > start]
-        if not any(x[1] >= end and x[2].priority >= rule.priority for x in open_):
+        if not any(far >= end and priority >= rule.priority for priority, far in reach.items()):
             kept.append((start, end, rule))
-            open_.append((start, end, rule))
-    # a higher priority also suppresses what it lies inside of only if they name the same license
-    return [x for x in kept if not any(y[2].priority > x[2].priority and x[0] <= y[0] and y[1] <= x[1] and y[2].label.startswith(x[2].label) for y in kept)]
+            reach[rule.priority] = max(end, reach.get(rule.priority, 0))
+    return kept
 
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -238,7 +297,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(
-        per_batch(make),
+        per_batch(make, 1),
         "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
         "detections array<struct<start: int, end: int, label: string, trust: double>>",
     )

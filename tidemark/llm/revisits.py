@@ -6,17 +6,20 @@ response's headers with those updated that a not-modified answer may update.
 
 The as-of join runs in blocks of time: inside (URL, block) a running last value finds the response, and where
 a block has none yet, the last one of the blocks before it does. So a URL with a third of all records is dealt
-over many tasks.
+over many tasks. Blocks are cut at quantiles of the records' times, as many as the square root of the number of
+records: neither a block nor the blocks of a URL grow faster than that.
 """
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Headers of a not-modified answer that replace those of the stored response.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
-BLOCKS = 64
 
 
 def canonical_url(url: Column) -> Column:
@@ -37,7 +40,21 @@ def _strong(etag: Column) -> Column:
     return F.regexp_replace(F.trim(etag), "^W/", "")
 
 
-def resolve(records: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+def _blocks(rows: DataFrame, blocks: int | None) -> DataFrame:
+    """rows with block: larger for later times, with about as many rows in each."""
+    n = blocks or math.isqrt(rows.count())
+    at = F.col("captured_at").cast("double").alias("at")
+    cuts = []
+    if n > 1:
+        shares = F.array(*(F.lit(k / n) for k in range(1, n)))
+        cuts = sorted(set(rows.select(F.percentile_approx(at, shares, F.lit(max(10_000, 4 * n)))).first()[0] or []))
+    if not cuts:
+        return rows.withColumn("block", F.lit(0))
+    placed = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="at", outputCol="block").transform(rows.withColumn("at", at))
+    return placed.drop("at").withColumn("block", F.col("block").cast("int"))
+
+
+def resolve(records: DataFrame, blocks: int | None = None) -> DataFrame:
     """The revisits of records with what they resolve to.
 
     records: record_id long, kind ('response' or 'revisit'), url, captured_at long, headers map<string, string>
@@ -51,9 +68,7 @@ def resolve(records: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     rows = records.where("kind IN ('response', 'revisit') AND url IS NOT NULL AND captured_at IS NOT NULL").select(
         "record_id", F.col("kind").alias("kind"), canonical_url(F.col("url")).alias("url_key"), "captured_at", "headers"
     )
-    low, high = rows.agg(F.min("captured_at"), F.max("captured_at")).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // blocks))
-    rows = rows.withColumn("block", F.floor((F.col("captured_at") - F.lit(low or 0)) / F.lit(width)).cast("int"))
+    rows = _blocks(rows, blocks)
     answer = F.struct("captured_at", "record_id", "headers")
     full = F.when(F.col("kind") == "response", answer)
     # revisits stand before responses of the same time
