@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
+import math
 import random
 import re
 
@@ -212,22 +214,71 @@ def test_keep_one_keeps_columns_of_any_name(spark):
     assert all({x.doc_id} == {x.row_id, x.m["k"], x._turn, x.node, x.root, x.n, x["_"], x.row, x.head} for x in found)
 
 
-@pytest.mark.parametrize("stretch", [1_000, 3])
-def test_imatch(spark, monkeypatch, stretch):
-    monkeypatch.setattr(imatch, "STRETCH", stretch)
+def signatures(texts, band):
+    """Subset by subset and term by term, from the definition."""
+    held = {i: set(re.findall(r"\w+", (t or "").lower())) for i, t in texts.items()}
+    frequency = collections.Counter(w for ws in held.values() for w in ws)
+    low, high = len(texts) * math.exp(-band.high), len(texts) * math.exp(-band.low)
+    salts = [int(x) for x in np.random.default_rng(band.seed).integers(1, 2**63, len(band.rates), dtype=np.uint64)]
+    lexicon = {xxhash.xxh64_intdigest(w) for w, n in frequency.items() if low <= n <= high}
+
+    def mixed(x):
+        x = x * 0x9FB21C651E98DF25 % 2**64
+        x = (x ^ x >> 35) * 0x9FB21C651E98DF25 % 2**64
+        return x ^ x >> 28
+
+    def sign(text):
+        own = {xxhash.xxh64_intdigest(w) for w in re.findall(r"\w+", (text or "").lower())}
+        own = sorted(own & lexicon or own)
+        out = []
+        for s, (salt, rate) in enumerate(zip(salts, band.rates, strict=True)):
+            kept = [t for t in own if mixed(t ^ salt) <= min(2**64 - 1, int(rate * 2**64))]
+            out.append(xxhash.xxh64_digest(b"".join(t.to_bytes(8, "little") for t in kept), s)[:4] if kept else bytes(4))
+        return out
+
+    return sign
+
+
+def alike(a, b):
+    some = [x == y for x, y in zip(a, b, strict=True) if x != bytes(4) or y != bytes(4)]
+    return sum(some) / len(some) if some else 1.0
+
+
+@pytest.mark.parametrize("sampled", [1, 20])
+def test_imatch(spark, monkeypatch, sampled):
+    """Fingerprints and likeness against sets and loops."""
+    monkeypatch.setattr(imatch, "SAMPLED", sampled)
     r = random.Random(2)
     vocabulary = [f"w{k}é" for k in range(300)]
     rows = [(k * 3, " ".join(r.choices(vocabulary, k=r.randint(0, 120)))) for k in range(40)]
     rows += [(200, None), (201, ""), (202, rows[5][1]), (500, "€uro " * 9)]
     got = {x.doc_id: x for x in imatch.fingerprint_edits(docs(spark, rows)).collect()}
     assert {i: x.edited_sha256 for i, x in got.items()} == edited(rows)
-    assert all(got[i].n_chars == len(t or "") for i, t in rows)
+    sign, order = signatures(dict(rows), imatch.Band()), sorted(rows, key=lambda x: -x[0])
+    for k, (i, text) in enumerate(order):
+        text, after = text or "", order[(k + 1) % len(order)][1] or ""
+        half = len(text) // 2
+        own, other = sign(text), sign(text[: len(text) - half] + after[:half])
+        assert (got[i].n_chars, got[i].fingerprint, got[i].edited_fingerprint) == (len(text), b"".join(own).hex(), b"".join(other).hex())
+        assert (got[i].near_edited, got[i].near_next) == (alike(own, other), alike(own, sign(after)))
     assert got[15].fingerprint == got[202].fingerprint and got[200].fingerprint == got[201].fingerprint
-    assert all(0 <= x.near_edited <= 1 and 0 <= x.near_next <= 1 for x in got.values())
     assert len({x.fingerprint for x in got.values()}) > 35
     assert np.mean([x.near_edited for x in got.values()]) > np.mean([x.near_next for x in got.values()])
 
 
+def test_imatch_of_many_equal_ids(spark):
+    """Rows without an id are cut into stretches like any others, and follow one another by hash."""
+    rows = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN id END AS doc_id", "concat('text number ', id, ' of some') AS text")
+    found = rows.selectExpr("coalesce(doc_id, -9223372036854775808) AS key", "xxhash64(text) AS tie", "text", "doc_id").toPandas()
+    keyed = rows.selectExpr("coalesce(doc_id, -9223372036854775808) AS key", "xxhash64(text) AS tie")
+    cuts = imatch._cuts(keyed)
+    sizes = np.bincount(imatch.stretch_of(cuts, found["key"].to_numpy(), found["tie"].to_numpy()))
+    assert len(sizes) > 30 and sizes.max() < 300
+    texts = found.sort_values(["key", "tie"], ascending=False)["text"].tolist()
+    expected = sorted(hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest() for t, after in zip(texts, [*texts[1:], texts[0]], strict=True))
+    assert sorted(x.edited_sha256 for x in imatch.fingerprint_edits(rows).select("edited_sha256").collect()) == expected
+
+
 def test_imatch_edge_cases(spark):
     assert imatch.fingerprint_edits(docs(spark, [])).count() == 0
     (one,) = imatch.fingerprint_edits(docs(spark, [(1, "abcd")])).collect()

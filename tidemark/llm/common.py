@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 BYTES = 2 << 20
 #: Keys of a join that are looked up in a broadcast table, at most.
 OFTEN = 1_000
+#: Lets shuffle files go as soon as their query has ended.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: The folder of scratch tables inside spark.checkpoint.dir.
 SCRATCH = "tidemark-scratch"
 _cleaned: set[str] = set()
@@ -41,8 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, label: str) -> DataFrame:
     """The rows of df as a table in the shared folder.
 
-    It cuts the lineage, so a lost executor costs no more than the tasks that read on from here. The
-    application's scratch folder goes when the driver ends.
+    It cuts the lineage, so a lost executor costs no more than the tasks that read on from here. Shuffle files of
+    the query go when it is written, the application's scratch folder when the driver ends.
     """
     spark = df.sparkSession
     top = f"{shared_dir(spark)}/{SCRATCH}/{spark.sparkContext.applicationId}"
@@ -50,7 +52,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
         _cleaned.add(top)
         atexit.register(_remove, spark, top)
     path = f"{top}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(TIDY, "false")
+    spark.conf.set(TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(TIDY, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

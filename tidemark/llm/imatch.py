@@ -6,12 +6,14 @@ subset, sorted. Subsets keep shares of 1, 1/2, 1/4 ... of the lexicon, so that s
 edits of short texts and others survive large edits of long ones.
 
 Size of the broadcast lexicon: a band up to idf h holds terms that occur in at least N / exp(h) documents, so
-there are at most exp(h) times the mean number of distinct terms of a document, however large N is.
+there are at most exp(h) times the mean number of distinct terms of a document, however large N is. The number is
+counted before the lexicon is fetched.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -24,12 +26,14 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import per_batch
+from .common import per_batch, written
 
 #: Distinct terms that a task counts before it hands the counts on.
 FLUSH = 400_000
-#: Rows of one stretch of the document order, and the most stretches.
-STRETCH, STRETCHES = 1_000, 4_096
+#: Keys sampled for each place where the document order is cut.
+SAMPLED = 20
+#: Terms in a broadcast lexicon, at most; more are an error (a wider band than the table's texts allow).
+TERMS = 50_000_000
 _TERM = re.compile(r"\w+")
 _LEAST = -(2**63)
 
@@ -101,10 +105,11 @@ class Signer:
             x = (found[at : at + 4096, None] ^ self.salt) * np.uint64(0x9FB21C651E98DF25)
             x = (x ^ (x >> np.uint64(35))) * np.uint64(0x9FB21C651E98DF25)
             kept[at : at + 4096] = (x ^ (x >> np.uint64(28))) <= self.least
-        some = kept.any(axis=0)
-        out = bytearray(4 * self.n)
-        for s in np.flatnonzero(some):
-            out[4 * s : 4 * s + 4] = xxhash.xxh64_digest(found[kept[:, s]].tobytes(), int(s))[:4]
+        subset, place = np.nonzero(kept.T)  # by subset, then by term
+        ends = np.searchsorted(subset, np.arange(self.n + 1)) * 8
+        raw, out, digest = memoryview(found[place].tobytes()), bytearray(4 * self.n), xxhash.xxh64_digest
+        for s in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
+            out[4 * s : 4 * s + 4] = digest(raw[ends[s] : ends[s + 1]], s)[:4]
         return bytes(out)
 
 
@@ -118,17 +123,30 @@ def likeness(a: bytes, b: bytes) -> float:
 def lexicon(docs: DataFrame, band: Band, text_col: str = "text") -> np.ndarray:
     """The sorted hashes of the terms in the band; see the bound above."""
     least, most = band.bounds(docs.count())
-    found = document_frequencies(docs, text_col).where(F.col("df").between(float(least), float(most))).select("term").toArrow()
-    return np.sort(found.column("term").combine_chunks().to_numpy().view(np.uint64))
+    found = written(document_frequencies(docs, text_col).where(F.col("df").between(float(least), float(most))).select("term"), "lexicon")
+    if (n := found.count()) > TERMS:
+        raise ValueError(f"{n} terms in the band: a lexicon is broadcast, so it may have {TERMS}; choose a narrower band")
+    return np.sort(found.toArrow().column("term").combine_chunks().to_numpy().view(np.uint64))
 
 
-def _stretches(docs: DataFrame) -> list[float]:
-    """Values of the key that cut the document order into stretches of about STRETCH rows."""
-    n = min(STRETCHES, docs.count() // STRETCH)
+def _cuts(keyed: DataFrame) -> np.ndarray:
+    """Keys (key, tie), ascending, that cut the order into about as many stretches as a stretch has rows."""
+    rows = keyed.count()
+    n = math.isqrt(rows)
     if n < 2:
-        return []
-    cuts = docs.select(F.col("key").cast("double").alias("key")).approxQuantile("key", [k / n for k in range(1, n)], 1 / (4 * n))
-    return sorted(set(cuts))
+        return np.zeros((0, 2), np.int64)
+    some = keyed.select("key", "tie").sample(min(1.0, SAMPLED * n / rows), seed=1).toArrow()
+    found = np.stack([some.column(c).combine_chunks().to_numpy() for c in ("key", "tie")], axis=1)
+    found = found[np.lexsort((found[:, 1], found[:, 0]))]
+    return np.unique(found[SAMPLED // 2 :: SAMPLED], axis=0)
+
+
+def stretch_of(cuts: np.ndarray, key: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """How many cuts are not after each (key, tie)."""
+    low, high = np.searchsorted(cuts[:, 0], key, side="left"), np.searchsorted(cuts[:, 0], key, side="right")
+    for k in np.flatnonzero(high > low):  # cuts inside the rows of one key
+        high[k] = low[k] + np.searchsorted(cuts[low[k] : high[k], 1], tie[k], side="right")
+    return high
 
 
 def fingerprint_edits(docs: DataFrame, band: Band | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,21 +158,22 @@ def fingerprint_edits(docs: DataFrame, band: Band | None = None, id_col: str = "
 
     Null and empty texts have an empty fingerprint (zeros). Null ids come last; rows with the same id follow
     the hash of their text. A single row is its own next document. One row per row of docs; other columns
-    aren't read. The order is kept stretch by stretch, each with a copy of the next one's first row, so no
-    task holds more than a stretch.
+    aren't read. The order is kept stretch by stretch, each with a copy of the next one's first row. There are as
+    many stretches as the square root of the number of rows, each with about as many rows, also where many rows
+    have the same id or none; rows that share both id and text lie in one stretch (sorted on disk, if need be).
     """
     band = band or Band()
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    keyed = rows.withColumn("key", F.coalesce("doc_id", F.lit(_LEAST)))
+    keyed = rows.withColumns({"key": F.coalesce("doc_id", F.lit(_LEAST)), "tie": F.xxhash64("text")})
     shared = spark.sparkContext.broadcast((lexicon(rows, band), band))
-    cuts = np.array(_stretches(keyed))
+    cuts = _cuts(keyed)
 
     def read(ghost: bool, moved: dict[int, int]):
         def make(batch: pa.RecordBatch) -> pa.RecordBatch:
             signer, pack = Signer(*shared.value), zstandard.ZstdCompressor(level=3)
             texts = batch.column(1).to_pylist()
-            at = np.searchsorted(cuts, batch.column(2).to_numpy().astype(np.float64), side="right")
+            at = stretch_of(cuts, batch.column(2).to_numpy(), batch.column(3).to_numpy())
             raw = [t.encode() for t in texts]
             return pa.record_batch(
                 [
@@ -162,36 +181,34 @@ def fingerprint_edits(docs: DataFrame, band: Band | None = None, id_col: str = "
                     pa.array([ghost] * len(texts)),
                     *batch.columns[:1],
                     batch.column(2),
-                    pa.array([xxhash.xxh64_intdigest(t) - 2**63 for t in raw], pa.int64()),
+                    batch.column(3),
                     pa.array([signer.sign(t) for t in texts], pa.binary()),
                     pa.array([pack.compress(t) for t in raw], pa.binary()),
                 ],
                 ["stretch", "ghost", "doc_id", "key", "tie", "fp", "packed"],
             )
 
-        return per_batch(make)
+        return per_batch(make, 1)
 
     schema = "stretch int, ghost boolean, doc_id long, key long, tie long, fp binary, packed binary"
 
-    def lows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        most: dict[int, int] = {}
+    def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            for at, key in zip(np.searchsorted(cuts, keys.astype(np.float64), side="right").tolist(), keys.tolist(), strict=True):
-                if key > most.get(at, _LEAST - 1):
-                    most[at] = key
-        yield pa.record_batch([pa.array(list(most), pa.int32()), pa.array(list(most.values()), pa.int64())], ["stretch", "key"])
-
-    # the first key of each stretch: at most STRETCHES rows
-    firsts = dict(map(tuple, keyed.select("key").mapInArrow(lows, "stretch int, key long").groupBy("stretch").agg(F.max("key")).collect()))
-    order = sorted(firsts, reverse=True)
+            keys, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            at = stretch_of(cuts, keys, ties)
+            order = np.lexsort((ties, keys, at))
+            last = order[np.flatnonzero(np.append(at[order][1:] != at[order][:-1], True))] if len(order) else order
+            yield pa.record_batch([pa.array(at[last].astype(np.int32)), pa.array(keys[last]), pa.array(ties[last])], ["stretch", "key", "tie"])
+
+    # the first row of each stretch: no more rows than stretches
+    top = F.max(F.struct("key", "tie")).alias("top")
+    firsts = keyed.select("key", "tie").mapInArrow(tops, "stretch int, key long, tie long").groupBy("stretch").agg(top).select("stretch", "top.*").toArrow()
+    order = sorted(firsts.column("stretch").to_pylist(), reverse=True)
     before = dict(zip(order, order[-1:] + order[:-1], strict=True))
-    heads = keyed.where(F.col("key").isin([int(k) for k in firsts.values()]))
-    heads = heads.mapInArrow(read(True, before), schema)
-    turn = Window.partitionBy("key").orderBy("tie")
-    heads = heads.withColumn("turn", F.row_number().over(turn)).where("turn = 1").drop("turn")
-    every = keyed.mapInArrow(read(False, {}), schema).union(heads)
-    following = Window.partitionBy("stretch").orderBy("ghost", F.desc("key"), "tie")
+    sought = F.broadcast(spark.createDataFrame(firsts).select("key", "tie"))
+    heads = keyed.join(sought, ["key", "tie"]).select("doc_id", "text", "key", "tie").dropDuplicates(["key", "tie"])
+    every = keyed.mapInArrow(read(False, {}), schema).union(heads.mapInArrow(read(True, before), schema))
+    following = Window.partitionBy("stretch").orderBy("ghost", F.desc("key"), F.desc("tie"))
     paired = every.withColumns({"next_fp": F.lead("fp").over(following), "next_packed": F.lead("packed").over(following)}).where("not ghost")
 
     def edit(batch: pa.RecordBatch) -> pa.RecordBatch:
