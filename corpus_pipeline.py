@@ -2,7 +2,8 @@
 
 Each stage works on all rows that its predecessor kept, and is written as Parquet before the next one reads it.
 All stages but the last return the columns of documents. Empty tables give empty results; columns beyond those
-of documents go through.
+of documents go through. Shuffle files go as soon as the query that made them has ended, so that the stages' disk
+doesn't add up.
 """
 
 from __future__ import annotations
@@ -11,18 +12,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid, mixing, pieces, simhash, units
-from tidemark.llm.common import written
+from tidemark.llm.common import TIDY, written
 from tidemark.sources import read_table, ship
 
 #: Documents whose language takes less than this share of their n-grams are rejected.
 LEAST_SCORE = 0.5
 
 
+def _tidy(spark: SparkSession) -> None:
+    spark.conf.set(TIDY, "true")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in a known language; the model learns from the labelled ones among them.
 
     Null and letterless texts go. Columns of docs stay as they are.
     """
+    _tidy(spark)
     found = langid.identify(docs, langid.train(docs))
     return found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SCORE)).select(docs.columns)
 
@@ -32,15 +38,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The smallest doc_id of a group stays; documents without an id stay.
     """
+    _tidy(spark)
     return simhash.keep_one(docs, width=5, similarity=0.8)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that an earlier document, or an earlier place, has already.
+    """Texts without the passages (runs of sentences of 30 words or more) that an earlier document, or an earlier
+    place, has already.
 
     n_chars follows the text. Documents of which nothing is left go; others stay, also those that had no
     text before.
     """
+    _tidy(spark)
     found = units.remove_repeats(docs)
     text = F.col("text")
     return found.where((F.col("n_removed") == 0) | (F.trim(F.translate(text, "\n", " ")) != "")).withColumn("n_chars", F.length(text).cast("long")).select(docs.columns)
@@ -48,11 +57,13 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; sources without words give nothing."""
+    _tidy(spark)
     return mixing.mix(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The piece ids of each row's whole text, with its n best segmentations."""
+    _tidy(spark)
     return pieces.encode(docs, n=4)
 
 
