@@ -144,6 +144,42 @@ def test_pivots(spark, monkeypatch):
     assert sorted(map(tuple, pivots.top_k(few, F.col("vec_id") % 5 == 0, 20).collect())) == by_force(rows[:3], 20)
 
 
+def big(value):
+    """Components whose integers are near a power of two."""
+    r = np.random.default_rng(value.bit_length())
+    rows = [(k, [float(x) / 64 for x in value + r.integers(-2000, 2000, 6) * (1 + value // 10**6)]) for k in range(150)]
+    rows += [(150 + k, [-x for x in rows[k][1]]) for k in range(50)]
+    return rows + [(200, [4294967297 / 64, 4194305 / 64]), (205, [4294967297 / 64, 4194303 / 64]), (210, [1e300] * 6)]
+
+
+@pytest.mark.parametrize("value", [2**20, 2**26, 2**31, 2**32, 2**40, 2**58])
+def test_pivots_of_large_components(spark, monkeypatch, value):
+    monkeypatch.setattr(pivots, "BLOCK", 50)
+    monkeypatch.setattr(pivots, "STEP", 16)
+    monkeypatch.setattr(pivots, "POOL", 40)
+    rows = big(value)
+    got = sorted(map(tuple, pivots.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 5 == 0, 7).collect()))
+    assert got == [(q, rank, i, min(max(s, -(2**63)), 2**63 - 1)) for q, rank, i, s in by_force(rows[:-1], 7)]
+
+
+def test_pivot_blocks_are_balanced_and_skipped(spark, monkeypatch):
+    """On clustered vectors a query visits few blocks; blocks are of like size and one lies in each partition."""
+    monkeypatch.setattr(pivots, "BLOCK", 100)
+    keys = pivots._keys(spark, 16)
+    at = spark.createDataFrame([(k,) for k in keys], "k int").select(F.pmod(F.hash("k"), F.lit(16))).collect()
+    assert [x[0] for x in at] == list(range(16))
+    r = np.random.default_rng(3)
+    counts = r.integers(0, 40, (8, 30))
+    layout = pivots._layout(counts, 12)
+    sizes = np.bincount(layout.ravel(), counts.ravel(), 12)
+    assert sizes.max() < 1.5 * sizes.mean() and (np.diff(layout.ravel()) >= 0).all()
+    centers = r.normal(size=(8, 16))
+    centers *= 6 / np.linalg.norm(centers, axis=1, keepdims=True)
+    rows = [(k, [float(x) for x in centers[k % 8] + 0.01 * r.normal(size=16)]) for k in range(1600)]
+    got = sorted(map(tuple, pivots.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 5 == 0, 7).collect()))
+    assert got == by_force(rows, 7)
+
+
 def test_pivot_bounds_stop_early(monkeypatch):
     """On clustered vectors most candidates are never evaluated."""
     monkeypatch.setattr(pivots, "STEP", 8)
@@ -159,13 +195,16 @@ def test_pivot_bounds_stop_early(monkeypatch):
             seen += len(self)
             return np.asarray(self) @ other
 
-    far = pivots.distances(x.astype(float), p)
     x = x * np.rint(64 / np.linalg.norm(x, axis=1, keepdims=True).clip(1)).astype(int) // 1
     far = pivots.distances(x.astype(float), p)
     ids = np.arange(len(x))
-    view = x.astype(np.float64).view(Counted)
-    monkeypatch.setattr(pivots.np, "abs", np.abs)
-    ((places, scores),) = list(pivots.best_of_block(x[:1], far[:1], ids, view, far, np.array([0]), 5))
+
+    class Seen(np.ndarray):
+        def astype(self, kind):
+            return np.asarray(self).astype(kind).view(Counted)
+
+    floor = pivots.floors(ids[:1], x[:1], ids[::100], x[::100], 5, np.float64)
+    ((places, scores),) = list(pivots.best_of_block(x[:1], far[:1], ids, x.view(Seen), far, np.array([0]), 5, np.float64, floor))
     expected = sorted((-int(x[0] @ y), k) for k, y in enumerate(x) if k)[:5]
     assert [(-s, k) for k, s in zip(places.tolist(), scores.tolist(), strict=True)] == expected
     assert seen < 1500

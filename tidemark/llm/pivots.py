@@ -5,9 +5,12 @@ Every vector carries its distances to many pivots, computed once. For a query q
 Candidates are evaluated in the order of that bound until it falls below the k-th best score found: then no
 other candidate can be among the best.
 
-Candidates are dealt into blocks of bounded size and every query visits each block; a block's best go to a
-ranking by query. Exact search of n / 20 queries over n rows is quadratic by nature; the blocks keep memory
-flat and let the pairs spread over any number of tasks.
+Candidates lie in blocks of like size, each with candidates near one pivot or a few. A block is known by its
+ranges of pivot distances and its longest vector, which bound the inner products in it. Each query knows a score
+from the start that its k-th best can't be under, from the rows among which the pivots were chosen. It visits only
+the blocks whose bound reaches that score, and evaluates only candidates that do. A block's best go to a ranking by
+query. Exact search of n / 20 queries over n rows is quadratic where bounds tell little; blocks keep memory flat
+and let the pairs spread over any number of tasks.
 """
 
 from __future__ import annotations
@@ -17,50 +20,67 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import per_batch, written
 
-#: Candidates of a block at most; queries bounded together; candidates evaluated at a time.
-BLOCK, TOGETHER, STEP = 131_072, 64, 512
+#: Candidates of a block, about; queries bounded together; candidates evaluated at a time; parts of a block's size
+#: in which candidates are dealt to blocks.
+BLOCK, TOGETHER, STEP, PARTS = 65_536, 64, 512, 8
+#: Pairs of queries and blocks handed on at a time, about.
+PAIRS = 100_000
 PIVOTS, POOL = 32, 512
+_LEAST = -(2**63)
+NAMES = ["key", "block", "asking", "vec_id", "v", "far", "least"]
+_KINDS = (np.int8, np.int16, np.int32, np.int64)
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 64.0) -> DataFrame:
-    """(vec_id, v): floor(scale * x) of each component as packed 64-bit integers.
+    """(vec_id, v, most): floor(scale * x) of each component as packed 64-bit integers, and the largest of their sizes.
 
-    Rows whose id or vector is null, or that hold a null or non-finite component, are left out.
+    Rows whose id or vector is null, or that hold a null or non-finite component or one whose integer needs more
+    than 63 bits, are left out.
     """
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, packed = [], []
+        ids, packed, most = [], [], []
         for vec_id, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if vec_id is None or x is None or None in x:
                 continue
-            x = np.array(x, np.float64)
-            if np.isfinite(x).all():
-                ids.append(vec_id), packed.append(np.floor(scale * x).astype(np.int64).tobytes())
-        return pa.record_batch([pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], ["vec_id", "v"])
+            x = np.floor(scale * np.array(x, np.float64))
+            if (np.abs(x) < 2.0**62).all():
+                ids.append(vec_id), packed.append(x.astype(np.int64).tobytes()), most.append(int(np.abs(x).max(initial=0)))
+        return pa.record_batch([pa.array(ids, pa.int64()), pa.array(packed, pa.binary()), pa.array(most, pa.int64())], ["vec_id", "v", "most"])
 
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    return rows.mapInArrow(per_batch(make), "vec_id long, v binary")
+    return rows.mapInArrow(per_batch(make), "vec_id long, v binary, most long")
 
 
-def _matrix(packed: list[bytes], dims: int) -> np.ndarray:
-    """Rows of integers as doubles, zeros behind shorter ones."""
-    out = np.zeros((len(packed), dims), np.int64)
+def _matrix(packed: list[bytes], dims: int, kind: type = np.int64) -> np.ndarray:
+    """Rows of integers, zeros behind shorter ones."""
+    out = np.zeros((len(packed), dims), kind)
     for k, raw in enumerate(packed):
-        x = np.frombuffer(raw, np.int64)
+        x = np.frombuffer(raw, kind)
         out[k, : len(x)] = x
     return out
 
 
-def choose_pivots(vecs: DataFrame, n: int = PIVOTS, pool: int = POOL) -> np.ndarray:
-    """n vectors far from each other, of the `pool` rows with the least hash: farthest first."""
-    rows = vecs.orderBy(F.xxhash64("v"), "vec_id").limit(pool).select("v").collect()
-    dims = max((len(r["v"]) for r in rows), default=0) // 8
-    x = _matrix([bytes(r["v"]) for r in rows], dims).astype(np.float64)
+def arithmetic(most: int, dims: int) -> type:
+    """What inner products of components up to `most` need to be exact: floats, 64-bit integers, or Python's own."""
+    bound = most * most * max(1, dims)
+    return np.float64 if bound < 2**53 else np.int64 if bound < 2**63 else object
+
+
+def pool_of(vecs: DataFrame, dims: int, pool: int = POOL) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of the `pool` rows with the least hash."""
+    rows = vecs.orderBy(F.xxhash64("v"), "vec_id").limit(pool).select("vec_id", "v").collect()
+    return np.array([r["vec_id"] for r in rows], np.int64), _matrix([bytes(r["v"]) for r in rows], dims)
+
+
+def choose_pivots(x: np.ndarray, n: int = PIVOTS) -> np.ndarray:
+    """n rows of x far from each other: farthest first."""
+    x = x.astype(np.float64)
     if not len(x):
         return x
     chosen, apart = [0], ((x - x[0]) ** 2).sum(axis=1)
@@ -71,48 +91,79 @@ def choose_pivots(vecs: DataFrame, n: int = PIVOTS, pool: int = POOL) -> np.ndar
 
 
 def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    wide = np.zeros((len(pivots), x.shape[1]))
-    wide[:, : min(x.shape[1], pivots.shape[1])] = pivots[:, : x.shape[1]]
-    missing = (pivots[:, x.shape[1] :] ** 2).sum(axis=1)
-    squares = (x**2).sum(axis=1)[:, None] + (wide**2).sum(axis=1)[None] + missing[None] - 2 * x @ wide.T
+    squares = (x**2).sum(axis=1)[:, None] + (pivots**2).sum(axis=1)[None] - 2 * x @ pivots.T
     return np.sqrt(np.maximum(squares, 0))
 
 
-def best_of_block(query: np.ndarray, far_q: np.ndarray, ids: np.ndarray, x: np.ndarray, far_x: np.ndarray, skip: np.ndarray, k: int):
-    """Yields (places in the block, scores) of each query's k best candidates, ties to the smaller id.
+def slack(far: float, long: float, dims: int, kind: type) -> float:
+    """How much the difference of two distances up to `far`, held as 32-bit floats, may be off; long: the largest
+    square of a vector's length."""
+    return far * 2.0**-21 + (0.0 if kind is np.float64 else (far + 2 * math.sqrt(long)) * math.sqrt(dims * 2.0**-46))
+
 
-    query, x: integers; far: distances to the pivots; skip: the id that a query may not get.
+def floors(ids: np.ndarray, x: np.ndarray, pool_ids: np.ndarray, pool: np.ndarray, k: int, kind: type) -> np.ndarray:
+    """For each row of x a score that its k-th best candidate can't be under, from the rows of the pool."""
+    out = np.full(len(x), _LEAST, object if kind is object else np.int64)
+    if len(pool) <= k:
+        return out
+    scores = x.astype(kind) @ pool.astype(kind).T
+    for row in range(len(x)):
+        own = scores[row][pool_ids != ids[row]]
+        if len(own) >= k:
+            out[row] = int(np.sort(own)[-k])
+    return out
+
+
+def best_of_block(query: np.ndarray, far_q: np.ndarray, ids: np.ndarray, x: np.ndarray, far_x: np.ndarray, skip: np.ndarray, k: int, kind: type, least: np.ndarray):
+    """Yields (places in the block, scores) of each query's k best candidates of `least` or more, ties to the
+    smaller id.
+
+    query, x: integers; far: distances to the pivots; skip: the id that a query may not get; kind: see arithmetic.
     """
-    exact = max(np.abs(query).max(initial=0), np.abs(x).max(initial=0)) ** 2 * max(1, query.shape[1]) < 2**53
-    q, c = (query.astype(np.float64), x.astype(np.float64)) if exact else (query, x)
+    q, c = query.astype(kind), x.astype(kind)
     long_q, long_x = (query.astype(np.float64) ** 2).sum(axis=1), (x.astype(np.float64) ** 2).sum(axis=1)
     near_x = np.ascontiguousarray(far_x.T.astype(np.float32))
+    off = slack(float(max(far_q.max(initial=0), far_x.max(initial=0))), float(max(long_q.max(initial=0), long_x.max(initial=0))), query.shape[1], kind)
     for at in range(0, len(q), TOGETHER):
         some = slice(at, at + TOGETHER)
         apart = np.zeros((len(q[some]), len(x)), np.float32)
         for p in range(far_x.shape[1]):
             np.maximum(apart, np.abs(far_q[some, p].astype(np.float32)[:, None] - near_x[p]), out=apart)
         sizes = long_q[some, None] + long_x
-        # the slack covers rounding: distances are 32-bit here
-        bound = (sizes - np.maximum(apart * (1 - 1e-5) - 1e-3, 0).astype(np.float64) ** 2) / 2 + 1e-6 * sizes + 1
+        bound = (sizes - np.maximum(apart - off, 0).astype(np.float64) ** 2) / 2 + 1e-12 * sizes + 1
         for row in range(len(bound)):
-            upper = bound[row]
-            upper[ids == skip[at + row]] = -np.inf
-            places, scores = np.empty(0, np.int64), np.empty(0, np.int64)
-            left = np.flatnonzero(upper > -np.inf)
+            upper, floor = bound[row], least[at + row]
+            left = np.flatnonzero((upper >= float(floor) - abs(float(floor)) * 1e-12) & (ids != skip[at + row]))
+            places, scores = np.empty(0, np.int64), np.empty(0, object if kind is object else np.int64)
             while len(left):
                 if len(left) > STEP:
                     cut = np.argpartition(-upper[left], STEP - 1)
                     now, left = left[cut[:STEP]], left[cut[STEP:]]
                 else:
                     now, left = left, left[:0]
-                got = (c[now] @ q[at + row]).astype(np.int64)
-                places, scores = np.concatenate([places, now]), np.concatenate([scores, got])
-                best = np.lexsort((ids[places], -scores))[:k]
+                got = c[now] @ q[at + row]
+                places, scores = np.concatenate([places, now]), np.concatenate([scores, got if kind is object else got.astype(np.int64)])
+                best = np.lexsort((ids[places], -scores))[:k] if kind is not object else np.array(sorted(range(len(places)), key=lambda j: (-scores[j], ids[places[j]]))[:k], np.int64)
                 places, scores = places[best], scores[best]
                 if len(scores) == k:
-                    left = left[upper[left] >= scores[-1]]
-            yield places, scores
+                    left = left[upper[left] >= float(scores[-1]) - abs(float(scores[-1])) * 1e-12]
+            good = scores >= floor
+            yield places[good], scores[good]
+
+
+def _keys(spark: SparkSession, parts: int) -> list[int]:
+    """For each of so many shuffle partitions an integer that hashing sends there."""
+    at = F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts))
+    found = spark.range(60 * parts + 100).select("id", at.alias("at")).groupBy("at").agg(F.min("id").alias("id")).collect()
+    key = {r["at"]: r["id"] for r in found}
+    return [key.get(p, p) for p in range(parts)]
+
+
+def _layout(counts: np.ndarray, blocks: int) -> np.ndarray:
+    """The block of each (cell, part), from the numbers of candidates in them: runs of like size."""
+    total = counts.ravel().cumsum()
+    middle = total - counts.ravel() / 2
+    return np.minimum((middle * blocks / max(1, total[-1])).astype(np.int64), blocks - 1).reshape(counts.shape)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 64.0) -> DataFrame:
@@ -120,57 +171,124 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
 
     is_query picks queries by the column vec_id; candidates are all other rows. Ties go to the smaller
     vec_id. Rows that repeat both id and vector count once; rows that share an id are all a query's own.
-    Shorter vectors count as if zeros followed. Extra columns aren't read; an empty table gives no rows.
+    Shorter vectors count as if zeros followed. Scores are ranked exactly; those beyond 64 bits are reported as
+    the nearest number that has 64. Extra columns aren't read; an empty table gives no rows.
+
+    To the driver come POOL rows, the counts by which candidates are dealt to blocks, and two numbers for each
+    block and pivot: a few kilobytes for BLOCK candidates.
     """
     spark = vectors.sparkSession
-    vecs = written(quantised(vectors, id_col, vector_col, scale).distinct(), "vectors")
-    n, longest = vecs.agg(F.count("*"), F.max(F.length("v"))).first()
-    dims = (longest or 0) // 8
+    raw = written(quantised(vectors, id_col, vector_col, scale).distinct(), "vectors")
+    n, longest, most = raw.agg(F.count("*"), F.max(F.length("v")), F.max("most")).first()
+    dims, kind = (longest or 0) // 8, next(t for t in _KINDS if (most or 0) <= np.iinfo(t).max)
+    exact = arithmetic(most or 0, dims)
     blocks = max(1, math.ceil(n / BLOCK), min(spark.sparkContext.defaultParallelism, math.ceil(n / 2048)))
-    pivots = choose_pivots(vecs)
+    pool_ids, pool = pool_of(raw, dims)
+    pivots = choose_pivots(pool)
+    parts = max(1, math.ceil(PARTS * blocks / max(1, len(pivots))))
 
     def measured(batch: pa.RecordBatch) -> pa.RecordBatch:
-        far = distances(_matrix(batch.column(1).to_pylist(), dims).astype(np.float64), pivots)
-        return pa.record_batch([*batch.columns, pa.array([r.tobytes() for r in far], pa.binary())], ["vec_id", "v", "far"])
+        x = _matrix(batch.column(1).to_pylist(), dims)
+        far = distances(x.astype(np.float64), pivots)
+        cell = far.argmin(axis=1) if len(pivots) else np.zeros(len(x), np.int64)
+        narrow = [r.tobytes() for r in x.astype(kind)]
+        return pa.record_batch([batch.column(0), pa.array(narrow, pa.binary()), pa.array([r.tobytes() for r in far.astype(np.float32)], pa.binary()), pa.array(cell.astype(np.int32))], ["vec_id", "v", "far", "cell"])
+
+    vecs = written(raw.select("vec_id", "v").mapInArrow(per_batch(measured), "vec_id long, v binary, far binary, cell int"), "measured")
+    vecs = vecs.withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts)).cast("int"))
+    counts = np.zeros((max(1, len(pivots)), parts), np.int64)
+    for row in vecs.groupBy("cell", "part").agg(F.count("*").alias("n")).collect():
+        counts[row["cell"], row["part"]] = row["n"]
+    layout = _layout(counts, blocks)
+
+    def far_of(column: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(len(column), len(pivots))
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high = np.full((blocks, len(pivots) + 1), np.inf), np.full((blocks, len(pivots) + 1), -np.inf)
+        for batch in batches:
+            own = layout[batch.column(2).to_numpy(), batch.column(3).to_numpy()]
+            long = (_matrix(batch.column(0).to_pylist(), dims, kind).astype(np.float64) ** 2).sum(axis=1)
+            told = np.concatenate([far_of(batch.column(1)), long[:, None]], axis=1)
+            np.minimum.at(low, own, told), np.maximum.at(high, own, told)
+        b, p = np.nonzero(high >= low)
+        yield pa.record_batch([pa.array(b.astype(np.int32)), pa.array(p.astype(np.int32)), pa.array(low[b, p]), pa.array(high[b, p])], ["block", "pivot", "low", "high"])
+
+    low, high = np.full((blocks, len(pivots) + 1), np.inf), np.full((blocks, len(pivots) + 1), -np.inf)
+    told = vecs.select("v", "far", "cell", "part").mapInArrow(ranges, "block int, pivot int, low double, high double")
+    for row in told.groupBy("block", "pivot").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect():
+        low[row["block"], row["pivot"]], high[row["block"], row["pivot"]] = row["low"], row["high"]
+    keys = np.array(_keys(spark, blocks), np.int32)
+    shared = spark.sparkContext.broadcast((layout, low, high, keys, pool_ids, pool, pivots))
+
+    def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Candidates, each with its block."""
+        layout, _, _, keys, *_ = shared.value
+        own = layout[batch.column(3).to_numpy(), batch.column(4).to_numpy()]
+        none = pa.nulls(batch.num_rows, pa.string())
+        return pa.record_batch([pa.array(keys[own]), pa.array(own.astype(np.int32)), pa.array(np.zeros(batch.num_rows, bool)), *batch.columns[:3], none], NAMES)
+
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Queries, each with every block that may hold one of its best."""
+        _, low, high, keys, pool_ids, pool, pivots = shared.value
+        step = max(1, PAIRS // blocks)
+        for batch in batches:
+            for first in range(0, batch.num_rows, step):
+                part = batch.slice(first, step)
+                ids, q = part.column(0).to_numpy(), _matrix(part.column(1).to_pylist(), dims, kind)
+                far, long = distances(q.astype(np.float64), pivots), (q.astype(np.float64) ** 2).sum(axis=1)
+                least = floors(ids, q, pool_ids, pool, k, exact)
+                reach = slack(float(max(far.max(initial=0), high[:, :-1].max(initial=0))), float(max(long.max(), high[:, -1].max())), dims, exact)
+                who, where = [], []
+                for row in range(len(q)):
+                    apart = np.maximum(low[:, :-1] - far[row], far[row] - high[:, :-1]).max(axis=1, initial=0)
+                    sizes = long[row] + high[:, -1]
+                    bound = (sizes - np.maximum(apart - reach, 0) ** 2) / 2 + 1e-12 * sizes + 1
+                    found = np.flatnonzero(bound >= float(least[row]) - abs(float(least[row])) * 1e-12)
+                    who.append(np.full(len(found), row)), where.append(found)
+                who, where = np.concatenate(who), np.concatenate(where)
+                take, told = pa.array(who), pa.array([str(x) for x in least], pa.string())
+                columns = [pa.array(keys[where]), pa.array(where.astype(np.int32)), pa.array(np.ones(len(who), bool)), part.column(0).take(take), part.column(1).take(take)]
+                yield pa.record_batch([*columns, pa.nulls(len(who), pa.binary()), told.take(take)], NAMES)
 
-    vecs = vecs.mapInArrow(per_batch(measured), "vec_id long, v binary, far binary")
-    own = F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")
-    candidates = vecs.select(own.alias("block"), F.lit(False).alias("asking"), "vec_id", "v", "far")
-    asking = vecs.where(is_query).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asking"), "vec_id", "v", "far")
-    dealt = candidates.union(asking).repartition(max(blocks, 1), "block").sortWithinPartitions("block", "asking")
+    schema = "key int, block int, asking boolean, vec_id long, v binary, far binary, least string"
+    rows = vecs.select("vec_id", "v", "far", "cell", "part")
+    dealt = rows.mapInArrow(per_batch(deal), schema).union(rows.where(is_query).mapInArrow(visits, schema))
+    dealt = dealt.repartition(blocks, "key").sortWithinPartitions("block", "asking")
 
-    def answer(homes: tuple, rows: tuple) -> pa.RecordBatch:
+    def answer(homes: tuple, part: pa.RecordBatch) -> pa.RecordBatch:
         ids, x, far = homes
-        asked, q, far_q = rows
-        out = [(np.full(len(s), a), ids[p], s) for a, (p, s) in zip(asked, best_of_block(q, far_q, ids, x, far, asked, k), strict=True)]
-        return pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+        asked, q = part.column(3).to_numpy(), _matrix(part.column(4).to_pylist(), dims, kind)
+        least = np.array([int(t) for t in part.column(6).to_pylist()], object if exact is object else np.int64)
+        best = best_of_block(q, distances(q.astype(np.float64), shared.value[-1]), ids, x, far, asked, k, exact, least)
+        out = [(np.full(len(s), a), ids[p], s) for a, (p, s) in zip(asked, best, strict=True)]
+        who, whom, scores = (np.concatenate(c) for c in zip(*out, strict=True))
+        # beyond 64 bits the order is that of a text: the number, made positive, in hexadecimal digits
+        order = pa.array([format(int(s) + (1 << 159), "041x") for s in scores], pa.string()) if exact is object else pa.nulls(len(who), pa.string())
+        told = np.array([min(max(int(s), _LEAST), 2**63 - 1) for s in scores], np.int64) if exact is object else scores
+        return pa.record_batch([pa.array(who), pa.array(whom), pa.array(told), order], ["query_id", "vec_id", "score", "order"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, parts, homes = None, [], None
         for batch in batches:
-            blocks_, asking_ = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            blocks_, asking_ = batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
             turns = np.flatnonzero((blocks_[1:] != blocks_[:-1]) | (asking_[1:] != asking_[:-1])) + 1
             for lo, hi in zip([0, *turns], [*turns, len(blocks_)], strict=True):
                 if lo == hi:
                     continue
                 part = batch.slice(lo, hi - lo)
-                rows = (
-                    part.column(2).to_numpy(),
-                    _matrix(part.column(3).to_pylist(), dims),
-                    np.frombuffer(b"".join(part.column(4).to_pylist())).reshape(hi - lo, -1),
-                )
                 if blocks_[lo] != block:
                     block, parts, homes = blocks_[lo], [], None
                 if not asking_[lo]:
-                    parts.append(rows)
+                    parts.append((part.column(3).to_numpy(), _matrix(part.column(4).to_pylist(), dims, kind), far_of(part.column(5))))
                     continue
                 if parts:
                     homes, parts = tuple(map(np.concatenate, zip(*parts, strict=True))), []
                 if homes is not None:
-                    yield answer(homes, rows)
+                    yield answer(homes, part)
 
-    found = dealt.mapInArrow(search, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = dealt.mapInArrow(search, "query_id long, vec_id long, score long, order string")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("order"), F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
