@@ -37,14 +37,14 @@ from pyspark.sql import types as T
 from .common import per_batch
 
 SPACE = "▁"
-#: Bytes of each table of units that a task remembers before it starts afresh; about what an entry takes besides
+#: Bytes of each table of units that a task remembers before it makes room; about what an entry takes besides
 #: its unit and result; characters of the longest unit that is worth it.
-REMEMBERED, ENTRY, WORTH = 24 << 20, 240, 64
+REMEMBERED, ENTRY, WORTH = 64 << 20, 240, 64
 #: Scores up to this stand for pieces that are the last choice; they count as one less than the worst other score.
 NEVER = -1e6
 #: Characters of a unit whose sums 32-bit floats surely hold exactly.
 SHORT = 500
-_EXACT = float(1 << 24)
+_EXACT, _NONE = float(1 << 24), -math.inf
 
 
 @dataclass(frozen=True)
@@ -110,7 +110,11 @@ class Remembered(dict):
 
 
 class Numbered(dict):
-    """A number for each unit, and by number what is known of its best segmentation."""
+    """A number for each unit, and by number what is known of its best segmentation.
+
+    It has two halves: when one is full, it takes the place of the older one, and what is met again there is
+    carried over. So frequent units stay, however many rare ones come by.
+    """
 
     def __init__(self, f: Callable[[str], tuple[bytes, float, float, int]], most: int = REMEMBERED) -> None:
         super().__init__()
@@ -118,17 +122,24 @@ class Numbered(dict):
         self.clear()
 
     def clear(self) -> None:
+        self._start()
+        self.older: tuple = ({}, self.ids, self.scores, self.losses, self.sizes)
+
+    def _start(self) -> None:
         super().clear()
         self.used, self.ids = 0, []
         self.scores, self.losses, self.sizes = array("d"), array("d"), array("q")
 
     def make_room(self) -> None:
-        """Starts afresh if there is too much; between texts, as numbers hold within one."""
-        if self.used >= self.most:
-            self.clear()
+        """Gives up the older half if the newer one is full; between texts, as numbers hold within one."""
+        if self.used >= self.most // 2:
+            self.older = (dict(self), self.ids, self.scores, self.losses, self.sizes)
+            self._start()
 
     def __missing__(self, unit: str) -> int:
-        ids, score, loss, size = self.f(unit)
+        known, *values = self.older
+        k = known.get(unit)
+        ids, score, loss, size = self.f(unit) if k is None else (v[k] for v in values)
         number = self[unit] = len(self.ids)
         self.used += ENTRY + len(unit) + len(ids)
         self.ids.append(ids), self.scores.append(score), self.losses.append(loss), self.sizes.append(size)
@@ -153,9 +164,9 @@ class Lattice:
             self.units = lambda text: [text]
         else:
             self.units = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+").findall
-        self.counts = Remembered(self._count)
+        self.counts = Remembered(self._count, REMEMBERED // 2)
         self.bests = Numbered(self._best)
-        self.lists = Remembered(lambda key: self.n_best(*key), REMEMBERED // 2, lambda out: sum(160 + 4 * len(ids) for _, ids in out))
+        self.lists = Remembered(lambda key: self.n_best(*key), REMEMBERED // 8, lambda out: sum(160 + 4 * len(ids) for _, ids in out))
 
     def forget(self) -> None:
         """Gives back what was remembered."""
@@ -266,15 +277,14 @@ class Lattice:
                 at = starts[at]
             ids.reverse()
             return ids.tobytes(), best[-1], gap, len(ids)
-        best, starts, last, loss = [], [], [], []
-        at, top, second, start, piece = -1, 0.0, -np.inf, 0, 0
+        best, back = [], []  # scores; start, piece and loss
+        at, top, second, start, piece = -1, 0.0, _NONE, 0, 0
+        keep, note = best.append, back.append
         for end, (length, score, k) in self.matches.iter(unit):  # by end, the longest first
             if end != at:
-                best.append(top)
-                starts.append(start)
-                last.append(piece)
-                loss.append(top - second)
-                at, top, second = end, -np.inf, -np.inf
+                keep(top)
+                note((start, piece, top - second))
+                at, top, second = end, _NONE, _NONE
             total = best[end + 1 - length] + score
             if total > top:
                 top, second, start, piece = total, top, end + 1 - length, k
@@ -282,9 +292,10 @@ class Lattice:
                 second = total
         score, gap, ids = top, top - second, [piece]
         while start:
-            ids.append(last[start])
-            gap = min(gap, loss[start])
-            start = starts[start]
+            start, piece, loss = back[start]
+            ids.append(piece)
+            if loss < gap:
+                gap = loss
         ids.reverse()
         return array("i", ids).tobytes(), score, gap, len(ids)
 

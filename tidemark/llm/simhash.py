@@ -484,7 +484,8 @@ def components(edges: DataFrame, label: str = "stars") -> DataFrame:
     """(node, root) for every node of the edges (u, v): root is the least node of its component.
 
     Alternates large and small stars until nothing changes; each round is a few joins on edges that stay
-    distributed, written to the shared folder.
+    distributed, written to the shared folder. The edges are a spanning forest already; a star with a large part of
+    them is split by adaptive execution, as its joins feed other exchanges.
     """
     now = written(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), label)
     before = None
@@ -494,11 +495,10 @@ def components(edges: DataFrame, label: str = "stars") -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = seen
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("low"), F.count_if(F.col("v") > F.col("u")).alias("n")).where("n > 0")
-        large = joined(both.where("v > u"), least.select("u", F.least("u", "low").alias("m"), "n"), ["u"])
-        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = joined(large, low.where("n > 1"), ["u"]).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = written(small.union(low.select("u", F.col("m").alias("v"))).distinct(), label)
 
 
@@ -553,7 +553,7 @@ def _rooted(marked: DataFrame, width: int, words: int, similarity: float | None,
         linked = alike(marked, nodes, width, radius, words, similarity)
     found = components(linked, "links")
     rooted = written(nodes.join(found, "node", "left").select("node", "n", "first_id", F.coalesce("root", "node").alias("root")), "rooted")
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members"))
+    least = written(rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members")), "least")
     return written(joined(rooted, least, ["root"], "members").select("node", "n", "first_id", "root", "component_id"), "named")
 
 
@@ -586,7 +586,7 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float | None = 0.8, wo
     marked = _marked(docs, docs.columns, width, words, similarity, "doc_id", "text")
     heads = _rooted(marked, width, words, similarity, radius).where("first_id = component_id").select("node", "root", F.col("first_id").alias("head"), "n")
     first = written(joined(marked.select("row_id", "node", "doc_id"), heads, ["node"]).where("doc_id = head").select("row_id", "root"), "first")
-    count = first.groupBy("root").agg(F.count("*").alias("n"), F.min("row_id").alias("row_id"))
+    count = written(first.groupBy("root").agg(F.count("*").alias("n"), F.min("row_id").alias("row_id")), "count")
     # only where a group's least id is repeated do texts decide
     tied = written(joined(first, count.where("n > 1").select("root", "n"), ["root"]), "tied")
     order = F.struct("text", F.to_json("row").alias("other"), "row_id")
