@@ -65,6 +65,13 @@ def iso_date(ms: Column) -> Column:
     return F.date_format(day_of(ms), "yyyy-MM-dd")
 
 
+def iso_time(ms: Column) -> Column:
+    """UTC date and time to the second, whatever the session's time zone."""
+    rest = F.floor(F.pmod(ms, F.lit(86_400_000)) / 1000)
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    return F.concat(iso_date(ms), F.lit("T"), two(F.floor(rest / 3600)), F.lit(":"), two(F.floor(rest % 3600 / 60)), F.lit(":"), two(rest % 60), F.lit("Z"))
+
+
 def percent(share: Column) -> Column:
     """A share as a whole percentage, halves to the even number."""
     return F.concat(F.bround(share * 100, 0).cast("int").cast("string"), F.lit("%"))

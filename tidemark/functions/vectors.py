@@ -49,8 +49,9 @@ def _word(places: Column, w: int) -> Column:
 def sparse_code(text: Column, ms: Column) -> Column:
     """Bits for the tokens (an md5 prefix of each) in seven words, and the time bucket in the eighth."""
     places = F.transform(tokenize(text), lambda t: F.pmod(_hex_long(F.substring(F.md5(t.cast("binary")), 1, 4)), F.lit(CONTENT_BITS)))
-    held = [_word(F.array_distinct(places), w) for w in range(TIME_WORD)]
-    return F.array(*held, _hex_long(F.substring(F.md5(time_bucket(ms).cast("binary")), 1, 8)))
+    # bound once: the text is cut into tokens a single time for all words
+    held = F.transform(F.array(F.array_distinct(places)), lambda p: F.array(*(_word(p, w) for w in range(TIME_WORD))))[0]
+    return F.concat(held, F.array(_hex_long(F.substring(F.md5(time_bucket(ms).cast("binary")), 1, 8))))
 
 
 @pandas_udf(T.ArrayType(T.LongType()))

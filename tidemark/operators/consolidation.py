@@ -1,13 +1,19 @@
-"""One consolidation run: rescore, select, extract, assert, mark, decay, archive."""
+"""One consolidation run: rescore, select, extract, assert, mark, decay, archive.
+
+Model output is written once, to a table of raw output, and everything else reads that: however often results are
+looked at, no text is scored or extracted again. Only the batch is asserted, against the open versions.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
+from ..sources.scratch import written
 from . import episodes as E
 from . import extraction as X
 from . import facts as V
@@ -23,24 +29,35 @@ class Run:
     outcomes: DataFrame
     assertions: DataFrame
     mentions: DataFrame
+    changed: DataFrame
+    raw: DataFrame
     episodes: DataFrame
     report: DataFrame
 
 
-def run_once(episodes: DataFrame, log: DataFrame, now_ms: int, settings: Settings | None = None, provider: Provider | None = None) -> Run:
+def run_once(
+    episodes: DataFrame, log: DataFrame, now_ms: int, settings: Settings | None = None, provider: Provider | None = None,
+    facts: DataFrame | None = None, keep: Callable[[DataFrame, str], DataFrame] = written,
+) -> Run:
     """Consolidates over logs; a replay gives the same rows, so a lost run can be repeated.
 
     Unscored episodes are scored without history. Candidates are asserted in the order of their salience,
     then age and id. Episodes whose extraction fails are marked and not tried again.
+
+    facts: the versions after the log, if they are kept (by facts.apply of each run's changed); else they are derived
+    from the log. keep: writes a table of raw model output under a label and gives what was written.
     """
     settings, provider = settings or Settings(), provider or Local()
+    facts = V.versions(log) if facts is None else facts
     lost = E.unscored(episodes, settings.rescore_limit)
     none = F.array().cast("array<string>")
-    scores = S.parse(lost.select("id", scored_text(F.col("content"), none, provider).alias("raw"))).drop("raw").withColumn("at", F.lit(now_ms))
+    said = keep(lost.select("id", scored_text(F.col("content"), none, provider).alias("raw")), "raw-scores")
+    scores = S.parse(said).drop("raw").withColumn("at", F.lit(now_ms))
     scored = E.with_scores(episodes, scores)
     chosen = E.candidates(scored, now_ms, settings)
     subjects = F.create_map(*(F.lit(x) for p in settings.canonical_subjects.items() for x in p)) if settings.canonical_subjects else F.create_map().cast("map<string,string>")
     raw = chosen.select("id", "tenant", "salience", "created_at", extracted_text(F.col("content"), F.coalesce(subjects[F.col("tenant")], F.col("tenant")), provider).alias("raw"))
+    raw = keep(raw, "raw-extractions")
     found = X.map_predicates(X.raw_facts(raw), settings)
     # within a run (the facts of batch_size episodes), asserted in order; after everything in the log
     turn = F.row_number().over(Window.partitionBy("_one").orderBy(F.desc("salience"), "created_at", "id", "position"))
@@ -50,17 +67,18 @@ def run_once(episodes: DataFrame, log: DataFrame, now_ms: int, settings: Setting
         "tenant", (F.col("start") + F.col("turn")).alias("seq"), F.lit(now_ms).cast("long").alias("ts"), F.lit("assert").alias("op"),
         "subject", "predicate", "object", "confidence", F.col("id").alias("source"),
     )
-    said = X.raw_entities(raw)
-    mentions = said.select("tenant", "name", "entity_type", "aliases", F.lit(now_ms).cast("long").alias("ts"), F.xxhash64("id", "position").alias("seq"))
-    refs = said.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "name"))), lambda x: x["name"]).alias("refs"))
+    named = X.raw_entities(raw)
+    mentions = named.select("tenant", "name", "entity_type", "aliases", F.lit(now_ms).cast("long").alias("ts"), F.xxhash64("id", "position").alias("seq"))
+    refs = named.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "name"))), lambda x: x["name"]).alias("refs"))
     outcomes = raw.select("id", F.lit(now_ms).cast("long").alias("at"), F.col("raw").isNull().alias("failed")).join(refs, "id", "left")
     outcomes = outcomes.withColumn("refs", F.coalesce("refs", none))
     after = E.archive(E.decay(E.with_outcomes(scored, outcomes), now_ms, settings), now_ms, settings)
-    acted = V.actions(log.unionByName(assertions)).join(assertions.select("seq"), "seq", "left_semi")
+    acted = V.batch_actions(facts, assertions)
     counts = acted.agg(*(F.count_if(F.col("action") == a).alias(a) for a in ("inserted", "superseded", "duplicate")))
     marked = outcomes.agg(F.count("*").alias("candidates"), F.count_if("failed").alias("failed"))
     archived = after.agg(F.count_if(F.col("archive_rule") == 1).alias("faded"), F.count_if(F.col("archive_rule") == 2).alias("expired"))
     rescored = scores.agg(F.count("*").alias("rescored"))
     one = F.lit(1).alias("_one")
     report = rescored.select("*", one).join(marked.select("*", one), "_one").join(counts.select("*", one), "_one").join(archived.select("*", one), "_one").drop("_one")
-    return Run(scores, outcomes, assertions, mentions, after, report)
+    output = said.select("id", F.lit("score").alias("kind"), "raw").union(raw.select("id", F.lit("extract").alias("kind"), "raw"))
+    return Run(scores, outcomes, assertions, mentions, V.advance(facts, assertions), output, after, report)

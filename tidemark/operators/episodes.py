@@ -5,7 +5,7 @@ State is kept as append-only logs (episodes, scores, outcomes); these functions
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +16,39 @@ from ..functions.vectors import code_similarity, cosine, recency, sparse_code
 ROLES = ("user", "assistant", "system")
 
 
+def checked(q: str, k: int, min_salience: float | None = None) -> None:
+    """Raises ValueError for a question or a number of results that a search doesn't take."""
+    if not 1 <= len(q) <= 4_000:
+        raise ValueError("a question has 1 to 4,000 characters")
+    if not 1 <= k <= 100:
+        raise ValueError("a search gives 1 to 100 results")
+    if min_salience is not None and not 0 <= min_salience <= 1:
+        raise ValueError("salience lies between 0 and 1")
+
+
+def taken_in(rows: DataFrame, embed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Valid rows as episodes, with their code and vector in the same projection, ready to be appended as one.
+
+    embed adds vector to rows with content; see providers.embedded. What quarantine rejects is left out. Scores are
+    null until the episode is scored; it starts with salience 0.5 and wholly fresh.
+    """
+    good = quarantine(rows).where("reject IS NULL").drop("reject")
+    none = F.lit(None)
+    return embed(good).select(
+        "tenant", "id", "created_at", "session_id", "role", "content", F.lit(0.5).alias("salience"), *(none.cast("double").alias(n) for n in ("surprise", "arousal", "self_ref", "recurrence")),
+        F.lit(1.0).alias("decay_state"), none.cast("long").alias("last_decayed_at"), none.cast("long").alias("consolidated_at"), F.lit(False).alias("extraction_failed"),
+        F.lit(False).alias("archived"), F.array().cast("array<string>").alias("entity_refs"), sparse_code(F.col("content"), F.col("created_at")).alias("code"), "vector",
+    )
+
+
+def zipped(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Two lists (each with position) side by side; where one has no counterpart its columns are null and paired is
+    false."""
+    marked = right.withColumn("_there", F.lit(True))
+    both = left.withColumn("_here", F.lit(True)).join(marked, "position", "full")
+    return both.withColumn("paired", F.col("_here").isNotNull() & F.col("_there").isNotNull()).drop("_here", "_there")
+
+
 def quarantine(rows: DataFrame) -> DataFrame:
     """rows with reject: why a row may not become an episode, or null if it may."""
     length, session, tenant = F.length("content"), F.length("session_id"), F.length("tenant")
@@ -121,6 +154,15 @@ def decay(episodes: DataFrame, now_ms: int, settings: Settings) -> DataFrame:
     })
 
 
+def dry_run(episodes: DataFrame, now_ms: int, settings: Settings) -> DataFrame:
+    """One row: how many episodes a decay step would change, and how many each archive rule would archive."""
+    ruled = archive(episodes, now_ms, settings)
+    after = decay(episodes, now_ms, settings)
+    counts = ruled.agg(F.count_if(F.col("archive_rule") == 1).alias("faded"), F.count_if(F.col("archive_rule") == 2).alias("expired"))
+    touched = after.agg(F.count_if(~F.col("archived")).alias("decayed"))
+    return touched.withColumn("_one", F.lit(1)).join(counts.withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
 def archive(episodes: DataFrame, now_ms: int, settings: Settings) -> DataFrame:
     """episodes with archive_rule: 1 decayed after consolidation, 2 expired without, null neither; and
     archived set accordingly."""
@@ -145,10 +187,30 @@ def scoring_context(episodes: DataFrame, turns: int = 5) -> DataFrame:
     return episodes.withColumn("history", F.collect_list("content").over(w))
 
 
-def replay(episodes: DataFrame, now_ms: int, turns: int = 5) -> DataFrame:
-    """An import: history over all earlier rows of a tenant by time, and decay counted from now on."""
-    w = Window.partitionBy("tenant").orderBy("created_at", "id").rowsBetween(-turns, -1)
-    return episodes.withColumn("history", F.collect_list("content").over(w)).withColumn("last_decayed_at", F.lit(now_ms).cast("long"))
+def _last(rows: Column, n: int) -> Column:
+    return F.when(F.size(rows) > n, F.slice(rows, F.size(rows) - n + 1, n)).otherwise(rows)
+
+
+def replay(episodes: DataFrame, now_ms: int, turns: int = 5, blocks: int = 64) -> DataFrame:
+    """An import: history over all earlier rows of a tenant by time, and decay counted from now on.
+
+    A tenant's time is cut into blocks at quantiles, and each block starts with the last rows before it, so that a
+    large tenant is dealt over many tasks.
+    """
+    shares = F.array(*(F.lit(k / blocks) for k in range(1, blocks)))
+    cuts = episodes.groupBy("tenant").agg(F.percentile_approx("created_at", shares, F.lit(10_000)).alias("_cuts"))  # a row a tenant
+    placed = episodes.join(cuts, "tenant").withColumn("_block", F.size(F.filter("_cuts", lambda c: c < F.col("created_at")))).drop("_cuts")
+    kept = F.struct("created_at", "id", "content")
+    back = Window.partitionBy("tenant", "_block").orderBy(F.desc("created_at"), F.desc("id"))
+    tails = placed.withColumn("_back", F.row_number().over(back)).where(F.col("_back") <= turns).select("tenant", "_block", kept.alias("_row"))
+    before = Window.partitionBy("tenant").orderBy("_block").rangeBetween(Window.unboundedPreceding, -1)
+    ends = tails.groupBy("tenant", "_block").agg(F.sort_array(F.collect_list("_row")).alias("_rows"))  # turns rows a block
+    known = ends.withColumn("_rows", _last(F.flatten(F.collect_list("_rows").over(before)), turns)).where(F.size("_rows") > 0)
+    early = ends.join(known.select("tenant", "_block", F.col("_rows").alias("_early")), ["tenant", "_block"], "left").select("tenant", "_block", F.coalesce("_early", F.array().cast("array<struct<created_at: bigint, id: string, content: string>>")).alias("_early"))
+    w = Window.partitionBy("tenant", "_block").orderBy("created_at", "id").rowsBetween(-turns, -1)
+    inside = placed.withColumn("_near", F.collect_list("content").over(w)).join(early, ["tenant", "_block"])
+    whole = F.concat(F.transform("_early", lambda r: r["content"]), F.col("_near"))
+    return inside.withColumns({"history": _last(whole, turns), "last_decayed_at": F.lit(now_ms).cast("long")}).drop("_block", "_near", "_early")
 
 
 def working_memory(turns: DataFrame, items: int = 5) -> DataFrame:
@@ -173,19 +235,23 @@ def nearest(vectors: DataFrame, query: Sequence[float], k: int, id_col: str = "i
 
 
 def search(
-    episodes: DataFrame, vectors: DataFrame, codes: DataFrame, query: Sequence[float], question: str, now_ms: int, settings: Settings, k: int = 10, mode: str = "post", **filters
+    episodes: DataFrame, vectors: DataFrame, codes: DataFrame | None, query: Sequence[float], question: str, now_ms: int, settings: Settings, k: int = 10, mode: str = "post", **filters
 ) -> DataFrame:
     """The k best episodes by similarity, hash-code similarity and recency.
 
     mode post filters the nearest candidates, as a vector index does, and may return fewer than k; mode pre
-    looks for candidates among the episodes that pass. Episodes without a code are left out.
+    looks for candidates among the episodes that pass. codes: (id, code) of the episodes, of which those without
+    one are left out; or None, and the codes of the candidates alone are worked out here.
     """
+    checked(question, k, filters.get("min_salience"))
     kept = matching(episodes, **filters)
     if mode == "pre":
         vectors = vectors.join(kept.select("id"), "id", "left_semi")
     found = F.broadcast(nearest(vectors, query, settings.knn_candidates))  # knn_candidates rows
     asked = sparse_code(F.lit(question), F.lit(now_ms))
-    scored = kept.join(found, "id").join(codes, "id").withColumns({
+    near = kept.join(found, "id")
+    near = near.withColumn("code", sparse_code(F.col("content"), F.col("created_at"))) if codes is None else near.join(codes, "id")
+    scored = near.withColumns({
         "dense": F.col("similarity"), "sparse": code_similarity(F.col("code"), asked), "recent": recency(F.col("created_at"), now_ms, settings.half_life_days),
     })
     score = settings.dense_weight * F.col("dense") + settings.sparse_weight * F.col("sparse") + settings.recency_weight * F.col("recent")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import FUNCTIONAL, MULTI, PREDICATE_KIN
@@ -20,12 +20,27 @@ def fuzzy_matches(refs: DataFrame, facts: DataFrame, least: float = 0.4) -> Data
     predicate, object): a kindred predicate, the same subject (or one that says user) and the largest overlap
     of objects, at least `least`; equal overlaps: the first position. References without one have nulls.
 
-    Candidates meet on a shared object token, not pair by pair: without one the overlap is 0.
+    Candidates meet on a shared object token, not pair by pair: without one the overlap is 0. Tokens are ranked from
+    rare to frequent. A pair that reaches `least` shares a token that is among the rarest of its smaller set, so only
+    as many of that set's rarest tokens are looked up as can't all be missed; frequent words hardly ever are.
     """
-    left = _kin(refs.where(F.col("predicate").isin(*FUNCTIONAL, *MULTI))).withColumn("_t", F.explode(long_tokens(F.col("object"))))
+    left = _kin(refs.where(F.col("predicate").isin(*FUNCTIONAL, *MULTI))).withColumn("_a", long_tokens(F.col("object")))
     right = facts.select("position", F.col("subject").alias("f_subject"), F.col("predicate").alias("_p"), F.col("object").alias("f_object"))
-    right = right.withColumn("_t", F.explode(long_tokens(F.col("f_object"))))
-    pairs = left.join(right, ["_p", "_t"]).drop("_t").dropDuplicates(["ref_id", "position"])
+    right = right.withColumn("_b", long_tokens(F.col("f_object")))
+    often = left.select(F.explode("_a").alias("_t")).union(right.select(F.explode("_b"))).groupBy("_t").agg(F.count("*").alias("_often"))
+
+    def told(rows: DataFrame, tokens: str, key: list[str]) -> DataFrame:
+        """A row for each token: its rank from the rarest in its set, the set's size, how many are looked up."""
+        each = rows.select(*key, F.size(tokens).alias("_n"), F.explode(tokens).alias("_t")).join(often, "_t")
+        rank = F.row_number().over(Window.partitionBy(*key).orderBy("_often", "_t"))
+        return each.select(*key, "_t", "_n", rank.alias("_rank"), (F.col("_n") - F.ceil(F.col("_n") * least - 1e-9) + 1).alias("_sought"))
+
+    a = told(left, "_a", ["ref_id", "_p"])
+    b = told(right, "_b", ["position", "_p"]).select("position", "_p", "_t", F.col("_n").alias("_m"), F.col("_rank").alias("_rank2"), F.col("_sought").alias("_sought2"))
+    small = a.where("_rank <= _sought").join(b, ["_p", "_t"]).where("_n <= _m")
+    large = a.join(b.where("_rank2 <= _sought2"), ["_p", "_t"]).where("_m < _n")
+    near = small.select("ref_id", "position", "_p").union(large.select("ref_id", "position", "_p")).distinct()
+    pairs = near.join(left.drop("_a"), ["ref_id", "_p"]).join(right.drop("_b"), ["position", "_p"]).dropDuplicates(["ref_id", "position"])
     same = (F.lower("subject") == F.lower("f_subject")) | F.lower("f_subject").contains("user")
     scored = pairs.where(same).withColumn("score", overlap(F.col("object"), F.col("f_object"))).where(F.col("score") >= least)
     best = scored.groupBy("ref_id").agg(F.max_by(F.struct("position", "f_object", "score"), F.struct("score", -F.col("position"))).alias("b"))
@@ -44,7 +59,37 @@ def gold_matches(gold: DataFrame, facts: DataFrame) -> DataFrame:
     pairs = _kin(gold).join(right, ["episode", "_p"])
     hit = F.col("fs").contains(F.col("subject")) & (F.col("fo").contains(F.col("object")) | F.col("object").contains(F.col("fo")))
     hits = pairs.where(hit).select("gold_id").distinct().withColumn("hit", F.lit(True))
-    return gold.join(hits, "gold_id", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    return gold.select("gold_id", "episode", "subject", "predicate", "object").join(hits, "gold_id", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+
+
+def extraction_metrics(expected: DataFrame, gold: DataFrame, raw: DataFrame) -> DataFrame:
+    """One row of figures for raw extractions (episode, raw), against what was expected of them.
+
+    expected: episode, silent (nothing should be found). gold: gold_id, episode, subject, predicate, object, trap (it
+    must not be found). valid: output that is a JSON object, with a list of facts if any; recalled of gold; trapped of traps; silence of
+    silent; extra: facts beyond the gold ones and one more, in episodes that have gold; odd: predicates outside the
+    vocabulary. Facts count as they are in the output, also those that validation would drop.
+    """
+    kind = "array<struct<subject: string, predicate: string, object: string>>"
+    told, empty = F.get_json_object("raw", "$.facts"), F.array().cast(kind)
+    good = F.from_json("raw", "map<string, string>").isNotNull()
+    listed = raw.select("episode", F.when(good & told.isNull(), empty).otherwise(F.from_json(told, kind)).alias("facts"))
+    told = expected.join(listed, "episode", "left").withColumns({"ok": F.col("facts").isNotNull(), "n": F.coalesce(F.size("facts"), F.lit(0))})
+    each = listed.select("episode", F.inline("facts"))
+    wanted = gold.where("NOT trap").groupBy("episode").agg(F.count("*").alias("wanted"))
+    told = told.join(wanted, "episode", "left").withColumn("wanted", F.coalesce("wanted", F.lit(0)))
+    by_episode = told.agg(
+        F.count_if("ok").alias("valid"), F.count("*").alias("episodes"), F.count_if(F.col("silent") & F.col("ok") & (F.col("n") == 0)).alias("silence"), F.count_if("silent").alias("silent"),
+        F.coalesce(F.sum(F.when(F.col("wanted") > 0, F.greatest(F.lit(0), F.col("n") - F.col("wanted") - 1))), F.lit(0)).alias("extra"),
+    )
+    hits = gold_matches(gold, each).join(gold.select("gold_id", "trap"), "gold_id")
+    by_gold = hits.agg(
+        F.count_if(F.col("hit") & ~F.col("trap")).alias("recalled"), F.count_if(~F.col("trap")).alias("gold"),
+        F.count_if(F.col("hit") & F.col("trap")).alias("trapped"), F.count_if("trap").alias("traps"),
+    )
+    odd = each.agg(F.count_if(~F.coalesce(F.lower("predicate"), F.lit("")).isin(*FUNCTIONAL, *MULTI)).alias("odd"))
+    one = F.lit(1).alias("_one")
+    return by_episode.select("*", one).join(by_gold.select("*", one), "_one").join(odd.select("*", one), "_one").drop("_one")
 
 
 def latency(rows: DataFrame, by: str, value: str) -> DataFrame:

@@ -3,6 +3,9 @@
 The log: tenant, seq, ts, op ('assert' or 'retract'), subject, predicate, object, confidence, source. Versions
 are derived, never updated: a functional predicate has one current object for a subject, others one version
 for each object.
+
+versions() derives them from the whole log. advance() derives what a new batch changes from the open versions alone,
+so that a tick costs as much as its batch, however long the log is.
 """
 
 from __future__ import annotations
@@ -16,12 +19,29 @@ from ..config import FUNCTIONAL, MULTI, Settings
 from .episodes import nearest
 
 KEY = ("tenant", "subject_key", "predicate", "slot")
+FACT = ("id", "tenant", "subject", "predicate", "object", "valid_from", "valid_until", "confidence", "sources", "superseded_by", "asserted", "seq")
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    rows = rows.where(F.col("predicate").isin(*FUNCTIONAL, *MULTI)).withColumns({"subject_key": F.lower("subject"), "object_key": F.lower("object")})
+    return rows.withColumn("slot", F.when(F.col("predicate").isin(*FUNCTIONAL), "").otherwise(F.col("object_key")))
+
+
+def _said(log: DataFrame) -> DataFrame:
+    """Log rows that stand for one assertion each; open versions stand for several (see _open_rows)."""
+    return log.select("tenant", "seq", "ts", "op", "subject", "predicate", "object", "confidence", F.array("source").alias("sources"), F.lit(1).cast("long").alias("times"))
+
+
+def _open_rows(facts: DataFrame) -> DataFrame:
+    """Open versions as rows of a log: each asserts its object with what was merged into it so far."""
+    return facts.where("valid_until IS NULL").select(
+        "tenant", "seq", F.col("valid_from").alias("ts"), F.lit("assert").alias("op"), "subject", "predicate", "object", "confidence", "sources", F.col("asserted").alias("times")
+    )
 
 
 def _islands(log: DataFrame) -> DataFrame:
     """The log with the version each row belongs to, without retractions that hit nothing."""
-    rows = log.where(F.col("predicate").isin(*FUNCTIONAL, *MULTI)).withColumns({"subject_key": F.lower("subject"), "object_key": F.lower("object")})
-    rows = rows.withColumn("slot", F.when(F.col("predicate").isin(*FUNCTIONAL), "").otherwise(F.col("object_key")))
+    rows = _keyed(log)
     w = Window.partitionBy(*KEY).orderBy("seq")
     asserted = F.last(F.when(F.col("op") == "assert", F.col("object_key")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("asserted", asserted).where((F.col("op") == "assert") | (F.col("asserted") == F.col("object_key")))
@@ -40,17 +60,61 @@ def versions(log: DataFrame) -> DataFrame:
     confidence to the maximum and adds sources. Another object (functional) or a retraction ends it; only an
     assertion supersedes. Names compare without case; the first spelling stays. Unknown predicates don't count.
     """
-    merged = _islands(log).groupBy(*KEY, "version").agg(
+    return _versions(_said(log))
+
+
+def _versions(said: DataFrame) -> DataFrame:
+    merged = _islands(said).groupBy(*KEY, "version").agg(
         F.min_by("op", "seq").alias("op"), F.min("seq").alias("seq"), F.min_by("subject", "seq").alias("subject"), F.min_by("object", "seq").alias("object"),
-        F.min_by("ts", "seq").alias("valid_from"), F.max("confidence").alias("confidence"), F.count("*").alias("asserted"),
-        F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("seq", "source"))), lambda x: x["source"])).alias("sources"),
+        F.min_by("ts", "seq").alias("valid_from"), F.max("confidence").alias("confidence"), F.sum("times").alias("asserted"),
+        F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "sources"))), lambda x: x["sources"]))).alias("sources"),
     )
     w = Window.partitionBy(*KEY).orderBy("version")
     fact_id = F.concat(F.lit("f"), F.col("seq").cast("string"))
     merged = merged.withColumns({"id": fact_id, "valid_until": F.lead("valid_from").over(w), "superseded_by": F.when(F.lead("op").over(w) == "assert", F.lead(fact_id).over(w))})
-    return merged.where("op = 'assert'").select(
-        "id", "tenant", "subject", "predicate", "object", "valid_from", "valid_until", "confidence", "sources", "superseded_by", "asserted", "seq"
-    )
+    return merged.where("op = 'assert'").select(*FACT)
+
+
+def _with_open(facts: DataFrame, batch: DataFrame) -> DataFrame:
+    """The batch after the open versions of the subjects and predicates that it touches."""
+    touched = _keyed(batch).select(*KEY).distinct()
+    held = _keyed(_open_rows(facts)).join(touched, list(KEY), "left_semi")
+    return held.drop("subject_key", "object_key", "slot").unionByName(_said(batch))
+
+
+def advance(facts: DataFrame, batch: DataFrame) -> DataFrame:
+    """The versions that a batch of log rows opens, closes or adds to, given the versions before it.
+
+    facts: the result of versions() or apply() over everything before; only open ones are read. Rows of the batch
+    must follow all earlier ones by seq. An open version keeps its id. A batch that touches nothing gives no rows.
+    """
+    return _versions(_with_open(facts, batch))
+
+
+def apply(facts: DataFrame, changed: DataFrame) -> DataFrame:
+    """All versions after advance(): changed ones take the place of those with their ids."""
+    return facts.join(changed.select("id"), "id", "left_anti").select(*FACT).unionByName(changed)
+
+
+def batch_actions(facts: DataFrame, batch: DataFrame) -> DataFrame:
+    """actions() of a batch, given the versions before it."""
+    return actions(_with_open(facts, batch)).join(batch.select("seq"), "seq", "left_semi")
+
+
+def seeds(references: DataFrame, start: int, now_ms: int, source: str = "seed_import") -> DataFrame:
+    """Log rows that assert reference facts (ref_id, subject, predicate, object, confidence) in the order of their
+    unique ref_id, numbered from start on; a missing confidence is 1."""
+    confidence = F.coalesce(F.col("confidence"), F.lit(1.0)) if "confidence" in references.columns else F.lit(1.0)
+    return references.select(
+        "tenant", (F.lit(start) + F.col("ref_id")).cast("long").alias("seq"), F.lit(now_ms).cast("long").alias("ts"), F.lit("assert").alias("op"),
+        "subject", "predicate", "object", confidence.cast("double").alias("confidence"), F.lit(source).alias("source"),
+    )
+
+
+def action_counts(acted: DataFrame) -> DataFrame:
+    """(action, n) for the three actions, also those that didn't come up."""
+    every = acted.sparkSession.createDataFrame([("inserted",), ("superseded",), ("duplicate",)], "action string")
+    return every.join(acted.groupBy("action").agg(F.count("*").alias("n")), "action", "left").select("action", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 def actions(log: DataFrame) -> DataFrame:
@@ -76,6 +140,12 @@ def current(facts: DataFrame, tenant: str | None = None, subject: str | None = N
     return found
 
 
+def listed(facts: DataFrame) -> DataFrame:
+    """Current facts in the order of a report, by predicate and object: position from 1 in each predicate."""
+    w = Window.partitionBy("tenant", "predicate").orderBy("object", "id")
+    return current(facts).withColumn("position", F.row_number().over(w))
+
+
 def as_of(facts: DataFrame, ms: int) -> DataFrame:
     """Facts that held at a time. (An addition: only current facts and whole histories are needed elsewhere.)"""
     return facts.where((F.col("valid_from") <= ms) & (F.col("valid_until").isNull() | (F.col("valid_until") > ms)))

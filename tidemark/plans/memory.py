@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DAY_MS, ENTITY_LABELS, ENTITY_TYPES, FUNCTIONAL, LINK_FAMILIES, MONTHS, MULTI, PREDICATE_KIN, PREDICATE_LABELS, QUESTION_PATTERNS, Settings
 from ..functions import text as X
 from ..functions import vectors as V
-from ..operators import consolidation, evaluation, extraction, graph, reports, router, salience, skills
+from ..operators import consolidation, evaluation, extraction, graph, prompts, reports, router, salience, skills
 from ..operators import episodes as E
 from ..operators import facts as K
 from ..sources import adapters as A
 from ..sources import files, read_table
+from ..sources.scratch import scratch_path, written
 from ..streaming import jobs, working
 
 NOW = A.NOW_MS
@@ -71,6 +70,13 @@ def vectors(spark: SparkSession, folder: str) -> DataFrame:
     return episodes(spark, folder).select("id", "vec_id").join(own, "vec_id").select("id", "vector")
 
 
+def fact_vectors(spark: SparkSession, folder: str, every: DataFrame) -> DataFrame:
+    own = read_table(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    size = own.agg(F.count("*").alias("size"))  # one row
+    placed = every.crossJoin(F.broadcast(size)).withColumn("vec_id", F.col("seq") % F.col("size"))
+    return placed.join(own, "vec_id").select("id", "vector")
+
+
 def codes(spark: SparkSession, folder: str) -> DataFrame:
     return episodes(spark, folder).select("id", V.sparse_code(F.col("content"), F.col("created_at")).alias("code"))
 
@@ -84,6 +90,10 @@ def _joined(column: str, by: str = ",") -> F.Column:
     return F.array_join(column, by).alias(column)
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 _EPISODES = f"episodes AS ({A.for_duckdb(A.EPISODES)})"
 _LOG = f"log AS ({A.for_duckdb(A.LOG)})"
 _NAMES = "'" + "', '".join((*FUNCTIONAL, *MULTI)) + "'"
@@ -172,11 +182,62 @@ def duplicate_merge(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_VERSIONS}, d AS (SELECT 1 FROM facts WHERE valid_until IS NULL GROUP BY tenant, skey, predicate, lower(object) HAVING count(*) > 1)
+WITH {_VERSIONS}, twice AS (SELECT * FROM facts UNION ALL SELECT * FROM facts WHERE seq % 5 = 0),
+d AS (SELECT 1 FROM twice WHERE valid_until IS NULL GROUP BY tenant, skey, predicate, lower(object) HAVING count(*) > 1)
 SELECT count(*) AS duplicates FROM d
 """)
 def duplicate_current_count(spark: SparkSession, folder: str) -> DataFrame:
-    return K.duplicate_current(facts(spark, folder))
+    """Over a table in which a fifth of the versions came in twice."""
+    every = facts(spark, folder)
+    return K.duplicate_current(every.union(every.where("seq % 5 = 0")))
+
+
+@query(f"WITH {_VERSIONS} SELECT {', '.join(_FACT_COLUMNS)} FROM facts")
+def fact_versions_incremental(spark: SparkSession, folder: str) -> DataFrame:
+    """The log in four batches by seq, each against the open versions that the ones before it left."""
+    rows = log(spark, folder)
+    most = rows.agg(F.max("seq")).first()[0] or 0
+    cuts = [most * k // 4 for k in (1, 2, 3)]
+    have = written(K.versions(rows.where(F.col("seq") <= cuts[0])), "facts")
+    for low, high in zip(cuts, [*cuts[1:], most], strict=True):
+        have = written(K.apply(have, K.advance(have, rows.where((F.col("seq") > low) & (F.col("seq") <= high)))), "facts")
+    return _fact_view(have)
+
+
+@query(f"""
+WITH {_VERSIONS}, cut AS (SELECT max(seq) * 3 // 4 AS c FROM log)
+, acted AS (
+  SELECT CASE WHEN fresh AND slot = '' AND op1 = 'assert' THEN 'superseded' WHEN fresh THEN 'inserted' ELSE 'duplicate' END AS action FROM l4, cut WHERE op = 'assert' AND seq > c
+)
+SELECT e.action, count(a.action) AS n FROM (SELECT unnest(['inserted', 'superseded', 'duplicate']) AS action) e LEFT JOIN acted a ON a.action = e.action GROUP BY e.action
+""")
+def batch_action_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Actions of the last quarter of the log, by the open versions before it."""
+    rows = log(spark, folder)
+    cut = (rows.agg(F.max("seq")).first()[0] or 0) * 3 // 4
+    have = written(K.versions(rows.where(F.col("seq") <= cut)), "facts")
+    return K.action_counts(K.batch_actions(have, rows.where(F.col("seq") > cut)))
+
+
+@query(f"""
+WITH {_VERSIONS.replace(_LOG, "log AS (SELECT * FROM (" + A.for_duckdb(A.LOG) + ") UNION ALL SELECT 't1', 1000000000 + ref_id, " + str(NOW) + ", 'assert', subject, predicate, object, 1e0, 'seed_import' FROM (" + A.for_duckdb(A.REFERENCE_FACTS) + "))")}
+, acted AS (
+  SELECT CASE WHEN fresh AND slot = '' AND op1 = 'assert' THEN 'superseded' WHEN fresh THEN 'inserted' ELSE 'duplicate' END AS action FROM l4 WHERE op = 'assert' AND seq >= 1000000000
+)
+SELECT e.action, count(a.action) AS n FROM (SELECT unnest(['inserted', 'superseded', 'duplicate']) AS action) e LEFT JOIN acted a ON a.action = e.action GROUP BY e.action
+""")
+def seed_fact_actions(spark: SparkSession, folder: str) -> DataFrame:
+    """Reference facts asserted after the log."""
+    refs = A.adapted(spark, folder, A.REFERENCE_FACTS).withColumn("tenant", F.lit("t1"))
+    return K.action_counts(K.batch_actions(facts(spark, folder), K.seeds(refs, 1_000_000_000, NOW)))
+
+
+@query(f"""
+WITH {_VERSIONS}
+SELECT id, tenant, predicate, object, row_number() OVER (PARTITION BY tenant, predicate ORDER BY object, id)::INTEGER AS position FROM facts WHERE valid_until IS NULL
+""")
+def facts_listed(spark: SparkSession, folder: str) -> DataFrame:
+    return K.listed(facts(spark, folder)).select("id", "tenant", "predicate", "object", "position")
 
 
 @query(f"""
@@ -238,15 +299,13 @@ _COSINE = "list_dot_product({0}::DOUBLE[], {1}::DOUBLE[]) / (sqrt(list_dot_produ
 WITH {_VERSIONS}, q AS (SELECT embedding FROM embeddings WHERE vec_id = {ASKED}),
 near AS (
   SELECT f.id, {_COSINE.format("e.embedding", "q.embedding")} AS similarity
-  FROM facts f JOIN embeddings e ON e.vec_id = f.seq % 500, q ORDER BY similarity DESC, f.id LIMIT 40
+  FROM facts f JOIN embeddings e ON e.vec_id = f.seq % (SELECT count(*) FROM embeddings), q ORDER BY similarity DESC, f.id LIMIT 40
 )
 SELECT f.id, round(similarity, 6) AS similarity FROM near n JOIN facts f ON f.id = n.id WHERE tenant = 't1' AND valid_until IS NULL ORDER BY n.similarity DESC, f.id LIMIT 10
 """)
 def fact_search_overfetch(spark: SparkSession, folder: str) -> DataFrame:
     every = facts(spark, folder)
-    own = read_table(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    placed = every.withColumn("vec_id", F.col("seq") % 500).join(own, "vec_id").select("id", "vector")
-    return K.search(every, placed, asked_vector(spark, folder), "t1", SETTINGS, k=10).select("id", F.round("similarity", 6).alias("similarity"))
+    return K.search(every, fact_vectors(spark, folder, every), asked_vector(spark, folder), "t1", SETTINGS, k=10).select("id", F.round("similarity", 6).alias("similarity"))
 
 
 # -- episodes ---------------------------------------------------------------------------------------
@@ -331,6 +390,11 @@ def archive_dry_run(spark: SparkSession, folder: str) -> DataFrame:
     return E.archive(episodes(spark, folder), NOW, SETTINGS).where("archive_rule IS NOT NULL").groupBy("archive_rule").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {_RULES} SELECT count(*) FILTER (WHERE NOT archived) AS decayed, count(*) FILTER (WHERE rule = 1) AS faded, count(*) FILTER (WHERE rule = 2) AS expired FROM ruled")
+def dry_run(spark: SparkSession, folder: str) -> DataFrame:
+    return E.dry_run(episodes(spark, folder), NOW, SETTINGS)
+
+
 @query(f"WITH {_RULES} SELECT r.id, len(e.embedding)::INTEGER AS dims FROM ruled r JOIN embeddings e ON e.vec_id = r.vec_id WHERE NOT archived AND rule IS NULL")
 def archive_survivors(spark: SparkSession, folder: str) -> DataFrame:
     left = E.survivors(vectors(spark, folder), E.archive(episodes(spark, folder), NOW, SETTINGS))
@@ -422,7 +486,7 @@ ORDER BY 0.7e0 * dense + 0.3e0 * (1e0 - {_APART.format("c.code", "qc.code")} / 2
 
 def _hybrid(spark: SparkSession, folder: str, mode: str) -> DataFrame:
     found = E.search(
-        episodes(spark, folder), vectors(spark, folder), codes(spark, folder), asked_vector(spark, folder), QUESTION, NOW, SETTINGS, 10, mode, tenant="t1", min_salience=0.2
+        episodes(spark, folder), vectors(spark, folder), None, asked_vector(spark, folder), QUESTION, NOW, SETTINGS, 10, mode, tenant="t1", min_salience=0.2
     )
     return found.select("id", F.round("score", 6).alias("score"))
 
@@ -447,10 +511,36 @@ def scoring_context_5(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""
 WITH {_EPISODES}
-SELECT id, count(*) OVER (PARTITION BY tenant ORDER BY created_at, id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)::INTEGER AS known, {NOW} AS last_decayed_at FROM episodes
+SELECT id, coalesce(string_agg(content, '|') OVER (PARTITION BY tenant ORDER BY created_at, id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), '') AS history, {NOW} AS last_decayed_at FROM episodes
 """)
 def import_replay(spark: SparkSession, folder: str) -> DataFrame:
-    return E.replay(episodes(spark, folder), NOW).select("id", F.size("history").alias("known"), "last_decayed_at")
+    return E.replay(episodes(spark, folder), NOW).select("id", _joined("history", "|"), "last_decayed_at")
+
+
+@query(f"""
+WITH {_EPISODES}, a AS (SELECT id, row_number() OVER (ORDER BY id) AS position FROM episodes WHERE tenant = 't1'),
+b AS (SELECT n_nationkey + 1 AS position, n_name AS label FROM nation)
+SELECT coalesce(a.position, b.position) AS position, id, label, id IS NOT NULL AND label IS NOT NULL AS paired FROM a FULL JOIN b ON a.position = b.position
+""")
+def labels_by_position(spark: SparkSession, folder: str) -> DataFrame:
+    own = episodes(spark, folder).where("tenant = 't1'").select("id", F.row_number().over(Window.orderBy("id")).cast("long").alias("position"))
+    named = read_table(spark, folder, "nation").select((F.col("n_nationkey") + 1).cast("long").alias("position"), F.col("n_name").alias("label"))
+    return E.zipped(own, named).select("position", "id", "label", "paired")
+
+
+@query(f"""
+WITH {_EPISODES}, h AS (
+  SELECT *, list(content) OVER (PARTITION BY tenant, session_id ORDER BY created_at, id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS l FROM episodes
+)
+SELECT id, {_quoted(prompts.SCORES)} || CASE WHEN l IS NULL OR len(l) = 0 THEN {_quoted(prompts.FIRST)} ELSE array_to_string(list_transform(l, lambda x: '- ' || x), chr(10)) END
+    || chr(10) || 'Message:' || chr(10) || content AS salience,
+  {_quoted(prompts.FACTS)} || tenant || {_quoted(prompts.SPEAKER)} || role || ', ' || strftime(make_timestamp(created_at * 1000), '%Y-%m-%dT%H:%M:%SZ') || '):' || chr(10) || content AS extraction
+FROM h
+""")
+def model_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    rows = E.scoring_context(episodes(spark, folder), 5)
+    extraction = prompts.extraction_prompt(F.col("content"), F.col("tenant"), F.col("role"), F.col("created_at"))
+    return rows.select("id", prompts.salience_prompt(F.col("content"), F.col("history")).alias("salience"), extraction.alias("extraction"))
 
 
 _WORKING = f"""
@@ -581,10 +671,6 @@ def _re2(pattern: str) -> str:
     return pattern
 
 
-def _quoted(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
 _TYPES = " ".join(f"WHEN regexp_matches(q, {_quoted('(?i)' + '|'.join(map(_re2, patterns)))}) THEN '{name}'" for name, patterns in QUESTION_PATTERNS)
 
 
@@ -597,16 +683,98 @@ def router_classify(spark: SparkSession, folder: str) -> DataFrame:
     return router.classified(read_table(spark, folder, "documents").select("doc_id", q.alias("q")))
 
 
-@query(f"""
-WITH {_EPISODES}
-SELECT 'episodes' AS source, id, content AS line FROM episodes WHERE tenant = 't1' AND session_id = '7'
-""")
-def routed_query(spark: SparkSession, folder: str) -> DataFrame:
-    stores = {
-        "episodes": E.matching(episodes(spark, folder), "t1", "7", include_archived=True).select("id", F.col("content").alias("line")),
-        "facts": K.current(facts(spark, folder), "t1").select("id", F.concat_ws(" ", "subject", "predicate", "object").alias("line")),
-    }
-    return router.tagged(router.fan_out("what happened yesterday?", stores))
+@query(f"WITH {_EPISODES}, s AS (SELECT id, content AS q FROM episodes) SELECT id, CASE {_TYPES} ELSE 'unknown' END AS type FROM s")
+def router_classify_turns(spark: SparkSession, folder: str) -> DataFrame:
+    return router.classified(episodes(spark, folder).select("id", F.col("content").alias("q"))).drop("q")
+
+
+#: A question of each type.
+ASKED_FOR = (
+    "where are we with it", "how to use the blue economy brand#1", "history of my jobs", "what happened yesterday", "did we talk about la le", "who is item 3", "le the vert",
+)
+SESSION, K_HITS = "7", 5
+
+
+def _code_sql(question: str) -> str:
+    """The hash code of a question asked now."""
+    tokens = _FIRST.format(_TOKENS.format(_quoted(question)))
+    at = f"DATE '1970-01-01' + ({NOW} // 86400000)::INTEGER"
+    bucket = f"year({at}) || '-W' || weekofyear({at}) || '-' || (isodow({at}) - 1) || '-' || (({NOW} // 3600000) % 24) // 4"
+    return f"""SELECT list_transform(range(7), lambda k: coalesce(m[k::INTEGER], 0)) || [('0x' || substr(md5({bucket}), 1, 8))::BIGINT] AS code
+      FROM (SELECT map(list(n::INTEGER), list(v)) AS m FROM (SELECT p // 32 AS n, sum(1::BIGINT << (p % 32))::BIGINT AS v
+        FROM (SELECT DISTINCT ('0x' || substr(md5(w), 1, 4))::BIGINT % 224 AS p FROM (SELECT unnest({tokens}) AS w)) GROUP BY ALL))"""
+
+
+def _search_sql(question: str, held: str, k: int) -> str:
+    """The best episodes for a question, filtered after the nearest."""
+    score = f"""0.7e0 * dense + 0.3e0 * (1e0 - {_APART.format("c.code", "qc.code")} / 256e0) + 0.1e0 * pow(2e0, -greatest(0e0, ({NOW} - created_at) / 86400000e0) / 30e0)"""
+    return f"""SELECT e.*, row_number() OVER (ORDER BY {score} DESC, e.id)::INTEGER AS rank
+  FROM near_episodes n JOIN episodes e ON e.id = n.id JOIN code c ON c.id = n.id, ({_code_sql(question)}) qc
+  WHERE tenant = 't1' AND NOT archived AND {held} QUALIFY rank <= {k}"""
+
+
+_DAY = "strftime(DATE '1970-01-01' + ({0} // 86400000)::INTEGER, '%Y-%m-%d')"
+_FACT_LINE = "'  • ' || subject || ' — ' || predicate || ' — ' || object || CASE WHEN valid_until IS NULL THEN '' ELSE ' [invalidé]' END"
+
+
+def _routed_sql() -> str:
+    """Lines of the answers to ASKED_FOR."""
+    parts = []
+    for n, question in enumerate(ASKED_FOR):
+        kind = router.classify(question)
+        words = sorted({w for w in question.lower().split() if len(w) > 2})
+        hits = " + ".join(f"contains(lower(name || ' ' || desc_), {_quoted(w)})::INTEGER" for w in words)
+        own = {
+            "facts": f"SELECT rank, {_FACT_LINE} || ' (score ' || printf('%.2f', similarity) || ')' AS line FROM hits",
+            "history": f"SELECT rank, {_FACT_LINE} || ' (' || {_DAY.format('valid_from')} || ')' AS line FROM past_of_hits",
+            "episodes": f"SELECT rank, '  • [' || {_DAY.format('created_at')} || '] ' || content AS line FROM ({_search_sql(question, f'session_id = {_quoted(SESSION)}', K_HITS)})",
+            "working": f"SELECT position AS rank, '  • ' || content AS line FROM items WHERE tenant = 't1' AND session_id = {_quoted(SESSION)}",
+            "procedural": f"SELECT 0 AS rank, 'Skills : ' || string_agg(name, ', ' ORDER BY h DESC, position) AS line FROM (SELECT *, {hits} AS h FROM skills WHERE {hits} > 0 ORDER BY h DESC, position LIMIT 5) HAVING count(*) > 0",
+        }
+        body = []
+        for section, name in enumerate(router.HEADINGS, 1):
+            if name in router.STORES[kind]:
+                body.append(f"SELECT ({section * 1_000_000} + rank)::INTEGER AS place, line FROM ({own[name]})")
+                if name != "procedural":
+                    body.append(f"SELECT {section * 1_000_000} AS place, {_quoted(router.HEADINGS[name])} AS line WHERE EXISTS ({own[name]})")
+        whole = " UNION ALL ".join(body)
+        parts.append(f"SELECT {n} AS question, 0 AS place, '[route : {kind}]' AS line UNION ALL SELECT {n}, place, line FROM ({whole}) UNION ALL SELECT {n}, 1, {_quoted(router.NOTHING)} WHERE NOT EXISTS ({whole})")
+    return f"""
+WITH {_EPISODES}, {_CODES}, {_VERSIONS}, q AS (SELECT embedding FROM embeddings WHERE vec_id = {ASKED}), skills AS ({A.for_duckdb(A.SKILLS)}),
+near_episodes AS (
+  SELECT e.id, {_COSINE.format("v.embedding", "q.embedding")} AS dense FROM episodes e JOIN embeddings v ON v.vec_id = e.vec_id, q ORDER BY dense DESC, e.id LIMIT 50
+), near_facts AS (
+  SELECT f.id, {_COSINE.format("e.embedding", "q.embedding")} AS similarity
+  FROM facts f JOIN embeddings e ON e.vec_id = f.seq % (SELECT count(*) FROM embeddings), q ORDER BY similarity DESC, f.id LIMIT {4 * K_HITS}
+), hits AS (
+  SELECT f.*, n.similarity, row_number() OVER (ORDER BY n.similarity DESC, f.id)::INTEGER AS rank FROM near_facts n JOIN facts f ON f.id = n.id
+  WHERE tenant = 't1' AND valid_until IS NULL QUALIFY rank <= {K_HITS}
+), pairs AS (SELECT skey, predicate, min(rank) AS first FROM hits GROUP BY ALL),
+past_of_hits AS (
+  SELECT f.*, row_number() OVER (ORDER BY first, valid_from, seq)::INTEGER AS rank FROM facts f JOIN pairs p ON p.skey = f.skey AND p.predicate = f.predicate WHERE tenant = 't1'
+), items AS (
+  SELECT *, (least(n, 5) - back + 1)::INTEGER AS position FROM (
+    SELECT *, row_number() OVER (PARTITION BY tenant, session_id ORDER BY created_at DESC, id DESC) AS back, count(*) OVER (PARTITION BY tenant, session_id) AS n FROM episodes) WHERE back <= 5
+)
+{" UNION ALL ".join(parts)}
+"""
+
+
+def memory(spark: SparkSession, folder: str) -> router.Memory:
+    every = written(facts(spark, folder), "facts")
+    known = A.adapted(spark, folder, A.SKILLS).withColumnRenamed("desc_", "desc")
+    return router.Memory(episodes(spark, folder), vectors(spark, folder), every, fact_vectors(spark, folder, every), known)
+
+
+@query(_routed_sql())
+def routed_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """The rendered answer to a question of each type."""
+    own, asked, out = memory(spark, folder), asked_vector(spark, folder), None
+    for n, question in enumerate(ASKED_FOR):
+        found = router.answer(own, question, asked, "t1", NOW, SETTINGS, SESSION, K_HITS)
+        part = router.rendered(question, found).select(F.lit(n).alias("question"), "place", "line")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 # -- skills -----------------------------------------------------------------------------------------
@@ -665,7 +833,8 @@ around AS (
 
 
 def _graph(spark: SparkSession, folder: str, build: Callable) -> DataFrame:
-    return build(facts(spark, folder), A.adapted(spark, folder, A.GRAPH_ENTITIES), "t1", SETTINGS)
+    own = written(facts(spark, folder).where("tenant = 't1'"), "graph-facts")  # several parts of the graph read them
+    return build(own, A.adapted(spark, folder, A.GRAPH_ENTITIES), "t1", SETTINGS)
 
 
 @query(f"""
@@ -695,13 +864,17 @@ def graph_concepts(spark: SparkSession, folder: str) -> DataFrame:
     return _graph(spark, folder, graph.concepts)
 
 
+_WIDE = _GRAPH.replace(_LOG, f"log AS ({A.for_duckdb(A.WIDE_LOG)})")
+
+
 @query(f"""
-WITH RECURSIVE {_GRAPH}
+WITH RECURSIVE {_WIDE}
 SELECT entity, arg_max(object_id, (valid_from, 'f:' || chain)) AS tether FROM past
 WHERE entity IS NOT NULL AND lower(entity) NOT IN (SELECT lower(object) FROM facts WHERE tenant = 't1' AND valid_until IS NULL) GROUP BY entity
 """)
 def graph_ghosts(spark: SparkSession, folder: str) -> DataFrame:
-    return _graph(spark, folder, graph.ghosts)
+    own = written(K.versions(A.adapted(spark, folder, A.WIDE_LOG)).where("tenant = 't1'"), "graph-facts")
+    return graph.ghosts(own, A.adapted(spark, folder, A.GRAPH_ENTITIES), "t1", SETTINGS)
 
 
 @query(f"""
@@ -750,15 +923,17 @@ def episode_export(spark: SparkSession, folder: str) -> DataFrame:
 WITH {_EPISODES}, {_VERSIONS}
 SELECT (SELECT count(*) FROM episodes) AS episodes, (SELECT count(*) FROM episodes WHERE consolidated_at IS NOT NULL) AS consolidated, (SELECT count(*) FROM episodes WHERE archived) AS archived,
   (SELECT count(*) FROM facts WHERE valid_until IS NULL) AS current_facts, (SELECT count(*) FROM facts WHERE valid_until IS NOT NULL) AS past_facts,
-  (SELECT count(*) FROM supplier) AS entities, (SELECT count(*) FROM part) AS skills
+  (SELECT count(*) FROM supplier) AS entities, (SELECT count(*) FROM part) AS skills,
+  (SELECT count(*) FROM (SELECT 1 FROM facts WHERE valid_until IS NULL GROUP BY tenant, skey, predicate, lower(object) HAVING count(*) > 1)) AS duplicates
 """)
 def stats(spark: SparkSession, folder: str) -> DataFrame:
     one = F.lit(1).alias("_one")
     of_episodes = episodes(spark, folder).agg(F.count("*").alias("episodes"), F.count("consolidated_at").alias("consolidated"), F.count_if("archived").alias("archived"))
-    of_facts = facts(spark, folder).agg(F.count_if(F.col("valid_until").isNull()).alias("current_facts"), F.count("valid_until").alias("past_facts"))
+    every = facts(spark, folder)
+    of_facts = every.agg(F.count_if(F.col("valid_until").isNull()).alias("current_facts"), F.count("valid_until").alias("past_facts"))
     counts = [read_table(spark, folder, t).agg(F.count("*").alias(n)) for t, n in (("supplier", "entities"), ("part", "skills"))]
     out = of_episodes.select("*", one)
-    for part in (of_facts, *counts):  # one row each
+    for part in (of_facts, *counts, K.duplicate_current(every)):  # one row each
         out = out.join(part.select("*", one), "_one")
     return out.drop("_one")
 
@@ -800,6 +975,41 @@ def gold_matches(spark: SparkSession, folder: str) -> DataFrame:
     return evaluation.gold_matches(gold, found).select("gold_id", "hit")
 
 
+@query(f"""
+WITH {_JSON}, k AS (SELECT id, CAST(id AS BIGINT) // 1000 * 8 + CAST(id AS BIGINT) % 1000 AS n FROM raw),
+told AS (SELECT j.id, json_valid(raw.raw) AS ok, coalesce(len(json_extract(j.raw, '$.facts')::JSON[]), 0) AS n FROM j JOIN raw ON raw.id = j.id),
+f AS (SELECT id, unnest(json_extract(raw, '$.facts')::JSON[]) AS f FROM j),
+g AS (SELECT id, lower(json_extract_string(f, '$.subject')) AS s, lower(json_extract_string(f, '$.predicate')) AS p, lower(json_extract_string(f, '$.object')) AS o FROM f),
+gold AS (
+  SELECT id, 's' AS s, 'has_goal' AS p, 'g' AS o, false AS trap FROM k WHERE n % 7 IN (5, 6) UNION ALL SELECT id, 't', 'knows_about', 'y', false FROM k WHERE n % 7 = 2
+  UNION ALL SELECT id, 's', 'owns', 'x', true FROM k WHERE n % 7 IN (2, 4)
+), kin AS (SELECT unnest({[k for k, v in PREDICATE_KIN.items() for _ in v]!r}) AS p, unnest({[x for v in PREDICATE_KIN.values() for x in v]!r}) AS q),
+hit AS (SELECT gold.*, EXISTS (SELECT 1 FROM kin JOIN g ON g.p = kin.q WHERE kin.p = gold.p AND g.id = gold.id AND contains(g.s, gold.s) AND (contains(g.o, gold.o) OR contains(gold.o, g.o))) AS hit FROM gold),
+wanted AS (SELECT id, count(*) AS wanted FROM gold WHERE NOT trap GROUP BY id)
+SELECT (SELECT count(*) FILTER (WHERE ok) FROM told) AS valid, (SELECT count(*) FROM told) AS episodes,
+  (SELECT count(*) FROM told JOIN k ON k.id = told.id WHERE k.n % 7 IN (3, 5) AND ok AND told.n = 0) AS silence, (SELECT count(*) FROM k WHERE n % 7 IN (3, 5)) AS silent,
+  (SELECT coalesce(sum(greatest(0, n - wanted - 1)), 0)::BIGINT FROM told JOIN wanted ON wanted.id = told.id) AS extra,
+  (SELECT count(*) FROM hit WHERE hit AND NOT trap) AS recalled, (SELECT count(*) FROM hit WHERE NOT trap) AS gold, (SELECT count(*) FROM hit WHERE hit AND trap) AS trapped,
+  (SELECT count(*) FROM hit WHERE trap) AS traps, (SELECT count(*) FROM g WHERE coalesce(p, '') NOT IN ({_NAMES})) AS odd
+""")
+def extraction_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    raw = A.adapted(spark, folder, A.RAW_EXTRACTIONS).withColumnRenamed("id", "episode")
+    n = (F.floor(F.col("episode").cast("long") / 1000) * 8 + F.col("episode").cast("long") % 1000) % 7
+    expected = raw.select("episode", n.isin(3, 5).alias("silent"))
+    sought = [("s", "has_goal", "g", False, (5, 6)), ("t", "knows_about", "y", False, (2,)), ("s", "owns", "x", True, (2, 4))]
+    each = F.array(*(F.when(n.isin(*on), F.struct(F.lit(s).alias("subject"), F.lit(p).alias("predicate"), F.lit(o).alias("object"), F.lit(t).alias("trap"))) for s, p, o, t, on in sought))
+    gold = raw.select("episode", F.posexplode(F.filter(each, lambda x: x.isNotNull())).alias("pos", "g")).select(F.concat_ws(":", "episode", "pos").alias("gold_id"), "episode", "g.*")
+    return evaluation.extraction_metrics(expected, gold, raw)
+
+
+@query(f"""
+{_RECALL} SELECT row_number() OVER (PARTITION BY b IS NULL, predicate ORDER BY object, r.ref_id)::INTEGER AS place, r.ref_id, predicate, object, b IS NOT NULL AS is_found, b[2] AS found
+FROM refs r LEFT JOIN best x ON x.ref_id = r.ref_id WHERE predicate IN ({_NAMES})
+""")
+def import_report(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.import_report(A.adapted(spark, folder, A.REFERENCE_FACTS), A.adapted(spark, folder, A.FOUND_FACTS))
+
+
 @query("SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(avg(value), 6) AS mean, max(value) AS longest FROM events GROUP BY event_type")
 def latency_stats(spark: SparkSession, folder: str) -> DataFrame:
     found = evaluation.latency(read_table(spark, folder, "events"), "event_type", "value")
@@ -815,9 +1025,6 @@ def salience_plausibility(spark: SparkSession, folder: str) -> DataFrame:
     return evaluation.plausibility(episodes(spark, folder).withColumn("expected", F.when(F.col("role") == "user", "high").otherwise("low")))
 
 
-_DAY = "strftime(DATE '1970-01-01' + ({0} // 86400000)::INTEGER, '%Y-%m-%d')"
-
-
 @query(f"""
 WITH {_EPISODES}, {_VERSIONS}
 SELECT id, '  • [' || {_DAY.format("created_at")} || '] ' || content AS line FROM episodes WHERE tenant = 't1'
@@ -826,7 +1033,7 @@ SELECT id, '  • ' || subject || ' — ' || predicate || ' — ' || object || C
 """)
 def answer_lines(spark: SparkSession, folder: str) -> DataFrame:
     own = reports.episode_lines(E.matching(episodes(spark, folder), "t1", include_archived=True))
-    return own.union(reports.history_lines(facts(spark, folder).where("tenant = 't1'")))
+    return own.select("id", "line").union(reports.history_lines(facts(spark, folder).where("tenant = 't1'")).select("id", "line"))
 
 
 @query(f"""
@@ -840,38 +1047,67 @@ def health(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_EPISODES}, {_VERSIONS}, e AS (SELECT *, CASE WHEN role = 'user' THEN 'fact' ELSE 'noise' END AS kind FROM episodes)
+WITH {_EPISODES}, {_CODES}, {_VERSIONS}, q AS (SELECT embedding FROM embeddings WHERE vec_id = {ASKED}),
+near_episodes AS (
+  SELECT e.id, {_COSINE.format("v.embedding", "q.embedding")} AS dense FROM episodes e JOIN embeddings v ON v.vec_id = e.vec_id, q ORDER BY dense DESC, e.id LIMIT 50
+), near_facts AS (
+  SELECT f.id, {_COSINE.format("e.embedding", "q.embedding")} AS similarity
+  FROM facts f JOIN embeddings e ON e.vec_id = f.seq % (SELECT count(*) FROM embeddings), q ORDER BY similarity DESC, f.id LIMIT {4 * K_HITS}
+), e AS (SELECT *, CASE WHEN role = 'user' THEN 'fact' ELSE 'noise' END AS kind FROM episodes)
 SELECT 'one current value' AS "check", NOT EXISTS (SELECT 1 FROM facts WHERE valid_until IS NULL AND slot = '' GROUP BY tenant, skey, predicate HAVING count(*) > 1) AS ok
 UNION ALL SELECT 'closed when superseded', NOT EXISTS (SELECT 1 FROM facts WHERE superseded_by IS NOT NULL AND valid_until IS NULL)
 UNION ALL SELECT 'no duplicates', NOT EXISTS (SELECT 1 FROM facts WHERE valid_until IS NULL GROUP BY tenant, skey, predicate, lower(object) HAVING count(*) > 1)
 UNION ALL SELECT 'noise stays out', count(*) FILTER (WHERE kind = 'noise' AND consolidated_at IS NOT NULL AND NOT extraction_failed) <= 0.2 * count(*) FILTER (WHERE kind = 'noise') FROM e
 UNION ALL SELECT 'salience sets apart', count(*) FILTER (WHERE kind = 'fact' AND salience >= 0.6) >= 0.7 * count(*) FILTER (WHERE kind = 'fact')
   AND count(*) FILTER (WHERE kind = 'noise' AND salience < 0.6) >= 0.7 * count(*) FILTER (WHERE kind = 'noise') FROM e
+UNION ALL SELECT 'one workplace', count(*) FILTER (WHERE valid_until IS NULL) = 1 AND count(*) FILTER (WHERE valid_until IS NULL AND contains(lower(object), 'item')) = 1
+  FROM facts WHERE tenant = 't1' AND skey = 'user_7' AND predicate = 'works_at'
+UNION ALL SELECT 'a workplace before', count(*) >= 2 AND count(*) FILTER (WHERE valid_until IS NOT NULL AND superseded_by IS NOT NULL AND contains(lower(object), 'item 1')) > 0
+  FROM facts WHERE tenant = 't1' AND skey = 'user_7' AND predicate = 'works_at'
+UNION ALL SELECT 'a home before', count(*) >= 2 AND count(*) FILTER (WHERE valid_until IS NOT NULL AND contains(lower(object), 'item')) > 0
+  FROM facts WHERE tenant = 't1' AND skey = 'user_7' AND predicate = 'lives_in'
+UNION ALL SELECT 'owned: ' || part, count(*) FILTER (WHERE valid_until IS NULL AND contains(lower(object), part)) > 0
+  FROM (SELECT unnest(['item 1', 'item 77']) AS part) LEFT JOIN facts ON tenant = 't1' AND skey = 'user_7' AND predicate = 'owns' GROUP BY part
+UNION ALL SELECT 'search keeps to its window', count(*) > 0 AND count(*) FILTER (WHERE created_at BETWEEN {WINDOW[0]} AND {WINDOW[1]}) = count(*)
+  FROM ({_search_sql("le the vert", f"created_at BETWEEN {WINDOW[0]} AND {WINDOW[1]}", K_HITS)})
+UNION ALL SELECT 'open questions ask both stores', (SELECT count(*) > 0 FROM ({_search_sql("item 3", "true", K_HITS)}))
+  AND (SELECT count(*) FROM (SELECT f.* FROM near_facts n JOIN facts f ON f.id = n.id WHERE tenant = 't1' AND valid_until IS NULL ORDER BY n.similarity DESC, f.id LIMIT {K_HITS})
+    WHERE contains(skey, 'item') OR contains(lower(object), 'item')) > 0
 """)
 def acceptance_checks(spark: SparkSession, folder: str) -> DataFrame:
     kinds = episodes(spark, folder).withColumn("kind", F.when(F.col("role") == "user", "fact").otherwise("noise"))
-    return reports.acceptance(kinds, facts(spark, folder), SETTINGS)
+    own, asked = memory(spark, folder), asked_vector(spark, folder)
+    wanted = [
+        ("one workplace", "only", "works_at", "item"), ("a workplace before", "past", "works_at", "item 1"), ("a home before", "ended", "lives_in", "item"),
+        ("owned: item 1", "held", "owns", "item 1"), ("owned: item 77", "held", "owns", "item 77"),
+    ]
+    table = spark.createDataFrame([(c, k, "t1", "user_7", p, o) for c, k, p, o in wanted], "check string, kind string, tenant string, subject string, predicate string, part string")
+    early = E.search(own.episodes, own.vectors, None, asked, "le the vert", NOW, SETTINGS, K_HITS, tenant="t1", window=WINDOW)
+    both = router.answer(own, "item 3", asked, "t1", NOW, SETTINGS, k=K_HITS)
+    checks = [
+        reports.acceptance(kinds, own.facts, SETTINGS), reports.expectations(own.facts, table), reports.window_check(early, WINDOW),
+        reports.both_check(router.classify("item 3"), both["episodes"], both["facts"], "item"),
+    ]
+    out = checks[0]
+    for part in checks[1:]:
+        out = out.union(part)
+    return out
 
 
 @query()
 def run_once_report(spark: SparkSession, folder: str) -> DataFrame:
     said = F.concat(F.lit("I works_at item "), F.col("turn_").cast("string"), F.lit("."))
-    rows = episodes(spark, folder).withColumn("turn_", F.col("vec_id") % 8).withColumn("content", F.when(F.col("role") == "user", said).otherwise(F.col("content")))
+    rows = episodes(spark, folder).withColumn("turn_", F.col("id").cast("long") % 8).withColumn("content", F.when(F.col("role") == "user", said).otherwise(F.col("content")))
     return consolidation.run_once(rows, log(spark, folder), NOW, SETTINGS).report
 
 
-def _scratch(spark: SparkSession) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tidemark-")
-    return f"{top}/stream-{uuid.uuid4().hex}"
-
-
 @query(_WORKING)
 def stream_working_memory(spark: SparkSession, folder: str) -> DataFrame:
     path = f"{folder}/conversations.parque[t]"  # a pattern: the table may be one file
     schema = read_table(spark, folder, "conversations").schema
     names = {"conversations": spark.readStream.schema(schema).parquet(path)}
-    turns = spark.sql(A.spelt(A.EPISODES, A.SPARK), **names)
-    to = _scratch(spark)
+    turns = spark.sql(A.spelt(A.TURNS, A.SPARK), **names)
+    to = scratch_path(spark, "stream")
     jobs.keep_batches(working.last_items(turns), f"{to}/out", f"{to}/checkpoint").awaitTermination()
     kept = spark.read.schema(T._parse_datatype_string(working.OUT + ", batch int")).parquet(f"{to}/out")
     latest = kept.groupBy("tenant", "session_id").agg(F.max("batch").alias("batch"))

@@ -20,7 +20,7 @@ _H = "CAST((conv_id * 7919 + turn * 104729 + {k} * 1299709) % 1000 AS DOUBLE) /
 _OPEN = "(conv_id + turn) % 11 = 0"
 _AT = f"{BASE_MS} + (conv_id % 100) * 103680000 + turn * 600000"
 
-EPISODES = f"""
+TURNS = f"""
 SELECT CAST(conv_id * 1000 + turn AS STRING) AS id, concat('t', CAST(conv_id % 3 AS STRING)) AS tenant, {_AT} AS created_at,
   CAST(conv_id AS STRING) AS session_id, role, text AS content,
   CASE WHEN {_OPEN} THEN 0.5e0 ELSE {_H.format(k=1)} END AS salience,
@@ -30,9 +30,13 @@ SELECT CAST(conv_id * 1000 + turn AS STRING) AS id, concat('t', CAST(conv_id % 3
   CASE WHEN (conv_id + turn) % 3 = 0 THEN {_AT} + 86400000 END AS last_decayed_at,
   CASE WHEN (conv_id * 3 + turn) % 5 = 0 THEN {_AT} + 7200000 END AS consolidated_at,
   (conv_id + turn) % 37 = 0 AS extraction_failed, (conv_id + 2 * turn) % 29 = 0 AS archived,
-  @ARRAY(concat('item ', CAST(conv_id % 20 AS STRING)), concat('Item ', CAST(turn AS STRING))) AS entity_refs, (conv_id * 8 + turn) % 500 AS vec_id
+  @ARRAY(concat('item ', CAST(conv_id % 20 AS STRING)), concat('Item ', CAST(turn AS STRING))) AS entity_refs
 FROM {{conversations}}
 """
+#: Turns, each with the number of a vector; all vectors take part, however many there are.
+EPISODES = f"""
+SELECT t.*, (CAST(session_id AS BIGINT) * 8 + CAST(id AS BIGINT) % 1000) % (SELECT count(*) FROM {{embeddings}}) AS vec_id FROM ({TURNS}) t
+"""
 LOG = f"""
 SELECT concat('t', CAST(user_id % 3 AS STRING)) AS tenant, event_id AS seq, @EPOCH_MS(ts) AS ts,
   CASE WHEN event_id % 17 = 0 THEN 'retract' ELSE 'assert' END AS op,
@@ -42,6 +46,13 @@ SELECT concat('t', CAST(user_id % 3 AS STRING)) AS tenant, event_id AS seq, @EPO
   least(value / 500, 1e0) AS confidence, concat('e', CAST(event_id AS STRING)) AS source
 FROM {{events}}
 """
+#: A log of one-valued facts with so many different objects that earlier ones are current nowhere.
+WIDE_LOG = """
+SELECT concat('t', CAST(user_id % 3 AS STRING)) AS tenant, event_id AS seq, @EPOCH_MS(ts) AS ts, 'assert' AS op, concat('user_', CAST(user_id % 6 AS STRING)) AS subject,
+  CASE WHEN event_id % 2 = 0 THEN 'works_at' ELSE 'lives_in' END AS predicate, concat('item ', CAST(event_id % 997 AS STRING)) AS object, 1e0 AS confidence,
+  concat('e', CAST(event_id AS STRING)) AS source
+FROM {events}
+"""
 ENTITIES = f"""
 SELECT concat('t', CAST(s_suppkey % 3 AS STRING)) AS tenant, s_name AS canonical_name,
   @ARRAY(concat('Sup ', CAST(s_suppkey AS STRING)), concat('s', CAST(s_suppkey % 20 AS STRING))) AS aliases,
@@ -59,7 +70,7 @@ GRAPH_ENTITIES = f"""
 SELECT concat('t', CAST(p_partkey % 3 AS STRING)) AS tenant, concat('Item ', CAST(CAST(floor(p_partkey / 3) AS BIGINT) AS STRING)) AS canonical_name,
   @ARRAY(p_brand) AS aliases, CASE p_partkey % 4 WHEN 0 THEN 'person' WHEN 1 THEN 'org' WHEN 2 THEN 'place' END AS entity_type,
   {BASE_MS} + p_partkey AS first_seen, {BASE_MS} + p_partkey AS last_seen, CAST(p_partkey % 5 AS BIGINT) AS episode_count
-FROM {{part}} WHERE p_partkey < 24
+FROM {{part}}
 """
 MENTIONS = """
 SELECT concat('t', CAST(user_id % 3 AS STRING)) AS tenant, concat(CASE WHEN event_id % 2 = 0 THEN 'Client ' ELSE 'client ' END, CAST(user_id % 30 AS STRING)) AS name,
@@ -96,13 +107,13 @@ FROM {part}
 """
 USES = """
 SELECT concat('skill_', CAST(l_suppkey AS STRING)) AS name, l_orderkey * 10 + l_linenumber AS seq, l_orderkey AS ts, l_quantity > 20 AS success
-FROM {lineitem} WHERE l_returnflag = 'A'
+FROM {lineitem}
 """
 REFERENCE_FACTS = """
 SELECT c_custkey AS ref_id, concat('user_', CAST(c_custkey % 150 AS STRING)) AS subject,
   CASE c_custkey % 5 WHEN 0 THEN 'works_at' WHEN 1 THEN 'lives_in' WHEN 2 THEN 'has_goal' WHEN 3 THEN 'owns' ELSE 'loves' END AS predicate,
   concat('Machine ', c_mktsegment, CASE WHEN c_custkey % 2 = 0 THEN ' big one' ELSE '' END) AS object
-FROM {customer} WHERE c_custkey < 400
+FROM {customer}
 """
 FOUND_FACTS = """
 SELECT s_suppkey AS position, CASE WHEN s_suppkey % 3 = 0 THEN 'the user' ELSE concat('User_', CAST(s_suppkey % 150 AS STRING)) END AS subject,

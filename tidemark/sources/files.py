@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,10 +53,43 @@ def with_tenant(rows: DataFrame, default: str = "user") -> DataFrame:
     return rows.withColumn("tenant", F.coalesce("tenant", F.lit(default)) if "tenant" in rows.columns else F.lit(default))
 
 
+def append_raw(output: DataFrame, path: str, model: str, prompt: str) -> None:
+    """Appends raw model output (id, kind, raw) as JSON lines, so that it can be read again without the model."""
+    output.select(F.lit(model).alias("model"), F.lit(prompt).alias("prompt"), "id", "kind", "raw").write.mode("append").json(path)
+
+
+def read_raw(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("model string, prompt string, id string, kind string, raw string").json(path)
+
+
+def read_references(spark: SparkSession, path: str, tenant: str) -> DataFrame:
+    """Reference facts from JSON lines, numbered in the order of the file: ref_id, tenant, subject, predicate, object,
+    confidence. Lines that can't be read, or lack one of the three names, are left out."""
+    rows = spark.read.schema("subject string, predicate string, object string, confidence double").json(path)
+    found = rows.where("subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL")
+    return found.select(F.monotonically_increasing_id().alias("ref_id"), F.lit(tenant).alias("tenant"), "subject", "predicate", "object", "confidence")
+
+
+def mark(spark: SparkSession, path: str, phase: str, now_ms: int, done: int = 0, total: int = 0, remaining_s: int | None = None) -> None:
+    """Replaces the one-row status of a worker under path: its phase, progress and time. A reader sees the last."""
+    row = spark.createDataFrame([(phase, now_ms, done, total, remaining_s)], "phase string, at_ms long, done int, total int, remaining_s int")
+    row.coalesce(1).write.mode("overwrite").json(path)
+
+
+def last_mark(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("phase string, at_ms long, done int, total int, remaining_s int").json(path)
+
+
+def reset(spark: SparkSession, schemas: dict[str, str], path: str) -> None:
+    """Empty tables under path in place of those of the names given; nothing else there is touched."""
+    for name, schema in schemas.items():
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
 def alive(rows: DataFrame) -> bool:
-    """Whether a table can be read."""
+    """Whether a table can be read; false if its files are missing or can't be opened."""
     try:
         rows.limit(1).collect()
-    except Exception:  # noqa: BLE001 - any failure means that it can't
+    except (AnalysisException, PySparkException, Py4JJavaError):
         return False
     return True

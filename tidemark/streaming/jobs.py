@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from ..operators import episodes as E
 from ..operators import salience as S
 from ..operators.consolidation import Run, run_once
 from ..operators.providers import Local, Provider, scored_text
+from ..sources.files import mark
 
 
 def deduplicated(rows: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -43,8 +45,30 @@ def keep_batches(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return rows.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def consolidation_tick(read: Callable[[], tuple[DataFrame, DataFrame]], write: Callable[[Run], None], now_ms: int, settings: Settings | None = None) -> Run:
-    """One tick: reads (episodes, log), runs once, hands the new log rows on. A scheduler calls it."""
-    run = run_once(*read(), now_ms, settings)
+def remaining_seconds(durations: list[float], done: int, total: int) -> int | None:
+    """What is left of a run by the mean time of what is done; None before anything is."""
+    return round(sum(durations) / len(durations) * (total - done)) if durations else None
+
+
+def dump_due(now_ms: int, last_ms: int | None) -> bool:
+    """Whether the monthly dump (from 03:00 UTC of the first day on) hasn't run in the month of now."""
+    now = datetime.fromtimestamp(now_ms / 1000, UTC)
+    start = now.replace(day=1, hour=3, minute=0, second=0, microsecond=0)
+    return now >= start and (last_ms is None or last_ms < start.timestamp() * 1000)
+
+
+def consolidation_tick(
+    read: Callable[[], tuple[DataFrame, DataFrame]], write: Callable[[Run], None], now_ms: int, settings: Settings | None = None, status: str | None = None
+) -> Run:
+    """One tick: reads (episodes, log), runs once, hands the new log rows on. A scheduler calls it.
+
+    status: a path that says what the worker does; after the run it tells when that was.
+    """
+    episodes, log = read()
+    if status:
+        mark(episodes.sparkSession, status, "extracting", now_ms)
+    run = run_once(episodes, log, now_ms, settings)
     write(run)
+    if status:
+        mark(episodes.sparkSession, status, "idle", now_ms)
     return run
