@@ -1,72 +1,23 @@
-"""What several operators share: scratch tables, table access and row batches."""
+"""What several operators share: scratch tables, joins on skewed keys and row batches."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import TIDY, written
+
+__all__ = ["BYTES", "OFTEN", "TIDY", "joined", "per_batch", "sliced", "written"]
+
 #: Bytes of text that a task turns into rows at a time.
 BYTES = 2 << 20
 #: Keys of a join that are looked up in a broadcast table, at most.
 OFTEN = 1_000
-#: Lets shuffle files go as soon as their query has ended.
-TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: The folder of scratch tables inside spark.checkpoint.dir.
-SCRATCH = "tidemark-scratch"
-_cleaned: set[str] = set()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it.
-
-    Only a session on one machine that names none (a test) gets a temporary folder.
-    """
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not folder:
-        if not sc.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="tidemark-")
-        sc.setCheckpointDir(folder)
-        folder = sc.getCheckpointDir()
-    return folder
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The rows of df as a table in the shared folder.
-
-    It cuts the lineage, so a lost executor costs no more than the tasks that read on from here. Shuffle files of
-    the query go when it is written, the application's scratch folder when the driver ends.
-    """
-    spark = df.sparkSession
-    top = f"{shared_dir(spark)}/{SCRATCH}/{spark.sparkContext.applicationId}"
-    if top not in _cleaned:
-        _cleaned.add(top)
-        atexit.register(_remove, spark, top)
-    path = f"{top}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(TIDY, "false")
-    spark.conf.set(TIDY, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(TIDY, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    sc = spark.sparkContext
-    if sc._jsc is None or sc._jsc.sc().isStopped():
-        return
-    where = sc._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def joined(large: DataFrame, small: DataFrame, on: list[str], count: str = "n") -> DataFrame:

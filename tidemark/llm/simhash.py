@@ -583,7 +583,8 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float | None = 0.8, wo
     Rows without an id belong to no group and stay. Rows that share an id are rows of their own. Columns go
     through, whatever their names and types.
     """
-    marked = _marked(docs, docs.columns, width, words, similarity, "doc_id", "text")
+    others = [c for c in docs.columns if c != "text"]  # the text is there already
+    marked = _marked(docs, others, width, words, similarity, "doc_id", "text")
     heads = _rooted(marked, width, words, similarity, radius).where("first_id = component_id").select("node", "root", F.col("first_id").alias("head"), "n")
     first = written(joined(marked.select("row_id", "node", "doc_id"), heads, ["node"]).where("doc_id = head").select("row_id", "root"), "first")
     count = written(first.groupBy("root").agg(F.count("*").alias("n"), F.min("row_id").alias("row_id")), "count")
@@ -592,4 +593,5 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float | None = 0.8, wo
     order = F.struct("text", F.to_json("row").alias("other"), "row_id")
     best = marked.join(tied, "row_id").groupBy("root").agg(F.min_by("row_id", order).alias("row_id"))
     kept = count.where("n = 1").select("row_id").union(best.select("row_id")).union(marked.where("doc_id is null").select("row_id"))
-    return marked.join(kept, "row_id", "left_semi").select(*(F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(docs.columns)))
+    found = marked.select("row_id", "text", "row").join(kept, "row_id", "left_semi")
+    return found.select(*(F.col("text") if c == "text" else F.col("row")[f"c{others.index(c)}"].alias(c) for c in docs.columns))
