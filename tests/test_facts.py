@@ -97,3 +97,39 @@ def test_upsert(spark):
     got = {r.tenant: r for r in K.upsert_entities(spark.createDataFrame(rows, schema)).collect()}
     assert got["a"].asDict() == {"tenant": "a", "canonical_name": "Acme", "entity_type": "org", "first_seen": 5, "last_seen": 9, "episode_count": 2, "aliases": ["AC", "A-Corp"]}
     assert got["b"].aliases == [] and got["b"].entity_type is None
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_batches_give_what_the_whole_log_gives(spark, seed):
+    """Batch by batch from open versions, with the versions and actions of the whole log."""
+    r = random.Random(seed)
+    rows = [
+        (r.choice(["assert", "assert", "assert", "retract"]), r.choice(["U", "u", "V"]), r.choice(["works_at", "lives_in", "owns", "unheard_of"]), r.choice(["A", "a", "B", "c"]), r.random())
+        for _ in range(120)
+    ]
+    log = made(spark, rows)
+    cuts = sorted(r.sample(range(1, 119), 5))
+    have, acts = K.versions(log.where("seq < 0")), []
+    for low, high in zip([0, *cuts], [*cuts, 120], strict=True):
+        batch = log.where(f"seq >= {low} AND seq < {high}")
+        acts += K.batch_actions(have, batch).collect()
+        rows_ = K.apply(have, K.advance(have, batch)).collect()
+        have = spark.createDataFrame(rows_, have.schema)
+    assert sorted(map(tuple, have.collect())) == sorted(map(tuple, K.versions(log).select(*K.FACT).collect()))
+    assert sorted(map(tuple, acts)) == sorted(map(tuple, K.actions(log).collect()))
+    assert K.advance(have, log.where("seq < 0")).count() == 0
+
+
+def test_only_open_versions_of_touched_pairs_are_read(spark):
+    before = K.versions(made(spark, [("assert", "u", "works_at", "A", 0.5), ("assert", "u", "owns", "x", 0.5), ("assert", "v", "works_at", "B", 0.5)]))
+    batch = made(spark, [("assert", "U", "works_at", "C", 0.9)] * 4).where("seq = 3")
+    assert {x.object for x in K.advance(before, batch).collect()} == {"A", "C"}
+    assert {(x.id, x.valid_until, x.superseded_by) for x in K.apply(before, K.advance(before, batch)).collect()} == {("f0", 3000, "f3"), ("f1", None, None), ("f2", None, None), ("f3", None, None)}
+
+
+def test_seeds(spark):
+    refs = spark.createDataFrame([(0, "a", "u", "works_at", "A", None), (1, "a", "u", "works_at", "B", 0.4), (2, "a", "U", "works_at", "b", 0.9)], "ref_id long, tenant string, subject string, predicate string, object string, confidence double")
+    log = K.seeds(refs, 100, 7)
+    assert [(x.seq, x.ts, x.confidence, x.source) for x in log.orderBy("seq").collect()] == [(100, 7, 1.0, "seed_import"), (101, 7, 0.4, "seed_import"), (102, 7, 0.9, "seed_import")]
+    assert {x.action: x.n for x in K.action_counts(K.batch_actions(K.versions(log.limit(0)), log)).collect()} == {"inserted": 1, "superseded": 1, "duplicate": 1}
+    assert [(x.object, x.position) for x in K.listed(K.versions(log)).collect()] == [("B", 1)]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import pathlib
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -166,6 +168,81 @@ def test_consolidation(spark):
     assert [tuple(r) for r in again.assertions.collect()] == [tuple(r) for r in run.assertions.collect()]
 
 
+def test_model_is_asked_once(spark, tmp_path):
+    """However often a run's results are read; an extraction that fails is tried twice and then marked."""
+
+    class Counting(providers.Local):
+        """Writes a file for each call, as calls come from several processes; texts that say fail give no JSON."""
+
+        def __init__(self, folder):
+            self.folder = folder
+
+        def _called(self, kind):
+            (pathlib.Path(self.folder) / f"{kind}-{uuid.uuid4().hex}").touch()
+
+        def score(self, text, history):
+            self._called("score")
+            return json.dumps({"surprise": 1, "arousal": 1, "self_ref": 1, "recurrence": 1})
+
+        def extract(self, text, subject):
+            self._called("extract")
+            return "sorry" if "fail" in text else super().extract(text, subject)
+
+    old = NOW - 2 * S.consolidation_delay_ms
+    rows = episodes(spark, {"content": "I works_at Acme.", "created_at": old}, {"content": "will fail", "created_at": old}, {"content": "I owns a cat", "created_at": old, "surprise": 0.1, "salience": 0.9})
+    log = spark.createDataFrame([("a", 1, 5, "assert", "a", "works_at", "Old", 0.5, "e")], "tenant string, seq long, ts long, op string, subject string, predicate string, object string, confidence double, source string")
+    run = consolidation.run_once(rows, log, NOW, S, Counting(str(tmp_path)))
+    for table in (run.scores, run.outcomes, run.assertions, run.mentions, run.changed, run.episodes, run.report, run.report):
+        table.collect()
+    assert len(list(tmp_path.glob("score-*"))) == 2 and len(list(tmp_path.glob("extract-*"))) == 4
+    assert {(r.id, r.failed) for r in run.outcomes.collect()} == {("0", False), ("1", True), ("2", False)}
+    assert {r.id for r in run.episodes.where("extraction_failed AND consolidated_at IS NOT NULL").collect()} == {"1"}
+    assert {(r.object, r.superseded_by) for r in run.changed.collect()} == {("Old", "f2"), ("Acme", None), ("a cat", None)} or run.report.first().superseded == 1
+    assert run.raw.where("kind = 'extract'").count() == 3
+    files.append_raw(run.raw, f"{tmp_path}/raw", "local", "p1")
+    assert files.read_raw(spark, f"{tmp_path}/raw").where("kind = 'score' AND model = 'local'").count() == 2
+
+
+def test_intake(spark):
+    rows = spark.createDataFrame([("1", "a", "s", "user", "hello there", NOW), ("2", "a", "s", "robot", "x", NOW), ("3", "a", "s", "user", "", NOW)], "id string, tenant string, session_id string, role string, content string, created_at long")
+    (one,) = E.taken_in(rows, lambda r: providers.embedded(r, "content", providers.Local())).collect()
+    assert (one.id, one.salience, one.surprise, one.decay_state, one.archived, len(one.code), len(one.vector)) == ("1", 0.5, None, 1.0, False, 8, 64)
+    assert one.vector == pytest.approx(providers.Local().embed(["hello there"])[0], abs=1e-6)
+
+
+@pytest.mark.parametrize(("q", "k", "salience"), [("", 5, None), ("x" * 4001, 5, None), ("x", 0, None), ("x", 101, None), ("x", 5, 1.5), ("x", 5, -0.1)])
+def test_parameters(q, k, salience):
+    with pytest.raises(ValueError):
+        E.checked(q, k, salience)
+    E.checked("x" * 4000, 100, 1.0)
+
+
+def test_replay_in_blocks(spark):
+    rows = episodes(spark, *({"created_at": NOW + (k * 37) % 50, "content": f"c{k}", "tenant": "ab"[k % 7 == 0]} for k in range(60)))
+    plain = rows.collect()
+    for blocks in (2, 5, 40):
+        for x in E.replay(rows, NOW, 5, blocks).collect():
+            before = sorted((y.created_at, y.id, y.content) for y in plain if y.tenant == x.tenant and (y.created_at, y.id) < (x.created_at, x.id))
+            assert x.history == [c for _, _, c in before[-5:]]
+    assert E.replay(rows.limit(0), NOW).count() == 0
+
+
+def test_worker_marks(spark, tmp_path):
+    assert jobs.remaining_seconds([], 0, 4) is None and jobs.remaining_seconds([10, 20], 2, 6) == 60
+    assert [jobs.dump_due(NOW, last) for last in (None, NOW - 40 * DAY_MS, NOW - DAY_MS)] == [True, True, False]
+    files.mark(spark, f"{tmp_path}/status", "extracting", NOW, 1, 4, 30)
+    files.mark(spark, f"{tmp_path}/status", "idle", NOW + 1)
+    assert [tuple(r) for r in files.last_mark(spark, f"{tmp_path}/status").select("phase", "at_ms", "done").collect()] == [("idle", NOW + 1, 0)]
+    files.reset(spark, {"notes": "id string"}, str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/notes").count() == 0 and files.last_mark(spark, f"{tmp_path}/status").count() == 1
+    assert files.alive(spark.read.parquet(f"{tmp_path}/notes")) and not files.alive(spark.read.schema("id string").parquet(f"{tmp_path}/notes").where("raise_error('x') IS NULL").union(spark.range(1).selectExpr("raise_error('gone')")))
+
+
+def test_references(spark, tmp_path):
+    (tmp_path / "refs.jsonl").write_text('{"subject": "u", "predicate": "owns", "object": "x", "confidence": 0.5}\nnot json\n{"subject": "u", "predicate": "owns", "object": "y"}\n{"subject": "u"}\n')
+    assert [(r.object, r.confidence, r.tenant) for r in files.read_references(spark, f"{tmp_path}/refs.jsonl", "t").orderBy("ref_id").collect()] == [("x", 0.5, "t"), ("y", None, "t")]
+
+
 def test_evaluation(spark):
     refs = spark.createDataFrame([(1, "u", "owns", "red bike"), (2, "u", "lives_in", "Rome"), (3, "u", "loves", "tea")], "ref_id long, subject string, predicate string, object string")
     facts = spark.createDataFrame([(1, "the user", "has_attribute", "a red car"), (2, "U", "owns", "bike red one"), (3, "v", "lives_in", "Rome")], "position long, subject string, predicate string, object string")
