@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import collections
+import hashlib
+import json
 import zlib
+from array import array
 
+import numpy as np
 import pytest
 from oracle import assert_same, views
 
@@ -37,16 +42,105 @@ def test_op2(spark, sf_dir):
     assert got == {i: (f"{fps[i]:016x}", find(i)) for i in fps}
 
 
-def test_op1_op4_op8_op10_shapes(spark, sf_dir):
-    n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
-    counts = {r.doc_id: r.n_tokens for r in QUERIES["op4_token_counts"](spark, sf_dir).collect()}
+@pytest.fixture(scope="module")
+def tokenizer():
+    """The vocabulary as a unigram model of the tokenizer's own library."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    with open(pieces.default_path(), "rb") as f:
+        model = pb.ModelProto.FromString(f.read())
+    model.trainer_spec.model_type = pb.TrainerSpec.UNIGRAM
+    for piece, score in zip(model.pieces, pieces.load().scores, strict=True):
+        piece.score = score
+    return sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+
+
+def test_op4_op8_against_the_tokenizer(spark, sf_dir, tokenizer):
+    """Every row of both queries: ids of whole texts from the library, scores as sums over them; n best from changes."""
+    v, texts = pieces.load(), dict(views(sf_dir).sql("SELECT doc_id, text FROM documents").fetchall())
+    ids = {i: tokenizer.encode(t or "", num_threads=1) for i, t in texts.items()}
+    known, unknown = set(v.plain), {}
+
+    def score(found, text):
+        """A character without a piece costs once, however many bytes it has."""
+        of_bytes = sum(k not in known for k in found)
+        if of_bytes:
+            single = {v.pieces[k] for k in v.plain if len(v.pieces[k]) == 1}
+            unknown[text] = sum(c not in single for c in text.replace(" ", "▁"))
+        return sum(v.scores[k] for k in found if k in known) + (unknown.get(text, 0) * v.unknown if of_bytes else 0)
+
+    expected = {i: (len(x), score(x, texts[i])) for i, x in ids.items()}
+    assert {r.doc_id: (r.n_tokens, r.score) for r in QUERIES["op4_token_counts"](spark, sf_dir).collect()} == expected
     best = QUERIES["op8_sentencepiece"](spark, sf_dir).collect()
-    assert len(best) == n and all(r.round_trip and r.n_pieces == counts[r.doc_id] and r.scores == sorted(r.scores, reverse=True) for r in best)
+    assert len(best) == len(texts)
+    for r in best:
+        assert (r.n_pieces, r.score) == expected[r.doc_id] and r.round_trip
+        assert r.ids_sha256 == hashlib.sha256(array("i", ids[r.doc_id]).tobytes()).hexdigest()
+        assert r.scores[0] == r.score and r.scores == sorted(r.scores, reverse=True)
+        seen = set()
+        for rank, changes in enumerate(json.loads(r.changes)):
+            own = list(ids[r.doc_id])
+            for c in sorted(changes, key=lambda c: -c["at"]):
+                own[c["at"] : c["at"] + c["replaced"]] = c["ids"]
+            assert (len(own), score(own, texts[r.doc_id])) == (r.n_best_pieces[rank], r.scores[rank]) and tokenizer.decode(own) == tokenizer.decode(ids[r.doc_id])
+            seen.add(tuple(own))
+        assert len(seen) == len(r.scores)
+
+
+def test_op6_by_sets(spark):
+    """The prediction of every row from sets of n-grams: no filters, no sample, no hashes of texts."""
+    folder = "/root/testdata/sf0.001"
+    rows = views(folder).sql("SELECT doc_id, text, lang FROM documents").fetchall()
+
+    def grams(text):
+        line = " " + "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else " " for c in text) + " "
+        return [line[k : k + n] for n in (3, 4) for k in range(len(line) - n + 1) if " " not in line[k + 1 : k + n - 1]]
+
+    counts = collections.defaultdict(collections.Counter)
+    for i, text, lang in rows:
+        if zlib.crc32(str(i).encode()) % 3 != 1 and lang is not None and text:
+            counts[lang].update(grams(text))
+    kept = langid.Settings().grams
+    assert all(len(c) <= kept for c in counts.values())  # so no choice among equally frequent ones matters
+    got = {r.doc_id: r for r in QUERIES["op6_language_id"](spark, folder).collect()}
+    close = 0
+    for i, text, _ in rows:
+        own = grams(text or "")
+        if not own:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        share = {lang: sum(g in c for g in own) / len(own) for lang, c in counts.items()}
+        top = max(share.values())
+        assert abs(got[i].score - share[got[i].lang_pred]) < 0.02  # what false positives leave after the correction
+        assert share[got[i].lang_pred] >= top - 0.02
+        close += sorted(share.values())[-2] > top - 0.02
+    assert close < len(rows) / 10
+
+
+def test_op10_op1_shapes(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     found = QUERIES["op10_license_scan"](spark, sf_dir)
     assert found.columns == ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"] and found.count() == n
     assert QUERIES["op1_imatch"](spark, sf_dir).columns == ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
 
+def test_near_dedup_recall_of_the_radius(spark):
+    """The candidates that fingerprints within the radius choose hold all pairs of similarity 0.8 or more of a table."""
+    texts = [t for (t,) in views("/root/testdata/sf0.01").sql("SELECT text FROM documents WHERE text IS NOT NULL").fetchall()]
+    sets = [simhash.shingle_set(t, 5) for t in texts]
+    radius = simhash.radius_for(0.8, 256)
+    fps = [int.from_bytes(simhash.vote([s], 4)[0], "big") for s in sets]
+    holders = collections.defaultdict(list)
+    for k, s in enumerate(sets):
+        for h in s.tolist():
+            holders[h].append(k)
+    both = collections.Counter((a, b) for ks in holders.values() for n, a in enumerate(ks) for b in ks[n + 1 :] if len(ks) < 200)
+    near = [(a, b) for (a, b), n in both.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n) and not np.array_equal(sets[a], sets[b])]
+    assert len(near) >= 10
+    assert sum((fps[a] ^ fps[b]).bit_count() <= radius for a, b in near) == len(near)
+
+
 def test_op6_held_out(spark):
     folder = "/root/testdata/sf0.01"
     truth = dict(views(folder).sql("SELECT doc_id, lang FROM documents").fetchall())
