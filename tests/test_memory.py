@@ -210,6 +210,18 @@ def test_intake(spark):
     assert one.vector == pytest.approx(providers.Local().embed(["hello there"])[0], abs=1e-6)
 
 
+def test_vectors_are_kept_by_digest(spark):
+    class Once(providers.Local):
+        def embed(self, texts):
+            assert "known" not in texts and len(set(texts)) == len(texts)
+            return [[float(len(t)), 0.1] for t in texts]
+
+    rows = spark.createDataFrame([("a", "new"), ("b", "known"), ("c", "new"), ("d", None)], "id string, content string")
+    known = spark.createDataFrame([("known", [7.0, 0.5])], "t string, vector array<double>").select(providers.text_digest(F.col("t")).alias("digest"), "vector")
+    got = {r.id: r.vector for r in providers.embedded(rows, "content", Once(), known).collect()}
+    assert got == {"a": [3.0, pytest.approx(0.1)], "b": [7.0, 0.5], "c": [3.0, pytest.approx(0.1)], "d": None} and got["a"][1] != 0.1  # 32 bits
+
+
 @pytest.mark.parametrize(("q", "k", "salience"), [("", 5, None), ("x" * 4001, 5, None), ("x", 0, None), ("x", 101, None), ("x", 5, 1.5), ("x", 5, -0.1)])
 def test_parameters(q, k, salience):
     with pytest.raises(ValueError):

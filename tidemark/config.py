@@ -32,7 +32,7 @@ class Settings:
     canonical_subjects: dict[str, str] = field(default_factory=dict)
 
 
-# Fixed values.
+# Vocabularies and labels that stored facts and rendered answers have to match.
 FUNCTIONAL = ("works_at", "lives_in")
 MULTI = ("prefers", "dislikes", "owns", "is_a", "has_attribute", "knows_about", "has_goal", "has_skill")
 FALLBACK = "has_attribute"
@@ -47,7 +47,7 @@ LINK_FAMILIES = {
     "dislikes": "loisir", "owns": "loisir", "knows_about": "loisir", "has_goal": "projet", "has_skill": "projet",
 }
 MONTHS = ("janv.", "févr.", "mars", "avr.", "mai", "juin", "juil.", "août", "sept.", "oct.", "nov.", "déc.")
-#: Predicates that may stand for one another when a reference fact is looked up.
+# Predicates that may stand for one another when a reference fact is looked up, as recall figures count them.
 PREDICATE_KIN = {
     "owns": ("owns", "has_attribute"),
     "is_a": ("is_a", "has_attribute", "has_skill", "works_at"),
@@ -60,7 +60,7 @@ PREDICATE_KIN = {
     "works_at": ("works_at", "is_a"),
     "dislikes": ("dislikes", "has_attribute"),
 }
-#: Question types in order of precedence, with the expressions that mark them.
+# Question types in order of precedence, with the expressions that mark them; they decide the route of a question.
 QUESTION_PATTERNS = (
     ("working", (
         r"\boù (on )?(en )?est\b", r"\bon en est où\b", r"\brésume\b", r"\brécap", r"\bwhere (were|are) we\b", r"\bso far\b",

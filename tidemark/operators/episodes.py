@@ -221,10 +221,16 @@ def working_memory(turns: DataFrame, items: int = 5) -> DataFrame:
     return last.withColumn("position", (n - F.col("back") + 1).cast("int")).drop("back")
 
 
-def live_sessions(turns: DataFrame, most: int = 100) -> DataFrame:
-    """The sessions touched last, over all tenants: (tenant, session_id, touched_at)."""
-    touched = turns.groupBy("tenant", "session_id").agg(F.max("created_at").alias("touched_at"))
-    return touched.orderBy(F.desc("touched_at"), "tenant", "session_id").limit(most)
+def live_sessions(turns: DataFrame, most: int = 100, reads: DataFrame | None = None) -> DataFrame:
+    """The sessions touched last, over all tenants: (tenant, session_id, touched_at).
+
+    reads: (tenant, session_id, at) of looks at a session's items, which touch it, too, if it has turns by then.
+    """
+    touched = turns.groupBy("tenant", "session_id").agg(F.min("created_at").alias("_since"), F.max("created_at").alias("touched_at"))
+    if reads is not None:
+        seen = reads.join(touched, ["tenant", "session_id"]).where(F.col("at") >= F.col("_since")).groupBy("tenant", "session_id").agg(F.max("at").alias("_read"))
+        touched = touched.join(seen, ["tenant", "session_id"], "left").withColumn("touched_at", F.greatest("touched_at", "_read"))
+    return touched.select("tenant", "session_id", "touched_at").orderBy(F.desc("touched_at"), "tenant", "session_id").limit(most)
 
 
 def nearest(vectors: DataFrame, query: Sequence[float], k: int, id_col: str = "id", vector_col: str = "vector") -> DataFrame:

@@ -45,15 +45,29 @@ class Local:
         return json.dumps({"facts": facts, "entities": entities})
 
 
-def embedded(rows: DataFrame, text: str, provider: Provider) -> DataFrame:
-    """rows with vector; each distinct text is embedded once."""
+def text_digest(text: Column) -> Column:
+    """128 bits of a text in hexadecimal digits, by which its vector is kept."""
+    return F.substring(F.sha2(text, 256), 1, 32)
+
+
+def embedded(rows: DataFrame, text: str, provider: Provider, known: DataFrame | None = None) -> DataFrame:
+    """rows with vector (32-bit floats); each distinct text is embedded once, and none that known has already.
+
+    known: (digest, vector) of earlier texts, digest as text_digest makes it.
+    """
 
     @pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
         return pd.Series(provider.embed(texts.tolist()))
 
-    once = rows.select(F.col(text).alias("_t")).where("_t IS NOT NULL").distinct().withColumn("vector", embed("_t"))
-    return rows.join(once, rows[text] == once["_t"], "left").drop("_t")
+    keyed = rows.withColumn("_digest", text_digest(F.col(text)))
+    once = keyed.where(F.col(text).isNotNull()).groupBy("_digest").agg(F.first(text).alias("_t"))
+    if known is not None:
+        once = once.join(known.select(F.col("digest").alias("_digest")), "_digest", "left_anti")
+    fresh = once.select("_digest", embed("_t").alias("vector"))
+    if known is not None:
+        fresh = fresh.unionByName(known.select(F.col("digest").alias("_digest"), F.col("vector").cast("array<float>").alias("vector")))
+    return keyed.join(fresh, "_digest", "left").drop("_digest")
 
 
 def scored_text(text: Column, history: Column, provider: Provider) -> Column:

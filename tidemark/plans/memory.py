@@ -556,11 +556,24 @@ def working_memory_last5(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_EPISODES}
-SELECT tenant, session_id, max(created_at) AS touched_at FROM episodes GROUP BY ALL ORDER BY touched_at DESC, tenant, session_id LIMIT 100
+WITH {_EPISODES}, r AS (SELECT 't' || (user_id % 3) AS tenant, (user_id % 40)::VARCHAR AS session_id, epoch_us(ts) // 1000 AS seen FROM events WHERE event_type = 'view'),
+s AS (SELECT tenant, session_id, min(created_at) AS since, max(created_at) AS touched_at FROM episodes GROUP BY ALL),
+x AS (SELECT s.tenant, s.session_id, max(seen) AS read FROM s JOIN r ON r.tenant = s.tenant AND r.session_id = s.session_id AND seen >= since GROUP BY ALL)
+SELECT s.tenant, s.session_id, greatest(touched_at, coalesce(read, touched_at)) AS touched_at FROM s LEFT JOIN x ON x.tenant = s.tenant AND x.session_id = s.session_id
+ORDER BY 3 DESC, 1, 2 LIMIT 100
 """)
 def session_lru(spark: SparkSession, folder: str) -> DataFrame:
-    return E.live_sessions(episodes(spark, folder))
+    """Sessions by their last turn or look; views of the events table stand for looks."""
+    user = F.col("user_id")
+    reads = read_table(spark, folder, "events").where("event_type = 'view'").select(
+        F.concat(F.lit("t"), (user % 3).cast("string")).alias("tenant"), (user % 40).cast("string").alias("session_id"), F.expr("unix_millis(CAST(ts AS TIMESTAMP))").alias("at")
+    )
+    return E.live_sessions(episodes(spark, folder), reads=reads)
+
+
+@query(f"WITH {_VERSIONS} SELECT id, tenant, subject, predicate, object, valid_from, valid_until, confidence, superseded_by, CASE WHEN valid_until IS NULL THEN 'current' ELSE 'invalidated' END AS status FROM facts")
+def fact_view(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.shown_facts(facts(spark, folder))
 
 
 @query(f"WITH {_EPISODES} SELECT id, CASE WHEN surprise IS NOT NULL THEN salience END AS salience, archived FROM episodes")
