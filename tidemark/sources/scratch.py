@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +14,7 @@ SCRATCH = "tidemark-scratch"
 #: Lets shuffle files go as soon as their query has ended.
 TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _cleaned: set[str] = set()
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,7 +55,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(TIDY, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[table] = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables that written() gave, once nothing reads them any more; other DataFrames are let be."""
+    for table in tables:
+        path = _paths.pop(table, None)
+        if path:
+            _remove(table.sparkSession, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
