@@ -10,14 +10,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import TIDY, written
+from ..sources.scratch import TIDY, dropped, written
 
-__all__ = ["BYTES", "OFTEN", "TIDY", "joined", "per_batch", "sliced", "written"]
+__all__ = ["BYTES", "OFTEN", "TIDY", "dropped", "few", "joined", "per_batch", "sliced", "written"]
 
 #: Bytes of text that a task turns into rows at a time.
 BYTES = 2 << 20
 #: Keys of a join that are looked up in a broadcast table, at most.
 OFTEN = 1_000
+#: Rows of a table that is broadcast because it was counted, at most.
+FEW = 100_000
+
+
+def few(rows: DataFrame, label: str, most: int = FEW) -> DataFrame:
+    """rows, written, and marked to be broadcast if they are no more than `most`."""
+    rows = written(rows, label)
+    return F.broadcast(rows) if rows.count() <= most else rows
 
 
 def joined(large: DataFrame, small: DataFrame, on: list[str], count: str = "n") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import read_table
-from . import imatch, langid, licenses, mixing, pieces, pivots, revisits, simhash, units
+from . import fim, imatch, langid, licenses, merkle, mixing, ngrams, pieces, pivots, revisits, simhash, units
 
 
 def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,10 +63,24 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(read_table(spark, sf_dir, "documents")).drop("sides", "siblings")
+
+
+def op12_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.jaccard_components(read_table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim.restore(fim.transform(read_table(spark, sf_dir, "documents"), seed=1))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_imatch, op2_simhash_near_dedup, op3_substring_dedup, op4_token_counts, op5_warc_revisits,
         op6_language_id, op7_pivot_top_k, op8_sentencepiece, op9_mix_sources, op10_license_scan,
+        op11_merkle_manifest, op12_ngram_jaccard_join, op13_fill_in_middle,
     )
     return {f.__name__: f for f in every}
 
@@ -77,4 +91,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_warc_revisits": revisits.ORACLE,
         "op7_pivot_top_k": pivots.ORACLE,
         "op9_mix_sources": mixing.ORACLE,
+        "op11_merkle_manifest": merkle.ORACLE,
+        "op13_fill_in_middle": fim.ORACLE,
     }

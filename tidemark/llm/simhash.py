@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .common import joined, per_batch, written
+from .common import dropped, joined, per_batch, written
 
 SEED = 42
 #: Fingerprints in a block of a cell; rows of a tile on either side; shingles hashed at a time.
@@ -499,7 +499,8 @@ def components(edges: DataFrame, label: str = "stars") -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(small.union(low.select("u", F.col("m").alias("v"))).distinct(), label)
+        last, now = now, written(small.union(low.select("u", F.col("m").alias("v"))).distinct(), label)
+        dropped(last)
 
 
 def radius_for(similarity: float, bits: int, slack: float = 6) -> int:
