@@ -23,6 +23,11 @@ def long_tokens(text: Column, longer_than: int = 2) -> Column:
     return F.array_distinct(F.filter(all_tokens(text), lambda t: F.length(t) > longer_than))
 
 
+def long_words(text: Column, longer_than: int = 2) -> Column:
+    """The words of a text, cut at white space and in lower case, of more than so many characters."""
+    return F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: F.length(w) > longer_than)
+
+
 def overlap(a: Column, b: Column) -> Column:
     """Share of the smaller set of long tokens that the other has too; 0 if either is empty."""
     x, y = long_tokens(a), long_tokens(b)

@@ -37,15 +37,16 @@ class Run:
 
 def run_once(
     episodes: DataFrame, log: DataFrame, now_ms: int, settings: Settings | None = None, provider: Provider | None = None,
-    facts: DataFrame | None = None, keep: Callable[[DataFrame, str], DataFrame] = written,
+    facts: DataFrame | None = None, keep: Callable[[DataFrame, str], DataFrame] = written, entities: DataFrame | None = None,
 ) -> Run:
     """Consolidates over logs; a replay gives the same rows, so a lost run can be repeated.
 
     Unscored episodes are scored without history. Candidates are asserted in the order of their salience,
-    then age and id. Episodes whose extraction fails are marked and not tried again.
+    then age and id; an episode's entities become known before its facts, and the names in facts are those that their
+    aliases stand for by then. Episodes whose extraction fails are marked and not tried again.
 
-    facts: the versions after the log, if they are kept (by facts.apply of each run's changed); else they are derived
-    from the log. keep: writes a table of raw model output under a label and gives what was written.
+    facts: the versions after the log, if they are kept (see facts.FactTable); else they are derived from the log.
+    entities: those known before. keep: writes a table of raw model output under a label and gives what was written.
     """
     settings, provider = settings or Settings(), provider or Local()
     facts = V.versions(log) if facts is None else facts
@@ -59,20 +60,24 @@ def run_once(
     raw = chosen.select("id", "tenant", "salience", "created_at", extracted_text(F.col("content"), F.coalesce(subjects[F.col("tenant")], F.col("tenant")), provider).alias("raw"))
     raw = keep(raw, "raw-extractions")
     found = X.map_predicates(X.raw_facts(raw), settings)
-    # within a run (the facts of batch_size episodes), asserted in order; after everything in the log
-    turn = F.row_number().over(Window.partitionBy("_one").orderBy(F.desc("salience"), "created_at", "id", "position"))
+    named = X.raw_entities(raw)
+    # within a run (what batch_size episodes say), counted in order, entities before facts; after everything in the log
+    order = raw.select("id", "tenant", "salience", "created_at")
+    rows = named.select("id", F.lit(0).alias("kind"), "position").unionByName(found.select("id", F.lit(1).alias("kind"), "position"))
+    turn = F.row_number().over(Window.partitionBy("_one").orderBy(F.desc("salience"), "created_at", "id", "kind", "position"))
     start = log.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("start")).withColumn("_one", F.lit(1))
-    placed = found.withColumn("_one", F.lit(1)).withColumn("turn", turn).join(start, "_one")
+    turns = rows.join(order.drop("tenant"), "id").withColumn("_one", F.lit(1)).withColumn("turn", turn).join(start, "_one").select("id", "kind", "position", (F.col("start") + F.col("turn")).alias("seq"))
+    mentions = named.join(turns.where("kind = 0").drop("kind"), ["id", "position"]).select("tenant", "name", "entity_type", "aliases", F.lit(now_ms).cast("long").alias("ts"), "seq")
+    placed = found.join(turns.where("kind = 1").drop("kind"), ["id", "position"])
     assertions = placed.select(
-        "tenant", (F.col("start") + F.col("turn")).alias("seq"), F.lit(now_ms).cast("long").alias("ts"), F.lit("assert").alias("op"),
-        "subject", "predicate", "object", "confidence", F.col("id").alias("source"),
+        "tenant", "seq", F.lit(now_ms).cast("long").alias("ts"), F.lit("assert").alias("op"), "subject", "predicate", "object", "confidence", F.col("id").alias("source"),
     )
-    named = X.raw_entities(raw)
-    mentions = named.select("tenant", "name", "entity_type", "aliases", F.lit(now_ms).cast("long").alias("ts"), F.xxhash64("id", "position").alias("seq"))
+    assertions = V.resolve_log(assertions, V.alias_history(mentions, entities))
     refs = named.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "name"))), lambda x: x["name"]).alias("refs"))
     outcomes = raw.select("id", F.lit(now_ms).cast("long").alias("at"), F.col("raw").isNull().alias("failed")).join(refs, "id", "left")
     outcomes = outcomes.withColumn("refs", F.coalesce("refs", none))
     after = E.archive(E.decay(E.with_outcomes(scored, outcomes), now_ms, settings), now_ms, settings)
+    assertions = keep(assertions, "assertions")
     acted = V.batch_actions(facts, assertions)
     counts = acted.agg(*(F.count_if(F.col("action") == a).alias(a) for a in ("inserted", "superseded", "duplicate")))
     marked = outcomes.agg(F.count("*").alias("candidates"), F.count_if("failed").alias("failed"))
@@ -82,3 +87,4 @@ def run_once(
     report = rescored.select("*", one).join(marked.select("*", one), "_one").join(counts.select("*", one), "_one").join(archived.select("*", one), "_one").drop("_one")
     output = said.select("id", F.lit("score").alias("kind"), "raw").union(raw.select("id", F.lit("extract").alias("kind"), "raw"))
     return Run(scores, outcomes, assertions, mentions, V.advance(facts, assertions), output, after, report)
+

@@ -191,19 +191,25 @@ def _last(rows: Column, n: int) -> Column:
     return F.when(F.size(rows) > n, F.slice(rows, F.size(rows) - n + 1, n)).otherwise(rows)
 
 
-def replay(episodes: DataFrame, now_ms: int, turns: int = 5, blocks: int = 64) -> DataFrame:
+#: Rows of a tenant that a replay sorts in one task, about.
+REPLAYED = 250_000
+
+
+def replay(episodes: DataFrame, now_ms: int, turns: int = 5, blocks: int | None = None) -> DataFrame:
     """An import: history over all earlier rows of a tenant by time, and decay counted from now on.
 
-    A tenant's time is cut into blocks at quantiles, and each block starts with the last rows before it, so that a
-    large tenant is dealt over many tasks.
+    A tenant's time is cut into blocks at quantiles (as many as the largest tenant needs, REPLAYED rows each), and each
+    block starts with the last rows before it, so that a large tenant is dealt over many tasks.
     """
+    if blocks is None:
+        blocks = 2 + (episodes.groupBy("tenant").count().agg(F.max("count")).first()[0] or 0) // REPLAYED
     shares = F.array(*(F.lit(k / blocks) for k in range(1, blocks)))
     cuts = episodes.groupBy("tenant").agg(F.percentile_approx("created_at", shares, F.lit(10_000)).alias("_cuts"))  # a row a tenant
     placed = episodes.join(cuts, "tenant").withColumn("_block", F.size(F.filter("_cuts", lambda c: c < F.col("created_at")))).drop("_cuts")
     kept = F.struct("created_at", "id", "content")
     back = Window.partitionBy("tenant", "_block").orderBy(F.desc("created_at"), F.desc("id"))
     tails = placed.withColumn("_back", F.row_number().over(back)).where(F.col("_back") <= turns).select("tenant", "_block", kept.alias("_row"))
-    before = Window.partitionBy("tenant").orderBy("_block").rangeBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("tenant").orderBy("_block").rowsBetween(-turns, -1)  # blocks that are there have a row each
     ends = tails.groupBy("tenant", "_block").agg(F.sort_array(F.collect_list("_row")).alias("_rows"))  # turns rows a block
     known = ends.withColumn("_rows", _last(F.flatten(F.collect_list("_rows").over(before)), turns)).where(F.size("_rows") > 0)
     early = ends.join(known.select("tenant", "_block", F.col("_rows").alias("_early")), ["tenant", "_block"], "left").select("tenant", "_block", F.coalesce("_early", F.array().cast("array<struct<created_at: bigint, id: string, content: string>>")).alias("_early"))

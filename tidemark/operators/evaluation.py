@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import FUNCTIONAL, MULTI, PREDICATE_KIN
-from ..functions.text import long_tokens, overlap
+from ..functions.text import long_tokens
 
 
 def _kin(refs: DataFrame) -> DataFrame:
@@ -15,36 +15,55 @@ def _kin(refs: DataFrame) -> DataFrame:
     return refs.withColumn("_p", F.explode(F.coalesce(kin[F.col("predicate")], F.array("predicate"))))
 
 
-def fuzzy_matches(refs: DataFrame, facts: DataFrame, least: float = 0.4) -> DataFrame:
-    """For each reference fact (ref_id, subject, predicate, object) the best fact (position, subject,
-    predicate, object): a kindred predicate, the same subject (or one that says user) and the largest overlap
-    of objects, at least `least`; equal overlaps: the first position. References without one have nulls.
+def _sets(rows: DataFrame, tokens: str) -> DataFrame:
+    """(_p, <tokens>): the distinct token sets that rows have by predicate, each a text of its tokens in order."""
+    return rows.where(F.col(tokens) != "").select("_p", tokens).distinct()
 
-    Candidates meet on a shared object token, not pair by pair: without one the overlap is 0. Tokens are ranked from
-    rare to frequent. A pair that reaches `least` shares a token that is among the rarest of its smaller set, so only
-    as many of that set's rarest tokens are looked up as can't all be missed; frequent words hardly ever are.
+
+def _alike(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(_p, _a, _b, score): pairs of token sets whose overlap is at least `least`.
+
+    Sets meet on a shared token, not pair by pair: without one the overlap is 0. Tokens are ranked from rare to frequent. A
+    pair that reaches `least` shares a token that is among the rarest of its smaller set, so only as many of that set's
+    rarest tokens are looked up as can't all be missed; frequent words hardly ever are.
     """
-    left = _kin(refs.where(F.col("predicate").isin(*FUNCTIONAL, *MULTI))).withColumn("_a", long_tokens(F.col("object")))
-    right = facts.select("position", F.col("subject").alias("f_subject"), F.col("predicate").alias("_p"), F.col("object").alias("f_object"))
-    right = right.withColumn("_b", long_tokens(F.col("f_object")))
-    often = left.select(F.explode("_a").alias("_t")).union(right.select(F.explode("_b"))).groupBy("_t").agg(F.count("*").alias("_often"))
+    often = left.select(F.explode(F.split("_a", " ")).alias("_t")).union(right.select(F.explode(F.split("_b", " ")))).groupBy("_t").agg(F.count("*").alias("_often"))
 
-    def told(rows: DataFrame, tokens: str, key: list[str]) -> DataFrame:
+    def told(rows: DataFrame, tokens: str) -> DataFrame:
         """A row for each token: its rank from the rarest in its set, the set's size, how many are looked up."""
-        each = rows.select(*key, F.size(tokens).alias("_n"), F.explode(tokens).alias("_t")).join(often, "_t")
-        rank = F.row_number().over(Window.partitionBy(*key).orderBy("_often", "_t"))
-        return each.select(*key, "_t", "_n", rank.alias("_rank"), (F.col("_n") - F.ceil(F.col("_n") * least - 1e-9) + 1).alias("_sought"))
+        words = F.split(tokens, " ")
+        each = rows.select("_p", tokens, F.size(words).alias("_n"), F.explode(words).alias("_t")).join(often, "_t")
+        rank = F.row_number().over(Window.partitionBy("_p", tokens).orderBy("_often", "_t"))
+        return each.select("_p", tokens, "_t", "_n", rank.alias("_rank"), (F.col("_n") - F.ceil(F.col("_n") * least - 1e-9) + 1).alias("_sought"))
 
-    a = told(left, "_a", ["ref_id", "_p"])
-    b = told(right, "_b", ["position", "_p"]).select("position", "_p", "_t", F.col("_n").alias("_m"), F.col("_rank").alias("_rank2"), F.col("_sought").alias("_sought2"))
+    a = told(left, "_a")
+    b = told(right, "_b").select("_p", "_b", "_t", F.col("_n").alias("_m"), F.col("_rank").alias("_rank2"), F.col("_sought").alias("_sought2"))
     small = a.where("_rank <= _sought").join(b, ["_p", "_t"]).where("_n <= _m")
     large = a.join(b.where("_rank2 <= _sought2"), ["_p", "_t"]).where("_m < _n")
-    near = small.select("ref_id", "position", "_p").union(large.select("ref_id", "position", "_p")).distinct()
-    pairs = near.join(left.drop("_a"), ["ref_id", "_p"]).join(right.drop("_b"), ["position", "_p"]).dropDuplicates(["ref_id", "position"])
-    same = (F.lower("subject") == F.lower("f_subject")) | F.lower("f_subject").contains("user")
-    scored = pairs.where(same).withColumn("score", overlap(F.col("object"), F.col("f_object"))).where(F.col("score") >= least)
-    best = scored.groupBy("ref_id").agg(F.max_by(F.struct("position", "f_object", "score"), F.struct("score", -F.col("position"))).alias("b"))
-    return refs.join(best, "ref_id", "left").select("ref_id", "predicate", F.col("b.position").alias("position"), F.col("b.f_object").alias("found"), F.col("b.score").alias("score"))
+    near = small.select("_p", "_a", "_b").union(large.select("_p", "_a", "_b")).distinct()
+    x, y = F.split("_a", " "), F.split("_b", " ")
+    return near.withColumn("score", F.size(F.array_intersect(x, y)) / F.least(F.size(x), F.size(y))).where(F.col("score") >= least)
+
+
+def fuzzy_matches(refs: DataFrame, facts: DataFrame, least: float = 0.4) -> DataFrame:
+    """For each reference fact (ref_id, subject, predicate, object) the best fact (position, subject,
+    predicate, object): a kindred predicate, the same subject (or one that says user) and the largest overlap
+    of objects, at least `least`; equal overlaps: the first position. References without one have nulls.
+
+    References and facts repeat their words, so token sets are compared once for each distinct pair of them. Of each
+    reference set the best fact is kept for each subject and for all that say user; references look those up.
+    """
+    key = lambda c: F.array_join(F.array_sort(long_tokens(F.col(c))), " ")
+    left = _kin(refs.where(F.col("predicate").isin(*FUNCTIONAL, *MULTI))).withColumns({"_a": key("object"), "_s": F.lower("subject")})
+    right = facts.select("position", F.lower("subject").alias("_s"), F.col("predicate").alias("_p"), F.col("object").alias("f_object"), key("object").alias("_b"))
+    best = F.max_by(F.struct("position", "f_object", "score"), F.struct("score", -F.col("position"))).alias("b")
+    scored = right.join(_alike(_sets(left, "_a"), _sets(right, "_b"), least), ["_p", "_b"])
+    by = scored.groupBy("_p", "_a", "_s").agg(best)
+    users = by.where(F.col("_s").contains("user")).select("_p", "_a", "b.*").groupBy("_p", "_a").agg(best)
+    own = left.select("ref_id", "_p", "_a", "_s")
+    found = own.join(by, ["_p", "_a", "_s"]).select("ref_id", "b.*").union(own.join(users, ["_p", "_a"]).select("ref_id", "b.*"))
+    found = found.groupBy("ref_id").agg(best)
+    return refs.join(found, "ref_id", "left").select("ref_id", "predicate", F.col("b.position").alias("position"), F.col("b.f_object").alias("found"), F.col("b.score").alias("score"))
 
 
 def recall(refs: DataFrame, facts: DataFrame) -> DataFrame:

@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import FUNCTIONAL, MULTI, Settings
-from .episodes import nearest
+from ..sources.scratch import written
+from .episodes import checked, nearest
+from .order import numbered
 
 KEY = ("tenant", "subject_key", "predicate", "slot")
 FACT = ("id", "tenant", "subject", "predicate", "object", "valid_from", "valid_until", "confidence", "sources", "superseded_by", "asserted", "seq")
@@ -39,10 +41,14 @@ def _open_rows(facts: DataFrame) -> DataFrame:
     )
 
 
-def _islands(log: DataFrame) -> DataFrame:
+#: What rows of a log count by: their number, or the time of which they speak and then their number.
+BY_SEQ, BY_TIME = ("seq",), ("ts", "seq")
+
+
+def _islands(log: DataFrame, by: Sequence[str] = BY_SEQ) -> DataFrame:
     """The log with the version each row belongs to, without retractions that hit nothing."""
     rows = _keyed(log)
-    w = Window.partitionBy(*KEY).orderBy("seq")
+    w = Window.partitionBy(*KEY).orderBy(*by)
     asserted = F.last(F.when(F.col("op") == "assert", F.col("object_key")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("asserted", asserted).where((F.col("op") == "assert") | (F.col("asserted") == F.col("object_key")))
     rows = rows.withColumns({"op_before": F.lag("op").over(w), "object_before": F.lag("object_key").over(w)})
@@ -52,22 +58,26 @@ def _islands(log: DataFrame) -> DataFrame:
     return rows.withColumn("broken", broken).withColumn("version", F.sum(F.col("broken").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def versions(log: DataFrame) -> DataFrame:
+def versions(log: DataFrame, by: Sequence[str] = BY_SEQ) -> DataFrame:
     """All fact versions: id, tenant, subject, predicate, object, valid_from, valid_until (null: current),
     confidence, sources, superseded_by, asserted (rows merged), seq (of the first).
 
     A version starts with an assertion of an object that isn't current; asserting it again raises its
     confidence to the maximum and adds sources. Another object (functional) or a retraction ends it; only an
     assertion supersedes. Names compare without case; the first spelling stays. Unknown predicates don't count.
+
+    by: BY_SEQ takes rows as they come in; with BY_TIME they count at their time, so that a row that comes in late
+    goes where it belongs: it may split a version, open one again, or lie between two.
     """
-    return _versions(_said(log))
+    return _versions(_said(log), by)
 
 
-def _versions(said: DataFrame) -> DataFrame:
-    merged = _islands(said).groupBy(*KEY, "version").agg(
-        F.min_by("op", "seq").alias("op"), F.min("seq").alias("seq"), F.min_by("subject", "seq").alias("subject"), F.min_by("object", "seq").alias("object"),
-        F.min_by("ts", "seq").alias("valid_from"), F.max("confidence").alias("confidence"), F.sum("times").alias("asserted"),
-        F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "sources"))), lambda x: x["sources"]))).alias("sources"),
+def _versions(said: DataFrame, by: Sequence[str] = BY_SEQ) -> DataFrame:
+    at = F.struct(*by)
+    merged = _islands(said, by).groupBy(*KEY, "version").agg(
+        F.min_by("op", at).alias("op"), F.min_by("seq", at).alias("seq"), F.min_by("subject", at).alias("subject"), F.min_by("object", at).alias("object"),
+        F.min_by("ts", at).alias("valid_from"), F.max("confidence").alias("confidence"), F.sum("times").alias("asserted"),
+        F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(*by, "sources"))), lambda x: x["sources"]))).alias("sources"),
     )
     w = Window.partitionBy(*KEY).orderBy("version")
     fact_id = F.concat(F.lit("f"), F.col("seq").cast("string"))
@@ -96,6 +106,31 @@ def apply(facts: DataFrame, changed: DataFrame) -> DataFrame:
     return facts.join(changed.select("id"), "id", "left_anti").select(*FACT).unionByName(changed)
 
 
+def splice(facts: DataFrame, log: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(stale, fresh): the ids of the versions that a batch with late rows does away with, and the versions that take
+    their place, by event time.
+
+    facts: versions(log, BY_TIME), closed ones too; log: all rows before the batch. Of each subject and predicate (and
+    object, if it may have several) that the batch touches, versions stay as they are up to the one that holds when its
+    first row of the batch speaks; from that one's first row on, the log's rows and the batch are read again. Rows of
+    the log before it, and of other subjects, don't matter: partition the log by tenant and day, and they aren't read.
+    """
+    at = F.struct("ts", "seq").alias("at")
+    late = _keyed(batch).groupBy(*KEY).agg(F.min(at).alias("_since"))
+    own = _keyed(facts).withColumn("_start", F.struct(F.col("valid_from").alias("ts"), "seq"))
+    held = own.join(late, list(KEY)).where(F.col("_start") <= F.col("_since")).groupBy(*KEY).agg(F.max("_start").alias("_held"))
+    since = late.join(held, list(KEY), "left").select(*KEY, F.coalesce("_held", "_since").alias("_from"))
+    since = written(since, "since")
+    stale = own.join(since, list(KEY)).where(F.col("_start") >= F.col("_from")).select("id")
+    again = _keyed(log).join(since, list(KEY)).where(F.struct("ts", "seq") >= F.col("_from")).select(*log.columns)
+    return stale, versions(again.unionByName(batch.select(*log.columns)), BY_TIME)
+
+
+def spliced(facts: DataFrame, stale: DataFrame, fresh: DataFrame) -> DataFrame:
+    """All versions after splice()."""
+    return facts.join(stale, "id", "left_anti").select(*FACT).unionByName(fresh)
+
+
 def batch_actions(facts: DataFrame, batch: DataFrame) -> DataFrame:
     """actions() of a batch, given the versions before it."""
     return actions(_with_open(facts, batch)).join(batch.select("seq"), "seq", "left_semi")
@@ -141,9 +176,10 @@ def current(facts: DataFrame, tenant: str | None = None, subject: str | None = N
 
 
 def listed(facts: DataFrame) -> DataFrame:
-    """Current facts in the order of a report, by predicate and object: position from 1 in each predicate."""
-    w = Window.partitionBy("tenant", "predicate").orderBy("object", "id")
-    return current(facts).withColumn("position", F.row_number().over(w))
+    """Current facts in the order of a report, by predicate and object: position from 1 in each predicate.
+
+    There are few predicates, so positions come from a sort over many tasks."""
+    return numbered(current(facts), ["object", "id"], ["tenant", "predicate"], label="listed").withColumn("position", F.col("position").cast("int"))
 
 
 def as_of(facts: DataFrame, ms: int) -> DataFrame:
@@ -161,7 +197,7 @@ def history(facts: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def chains(facts: DataFrame) -> DataFrame:
     """facts of functional predicates with chain (the id of the last version that supersession leads to) and
-    steps (how many versions before it)."""
+    steps (how many versions before it), by the order of derived versions. See walk() for links as they are."""
     w = Window.partitionBy("tenant", F.lower("subject"), "predicate").orderBy(F.desc("seq"))
     ended = F.sum(F.col("superseded_by").isNull().cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     rows = facts.where(F.col("predicate").isin(*FUNCTIONAL)).withColumn("_chain", ended)
@@ -169,6 +205,37 @@ def chains(facts: DataFrame) -> DataFrame:
     return rows.withColumns({"chain": F.first("id").over(c), "steps": F.row_number().over(c) - 1}).drop("_chain")
 
 
+def walk(facts: DataFrame) -> DataFrame:
+    """(id, chain, steps, state) for each version (id, superseded_by), whatever its links say: imported ones may be broken.
+
+    chain is the id that the links lead to and steps how many there are; state is whole, or gap (a link names a version
+    that isn't there: chain is the last that is), or cycle (links go round: chain is the smallest id in the circle, and
+    steps is null). Every round doubles how far each row looks, so a chain of n links takes log n rounds of one join each;
+    rows that have arrived don't take part any more. Ids must be unique.
+    """
+    links = facts.select("id", F.col("superseded_by").alias("to"))
+    there = links.select(F.col("id").alias("to"), F.lit(True).alias("_there"))
+    start = links.join(there, "to", "left").select(
+        "id", F.when(F.col("_there"), F.col("to")).alias("to"), F.when(F.col("to").isNull(), "whole").when(F.col("_there").isNull(), "gap").alias("state"),
+    )
+    rows = start.select("id", F.coalesce("to", "id").alias("at"), F.col("to").isNotNull().cast("long").alias("steps"), F.least("id", F.coalesce("to", "id")).alias("low"), "state")
+    rows = written(rows, "walk")
+    done = rows.where("state IS NOT NULL")
+    going, looked, most = rows.where("state IS NULL"), 1, rows.count()
+    while (n := going.count()) and looked <= most:
+        # a row that looks at one that has arrived arrives; else it looks as much further as that one does
+        ends = done.select(F.col("id").alias("at"), F.col("at").alias("_end"), F.col("steps").alias("_more"), F.col("state").alias("_state"), F.lit(None).cast("string").alias("_low"))
+        others = going.select(F.col("id").alias("at"), F.col("at").alias("_end"), F.col("steps").alias("_more"), F.col("state").alias("_state"), F.col("low").alias("_low"))
+        step = going.join(ends.unionByName(others), "at").select("id", F.col("_end").alias("at"), (F.col("steps") + F.col("_more")).alias("steps"), F.least("low", F.coalesce("_low", "low")).alias("low"), F.col("_state").alias("state"))
+        step = written(step, "walk")
+        done, going, looked = done.unionByName(step.where("state IS NOT NULL")), step.where("state IS NULL"), looked * 2
+    none = F.lit(None).cast("long")
+    # what is left has gone round at least once: where it is now lies in the circle, and so does all that was seen from there
+    circle = going.select(F.col("id").alias("at"), F.col("low").alias("chain"))
+    round_ = going.select("id", "at").join(circle, "at").select("id", "chain", none.alias("steps"), F.lit("cycle").alias("state"))
+    return done.select("id", F.col("at").alias("chain"), "steps", "state").unionByName(round_)
+
+
 def duplicate_current(facts: DataFrame) -> DataFrame:
     """How many (tenant, subject, predicate, object) hold more than one current fact; should be 0."""
     keys = [F.col("tenant"), F.lower("subject").alias("s"), F.col("predicate"), F.lower("object").alias("o")]
@@ -176,6 +243,13 @@ def duplicate_current(facts: DataFrame) -> DataFrame:
     return found.agg(F.count("*").alias("duplicates"))
 
 
+def totals(facts: DataFrame) -> DataFrame:
+    """One row: current_facts, past_facts and duplicates (see duplicate_current), from one grouping."""
+    open_ = F.count_if(F.col("valid_until").isNull())
+    by = facts.groupBy("tenant", F.lower("subject").alias("s"), "predicate", F.lower("object").alias("o")).agg(open_.alias("n"), F.count("valid_until").alias("past"))
+    return by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("current_facts"), F.coalesce(F.sum("past"), F.lit(0)).alias("past_facts"), F.count_if(F.col("n") > 1).alias("duplicates"))
+
+
 def forget(facts: DataFrame, tenant: str, subject: str, predicate: str, object_: str) -> DataFrame:
     """The current fact that a retraction would close or, if there is none, the subject's current facts."""
     own = current(facts, tenant, subject)
@@ -186,6 +260,7 @@ def forget(facts: DataFrame, tenant: str, subject: str, predicate: str, object_:
 
 def search(facts: DataFrame, vectors: DataFrame, query: Sequence[float], tenant: str, settings: Settings, k: int = 10) -> DataFrame:
     """The k current facts of a tenant nearest to the query, among the overfetched nearest of all facts."""
+    checked("-", k)
     found = nearest(vectors, query, k * settings.fact_overfetch)
     return current(facts, tenant).join(F.broadcast(found), "id").orderBy(F.desc("similarity"), "id").limit(k)
 
@@ -206,26 +281,72 @@ def resolve_names(names: DataFrame, entities: DataFrame, name_col: str = "name")
     return joined.withColumn("canonical", F.coalesce(F.col("_best.canonical_name"), F.col(name_col))).drop("_key", "_best")
 
 
-def resolve_log(log: DataFrame, entities: DataFrame) -> DataFrame:
-    """The log with subjects and objects resolved."""
+def alias_history(mentions: DataFrame, entities: DataFrame | None = None) -> DataFrame:
+    """(tenant, key, since): what a name without case stood for from which row of the log on; since is an array of (seq,
+    canonical), of which the last that isn't later holds.
+
+    mentions: tenant, name, aliases, seq (that of the first row of the log that the mention goes before, or of the row
+    itself). entities: those known before all mentions, as upsert_entities gives them. An entity's name goes before
+    others' aliases; of several the smallest. What a name stands for only changes when a better entity comes, so since
+    stays short; only such changes are kept, found in salted parts first, so that an alias of very many entities is dealt
+    over many tasks.
+    """
+    first = F.lit(-(1 << 63)).cast("long")
+    said = mentions.select("tenant", F.lower("name").alias("_entity"), F.col("name").alias("_name"), F.col("seq").cast("long").alias("seq"), "aliases")
+    if entities is not None:
+        said = said.unionByName(entities.select("tenant", F.lower("canonical_name").alias("_entity"), F.col("canonical_name").alias("_name"), first.alias("seq"), "aliases"))
+    names = said.groupBy("tenant", "_entity").agg(F.min_by("_name", F.struct("seq", "_name")).alias("canonical"), F.min("seq").alias("seq"))
+    other = said.select("tenant", "_entity", "seq", F.explode("aliases").alias("_alias")).groupBy("tenant", "_entity", F.lower("_alias").alias("key")).agg(F.min("seq").alias("seq"))
+    other = other.join(names.select("tenant", "_entity", "canonical"), ["tenant", "_entity"])
+    every = names.select("tenant", F.col("_entity").alias("key"), "seq", F.struct(F.lit(0).alias("rank"), "canonical").alias("best"))
+    every = every.unionByName(other.select("tenant", "key", "seq", F.struct(F.lit(1).alias("rank"), "canonical").alias("best"))).where("key <> ''")
+
+    def records(rows: DataFrame, *more: str) -> DataFrame:
+        """Rows that are better than all rows before them."""
+        w = Window.partitionBy("tenant", "key", *more).orderBy("seq", "best")
+        before = F.min("best").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        return rows.withColumn("_before", before).where(F.col("_before").isNull() | (F.col("best") < F.col("_before"))).drop("_before")
+
+    salted = every.withColumn("_salt", F.pmod(F.xxhash64("best", "seq"), F.lit(64)))
+    kept = records(records(salted, "_salt").drop("_salt"))
+    return kept.groupBy("tenant", "key").agg(F.array_sort(F.collect_list(F.struct("seq", "best.canonical"))).alias("since"))
+
+
+def resolve_log(log: DataFrame, aliases: DataFrame) -> DataFrame:
+    """The log with each row's subject and object as they were called when it came in: aliases that turn up later don't
+    rewrite it. aliases: see alias_history. Blank names stay."""
     for column in ("subject", "object"):
-        log = resolve_names(log, entities, column).withColumn(column, F.col("canonical")).drop("canonical")
+        keyed = log.withColumn("key", F.lower(F.trim(column)))
+        held = F.filter("since", lambda c: c["seq"] <= F.col("seq"))
+        found = keyed.join(aliases, ["tenant", "key"], "left").withColumn(column, F.coalesce(F.when(F.size(held) > 0, F.element_at(held, -1)["canonical"]), F.col(column)))
+        log = found.drop("key", "since")
     return log.select("tenant", "seq", "ts", "op", "subject", "predicate", "object", "confidence", "source")
 
 
-def upsert_entities(mentions: DataFrame) -> DataFrame:
-    """Entities from mentions (tenant, name, entity_type, aliases, ts, seq).
+def upsert_entities(mentions: DataFrame, entities: DataFrame | None = None) -> DataFrame:
+    """Entities from mentions (tenant, name, entity_type, aliases, ts, seq), going on from those known before.
 
     The first spelling of a name stays; its type is the first that isn't null; aliases add up without case,
-    the first spelling of each, in order, without the name itself.
+    the first spelling of each, in order, without the name itself. Batch by batch gives what the whole log gives; only
+    entities that a batch mentions are worked on, and no array is longer than an entity's distinct aliases.
     """
-    by = mentions.withColumn("_key", F.lower("name")).groupBy("tenant", "_key").agg(
-        F.min_by("name", "seq").alias("canonical_name"), F.min_by("entity_type", F.when(F.col("entity_type").isNotNull(), F.col("seq"))).alias("entity_type"),
-        F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("episode_count"),
+    key = ["tenant", "_key"]
+    new = mentions.select("tenant", F.lower("name").alias("_key"), F.lit(1).alias("_gen"), "seq", "name", "entity_type", "aliases", "ts", F.col("ts").alias("_until"), F.lit(1).cast("long").alias("_n"))
+    rest = None
+    if entities is not None:
+        known = entities.withColumn("_key", F.lower("canonical_name"))
+        touched = new.select(*key).distinct()
+        rest = known.join(touched, key, "left_anti").drop("_key")
+        old = known.join(touched, key, "left_semi")
+        new = new.unionByName(old.select("tenant", "_key", F.lit(0).alias("_gen"), F.lit(0).cast("long").alias("seq"), F.col("canonical_name").alias("name"), "entity_type", "aliases", F.col("first_seen").alias("ts"), F.col("last_seen").alias("_until"), F.col("episode_count").alias("_n")))
+    at = F.struct("_gen", "seq")
+    by = new.groupBy(*key).agg(
+        F.min_by("name", at).alias("canonical_name"), F.min_by("entity_type", F.when(F.col("entity_type").isNotNull(), at)).alias("entity_type"),
+        F.min("ts").alias("first_seen"), F.max("_until").alias("last_seen"), F.sum("_n").alias("episode_count"),
     )
-    said = mentions.select("tenant", F.lower("name").alias("_key"), "seq", F.posexplode("aliases").alias("pos", "alias"))
-    said = said.where(F.lower("alias") != F.col("_key"))
-    first = said.groupBy("tenant", "_key", F.lower("alias").alias("_alias")).agg(F.min(F.struct("seq", "pos", "alias")).alias("a"))
-    listed = first.groupBy("tenant", "_key").agg(F.transform(F.array_sort(F.collect_list("a")), lambda a: a["alias"]).alias("aliases"))
+    said = new.select(*key, "_gen", "seq", F.posexplode("aliases").alias("pos", "alias")).where(F.lower("alias") != F.col("_key"))
+    first = said.groupBy(*key, F.lower("alias").alias("_alias")).agg(F.min(F.struct("_gen", "seq", "pos", "alias")).alias("a"))
+    listed = first.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list("a")), lambda a: a["alias"]).alias("aliases"))
     empty = F.array().cast("array<string>")
-    return by.join(listed, ["tenant", "_key"], "left").withColumn("aliases", F.coalesce("aliases", empty)).drop("_key")
+    found = by.join(listed, key, "left").withColumn("aliases", F.coalesce("aliases", empty)).drop("_key")
+    return found if rest is None else found.unionByName(rest.select(*found.columns))

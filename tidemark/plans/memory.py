@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,7 @@ from ..functions import vectors as V
 from ..operators import consolidation, evaluation, extraction, graph, prompts, reports, router, salience, skills
 from ..operators import episodes as E
 from ..operators import facts as K
+from ..operators.order import numbered
 from ..sources import adapters as A
 from ..sources import files, read_table
 from ..sources.scratch import scratch_path, written
@@ -523,7 +524,7 @@ b AS (SELECT n_nationkey + 1 AS position, n_name AS label FROM nation)
 SELECT coalesce(a.position, b.position) AS position, id, label, id IS NOT NULL AND label IS NOT NULL AS paired FROM a FULL JOIN b ON a.position = b.position
 """)
 def labels_by_position(spark: SparkSession, folder: str) -> DataFrame:
-    own = episodes(spark, folder).where("tenant = 't1'").select("id", F.row_number().over(Window.orderBy("id")).cast("long").alias("position"))
+    own = numbered(episodes(spark, folder).where("tenant = 't1'").select("id"), ["id"])
     named = read_table(spark, folder, "nation").select((F.col("n_nationkey") + 1).cast("long").alias("position"), F.col("n_name").alias("label"))
     return E.zipped(own, named).select("position", "id", "label", "paired")
 
@@ -598,6 +599,26 @@ def input_quarantine(spark: SparkSession, folder: str) -> DataFrame:
     return E.quarantine(rows).select("doc_id", "reject")
 
 
+@query("SELECT doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN source END, 'user') AS tenant FROM documents")
+def tenant_backfill(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of a table from before tenants, a third of which name one."""
+    rows = read_table(spark, folder, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("source")).alias("tenant"))
+    return files.with_tenant(rows)
+
+
+def _view_sql() -> str:
+    """The search of hybrid_search_post with the parts of its score."""
+    head, _, tail = _hybrid_sql(False).rpartition("SELECT e.id, round(")
+    return f"""{head}SELECT e.id, CASE WHEN surprise IS NOT NULL THEN salience END AS salience, archived, round(dense, 6) AS dense_sim,
+  round(1e0 - {_APART.format("c.code", "qc.code")} / 256e0, 6) AS sparse_sim, round(pow(2e0, -greatest(0e0, ({NOW} - created_at) / 86400000e0) / 30e0), 6) AS recency {tail[tail.index("FROM near n"):]}"""
+
+
+@query(_view_sql())
+def scored_episode_view(spark: SparkSession, folder: str) -> DataFrame:
+    found = E.search(episodes(spark, folder), vectors(spark, folder), None, asked_vector(spark, folder), QUESTION, NOW, SETTINGS, 10, "post", tenant="t1", min_salience=0.2)
+    return reports.scored_episodes(found).select("id", "salience", "archived", *(F.round(c, 6).alias(c) for c in ("dense_sim", "sparse_sim", "recency")))
+
+
 # -- model output -----------------------------------------------------------------------------------
 
 
@@ -810,7 +831,7 @@ def skill_registry(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""
-WITH RECURSIVE u AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY seq) AS n FROM ({A.for_duckdb(A.USES)})),
+WITH RECURSIVE u AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY seq, success) AS n FROM ({A.for_duckdb(A.USES)})),
 fold AS (
   SELECT name, 0::BIGINT AS n, 1e0 AS rate, NULL::BIGINT AS ts FROM u WHERE n = 1
   UNION ALL SELECT f.name, u.n, floor((f.rate * f.n + u.success::INT) / (f.n + 1) * 10000e0 + 0.5e0) / 10000e0, u.ts FROM fold f JOIN u ON u.name = f.name AND u.n = f.n + 1
@@ -942,11 +963,9 @@ SELECT (SELECT count(*) FROM episodes) AS episodes, (SELECT count(*) FROM episod
 def stats(spark: SparkSession, folder: str) -> DataFrame:
     one = F.lit(1).alias("_one")
     of_episodes = episodes(spark, folder).agg(F.count("*").alias("episodes"), F.count("consolidated_at").alias("consolidated"), F.count_if("archived").alias("archived"))
-    every = facts(spark, folder)
-    of_facts = every.agg(F.count_if(F.col("valid_until").isNull()).alias("current_facts"), F.count("valid_until").alias("past_facts"))
     counts = [read_table(spark, folder, t).agg(F.count("*").alias(n)) for t, n in (("supplier", "entities"), ("part", "skills"))]
     out = of_episodes.select("*", one)
-    for part in (of_facts, *counts, K.duplicate_current(every)):  # one row each
+    for part in (K.totals(facts(spark, folder)), *counts):  # one row each
         out = out.join(part.select("*", one), "_one")
     return out.drop("_one")
 
@@ -978,13 +997,13 @@ WITH refs AS ({A.for_duckdb(A.REFERENCE_FACTS)}), found AS ({A.for_duckdb(A.FOUN
 kin AS (SELECT unnest({[k for k, v in PREDICATE_KIN.items() for _ in v]!r}) AS p, unnest({[x for v in PREDICATE_KIN.values() for x in v]!r}) AS q
   UNION ALL SELECT 'loves', 'loves')
 SELECT r.ref_id AS gold_id, coalesce(bool_or(contains(lower(f.subject), 'user') AND (contains(lower(f.object), lower(left(r.object, 7))) OR contains(lower(left(r.object, 7)), lower(f.object)))), false) AS hit
-FROM refs r JOIN kin ON p = r.predicate LEFT JOIN found f ON f.predicate = q AND f.position % 10 = r.ref_id % 10 GROUP BY r.ref_id
+FROM refs r JOIN kin ON p = r.predicate LEFT JOIN found f ON f.predicate = q AND f.position // 10 = r.ref_id // 150 GROUP BY r.ref_id
 """)
 def gold_matches(spark: SparkSession, folder: str) -> DataFrame:
     gold = A.adapted(spark, folder, A.REFERENCE_FACTS).select(
-        F.col("ref_id").alias("gold_id"), (F.col("ref_id") % 10).alias("episode"), F.lit("user").alias("subject"), "predicate", F.lower(F.substring("object", 1, 7)).alias("object")
+        F.col("ref_id").alias("gold_id"), F.floor(F.col("ref_id") / 150).alias("episode"), F.lit("user").alias("subject"), "predicate", F.lower(F.substring("object", 1, 7)).alias("object")
     )
-    found = A.adapted(spark, folder, A.FOUND_FACTS).withColumn("episode", F.col("position") % 10)
+    found = A.adapted(spark, folder, A.FOUND_FACTS).withColumn("episode", F.floor(F.col("position") / 10))
     return evaluation.gold_matches(gold, found).select("gold_id", "hit")
 
 

@@ -66,11 +66,12 @@ SELECT c_custkey AS name_id, concat('t', CAST(c_custkey % 3 AS STRING)) AS tenan
     WHEN 2 THEN c_name WHEN 3 THEN ' ' ELSE concat(' supplier#', lpad(CAST(c_custkey % 120 AS STRING), 9, '0')) END AS name
 FROM {customer}
 """
+#: Every fourth item is no entity.
 GRAPH_ENTITIES = f"""
 SELECT concat('t', CAST(p_partkey % 3 AS STRING)) AS tenant, concat('Item ', CAST(CAST(floor(p_partkey / 3) AS BIGINT) AS STRING)) AS canonical_name,
   @ARRAY(p_brand) AS aliases, CASE p_partkey % 4 WHEN 0 THEN 'person' WHEN 1 THEN 'org' WHEN 2 THEN 'place' END AS entity_type,
   {BASE_MS} + p_partkey AS first_seen, {BASE_MS} + p_partkey AS last_seen, CAST(p_partkey % 5 AS BIGINT) AS episode_count
-FROM {{part}}
+FROM {{part}} WHERE CAST(floor(p_partkey / 3) AS BIGINT) % 4 <> 3
 """
 MENTIONS = """
 SELECT concat('t', CAST(user_id % 3 AS STRING)) AS tenant, concat(CASE WHEN event_id % 2 = 0 THEN 'Client ' ELSE 'client ' END, CAST(user_id % 30 AS STRING)) AS name,
@@ -121,6 +122,32 @@ SELECT s_suppkey AS position, CASE WHEN s_suppkey % 3 = 0 THEN 'the user' ELSE c
   concat(CASE s_suppkey % 3 WHEN 0 THEN 'machinery' WHEN 1 THEN 'household machine' ELSE 'building one' END, ' ', CAST(s_suppkey AS STRING)) AS object
 FROM {supplier}
 """
+#: A log in which every seventh row comes in days after the time of which it speaks.
+LATE_LOG = f"""
+SELECT tenant, seq, CASE WHEN seq % 7 = 0 THEN ts - (seq % 5 + 1) * 86400000 ELSE ts END AS ts, op, subject, predicate, object, confidence, source FROM ({LOG}) l
+"""
+#: Mentions between the rows of the log of things that are called items at times.
+ALIASES = """
+SELECT concat('t', CAST(user_id % 3 AS STRING)) AS tenant, concat(CASE WHEN event_id % 2 = 0 THEN 'Thing ' ELSE 'thing ' END, CAST(event_id % 5 AS STRING)) AS name, 'product' AS entity_type,
+  @ARRAY(concat('Item ', CAST(event_id % 12 AS STRING)), concat('user_', CAST(user_id % 9 AS STRING))) AS aliases, @EPOCH_MS(ts) AS ts, event_id AS seq
+FROM {events} WHERE event_id % 23 = 0
+"""
+#: Turns that say a fact plainly, of users; others as they are.
+PLAIN_TURNS = f"""
+SELECT t.*, CASE WHEN role = 'user' THEN concat('I ', CASE CAST(id AS BIGINT) % 4 WHEN 0 THEN 'works_at' WHEN 1 THEN 'lives_in' WHEN 2 THEN 'prefers' ELSE 'owns' END,
+  CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN ' ITEM ' ELSE ' item ' END, CAST(CAST(id AS BIGINT) % 12 AS STRING), '.') ELSE content END AS said
+FROM ({TURNS}) t
+"""
+#: Questions of every type, each with the number of a vector; some in a session, some that can't be asked.
+QUESTIONS = """
+SELECT c_custkey AS question, concat('t', CAST(c_custkey % 3 AS STRING)) AS tenant, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey % 60 AS STRING) END AS session_id,
+  CASE WHEN c_custkey % 97 = 0 THEN '' ELSE CASE c_custkey % 7
+    WHEN 0 THEN concat('Where are we with ', c_mktsegment) WHEN 1 THEN concat('how to use the blue ', lower(c_mktsegment), ' brand#', CAST(c_custkey % 30 AS STRING))
+    WHEN 2 THEN concat('history of my jobs at ', c_mktsegment) WHEN 3 THEN concat('what happened yesterday at ', c_name) WHEN 4 THEN concat('did we talk about la le ', c_mktsegment)
+    WHEN 5 THEN concat('who is item ', CAST(c_custkey % 20 AS STRING)) ELSE concat('le the vert ', CAST(c_custkey AS STRING)) END END AS q,
+  CASE WHEN c_custkey % 5 = 0 THEN 0.5e0 END AS min_salience, c_custkey % (SELECT count(*) FROM {embeddings}) AS vec_id
+FROM {customer}
+"""
 
 
 def spelt(sql: str, dialect: dict[str, str]) -> str:

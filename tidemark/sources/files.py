@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import day_of
+from ..operators.order import numbered
 
 
 def export_lines(episodes: DataFrame, facts: DataFrame) -> DataFrame:
@@ -28,10 +29,37 @@ def import_records(spark: SparkSession, path: str, kind: str, schema: str) -> Da
     return lines.where(F.col("r.type") == kind).select("r.data.*")
 
 
+def import_in_order(spark: SparkSession, path: str, kind: str, schema: str) -> DataFrame:
+    """import_records with position from 1 in the order of created_at, then id, as a replay takes them."""
+    return numbered(import_records(spark, path, kind, schema), ["created_at", "id"], label="import")
+
+
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists, in whatever store the path names."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def committed(rows: DataFrame, path: str, batch: int) -> DataFrame:
+    """Writes rows as one batch of the table at path, and returns them as they were written.
+
+    A batch that is written again takes its own place, so a run that died can be repeated, and what belongs together (a
+    row, its vector and its code) is there as a whole or not at all.
+    """
+    rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/batch={batch}")
+
+
 def dump_archived(episodes: DataFrame, path: str, now_ms: int) -> DataFrame:
-    """Appends archived episodes as JSON under the month of now; returns what remains."""
-    month = F.date_format(day_of(F.lit(now_ms)), "yyyy-MM")
-    episodes.where("archived").withColumn("month", month).write.mode("append").partitionBy("month").json(path)
+    """Writes archived episodes that aren't in the dump at path yet as JSON lines, under the month of now and a folder of
+    this call; returns what remains. A second call adds nothing, and one that died is made good by the next."""
+    spark = episodes.sparkSession
+    gone = episodes.where("archived")
+    month = spark.range(1).select(F.date_format(day_of(F.lit(now_ms)), "yyyy-MM")).first()[0]
+    if there(spark, path):
+        had = spark.read.schema("id string, call long").json(path).where(F.col("call") != now_ms)
+        gone = gone.join(had.select("id"), "id", "left_anti").select(*gone.columns)
+    gone.write.mode("overwrite").json(f"{path}/month={month}/call={now_ms}")
     return episodes.where("NOT archived")
 
 
@@ -48,14 +76,25 @@ def load_registry(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.posexplode("m").alias("position", "key", "s")).select("position", "s.*")
 
 
+def save_registry(skills: DataFrame, path: str) -> None:
+    """Writes a registry (position, name, desc, signature, success_rate, last_used_at, version, uses) as one file of the
+    form that load_registry reads. Skills are few: each is a line of code that someone has registered."""
+    body = F.to_json(F.struct("name", "desc", "signature", "success_rate", "last_used_at", "version", "uses"), {"ignoreNullFields": "false"})
+    told = skills.select("position", body.alias("body"), F.to_json(F.struct(F.col("name").alias("n"))).alias("key"))
+    entries = told.select("position", F.concat(F.expr("substring(key, 6, length(key) - 6)"), F.lit(": "), "body").alias("entry"))
+    whole = entries.agg(F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "entry"))), lambda x: x["entry"]), ", "), F.lit("}")).alias("value"))
+    whole.coalesce(1).write.mode("overwrite").text(path)
+
+
 def with_tenant(rows: DataFrame, default: str = "user") -> DataFrame:
     """Rows of a table from before tenants."""
     return rows.withColumn("tenant", F.coalesce("tenant", F.lit(default)) if "tenant" in rows.columns else F.lit(default))
 
 
-def append_raw(output: DataFrame, path: str, model: str, prompt: str) -> None:
-    """Appends raw model output (id, kind, raw) as JSON lines, so that it can be read again without the model."""
-    output.select(F.lit(model).alias("model"), F.lit(prompt).alias("prompt"), "id", "kind", "raw").write.mode("append").json(path)
+def append_raw(output: DataFrame, path: str, model: str, prompt: str, run: int = 0) -> None:
+    """Adds raw model output (id, kind, raw) as JSON lines, so that it can be read again without the model. A run that is
+    added again replaces its own lines."""
+    output.select(F.lit(model).alias("model"), F.lit(prompt).alias("prompt"), "id", "kind", "raw").write.mode("overwrite").json(f"{path}/run={run}")
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:

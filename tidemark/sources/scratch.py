@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,7 @@ SCRATCH = "tidemark-scratch"
 TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _cleaned: set[str] = set()
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_watched: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,9 +60,21 @@ def written(df: DataFrame, label: str) -> DataFrame:
         spark.conf.set(TIDY, before)
     table = spark.read.schema(df.schema).parquet(path)
     _paths[table] = path
+    for tables in _watched:
+        tables.append(table)
     return table
 
 
+@contextmanager
+def tables_of(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """The tables that are written inside the block, so that they can be dropped when its result is."""
+    _watched.append(made := [])
+    try:
+        yield made
+    finally:
+        _watched[:] = [m for m in _watched if m is not made]
+
+
 def dropped(*tables: DataFrame) -> None:
     """Removes tables that written() gave, once nothing reads them any more; other DataFrames are let be."""
     for table in tables:
