@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, joined, per_batch, written
+from .common import dropped, few, joined, per_batch, written
 from .simhash import components, shingle_set
 
 #: Shingles with a known frequency, at most, and the least frequency that matters; of about 12 bytes each.
@@ -221,22 +221,41 @@ def _hub_pairs(hits: DataFrame, percent: int) -> DataFrame:
 
 
 def _open_pairs(hits: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """(hub, other): all pairs that the prefixes let through and that aren't in one component of found (node, root)."""
-    named = hits.drop("n").join(found.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    sizes = named.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-    # a shingle with many documents: each is at home in one cell and visits the later ones
+    """(hub, other): all pairs that the prefixes let through and that aren't in one component of found (node, root).
+
+    Documents with the same shared shingles at the same places (near copies, mostly) are one class: shingles are looked
+    up and counted for pairs of classes, and only pairs of classes that share enough are resolved into documents. Members of
+    a class that are in one component are resolved together, so that no pair inside a component is ever made.
+    """
+    told = F.array_sort(F.collect_list(F.struct("pos", "token")))
+    alike = hits.groupBy("id", "size", "matches").agg(F.sha2(F.to_json(F.struct("size", "matches", told.alias("told"))), 256).alias("alike"))
+    first = alike.groupBy("alike").agg(F.min("id").alias("class"), F.count("*").alias("n"))
+    members = joined(alike.select("id", "alike"), first, ["alike"]).join(found.select(F.col("node").alias("id"), "root"), "id", "left")
+    members = written(members.select("id", "class", F.coalesce("root", "id").alias("root")), "ngram-classes")
+    groups = written(members.groupBy("class", "root").agg(F.count("*").alias("n")), "ngram-groups")
+    spread = groups.groupBy(F.col("class").alias("id")).agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    named = hits.drop("n").join(spread, "id")  # a class's hits are those of its first member
+    sizes = named.groupBy("token").agg(F.count("*").alias("n"), F.min("low").alias("least"), F.max("high").alias("most")).where("least != most")
+    # a shingle with many classes: each is at home in one cell and visits the later ones
     cells = written(sizes.select("token", F.ceil(F.col("n") / CELL).cast("int").alias("cells"), "n"), "ngram-cells")
     placed = joined(named, cells, ["token"]).withColumn("home", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int"))
     placed = written(placed, "ngram-placed")
     visits = placed.withColumn("cell", F.explode(F.sequence("home", F.col("cells") - 1)))
-    names = ("id", "root", "size", "matches", "pos", "home")
+    names = ("id", "low", "high", "size", "matches", "pos", "home")
     left = placed.select("token", F.col("home").alias("cell"), *(F.col(c).alias(f"a_{c}") for c in names))
     right = visits.select("token", "cell", *(F.col(c).alias(f"b_{c}") for c in names))
-    once = (F.col("a_home") != F.col("b_home")) | (F.col("a_id") < F.col("b_id"))
-    both = left.join(right, ["token", "cell"]).where(once & (F.col("a_root") != F.col("b_root")) & _may("a_", "b_", percent))
-    low, high = F.least("a_id", "b_id"), F.greatest("a_id", "b_id")
-    pairs = both.groupBy(low.alias("hub"), high.alias("other")).agg(F.count("*").alias("shared"), F.min(_asked("a_", "b_", _overlap(F.col("a_size"), F.col("b_size"), percent))).alias("asked"))
-    return pairs.where("shared >= asked").select("hub", "other")
+    once = (F.col("a_home") != F.col("b_home")) | (F.col("a_id") <= F.col("b_id"))
+    several = (F.least("a_low", "b_low") != F.greatest("a_high", "b_high"))
+    both = left.join(right, ["token", "cell"]).where(once & several & _may("a_", "b_", percent))
+    asked = _asked("a_", "b_", _overlap(F.col("a_size"), F.col("b_size"), percent))
+    pairs = both.groupBy(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).agg(F.count("*").alias("shared"), F.min(asked).alias("asked"))
+    pairs = written(pairs.where("shared >= asked").select("a", "b"), "ngram-class-pairs")
+    dropped(cells, placed)
+    rooted = pairs.join(groups.select(F.col("class").alias("a"), F.col("root").alias("a_root")), "a").join(groups.select(F.col("class").alias("b"), F.col("root").alias("b_root")), "b")
+    rooted = rooted.where((F.col("a_root") != F.col("b_root")) & ((F.col("a") != F.col("b")) | (F.col("a_root") < F.col("b_root"))))
+    hubs = members.select(F.col("class").alias("a"), F.col("root").alias("a_root"), F.col("id").alias("hub"))
+    others = members.select(F.col("class").alias("b"), F.col("root").alias("b_root"), F.col("id").alias("other"))
+    return rooted.join(hubs, ["a", "a_root"]).join(others, ["b", "b_root"]).select("hub", "other")
 
 
 # -- comparison -------------------------------------------------------------------------------------
@@ -300,11 +319,12 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     nodes = marked.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("row_id").alias("id"), F.count("*").alias("n"))
     nodes = written(nodes, "ngram-nodes")
     order = spark.sparkContext.broadcast(frequent(marked, width))
-    one_each = marked.join(nodes.select(F.col("id").alias("row_id")), "row_id", "left_semi").select(F.col("row_id").alias("id"), "text")
+    copies = few(marked.where("size > 0").select("row_id").join(nodes.select(F.col("id").alias("row_id")), "row_id", "left_anti"), "ngram-copies")
+    one_each = marked.where("size > 0").join(copies, "row_id", "left_anti").select(F.col("row_id").alias("id"), "text")
     prefixes = written(one_each.mapInArrow(_prefixes(order, width, percent), "id long, size long, tokens array<long>"), "ngram-prefixes")
     hits = _hits(prefixes, percent)
     dropped(prefixes)
-    able = hits.select(F.col("id").alias("row_id")).distinct()
+    able = few(hits.select(F.col("id").alias("row_id")).distinct(), "ngram-able")
     texts = written(marked.join(able, "row_id", "left_semi").select(F.col("row_id").alias("id"), "text"), "ngram-texts")
     near = _similar(_hub_pairs(hits, percent), texts, width, percent)
     more = _similar(_open_pairs(hits, components(near, "ngram-stars"), percent), texts, width, percent)
