@@ -10,9 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import TIDY, dropped, written
+from ..sources.scratch import TIDY, dropped, tables_of, written
 
-__all__ = ["BYTES", "OFTEN", "TIDY", "dropped", "few", "joined", "per_batch", "sliced", "written"]
+__all__ = ["BYTES", "OFTEN", "TIDY", "dropped", "few", "joined", "per_batch", "sliced", "tables_of", "written"]
 
 #: Bytes of text that a task turns into rows at a time.
 BYTES = 2 << 20

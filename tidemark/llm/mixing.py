@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import few, written
 
 #: Sources of a table that is broadcast, at most.
 SOURCES = 100_000
@@ -64,13 +64,19 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), total: float
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
-    """rows (key, part, ...) with number: 0 for the first row of a key, then 1 and so on."""
+    """rows (key, part, ...) with number: 0 for the first row of a key, then 1 and so on.
+
+    Only rows whose key comes up more than once are sorted, and while such keys are few, only they are shuffled.
+    """
     parts = rows.groupBy("key", "part").agg(F.count("*").alias("n"))
     of_key = Window.partitionBy("key")
     before = F.sum("n").over(of_key.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     several = parts.withColumns({"all": F.sum("n").over(of_key), "before": F.coalesce(before, F.lit(0))}).where("all > 1").select("key", "part", "before")
+    several = few(several, "equal-rows")
     turn = F.row_number().over(Window.partitionBy("key", "part").orderBy("key")) - 1
-    return rows.join(several, ["key", "part"], "left").withColumn("number", F.coalesce(F.col("before") + turn, F.lit(0)).cast("long"))
+    equal = rows.join(several, ["key", "part"]).withColumn("number", (F.col("before") + turn).cast("long"))
+    alone = rows.join(several.select("key", "part"), ["key", "part"], "left_anti").withColumn("number", F.lit(0).cast("long"))
+    return equal.drop("before").unionByName(alone)
 
 
 def _planned(docs: DataFrame, carried: Sequence[str], seed: int, id_col: str, text_col: str, source_col: str, **shares) -> DataFrame:
@@ -105,7 +111,11 @@ def plan(
 
 
 def mix(docs: DataFrame, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **shares) -> DataFrame:
-    """The mixed rows: each row of docs as often as the plan takes it, with the columns of docs as they are."""
+    """The mixed rows: each row of docs as often as the plan takes it, with the columns of docs as they are.
+
+    Nulls, ties, repeated rows and clashing names as in plan(). Texts go through whole, also very long ones; only rows
+    that have an equal are shuffled. An empty table gives an empty result.
+    """
     planned = _planned(docs, docs.columns, seed, id_col, text_col, source_col, **shares)
     repeated = planned.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
     return repeated.select(*(F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(docs.columns)))
