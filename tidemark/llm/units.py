@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import joined, per_batch, sliced, written
+from .common import dropped, joined, per_batch, sliced, written
 
 #: What ends a unit of each kind. A sentence ends with its line, too.
 _ENDS = {"line": "\n", "paragraph": r"\n[ \t\r]*\n\s*", "sentence": r"\n|[.!?][ \t\r]+"}
@@ -108,7 +108,8 @@ def remove_repeats(docs: DataFrame, unit: str = "sentence", min_words: int = 30,
 
     A null text stays null, with no units; an empty one has none either. Every row of docs gives a row, also
     repeated ones, of which one keeps its text. Columns of docs named n_units, n_removed or removed are
-    replaced; all others go through, whatever their names and types. An empty table gives an empty result.
+    replaced; all others go through, whatever their names and types. Texts are cut whole, also very long ones: a task
+    holds the digests of one text at a time. An empty table gives an empty result.
     """
     others = [c for c in docs.columns if c != text_col and c not in dict(_ADDED)]
     rows = written(
@@ -118,11 +119,12 @@ def remove_repeats(docs: DataFrame, unit: str = "sentence", min_words: int = 30,
         ),
         "unit-rows",
     )
-    marks = rows.select("row_id", "id", "text").mapInArrow(_marks(unit), "row_id long, id long, place int, high long, low int")
+    marks = written(rows.select("row_id", "id", "text").mapInArrow(_marks(unit), "row_id long, id long, place int, high long, low int"), "unit-marks")
     rank = F.struct(F.isnull("id").alias("none"), "id", "row_id")
     firsts = written(marks.groupBy("high", "low").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1"), "unit-firsts")
     later = joined(marks, firsts, ["high", "low"]).where(rank != F.col("first"))
-    held = later.groupBy("row_id").agg(F.collect_list("place").alias("held"))
+    held = written(later.groupBy("row_id").agg(F.collect_list("place").alias("held")), "unit-held")
+    dropped(marks, firsts)
     every = rows.join(held, "row_id", "left").select("text", "held", "row")
 
     def clean(batch: pa.RecordBatch) -> pa.RecordBatch:
