@@ -2,8 +2,8 @@
 
 Each stage works on all rows that its predecessor kept, and is written as Parquet before the next one reads it.
 All stages but the last return the columns of documents. Empty tables give empty results; columns beyond those
-of documents go through. Shuffle files go as soon as the query that made them has ended, so that the stages' disk
-doesn't add up.
+of documents go through as they are, whatever their names. Shuffle files go as soon as the query that made them has
+ended, so that the stages' disk doesn't add up.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid, mixing, pieces, simhash, units
-from tidemark.llm.common import TIDY, written
+from tidemark.llm.common import TIDY, dropped, tables_of, written
 from tidemark.sources import read_table, ship
 
 #: Documents whose language takes less than this share of their n-grams are rejected.
@@ -20,17 +20,29 @@ LEAST_SCORE = 0.5
 
 
 def _tidy(spark: SparkSession) -> None:
+    """A stage's result is written by its caller, so the setting has to hold when the stage is left; run() sets it back."""
     spark.conf.set(TIDY, "true")
 
 
+def _packed(docs: DataFrame, *read: str) -> DataFrame:
+    """The columns that a stage reads, and all others in one struct, so that no name of theirs matters."""
+    others = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns) if c not in read]
+    return docs.select(*read, F.struct(F.lit(True).alias("_"), *others).alias("others"))
+
+
+def _unpacked(found: DataFrame, docs: DataFrame, *read: str) -> DataFrame:
+    """The columns of docs from rows that _packed made, those read as they are now."""
+    return found.select(*(F.col(c) if c in read else F.col("others")[f"c{k}"].alias(c) for k, c in enumerate(docs.columns)))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in a known language; the model learns from the labelled ones among them.
 
     Null and letterless texts go. Columns of docs stay as they are.
     """
     _tidy(spark)
-    found = langid.identify(docs, langid.train(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SCORE)).select(docs.columns)
+    found = langid.identify(_packed(docs, "text"), langid.train(docs.select("text", "lang")))
+    return _unpacked(found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SCORE)), docs, "text")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +62,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     text before.
     """
     _tidy(spark)
-    found = units.remove_repeats(docs)
-    text = F.col("text")
-    return found.where((F.col("n_removed") == 0) | (F.trim(F.translate(text, "\n", " ")) != "")).withColumn("n_chars", F.length(text).cast("long")).select(docs.columns)
+    found, text = units.remove_repeats(_packed(docs, "doc_id", "text", "n_chars")), F.col("text")
+    left = found.where((F.col("n_removed") == 0) | (F.trim(F.translate(text, "\n", " ")) != ""))
+    return _unpacked(left.withColumn("n_chars", F.length(text).cast("long")), docs, "doc_id", "text", "n_chars")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,7 +93,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of all stages over the table documents."""
-    docs = read_table(ship(spark), sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+    docs, before = read_table(ship(spark), sf_dir, "documents"), spark.conf.get(TIDY, "false")
+    try:
+        for name, stage in STAGES:
+            with tables_of(spark) as made:
+                last, docs = docs, written(stage(spark, docs, sf_dir), name)
+            dropped(last, *(t for t in made if t is not docs))
+    finally:
+        spark.conf.set(TIDY, before)
     return docs
