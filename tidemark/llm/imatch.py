@@ -161,6 +161,8 @@ def fingerprint_edits(docs: DataFrame, band: Band | None = None, id_col: str = "
     aren't read. The order is kept stretch by stretch, each with a copy of the next one's first row. There are as
     many stretches as the square root of the number of rows, each with about as many rows, also where many rows
     have the same id or none; rows that share both id and text lie in one stretch (sorted on disk, if need be).
+    Repeated rows each follow one another. Texts are read whole, also very long ones, packed on their way: a task
+    holds a few texts at a time. An empty table gives an empty result.
     """
     band = band or Band()
     spark = docs.sparkSession

@@ -166,7 +166,9 @@ def classify(text: str | None, model: Model) -> tuple[str, float]:
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and lang_score; columns of these names are replaced.
 
-    Only the text is looked at. Null, empty and letterless texts are und with score 0.
+    Only the text is looked at. Null, empty and letterless texts are und with score 0. Repeated rows each give a row,
+    with the same prediction. Texts are read whole, also very long ones, in slices. An empty table gives an empty
+    result, and a model that has learned nothing says und.
     """
     base = docs.drop("lang_pred", "lang_score")
     shared, at = docs.sparkSession.sparkContext.broadcast(model), base.columns.index(text_col)

@@ -268,7 +268,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     detections: start and end in code points of the text, label and trust of what the rules find. Null counts
     as an empty text: no words, nulls for places, empty labels, score 0. score is the largest trust of a
-    detection, at least 0.5 if there is a base place. One row per row of docs; other columns aren't read.
+    detection, at least 0.5 if there is a base place. One row per row of docs, also for repeated ones and null ids;
+    other columns aren't read. Texts are scanned whole, also very long ones, one at a time. Detections of equal
+    priority at one place: the longer one. An empty table gives an empty result.
     """
     detection = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label", pa.string()), ("trust", pa.float64())])
 

@@ -430,7 +430,8 @@ def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     """(doc_id, n_tokens, score) of the best segmentation of each whole text.
 
     Null and empty texts have no tokens and score 0. Null and repeated ids go through, a row for a row; other
-    columns aren't read.
+    columns aren't read. Texts are counted whole, also very long ones, unit by unit, and a unit without an end in a
+    ring as long as the longest piece. An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load(path))
 
@@ -453,7 +454,9 @@ def encode(docs: DataFrame, n: int = 4, path: str | None = None, text_col: str =
     little-endian 32-bit integers); n_pieces; score; n_best, from the best on: score, pieces and the changes
     to ids (at a place, so many ids replaced by others); round_trip: whether decoding ids gives the text.
     Null and empty texts have no pieces; null doesn't round trip to anything and gets null. A text that holds
-    U+2581 decodes to one with a space there. Columns of docs with these names are replaced.
+    U+2581 decodes to one with a space there. Columns of docs with these names are replaced. Repeated rows each give
+    a row. Texts are encoded whole, also very long ones: a task holds a text's ids, and the open paths of one unit at
+    a time. An empty table gives an empty result.
     """
     ours = ["ids", "ids_sha256", "n_pieces", "score", "n_best", "round_trip"]
     base = docs.drop(*(c for c in ours if c != text_col))

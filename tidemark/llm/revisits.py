@@ -63,7 +63,10 @@ def resolve(records: DataFrame, blocks: int | None = None) -> DataFrame:
     Earlier means a smaller captured_at; of responses at the same time the largest record_id counts as the
     latest. status: no-response (response_id and headers null), mismatch (the etags differ or, without two
     etags, the last-modified dates do; headers null), unvalidated (nothing to compare) or resolved. Records
-    without kind, url or time take no part; other kinds don't either. Extra columns aren't read.
+    without kind, url or time take no part; other kinds don't either. Extra columns aren't read. A revisit doesn't see
+    responses of its own time. Repeated records each take part; of equal responses it doesn't matter which is taken.
+    Headers may be null or very long: they go through as they are. An empty table gives an empty result. All records
+    of one URL at one and the same time are sorted in one task.
     """
     rows = records.where("kind IN ('response', 'revisit') AND url IS NOT NULL AND captured_at IS NOT NULL").select(
         "record_id", F.col("kind").alias("kind"), canonical_url(F.col("url")).alias("url_key"), "captured_at", "headers"

@@ -582,7 +582,8 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float | None = 0.8, wo
     """The rows of docs, one of each near-duplicate group: the first by doc_id, text (null first), other columns.
 
     Rows without an id belong to no group and stay. Rows that share an id are rows of their own. Columns go
-    through, whatever their names and types.
+    through, whatever their names and types. Of wholly equal rows the one that is scanned first stays. Very long texts
+    are hashed whole, in chunks. An empty table gives an empty result.
     """
     others = [c for c in docs.columns if c != "text"]  # the text is there already
     marked = _marked(docs, others, width, words, similarity, "doc_id", "text")
