@@ -7,6 +7,7 @@ import random
 import re
 import time
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -120,7 +121,7 @@ def test_grams_do_not_depend_on_slices(monkeypatch):
 
 
 def by_force(rows, k):
-    floors = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    floors = [(i, [math.floor(64 * Fraction(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for q, a in floors:
         if q % 5 == 0:
@@ -149,17 +150,29 @@ def big(value):
     r = np.random.default_rng(value.bit_length())
     rows = [(k, [float(x) / 64 for x in value + r.integers(-2000, 2000, 6) * (1 + value // 10**6)]) for k in range(150)]
     rows += [(150 + k, [-x for x in rows[k][1]]) for k in range(50)]
-    return rows + [(200, [4294967297 / 64, 4194305 / 64]), (205, [4294967297 / 64, 4194303 / 64]), (210, [1e300] * 6)]
+    return rows + [(200, [4294967297 / 64, 4194305 / 64]), (205, [4294967297 / 64, 4194303 / 64]), (210, [1e300] * 6), (211, [1e18, -1.0]), (215, [2.0**56, 0.3, 7.0]), (216, [1.7e308])]
 
 
-@pytest.mark.parametrize("value", [2**20, 2**26, 2**31, 2**32, 2**40, 2**58])
+@pytest.mark.parametrize("value", [2**20, 2**26, 2**32, 2**58, 2**62])
 def test_pivots_of_large_components(spark, monkeypatch, value):
     monkeypatch.setattr(pivots, "BLOCK", 50)
     monkeypatch.setattr(pivots, "STEP", 16)
     monkeypatch.setattr(pivots, "POOL", 40)
     rows = big(value)
     got = sorted(map(tuple, pivots.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 5 == 0, 7).collect()))
-    assert got == [(q, rank, i, min(max(s, -(2**63)), 2**63 - 1)) for q, rank, i, s in by_force(rows[:-1], 7)]
+    assert got == [(q, rank, i, min(max(s, -(2**63)), 2**63 - 1)) for q, rank, i, s in by_force(rows, 7)]
+
+
+def test_pivots_of_long_vectors(spark, monkeypatch):
+    """768 dimensions: blocks are bounded by bytes; rows that share an id but not their vector share one list."""
+    monkeypatch.setattr(pivots, "BLOCK_BYTES", 60 * 768 * 8)
+    r = np.random.default_rng(5)
+    rows = [(k, [float(x) for x in r.normal(size=768)]) for k in range(150)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, pivots.top_k(table, F.col("vec_id") % 5 == 0, 7).collect())) == by_force(rows, 7)
+    twice = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [3.0, 2.0]), (2, [1.0, 1.0])]
+    got = sorted(map(tuple, pivots.top_k(spark.createDataFrame(twice, "vec_id long, embedding array<double>"), F.col("vec_id") % 5 == 0, 3).collect()))
+    assert got == [(0, 1, 1, 3 * 4096), (0, 2, 1, 2 * 4096), (0, 3, 2, 4096)]
 
 
 def test_pivot_blocks_are_balanced_and_skipped(spark, monkeypatch):

@@ -11,12 +11,18 @@ from the start that its k-th best can't be under, from the rows among which the
 the blocks whose bound reaches that score, and evaluates only candidates that do. A block's best go to a ranking by
 query. Exact search of n / 20 queries over n rows is quadratic where bounds tell little; blocks keep memory flat
 and let the pairs spread over any number of tasks.
+
+Vectors with a component whose integer needs more than 63 bits have no distances that a float could hold: they meet
+all others as Python's own integers, block by block. Only such vectors pay for that.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
+from fractions import Fraction
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +34,10 @@ from .common import per_batch, written
 #: Candidates of a block, about; queries bounded together; candidates evaluated at a time; parts of a block's size
 #: in which candidates are dealt to blocks.
 BLOCK, TOGETHER, STEP, PARTS = 65_536, 64, 512, 8
+#: Bytes of a block's candidates as they are multiplied, at most: blocks of long vectors hold fewer than BLOCK.
+BLOCK_BYTES = 64 << 20
+#: Candidates of a block where integers need more than 63 bits.
+WIDE_BLOCK = 1_024
 #: Pairs of queries and blocks handed on at a time, about.
 PAIRS = 100_000
 PIVOTS, POOL = 32, 512
@@ -37,24 +47,34 @@ _KINDS = (np.int8, np.int16, np.int32, np.int64)
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 64.0) -> DataFrame:
-    """(vec_id, v, most): floor(scale * x) of each component as packed 64-bit integers, and the largest of their sizes.
+    """(vec_id, v, most, width): floor(scale * x) of each component as packed integers of width bytes each, and the
+    largest of their sizes: width is 8, or more if an integer needs more than 63 bits (most is 0 then).
 
-    Rows whose id or vector is null, or that hold a null or non-finite component or one whose integer needs more
-    than 63 bits, are left out.
+    Rows whose id or vector is null, or that hold a null or non-finite component, are left out.
     """
+    whole = Fraction(scale)
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, packed, most = [], [], []
-        for vec_id, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if vec_id is None or x is None or None in x:
+        ids, packed, most, widths = [], [], [], []
+        for vec_id, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if vec_id is None or v is None or None in v:
+                continue
+            x = np.array(v, np.float64)
+            if not np.isfinite(x).all():
                 continue
-            x = np.floor(scale * np.array(x, np.float64))
+            with np.errstate(over="ignore"):
+                x = np.floor(scale * x)
+            ids.append(vec_id)
             if (np.abs(x) < 2.0**62).all():
-                ids.append(vec_id), packed.append(x.astype(np.int64).tobytes()), most.append(int(np.abs(x).max(initial=0)))
-        return pa.record_batch([pa.array(ids, pa.int64()), pa.array(packed, pa.binary()), pa.array(most, pa.int64())], ["vec_id", "v", "most"])
+                packed.append(x.astype(np.int64).tobytes()), most.append(int(np.abs(x).max(initial=0))), widths.append(8)
+                continue
+            own = [math.floor(whole * Fraction(c)) for c in v]
+            width = max(9, max(c.bit_length() for c in own) // 8 + 1)
+            packed.append(b"".join(c.to_bytes(width, "little", signed=True) for c in own)), most.append(0), widths.append(width)
+        return pa.record_batch([pa.array(ids, pa.int64()), pa.array(packed, pa.binary()), pa.array(most, pa.int64()), pa.array(widths, pa.int32())], ["vec_id", "v", "most", "width"])
 
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    return rows.mapInArrow(per_batch(make), "vec_id long, v binary, most long")
+    return rows.mapInArrow(per_batch(make), "vec_id long, v binary, most long, width int")
 
 
 def _matrix(packed: list[bytes], dims: int, kind: type = np.int64) -> np.ndarray:
@@ -114,15 +134,21 @@ def floors(ids: np.ndarray, x: np.ndarray, pool_ids: np.ndarray, pool: np.ndarra
     return out
 
 
-def best_of_block(query: np.ndarray, far_q: np.ndarray, ids: np.ndarray, x: np.ndarray, far_x: np.ndarray, skip: np.ndarray, k: int, kind: type, least: np.ndarray):
+def made_ready(x: np.ndarray, far_x: np.ndarray, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's candidates as they are multiplied, the squares of their lengths, and their distances pivot by pivot."""
+    long = np.concatenate([(x[k : k + STEP].astype(np.float64) ** 2).sum(axis=1) for k in range(0, len(x), STEP)]) if len(x) else np.zeros(0)
+    return x.astype(kind), long, np.ascontiguousarray(far_x.T.astype(np.float32))
+
+
+def best_of_block(query: np.ndarray, far_q: np.ndarray, ids: np.ndarray, x: np.ndarray, far_x: np.ndarray, skip: np.ndarray, k: int, kind: type, least: np.ndarray, held: tuple | None = None):
     """Yields (places in the block, scores) of each query's k best candidates of `least` or more, ties to the
     smaller id.
 
-    query, x: integers; far: distances to the pivots; skip: the id that a query may not get; kind: see arithmetic.
+    query, x: integers; far: distances to the pivots; skip: the id that a query may not get; kind: see arithmetic; held:
+    what made_ready gives for the block, so that it is worked out once for all its queries.
     """
-    q, c = query.astype(kind), x.astype(kind)
-    long_q, long_x = (query.astype(np.float64) ** 2).sum(axis=1), (x.astype(np.float64) ** 2).sum(axis=1)
-    near_x = np.ascontiguousarray(far_x.T.astype(np.float32))
+    q, (c, long_x, near_x) = query.astype(kind), held or made_ready(x, far_x, kind)
+    long_q = (query.astype(np.float64) ** 2).sum(axis=1)
     off = slack(float(max(far_q.max(initial=0), far_x.max(initial=0))), float(max(long_q.max(initial=0), long_x.max(initial=0))), query.shape[1], kind)
     for at in range(0, len(q), TOGETHER):
         some = slice(at, at + TOGETHER)
@@ -166,23 +192,71 @@ def _layout(counts: np.ndarray, blocks: int) -> np.ndarray:
     return np.minimum((middle * blocks / max(1, total[-1])).astype(np.int64), blocks - 1).reshape(counts.shape)
 
 
+def _order(scores, digits: int) -> list[str]:
+    """Texts in the order of the integers: the numbers, made positive, in so many hexadecimal digits and one."""
+    return [format(int(s) + (1 << 4 * digits - 1), f"0{digits + 1}x") for s in scores]
+
+
+def _long(score: int) -> int:
+    return min(max(int(score), _LEAST), 2**63 - 1)
+
+
+def _by_all(asking: DataFrame, candidates: DataFrame, k: int, digits: int) -> DataFrame:
+    """(query_id, vec_id, score, order): each query's k best of every block of candidates, by Python's integers."""
+    spark = candidates.sparkSession
+    blocks = max(1, math.ceil(candidates.count() / WIDE_BLOCK))
+    homes = candidates.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asking"), "vec_id", "v", "width")
+    visits = asking.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asking"), "vec_id", "v", "width")
+
+    def integers(raw: bytes, width: int) -> list[int]:
+        return [int.from_bytes(raw[n : n + width], "little", signed=True) for n in range(0, len(raw), width)]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = None, []
+        for batch in batches:
+            out: list[tuple[int, int, int]] = []
+            for at, asks, vec_id, v, width in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != block:
+                    block, held = at, []
+                own = integers(v, width)
+                if not asks:
+                    held.append((vec_id, own))
+                    continue
+                scored = ((-sum(map(mul, own, x)), i) for i, x in held if i != vec_id)
+                out += [(vec_id, i, -s) for s, i in heapq.nsmallest(k, scored)]
+            scores = [s for *_, s in out]
+            columns = [pa.array([q for q, _, _ in out], pa.int64()), pa.array([i for _, i, _ in out], pa.int64()), pa.array([_long(s) for s in scores], pa.int64())]
+            yield pa.record_batch([*columns, pa.array(_order(scores, digits), pa.string())], ["query_id", "vec_id", "score", "order"])
+
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(blocks, 10_000))
+    dealt = homes.union(visits).repartition(parts, "block").sortWithinPartitions("block", "asking")
+    return dealt.mapInArrow(search, "query_id long, vec_id long, score long, order string")
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 64.0) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest integer inner products (all, if fewer).
 
     is_query picks queries by the column vec_id; candidates are all other rows. Ties go to the smaller
-    vec_id. Rows that repeat both id and vector count once; rows that share an id are all a query's own.
-    Shorter vectors count as if zeros followed. Scores are ranked exactly; those beyond 64 bits are reported as
-    the nearest number that has 64. Extra columns aren't read; an empty table gives no rows.
+    vec_id. Rows that repeat both id and vector count once; rows that share an id are all a query's own, and as
+    queries they share one list of k, in which a candidate comes once for each of their vectors that it is best for.
+    Shorter vectors count as if zeros followed; long ones make blocks of fewer candidates. Scores are ranked exactly
+    at any size of the components; those beyond 64 bits are reported as the nearest number that has 64. Vectors that
+    are null or hold null or non-finite components take no part. Extra columns aren't read; an empty table gives no rows.
 
     To the driver come POOL rows, the counts by which candidates are dealt to blocks, and two numbers for each
     block and pivot: a few kilobytes for BLOCK candidates.
     """
     spark = vectors.sparkSession
-    raw = written(quantised(vectors, id_col, vector_col, scale).distinct(), "vectors")
+    every = written(quantised(vectors, id_col, vector_col, scale).distinct(), "vectors")
+    raw, wide = every.where("width = 8"), every.where("width > 8")
     n, longest, most = raw.agg(F.count("*"), F.max(F.length("v")), F.max("most")).first()
+    n_wide, width, long_wide = wide.agg(F.count("*"), F.max("width"), F.max(F.length("v") / F.col("width"))).first()
     dims, kind = (longest or 0) // 8, next(t for t in _KINDS if (most or 0) <= np.iinfo(t).max)
     exact = arithmetic(most or 0, dims)
-    blocks = max(1, math.ceil(n / BLOCK), min(spark.sparkContext.defaultParallelism, math.ceil(n / 2048)))
+    digits = max(40, (16 * (width or 8) + int(max(dims, long_wide or 0)).bit_length()) // 4 + 2)
+    told = exact is object or n_wide > 0  # scores that need more than 64 bits may come up
+    block = max(1, min(BLOCK, BLOCK_BYTES // (8 * max(1, dims))))
+    blocks = max(1, math.ceil(n / block), min(spark.sparkContext.defaultParallelism, math.ceil(n / 2048)))
     pool_ids, pool = pool_of(raw, dims)
     pivots = choose_pivots(pool)
     parts = max(1, math.ceil(PARTS * blocks / max(1, len(pivots))))
@@ -215,8 +289,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
         yield pa.record_batch([pa.array(b.astype(np.int32)), pa.array(p.astype(np.int32)), pa.array(low[b, p]), pa.array(high[b, p])], ["block", "pivot", "low", "high"])
 
     low, high = np.full((blocks, len(pivots) + 1), np.inf), np.full((blocks, len(pivots) + 1), -np.inf)
-    told = vecs.select("v", "far", "cell", "part").mapInArrow(ranges, "block int, pivot int, low double, high double")
-    for row in told.groupBy("block", "pivot").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect():
+    ranged = vecs.select("v", "far", "cell", "part").mapInArrow(ranges, "block int, pivot int, low double, high double")
+    for row in ranged.groupBy("block", "pivot").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect():
         low[row["block"], row["pivot"]], high[row["block"], row["pivot"]] = row["low"], row["high"]
     keys = np.array(_keys(spark, blocks), np.int32)
     shared = spark.sparkContext.broadcast((layout, low, high, keys, pool_ids, pool, pivots))
@@ -247,9 +321,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
                     found = np.flatnonzero(bound >= float(least[row]) - abs(float(least[row])) * 1e-12)
                     who.append(np.full(len(found), row)), where.append(found)
                 who, where = np.concatenate(who), np.concatenate(where)
-                take, told = pa.array(who), pa.array([str(x) for x in least], pa.string())
+                take, floor = pa.array(who), pa.array([str(x) for x in least], pa.string())
                 columns = [pa.array(keys[where]), pa.array(where.astype(np.int32)), pa.array(np.ones(len(who), bool)), part.column(0).take(take), part.column(1).take(take)]
-                yield pa.record_batch([*columns, pa.nulls(len(who), pa.binary()), told.take(take)], NAMES)
+                yield pa.record_batch([*columns, pa.nulls(len(who), pa.binary()), floor.take(take)], NAMES)
 
     schema = "key int, block int, asking boolean, vec_id long, v binary, far binary, least string"
     rows = vecs.select("vec_id", "v", "far", "cell", "part")
@@ -257,16 +331,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     dealt = dealt.repartition(blocks, "key").sortWithinPartitions("block", "asking")
 
     def answer(homes: tuple, part: pa.RecordBatch) -> pa.RecordBatch:
-        ids, x, far = homes
+        ids, x, far, held = homes
         asked, q = part.column(3).to_numpy(), _matrix(part.column(4).to_pylist(), dims, kind)
         least = np.array([int(t) for t in part.column(6).to_pylist()], object if exact is object else np.int64)
-        best = best_of_block(q, distances(q.astype(np.float64), shared.value[-1]), ids, x, far, asked, k, exact, least)
+        best = best_of_block(q, distances(q.astype(np.float64), shared.value[-1]), ids, x, far, asked, k, exact, least, held)
         out = [(np.full(len(s), a), ids[p], s) for a, (p, s) in zip(asked, best, strict=True)]
         who, whom, scores = (np.concatenate(c) for c in zip(*out, strict=True))
-        # beyond 64 bits the order is that of a text: the number, made positive, in hexadecimal digits
-        order = pa.array([format(int(s) + (1 << 159), "041x") for s in scores], pa.string()) if exact is object else pa.nulls(len(who), pa.string())
-        told = np.array([min(max(int(s), _LEAST), 2**63 - 1) for s in scores], np.int64) if exact is object else scores
-        return pa.record_batch([pa.array(who), pa.array(whom), pa.array(told), order], ["query_id", "vec_id", "score", "order"])
+        order = pa.array(_order(scores, digits), pa.string()) if told else pa.nulls(len(who), pa.string())
+        if exact is object:
+            scores = np.array([_long(s) for s in scores], np.int64)
+        return pa.record_batch([pa.array(who), pa.array(whom), pa.array(scores), order], ["query_id", "vec_id", "score", "order"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, parts, homes = None, [], None
@@ -284,10 +358,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
                     continue
                 if parts:
                     homes, parts = tuple(map(np.concatenate, zip(*parts, strict=True))), []
+                    homes = (*homes, made_ready(homes[1], homes[2], exact))
                 if homes is not None:
                     yield answer(homes, part)
 
     found = dealt.mapInArrow(search, "query_id long, vec_id long, score long, order string")
+    if n_wide:
+        found = found.union(_by_all(wide.where(is_query), every, k, digits)).union(_by_all(raw.where(is_query), wide, k, digits))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("order"), F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
