@@ -176,7 +176,7 @@ ODD = [
 
 @pytest.mark.parametrize("rows", [ODD, []])
 def test_stages_on_odd_tables(spark, sf_dir, rows):
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "'x' AS fp", "1 AS size", "2 AS n_units", "3 AS copies", "'y' AS lang_pred")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "'x' AS fp", "2 AS n_units", "3 AS copies", "'y' AS lang_pred")
     names = docs.columns[:5]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs.select(*names), sf_dir)
@@ -184,7 +184,11 @@ def test_stages_on_odd_tables(spark, sf_dir, rows):
         out.collect()
     last = corpus_pipeline.tokenize(spark, docs, sf_dir)
     assert last.count() == len(rows)
-    for stage in (corpus_pipeline.language_id, corpus_pipeline.near_dedup, corpus_pipeline.mix_sources):
-        assert stage(spark, docs, sf_dir).columns == docs.columns
-        stage(spark, docs, sf_dir).collect()
+    mine = docs.selectExpr("*", "'mine' AS lang_score", "'gone' AS removed", "-1 AS n_removed", "'b' AS score", "array('o') AS others", "9 AS size")
+    own = {c: mine.schema[c].dataType.simpleString() for c in mine.columns[5:]}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, mine, sf_dir)
+        assert out.columns == mine.columns and {c: out.schema[c].dataType.simpleString() for c in own} == own
+        for r in out.collect():  # values of columns that the operators name theirs
+            assert (r.fp, r.n_units, r.copies, r.lang_pred, r.lang_score, r.removed, r.n_removed, r.score, r.others, r["size"]) == ("x", 2, 3, "y", "mine", "gone", -1, "b", ["o"], 9)
     assert langid.identify(docs, langid.train(docs)).count() == len(rows)

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from oracle import views
 
-from tidemark.llm import fim, merkle, ngrams, queries
+from tidemark.llm import fim, imatch, licenses, merkle, ngrams, queries, revisits
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names the operators use themselves.
@@ -254,3 +254,34 @@ def test_pairs_inside_a_component_are_not_compared(spark):
     near = ngrams._similar(ngrams._hub_pairs(hits, 85), marked.selectExpr("row_id AS id", "text"), 4, 85)
     assert near.count() >= 250
     assert ngrams._open_pairs(hits, ngrams.components(near), 85).count() < 1_000
+
+
+# -- cases that earlier tests leave out -------------------------------------------------------------
+
+
+def test_licenses_of_an_empty_table(spark):
+    assert licenses.scan(made(spark, [])).collect() == []
+    twice = licenses.scan(made(spark, [(1, "The MIT License", None, None, 1), (1, "The MIT License", None, None, 1), (None, "mit license " * 20_000, None, None, 1)])).collect()
+    assert sorted((r.doc_id or 0, r.n_base, r.base_labels) for r in twice) == [(0, 20_000, "mit"), (1, 1, "mit"), (1, 1, "mit")]
+
+
+def test_imatch_of_a_very_long_text(spark):
+    long = "wörd und mehr " * 60_000
+    got = {r.doc_id: r for r in imatch.fingerprint_edits(made(spark, [(1, "kurz", None, None, 4), (2, long, None, None, 1), (3, long, None, None, 1)])).collect()}
+    half = len(long) // 2
+    assert got[2].edited_sha256 == hashlib.sha256((long[: len(long) - half] + "kurz").encode()).hexdigest() and got[2].n_chars == len(long)
+    assert got[3].edited_sha256 == hashlib.sha256((long[: len(long) - half] + long[:half]).encode()).hexdigest() and got[3].fingerprint == got[2].fingerprint
+
+
+def test_revisits_of_a_hot_url_at_equal_times(spark):
+    """One URL has all records, many of them at one time, before which and at which there are responses."""
+    r = random.Random(4)
+    rows = [(k, r.choice(["response", "revisit"]), "http://h/p", r.choice([5, 5, 5, 6, 7]), {"etag": r.choice("ab")}) for k in range(400)]
+    table = spark.createDataFrame(rows, "record_id long, kind string, url string, captured_at long, headers map<string,string>")
+    for blocks in (None, 1, 3):
+        got = {x.record_id: (x.response_id, x.status) for x in revisits.resolve(table, blocks).collect()}
+        for i, kind, _, at, headers in rows:
+            if kind == "revisit":
+                before = [x for x in rows if x[1] == "response" and x[3] < at]
+                best = max(before, key=lambda x: (x[3], x[0]), default=None)
+                assert got[i] == ((None, "no-response") if best is None else (best[0], "resolved" if best[4] == headers else "mismatch"))
