@@ -59,8 +59,7 @@ def store(spark):
     return spark.createDataFrame(rows, kind).cache(), spark.createDataFrame(vectors, "id string, vector array<double>").cache()
 
 
-@pytest.mark.parametrize("mode", ["post", "pre"])
-@pytest.mark.parametrize("together", [2_048, 3])
+@pytest.mark.parametrize(("mode", "together"), [("post", 3), ("pre", 2_048)])
 def test_searches_equal_those_of_one_question(spark, store, monkeypatch, mode, together):
     monkeypatch.setattr(questions, "TOGETHER", together)
     monkeypatch.setattr(questions, "STEP", 37)
