@@ -30,7 +30,7 @@ from .common import dropped, few, joined, per_batch, written
 from .simhash import components, shingle_set
 
 #: Shingles with a known frequency, at most, and the least frequency that matters; of about 12 bytes each.
-FREQUENT, LEAST = 1 << 19, 4
+FREQUENT, LEAST = 1 << 21, 4
 #: Shared shingles that a prefix may ask for, at most.
 MATCHES = 4
 #: Shingles that a task sorts, or a range of hashes holds, at a time.
@@ -285,12 +285,14 @@ def _compared(width: int, percent: int):
 def _similar(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """(u, v): the pairs (hub, other) whose sets of shingles are similar, written.
 
-    A hub's text meets those of its partners, PARTNERS at a time.
+    A hub's text meets those of its partners, PARTNERS at a time. Only texts of pairs are shuffled, as long as pairs
+    are few.
     """
     pairs = written(pairs, "ngram-pairs")
-    blocks = pairs.groupBy("hub").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("blocks"), F.count("*").alias("n"))
-    blocks = written(blocks, "ngram-partners")
-    placed = pairs.join(blocks.where("blocks > 1").select("hub", "blocks"), "hub", "left").withColumn("block", F.pmod(F.xxhash64("other"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    blocks = few(pairs.groupBy("hub").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("blocks")), "ngram-partners")
+    several = blocks.where("blocks > 1")
+    block = F.pmod(F.xxhash64("other"), F.coalesce("blocks", F.lit(1))).cast("int")
+    placed = few(pairs.join(several, "hub", "left").select("hub", "other", block.alias("block")), "ngram-visits")
     ours = texts.join(blocks.withColumnRenamed("hub", "id"), "id").select("id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "text")
     ours = ours.select(F.struct(F.col("id").alias("hub"), "block").alias("cell"), F.col("id").alias("hub"), F.lit(None).cast("long").alias("other"), "text")
     theirs = placed.join(texts.withColumnRenamed("id", "other"), "other").select(F.struct("hub", "block").alias("cell"), "hub", "other", "text")
@@ -298,7 +300,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = both.repartition(parts, "cell", "hub").sortWithinPartitions("cell", "hub", "other")
     found = written(both.mapInArrow(_compared(width, percent), "u long, v long"), "ngram-links")
-    dropped(pairs, blocks)
+    dropped(pairs, blocks, placed)
     return found
 
 
@@ -324,12 +326,11 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     prefixes = written(one_each.mapInArrow(_prefixes(order, width, percent), "id long, size long, tokens array<long>"), "ngram-prefixes")
     hits = _hits(prefixes, percent)
     dropped(prefixes)
-    able = few(hits.select(F.col("id").alias("row_id")).distinct(), "ngram-able")
-    texts = written(marked.join(able, "row_id", "left_semi").select(F.col("row_id").alias("id"), "text"), "ngram-texts")
+    texts = marked.select(F.col("row_id").alias("id"), "text")
     near = _similar(_hub_pairs(hits, percent), texts, width, percent)
     more = _similar(_open_pairs(hits, components(near, "ngram-stars"), percent), texts, width, percent)
     found = components(near.union(more), "ngram-stars")
-    dropped(texts, hits)
+    dropped(hits)
     rooted = nodes.join(found.withColumnRenamed("node", "id"), "id", "left").select("node", "n", "first_id", F.coalesce("root", "id").alias("root"))
     rooted = written(rooted, "ngram-rooted")
     least = written(rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members")), "ngram-least")
