@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
+import pytest
 from oracle import views
 
+from tidemark.operators import questions, skills
 from tidemark.plans import catalog
 
 
@@ -13,3 +17,31 @@ def test_ghosts_count_every_item(spark, sf_dir):
     numbers = {int(e.split()[1]) for e in got}
     items = {x for (x,) in views(sf_dir).sql("SELECT p_partkey // 3 FROM part WHERE p_partkey % 3 = 1").fetchall()}
     assert numbers <= items and any(n % 4 == 3 for n in numbers)
+
+
+@pytest.mark.parametrize("common", [0, 40, 1_000_000])
+def test_skills_of_classes_of_questions(spark, monkeypatch, common):
+    """Questions with equal words are one class, and common words are ranked by sets; results are those of one question."""
+    monkeypatch.setattr(questions, "COMMON", common)
+    r = random.Random(4)
+    names = ["blue", "ring", "bolt", "green", "brand", "small"]
+    rows = [("_".join([*r.sample(names, 2), str(k)]), r.choice(names), k) for k in range(200)]
+    known = spark.createDataFrame(rows, "name string, desc string, position int")
+    texts = [" ".join(r.sample([*names, "none", "how", *(str(100 + r.randrange(99)) for _ in range(6))], 4)) for _ in range(12)]
+    asked = spark.createDataFrame([(k, texts[k % 12] + " x" * (k % 3)) for k in range(60)], "question long, q string")
+    got = {}
+    for row in questions.search_skills(asked, known, 4).orderBy("question", "rank").collect():
+        got.setdefault(row.question, []).append((row.name, row.hits))
+    for n, text in enumerate(texts):
+        alone = [(row.name, row.hits) for row in skills.search(known, text, 4).collect()]
+        assert all(got.get(k, []) == alone for k in range(n, 60, 12))
+
+
+def test_skills_do_not_grow_by_questions(spark):
+    """Many questions with the same words make no more rows than one of them until the answers are dealt out."""
+    known = spark.createDataFrame([(f"blue_{k}", "ring", k) for k in range(300)], "name string, desc string, position int")
+    asked = spark.createDataFrame([(k, f"the blue ring {'x' * (k % 2)}") for k in range(500)], "question long, q string")
+    found = questions.search_skills(asked, known, 5)
+    assert found.count() == 2_500
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan  # what is counted is counted for classes, before
