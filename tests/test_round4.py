@@ -45,3 +45,40 @@ def test_skills_do_not_grow_by_questions(spark):
     assert found.count() == 2_500
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan  # what is counted is counted for classes, before
+
+
+def by_force(asked, held, k):
+    def cosine(a, b):
+        dot = lambda x, y: sum(p * q for p, q in zip(x, y, strict=True))
+        return dot(a, b) / (dot(a, a) ** 0.5 * dot(b, b) ** 0.5)
+
+    return sorted((q, i, near) for q, a in asked for near, (_, i) in enumerate(sorted((-cosine(b, a), i) for i, b in held)[:k], 1))
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_nearest_in_many_cells(spark, monkeypatch, small):
+    """Equal questions, equal vectors and ties give what each pair by itself gives, however rows are dealt to cells."""
+    if small:
+        for name, value in (("TOGETHER", 5), ("LEAST", 1), ("TILE", 2), ("SPAN", 9), ("STEP", 3)):
+            monkeypatch.setattr(questions, name, value)
+    r = random.Random(7)
+    lists = [[r.choice([-1.0, 0.5, 1.0]) for _ in range(3)] for _ in range(25)]
+    held = [(f"c{k}", lists[k % 25]) for k in range(70)]
+    asked = [(k, lists[k % 11]) for k in range(40)]
+    table = spark.createDataFrame([(q, "x", v) for q, v in asked], "question long, q string, vector array<double>")
+    for named in (False, True):
+        rows = spark.createDataFrame([(i, v, lists.index(v)) for i, v in held], "id string, vector array<double>, vec_id int")
+        found = questions.nearest_each(questions.passed(table, 6), rows if named else rows.drop("vec_id"), 6)
+        assert sorted((x.question, x.id, x.near) for x in found.collect()) == by_force(asked, held, 6)
+
+
+def test_plan_does_not_grow_with_questions(spark, monkeypatch):
+    """Neither questions nor passes over the candidates come to the driver as parts of a plan."""
+    monkeypatch.setattr(questions, "TOGETHER", 4)
+    rows = spark.createDataFrame([(f"c{k}", [1.0, float(k)]) for k in range(20)], "id string, vector array<double>")
+
+    def size(n):
+        asked = spark.createDataFrame([(k, "x", [float(k), 1.0]) for k in range(n)], "question long, q string, vector array<double>")
+        return questions.nearest_each(questions.passed(asked, 3), rows, 3)._jdf.queryExecution().optimizedPlan().toString().count("\n")
+
+    assert size(3) == size(60)
