@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from oracle import views
 
+from tidemark.llm import pivots
 from tidemark.operators import questions, skills
 from tidemark.plans import catalog
 
@@ -82,3 +84,18 @@ def test_plan_does_not_grow_with_questions(spark, monkeypatch):
         return questions.nearest_each(questions.passed(asked, 3), rows, 3)._jdf.queryExecution().optimizedPlan().toString().count("\n")
 
     assert size(3) == size(60)
+
+
+def test_pivots_of_many_queries(monkeypatch):
+    """Runs of candidates are skipped as wholes, and what is left gives each query's best."""
+    monkeypatch.setattr(pivots, "RUN", 10)
+    r = np.random.default_rng(2)
+    x = np.repeat(r.integers(-60, 60, (40, 4)), 50, axis=0) + r.integers(-1, 2, (2000, 4))
+    p, ids, q = x[::100].astype(float), r.permutation(2000), x[::20]
+    far = pivots.distances(x.astype(float), p)
+    floor = pivots.floors(ids[::20], q, ids[::100], x[::100], 5, np.float64)
+    found = list(pivots.best_of_block(q, far[::20], ids, x, far, ids[::20], 5, np.float64, floor))
+    assert len(found) == len(q)
+    for n, (places, scores) in enumerate(found):
+        expected = sorted((-int(q[n] @ y), int(i)) for y, i in zip(x, ids, strict=True) if i != ids[20 * n])[:5]
+        assert [(-int(s), int(ids[k])) for k, s in zip(places, scores, strict=True)] == expected

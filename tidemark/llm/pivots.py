@@ -3,7 +3,8 @@
 Every vector carries its distances to many pivots, computed once. For a query q and a candidate x, the largest
 |d(q, p) - d(x, p)| over the pivots is a lower bound of d(q, x), which bounds the inner product from above.
 Candidates are evaluated in the order of that bound until it falls below the k-th best score found: then no
-other candidate can be among the best.
+other candidate can be among the best. Where many queries visit a block, its candidates are bounded in runs of like
+distances, and the runs that are left for some queries are multiplied with all of those at once.
 
 Candidates lie in blocks of like size, each with candidates near one pivot or a few. A block is known by its
 ranges of pivot distances and its longest vector, which bound the inner products in it. Each query knows a score
@@ -34,6 +35,10 @@ from .common import per_batch, written
 #: Candidates of a block, about; queries bounded together; candidates evaluated at a time; parts of a block's size
 #: in which candidates are dealt to blocks.
 BLOCK, TOGETHER, STEP, PARTS = 65_536, 64, 512, 8
+#: Candidates that are bounded as one run and multiplied at once; queries of a block up to which candidates are bounded one by one.
+RUN, FEW_ASK = 1_024, 8
+#: Queries that are multiplied with such a run at once.
+MANY = 256
 #: Bytes of a block's candidates as they are multiplied, at most: blocks of long vectors hold fewer than BLOCK.
 BLOCK_BYTES = 64 << 20
 #: Candidates of a block where integers need more than 63 bits.
@@ -140,6 +145,49 @@ def made_ready(x: np.ndarray, far_x: np.ndarray, kind: type) -> tuple[np.ndarray
     return x.astype(kind), long, np.ascontiguousarray(far_x.T.astype(np.float32))
 
 
+def _best_together(q, far_q, long_q, ids, c, near_x, long_x, off, skip, k, least):
+    """As best_of_block, for many queries: runs of candidates are bounded as wholes by their ranges of pivot distances, and
+    those that are left for some of MANY queries are multiplied with them at once. A run whose bound is under a query's
+    k-th best score so far is skipped for it."""
+    order = np.lexsort((near_x.max(axis=0, initial=0), near_x.argmin(axis=0))) if len(near_x) else np.arange(len(c))
+    runs = [order[lo : lo + RUN] for lo in range(0, len(order), RUN)]
+    low, high = (np.array([f(near_x[:, r], axis=1) for r in runs]).reshape(len(runs), len(near_x)) for f in (np.min, np.max))
+    most = np.array([long_x[r].max() for r in runs])
+    small = float(long_q.max(initial=0)) * float(long_x.max(initial=0)) < 2.0**46  # every partial sum is an integer under 2 ** 24
+    c, ids = (c[order].astype(np.float32) if small else c[order]), ids[order]
+    for at in range(0, len(q), MANY):
+        own, far, skipped = q[at : at + MANY].astype(c.dtype), far_q[at : at + MANY], np.asarray(skip[at : at + MANY])
+        floor = np.array([float(x) for x in least[at : at + MANY]])
+        apart = np.zeros((len(own), len(runs)))
+        for p in range(len(near_x)):
+            np.maximum(apart, np.maximum(low[:, p] - far[:, p, None], far[:, p, None] - high[:, p]), out=apart)
+        sizes = long_q[at : at + MANY, None] + most
+        bound = (sizes - np.maximum(apart - off, 0) ** 2) / 2 + 1e-12 * sizes + 1
+        who, place, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for r in np.argsort(-bound.max(axis=0), kind="stable"):
+            rows = np.flatnonzero(bound[:, r] >= floor - np.abs(floor) * 1e-12)
+            if not len(rows):
+                continue
+            lo = r * RUN
+            got = own[rows] @ c[lo : lo + RUN].T
+            a, b = np.nonzero(got >= floor[rows, None])
+            other = ids[lo + b] != skipped[rows[a]]
+            a, b = a[other], b[other]
+            if not len(a):
+                continue
+            who, place, score = np.concatenate([who, rows[a]]), np.concatenate([place, lo + b]), np.concatenate([score, got[a, b].astype(np.float64)])
+            best = np.lexsort((ids[place], -score, who))
+            best = best[np.arange(len(best)) - np.searchsorted(who[best], who[best]) < k]
+            who, place, score = who[best], place[best], score[best]
+            ends = np.searchsorted(who, np.arange(len(own)), side="right")
+            full = np.flatnonzero(np.bincount(who, minlength=len(own)) == k)
+            floor[full] = np.maximum(floor[full], score[ends[full] - 1])
+        begins = np.searchsorted(who, np.arange(len(own) + 1))
+        for row in range(len(own)):
+            some = slice(begins[row], begins[row + 1])
+            yield order[place[some]], score[some].astype(np.int64)
+
+
 def best_of_block(query: np.ndarray, far_q: np.ndarray, ids: np.ndarray, x: np.ndarray, far_x: np.ndarray, skip: np.ndarray, k: int, kind: type, least: np.ndarray, held: tuple | None = None):
     """Yields (places in the block, scores) of each query's k best candidates of `least` or more, ties to the
     smaller id.
@@ -150,6 +198,9 @@ def best_of_block(query: np.ndarray, far_q: np.ndarray, ids: np.ndarray, x: np.n
     q, (c, long_x, near_x) = query.astype(kind), held or made_ready(x, far_x, kind)
     long_q = (query.astype(np.float64) ** 2).sum(axis=1)
     off = slack(float(max(far_q.max(initial=0), far_x.max(initial=0))), float(max(long_q.max(initial=0), long_x.max(initial=0))), query.shape[1], kind)
+    if kind is np.float64 and len(q) > FEW_ASK:
+        yield from _best_together(q, far_q, long_q, ids, c, near_x, long_x, off, skip, k, least)
+        return
     for at in range(0, len(q), TOGETHER):
         some = slice(at, at + TOGETHER)
         apart = np.zeros((len(q[some]), len(x)), np.float32)
