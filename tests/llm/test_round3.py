@@ -256,6 +256,26 @@ def test_pairs_inside_a_component_are_not_compared(spark):
     assert ngrams._open_pairs(hits, ngrams.components(near), 85).count() < 1_000
 
 
+def test_copies_with_too_many_edits_of_their_own_are_no_candidates(spark):
+    """What is left of the original in many copies lets no pair through that the edits alone rule out."""
+    base = [f"w{k}" for k in range(150)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 121):
+        text = list(base)
+        for at in (20, 60, 100)[: 1 if k > 110 else 3]:  # four shingles each
+            text[at + k % 19] = f"x{k}-{at}"
+        rows.append((k, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marked = ngrams._marked(docs, 4, "doc_id", "text")
+    order = spark.sparkContext.broadcast(ngrams.frequent(marked, 4))
+    prefixes = marked.selectExpr("row_id AS id", "text").mapInArrow(ngrams._prefixes(order, 4, 85), "id long, size long, tokens array<long>")
+    hits = ngrams._hits(prefixes, 85)
+    ids = {r.row_id: r.doc_id for r in marked.select("row_id", "doc_id").collect()}
+    pairs = [(ids[r.hub], ids[r.other]) for r in ngrams._hub_pairs(hits, 85).collect()]
+    assert all(i == 0 or i > 110 for pair in pairs for i in pair) and len(pairs) <= 10
+    assert joined_rows(docs) == plain_join(rows)
+
+
 # -- cases that earlier tests leave out -------------------------------------------------------------
 
 

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import dropped, few, joined, per_batch, written
@@ -175,8 +175,8 @@ def _prefixes(shared, width: int, percent: int):
 
 
 def _hits(prefixes: DataFrame, percent: int) -> DataFrame:
-    """(id, size, matches, pos, token, n): each document's prefix, as long as it pays, of shingles that n > 1
-    documents have in their longest prefixes.
+    """(id, size, matches, pos, alone, token, n): each document's prefix, as long as it pays, of shingles that n > 1
+    documents have in their longest prefixes; alone says how many before it no other document has there.
 
     With prefixes for k matches, the documents met number at most (all look-ups) / k, and each costs a comparison of
     the size of the set. The k with the least look-ups and comparisons in all is taken.
@@ -190,7 +190,8 @@ def _hits(prefixes: DataFrame, percent: int) -> DataFrame:
     cost = [F.struct((F.col(f"met{k}") * (1 + F.col("size") / (8.0 * k))).alias("cost"), F.lit(k).alias("k")) for k in range(1, MATCHES + 1)]
     chosen = by.where("met1 > 0").select("id", F.array_min(F.array(*cost))["k"].alias("matches"))
     found = hits.join(chosen, "id").where(F.col("pos") < first + F.col("matches"))
-    found = written(found.select("id", "size", "matches", "pos", "token", "n"), "ngram-chosen")
+    alone = F.col("pos") + 1 - F.row_number().over(Window.partitionBy("id").orderBy("pos"))
+    found = written(found.select("id", "size", "matches", "pos", alone.cast("int").alias("alone"), "token", "n"), "ngram-chosen")
     dropped(counts, hits)
     return found
 
@@ -201,11 +202,20 @@ def _asked(a: str, b: str, need: Column) -> Column:
 
 
 def _may(a: str, b: str, percent: int) -> Column:
-    """Whether a shared shingle at these places counts for the pair: both are in the prefixes that the pair needs."""
+    """Whether a shared shingle at these places counts for the pair: both are in the prefixes that the pair needs, and it may
+    be similar at all.
+
+    What stands before a shared shingle in either document is in the prefixes of both, if it is shared. So of those before
+    it the pair shares no more than either has that aren't its alone, and behind it no more than is left of either. That
+    drops the many copies of a large group whose own edits are too many, though they all share what is left of the original.
+    """
     need = _overlap(F.col(f"{a}size"), F.col(f"{b}size"), percent)
     k = _asked(a, b, need)
     low, high = F.least(f"{a}size", f"{b}size"), F.greatest(f"{a}size", f"{b}size")
-    return (100 * low >= percent * high) & (F.col(f"{a}pos") < F.col(f"{a}size") - need + k) & (F.col(f"{b}pos") < F.col(f"{b}size") - need + k)
+    before = F.least(*(F.col(f"{x}pos") - F.col(f"{x}alone") for x in (a, b)))
+    left = F.least(*(F.col(f"{x}size") - F.col(f"{x}pos") for x in (a, b)))
+    inside = (F.col(f"{a}pos") < F.col(f"{a}size") - need + k) & (F.col(f"{b}pos") < F.col(f"{b}size") - need + k)
+    return (100 * low >= percent * high) & inside & (before + left >= need)
 
 
 def _hub_pairs(hits: DataFrame, percent: int) -> DataFrame:
@@ -213,8 +223,8 @@ def _hub_pairs(hits: DataFrame, percent: int) -> DataFrame:
 
     The hub of a shingle is the document that has it earliest in its order.
     """
-    hub = hits.groupBy("token").agg(F.min(F.struct("pos", "id", "size", "matches")).alias("h"), F.count("*").alias("n"))
-    hub = written(hub.where("n > 1").select("token", *(F.col(f"h.{c}").alias(f"h_{c}") for c in ("pos", "id", "size", "matches")), "n"), "ngram-hubs")
+    hub = hits.groupBy("token").agg(F.min(F.struct("pos", "id", "size", "matches", "alone")).alias("h"), F.count("*").alias("n"))
+    hub = written(hub.where("n > 1").select("token", *(F.col(f"h.{c}").alias(f"h_{c}") for c in ("pos", "id", "size", "matches", "alone")), "n"), "ngram-hubs")
     both = joined(hits.drop("n"), hub, ["token"]).where((F.col("id") != F.col("h_id")) & _may("", "h_", percent))
     shared = both.groupBy("id", "h_id").agg(F.count("*").alias("shared"))
     return shared.groupBy("id").agg(F.max_by("h_id", F.struct("shared", -F.col("h_id"))).alias("hub")).select("hub", F.col("id").alias("other"))
@@ -241,7 +251,7 @@ def _open_pairs(hits: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     placed = joined(named, cells, ["token"]).withColumn("home", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int"))
     placed = written(placed, "ngram-placed")
     visits = placed.withColumn("cell", F.explode(F.sequence("home", F.col("cells") - 1)))
-    names = ("id", "low", "high", "size", "matches", "pos", "home")
+    names = ("id", "low", "high", "size", "matches", "pos", "alone", "home")
     left = placed.select("token", F.col("home").alias("cell"), *(F.col(c).alias(f"a_{c}") for c in names))
     right = visits.select("token", "cell", *(F.col(c).alias(f"b_{c}") for c in names))
     once = (F.col("a_home") != F.col("b_home")) | (F.col("a_id") <= F.col("b_id"))
